@@ -22,6 +22,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix"
+#: passes over a source's draws; each fills what the one before left open
+ROUNDS = 4
 
 
 def words(text: Column) -> Column:
@@ -63,26 +65,26 @@ def repetitions(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     small = common.stored(base.select("source", "__draw", "size").groupBy("source", "__draw").agg(F.sum("size").alias("size")), "draws")
     sources = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("whole", F.floor("epochs").cast("long")).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
-    # 4096 draws of each source, in order, as long as they bring the sum nearer to what is missing
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("__draw"))
-    cut = (
-        small.withColumn("upto", upto)
-        .alias("s")
-        .join(sources.select(F.col("source").alias("__s"), "more"), F.col("source").eqNullSafe(F.col("__s")))
-        .where(F.col("upto") - F.col("size") / 2 <= F.col("more"))
-        .groupBy("source")
-        .agg(F.max(F.when(F.col("more") > 0, F.col("__draw"))).alias("last"))
-    )
-    table = sources.join(cut.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select(F.col("source").alias("__source"), "source_size", "target", "whole", "last")
-    table = common.stored(table, "plan")
-    n = table.count()
-    if n <= 100_000:
-        table = F.broadcast(table)
-    extra = F.coalesce(F.col("__draw") <= F.col("last"), F.lit(False)).cast("long")
+    plan = sources.select(F.col("source").alias("__source"), "source_size", "target", "whole", "more")
+    plan = common.stored(plan, "plan")
+    # at most 4096 draws of each source, so a window over one source is bounded
+    draws = small.join(plan, F.col("source").eqNullSafe(F.col("__source"))).where("more > 0").select("source", "__draw", "size", F.col("more").alias("gap"), F.lit(False).alias("taken"))
+    all_rows, running = Window.partitionBy("source"), Window.partitionBy("source").orderBy("__draw")
+    for _ in range(ROUNDS):
+        # in order, what fits whole into the gap; then once more for the gap that is left
+        live = ~F.col("taken") & (F.col("size") <= F.col("gap"))
+        draws = draws.withColumn("take", live & (F.sum(F.when(live, F.col("size"))).over(running) <= F.col("gap")))
+        draws = draws.withColumn("gap", F.col("gap") - F.coalesce(F.sum(F.when(F.col("take"), F.col("size"))).over(all_rows), F.lit(0)))
+        draws = draws.withColumn("taken", F.col("taken") | F.col("take")).drop("take")
+    chosen = common.stored(draws.where("taken").select(F.col("source").alias("__s"), F.col("__draw").alias("__d"), F.lit(1).cast("long").alias("__extra")), "chosen")
+    # a row per source, and at most 4096 per source: broadcast where that is small
+    small_enough = chosen.count() <= 1_000_000 and plan.count() <= 100_000
+    bounded = F.broadcast if small_enough else (lambda df: df)
     return (
-        base.join(table, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("times", F.col("whole") + extra)
-        .drop("__source", "__draw", "whole", "last")
+        base.join(bounded(plan), F.col("source").eqNullSafe(F.col("__source")))
+        .join(bounded(chosen), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__draw") == F.col("__d")), "left")
+        .withColumn("times", F.col("whole") + F.coalesce("__extra", F.lit(0)))
+        .drop("__source", "__draw", "whole", "more", "__s", "__d", "__extra")
     )
 
 

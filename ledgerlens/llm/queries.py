@@ -118,13 +118,38 @@ t AS (
 e AS (
   SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS whole FROM t),
 h AS (
-  SELECT source, draw, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY draw) AS upto FROM d GROUP BY source, draw),
-c AS (
-  SELECT h.source, max(draw) AS last FROM h JOIN e ON h.source IS NOT DISTINCT FROM e.source
-  WHERE target - whole * source_size > 0 AND upto - h.size / 2 <= target - whole * source_size GROUP BY h.source)
+  SELECT g.source, draw, size, more AS gap, false AS taken
+  FROM (SELECT source, draw, sum(size)::BIGINT AS size FROM d GROUP BY source, draw) g
+  JOIN (SELECT source, target - whole * source_size AS more FROM e) m ON g.source IS NOT DISTINCT FROM m.source WHERE more > 0),
+u0 AS (
+  SELECT *, NOT taken AND size <= gap AND sum(CASE WHEN NOT taken AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY draw) <= gap AS take FROM h),
+r0 AS (
+  SELECT source, draw, size, taken OR coalesce(take, false) AS taken,
+    gap - coalesce(sum(CASE WHEN take THEN size END) OVER (PARTITION BY source), 0) AS gap FROM u0),
+u1 AS (
+  SELECT *, NOT taken AND size <= gap AND sum(CASE WHEN NOT taken AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY draw) <= gap AS take FROM r0),
+r1 AS (
+  SELECT source, draw, size, taken OR coalesce(take, false) AS taken,
+    gap - coalesce(sum(CASE WHEN take THEN size END) OVER (PARTITION BY source), 0) AS gap FROM u1),
+u2 AS (
+  SELECT *, NOT taken AND size <= gap AND sum(CASE WHEN NOT taken AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY draw) <= gap AS take FROM r1),
+r2 AS (
+  SELECT source, draw, size, taken OR coalesce(take, false) AS taken,
+    gap - coalesce(sum(CASE WHEN take THEN size END) OVER (PARTITION BY source), 0) AS gap FROM u2),
+u3 AS (
+  SELECT *, NOT taken AND size <= gap AND sum(CASE WHEN NOT taken AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY draw) <= gap AS take FROM r2),
+r3 AS (
+  SELECT source, draw, size, taken OR coalesce(take, false) AS taken,
+    gap - coalesce(sum(CASE WHEN take THEN size END) OVER (PARTITION BY source), 0) AS gap FROM u3),
+c AS (SELECT source, draw FROM r3 WHERE taken)
 SELECT d.doc_id, d.size, e.source_size, e.target,
-  ((e.whole + CASE WHEN coalesce(d.draw <= c.last, false) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+  ((e.whole + CASE WHEN c.draw IS NOT NULL THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.draw = c.draw
 """
 
 
