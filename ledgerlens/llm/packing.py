@@ -18,12 +18,16 @@ encoded once and looked up after that.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,37 +47,74 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: the tokenizer's own split of lower-cased text, for words of printable ASCII and of printable Latin letters
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_LATIN_END = "\u0250"
+
+
+#: how byte-level tokenizers write bytes: printable ones of Latin-1 stand for themselves, the others for U+0100 on
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_TEXT = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
+class _Kept(dict):
+    """Ids by text; what is missing is made, and kept while there is room."""
+
+    def __init__(self, make, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.passed = make, limit, 0
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.make(key)
+        if len(self) < self.limit:
+            self[key] = got
+        else:
+            self.passed += 1
+            if self.passed >= self.limit:  # what was kept serves this text badly
+                self.clear()
+                self.passed = 0
+        return got
+
+
 class WordEncoder:
-    """Ids of whole texts from the ids of their words."""
+    """Ids of whole texts from the ids of their words, and ids of words from
+    their runs of letters, single digits and runs of other characters, which the
+    tokenizer encodes one by one.  Words that could be normalized in another way,
+    or hold a special token's mark, go through the tokenizer whole."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = cache_words
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = [w for w in words if w]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            of = np.array(got.word_ids, dtype=np.int64)
-            at = np.searchsorted(of, np.arange(len(some) + 1))
-            data = ids.tobytes()
-            self.known.update({w: data[4 * i : 4 * j] for w, i, j in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True)})
+        self.model = self.tokenizer.model
+        self.pieces = _Kept(self._piece, cache_words)
+        self.words = _Kept(self._word, cache_words)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_TEXT))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if "<|" in word or not word.isprintable():
+            return self._whole(word)
+        if word.isascii():
+            found = _ASCII.findall(word.lower())
+        elif max(word) < _LATIN_END and unicodedata.is_normalized("NFC", word):
+            found = _LATIN.findall(word.lower())
+        else:
+            return self._whole(word)
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.  Only space, line feed and tab
         split, all of which the tokenizer drops."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn(set().union(*split) if split else set())
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
