@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,12 +117,13 @@ def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
     ids = rows.where("doc_id is not null").select("doc_id")
     # splits: how even they are matters for speed only, not for the result
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 and not ids.isEmpty() else []
-    cuts = [int(c) for c in cuts]
     # part 0 has the highest ids; nulls form the last part of all
-    cut_col = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    below = F.lit(len(cuts)) - _count_at_most(cut_col, F.col("doc_id"), len(cuts))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(below).cast("int")
-    rows = rows.withColumn("part", part)
+    below = F.lit(0)
+    if cuts:
+        deal = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="below", handleInvalid="keep")
+        rows = deal.transform(rows.withColumn("at", F.col("doc_id").cast("double")))
+        below = F.lit(len(cuts)) - F.col("below")
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(below).cast("int"))
     heads = {r["part"]: r["head"] for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     have = sorted(heads)
     if not have:
@@ -140,17 +142,6 @@ def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
     return dealt.mapInArrow(_stream, FIELDS)
 
 
-def _count_at_most(cuts, x, n: int):
-    """How many of the ascending cuts are <= x, by binary search (log n comparisons)."""
-    lo = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while n and step:
-        nxt = lo + F.lit(step)
-        lo = F.when((nxt <= n) & (F.get(cuts, nxt - 1) <= x), nxt).otherwise(lo)
-        step >>= 1
-    return lo
-
-
 def _stream(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # part, doc_id, text, signature of the row whose next one is awaited
     for b in common.batches(frames, 256):
