@@ -24,8 +24,15 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from . import qc  # noqa: F401
