@@ -42,7 +42,7 @@ WIDTH = 5
 #: the threshold as a fraction, so that all bounds are exact in integers
 NUM, DEN = 80, 100
 SKETCH = 1 << 20
-BITS = 1024
+BITS = 512
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -64,6 +64,13 @@ def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
     return -(-(NUM * (a + b)) // (NUM + DEN))
 
 
+def _first_shared(n, at, ns: np.ndarray, ats: np.ndarray) -> np.ndarray:
+    """Whether sets can link of which a shingle at these places is the first that
+    both have: at most the shingles from there on are shared.  Sets that link
+    meet at their first shared shingle, so other meetings may be passed over."""
+    return np.minimum(n - at, ns - ats) >= needed(n, ns)
+
+
 def signature(h: np.ndarray) -> np.ndarray:
     """Bitmap of the hashed shingles."""
     bits = np.zeros(BITS, dtype=np.uint8)
@@ -170,12 +177,13 @@ def _stars(num: int, den: int):
                     continue
                 first.sort()
                 rows = i + first  # one row per class, in size order
-                n, cls = g["n"][rows], g["class"][rows]
-                centre, tiles = 0, 0
+                n, at, cls = g["n"][rows].astype(np.int64), g["at"][rows].astype(np.int64), g["class"][rows]
+                centre = 0
                 while centre < len(rows):
                     # the tile of this centre: sizes up to n / t
                     end = int(np.searchsorted(n, n[centre] * den // num, side="right"))
-                    for x in range(centre + 1, end):
+                    others = np.arange(centre + 1, end)
+                    for x in others[_first_shared(n[centre], at[centre], n[others], at[others])].tolist():
                         pair = (int(cls[centre]), int(cls[x]))
                         if pair not in told:
                             if len(told) > 500_000:
@@ -183,7 +191,6 @@ def _stars(num: int, den: int):
                             told.add(pair)
                             pairs_a.append(pair[0])
                             pairs_b.append(pair[1])
-                    tiles += 1
                     centre = max(end, centre + 1)
                 if len(rows) > 2:
                     members.append(rows)
@@ -218,12 +225,10 @@ def _across(num: int, den: int):
                     y = x + 1 + np.flatnonzero(comp[x + 1 : end] != comp[x])
                     if not len(y):
                         continue
-                    # at most what follows the shared shingle in the order, and what came before in both
-                    most = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
-                    least = needed(n[x], n[y])
-                    y, least = y[most >= least], least[most >= least]
+                    y = y[_first_shared(n[x], at[x], n[y], at[y])]
                     if not len(y):
                         continue
+                    least = needed(n[x], n[y])
                     only_x = _POP[bits[x] & ~bits[y]].sum(1, dtype=np.int64)
                     only_y = _POP[~bits[x] & bits[y]].sum(1, dtype=np.int64)
                     y = y[np.minimum(n[x] - only_x, n[y] - only_y) >= least]
@@ -259,19 +264,18 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, repeats: bool) -> DataFrame:
     """class, bitmap and sorted array of the wanted classes, each once."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(frames, 256):
-            got = [shingles(t) for t in b["text"].to_pylist()]
-            got = [h for h in got if len(h)]
+            got = [h for h in map(shingles, b["text"].to_pylist()) if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(h)[0] for h in got], pa.int64()), pa.array([signature(h).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], names=["class", "bits", "set"])
 
     ids = common.stored(reps.join(wanted, "class", "left_semi").select("doc_id"), "ids")
     found = common.matching(docs.where("doc_id is not null"), ids, "doc_id").mapInArrow(run, "class long, bits binary, set binary")
-    # rows that repeat a doc_id with other text bring classes nobody wants
-    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    # rows that repeat a doc_id bring a class again, or one that nobody wants
+    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"]) if repeats else found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -297,7 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(groups.select("class")).distinct()
     wanted = common.stored(wanted, "wanted")
-    sets = common.stored(_sets(docs, wanted, reps), "sets")
+    repeats = _repeats(members)
+    sets = common.stored(_sets(docs, wanted, reps, repeats), "sets")
     links = common.stored(_verified(pairs, sets), "links")
     comps = common.stored(common.components(links), "components")
 
@@ -319,15 +324,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = members.join(by_class, "class", "left")
     linked = F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id"))
     result = out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
-    return _joined_by_id(result, members)
+    return _joined_by_id(result) if repeats else result
 
 
-def _joined_by_id(result: DataFrame, members: DataFrame) -> DataFrame:
+def _repeats(members: DataFrame) -> bool:
+    r = members.where("doc_id is not null and n > 0").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    return r["n"] != r["d"]
+
+
+def _joined_by_id(result: DataFrame) -> DataFrame:
     """Rows that repeat a doc_id with different texts are one document to the
     ids: their components meet."""
-    r = members.where("doc_id is not null and n > 0").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    if r["n"] == r["d"]:
-        return result
     result = common.stored(result, "result")
     edges = result.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     comps = common.stored(common.components(edges), "components")
