@@ -3,6 +3,7 @@ distributed connected components, and numpy word scanning."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,9 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what led to the table is not needed again: with the plan gone, its shuffle files can go
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
