@@ -34,31 +34,30 @@ NUM, DEN = 80, 100
 MIN_TOKENS = 4
 BUCKETS = 1 << 15
 _SPACE = r"[\x20\x09-\x0D]+"
+#: a class with more lines than this, and more than its share of all, is heavy
+HEAVY, HEAVY_SHARE = 64, 1000
 
 
-def _hashes(line: Column) -> Column:
-    found = F.transform(F.split(F.lower(line), _SPACE), lambda w: F.xxhash64(w))
-    return F.array_remove(found, F.xxhash64(F.lit("")))
-
-
-def rarity(docs: DataFrame) -> bytes:
+def rarity(docs: DataFrame) -> Column:
     """For each bucket of the token hash, the level of its count in all texts
-    (6 levels to a power of two)."""
+    (6 levels to a power of two), as a constant array."""
     text = F.replace(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
     words = docs.select(F.explode(F.split(text, " ")).alias("w"))
-    counts = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    levels = bytearray(BUCKETS)
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    levels = [0] * BUCKETS
     for r in counts.collect():  # at most BUCKETS rows
         levels[r["b"]] = min(127, int(6 * math.log2(r["n"] + 1)))
-    return bytes(levels)
+    return F.from_json(F.lit(str(levels)), "array<tinyint>")
 
 
-def ranked(line: Column, levels: bytes) -> Column:
+def ranked(line: Column, levels: Column) -> Column:
     """The line's distinct tokens, rare ones first: level in the upper 8 bits,
-    56 bits of hash below."""
-    level = lambda h: F.ascii(F.substring(F.lit(levels), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    56 bits of hash below.  No step can be null, so arrays stay primitive."""
+    zero = F.lit(0).cast("long")
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), zero)
     token = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), token)))
+    words = F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), token)))
 
 
 def _bit(x: Column) -> Column:
@@ -83,17 +82,18 @@ def _least(a: Column, b: Column) -> Column:
 
 
 def _may_match(x: str, y: str) -> Column:
-    """x is later than y; sizes, places and signatures allow the similarity."""
+    """x is later than y; sizes, signatures and the places of a token that is the
+    first both have allow the similarity.  (Lines that match meet at the first
+    token they share, so all other meetings may be passed over.)"""
     c = lambda s, f: F.col(f"{s}.{f}")
     least = _least(c(x, "n"), c(y, "n"))
-    most = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) + F.least(c(x, "at"), c(y, "at"))
     only_x = F.bit_count(c(x, "bits").bitwiseAND(F.bitwise_not(c(y, "bits"))))
     only_y = F.bit_count(c(y, "bits").bitwiseAND(F.bitwise_not(c(x, "bits"))))
     return (
         ((c(x, "doc") > c(y, "doc")) | ((c(x, "doc") == c(y, "doc")) & (c(x, "sub") > c(y, "sub"))))
         & (c(x, "n") * NUM <= c(y, "n") * DEN)
         & (c(y, "n") * NUM <= c(x, "n") * DEN)
-        & (most >= least)
+        & (F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) >= least)
         & (F.least(c(x, "n") - only_x, c(y, "n") - only_y) >= least)
     )
 
@@ -121,11 +121,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         F.slice(t, 1, n - F.floor((F.lit(NUM) * n + F.lit(DEN - 1)) / F.lit(DEN)).cast("int") + 1).alias("prefix"),
     )
     lines = common.stored(lines, "lines")
-    # the first line of each class; of the columns that its set determines any value will do
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc", "sub")).alias("pos"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    rows = classes.select("cls", "pos.doc", "pos.sub", "n", "bits", F.posexplode("prefix").alias("at", "key"))
-    alone = Window.partitionBy("key")
-    rows = rows.repartition("key").withColumn("meet", F.count(F.lit(1)).over(alone)).where("meet > 1").drop("meet")
+    total = lines.count()
+    # at most HEAVY_SHARE classes can each have more than that share of the lines: a small table
+    heavy = lines.groupBy("cls").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "sub")).alias("pos")).where((F.col("times") > HEAVY) & (F.col("times") * HEAVY_SHARE > total))
+    heavy = common.stored(heavy.select(F.col("cls").alias("h_cls"), "pos"), "heavy")
+    # of a heavy class only the first line is dealt out; of others, the first is found where they meet
+    rows = lines.join(F.broadcast(heavy), F.col("cls") == F.col("h_cls"), "left").where(F.col("h_cls").isNull() | (F.struct("doc", "sub") == F.col("pos")))
+    rows = rows.select("cls", "doc", "sub", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    again, met = Window.partitionBy("key", "cls").orderBy("doc", "sub"), Window.partitionBy("key")
+    rows = rows.repartition("key").withColumn("again", F.row_number().over(again)).where("again = 1").drop("again")
+    rows = rows.withColumn("met", F.count(F.lit(1)).over(met)).where("met > 1").drop("met")
     # a size band is a power of 1 / t: lines of a band are similar in size, if not always similar enough
     rows = common.stored(rows.withColumn("band", F.floor(F.log("n") / math.log(DEN / NUM)).cast("int")), "meet")
 
@@ -146,7 +151,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return lines.select("cls", "doc", "sub").join(known, "cls").where(F.col("gone") | (F.struct("doc", "sub") != F.col("pos"))).select("doc", "sub")
 
 
-def _tokens(docs: DataFrame, lines: DataFrame, pairs: DataFrame, levels: bytes) -> DataFrame:
+def _tokens(docs: DataFrame, lines: DataFrame, pairs: DataFrame, levels: Column) -> DataFrame:
     """Token arrays of the classes in pairs, made again from one line of each."""
     wanted = common.stored(pairs.select("cls").union(pairs.select("other")).distinct(), "wanted")
     at = common.stored(lines.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc", "sub")).alias("pos")).select("cls", "pos.doc", "pos.sub"), "wanted")
