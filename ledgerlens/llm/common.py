@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +52,43 @@ def matching(df: DataFrame, keys: DataFrame, on: str | list[str], limit: int = 1
     return df.join(keys, on, "left_semi")
 
 
+#: edges of which one task keeps a spanning forest
+FOREST_EDGES = 100_000
+
+
+def _forest(frames: Iterator) -> Iterator:
+    """Of the edges of each buffer, those that a spanning forest needs."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    for b in frames:
+        if len(parent) > 4 * FOREST_EDGES:
+            parent.clear()
+        keep = []
+        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+            ru, rv = root(u), root(v)
+            keep.append(ru != rv)
+            if ru != rv:
+                parent[max(ru, rv)] = min(ru, rv)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of `edges(a, b)` (long ids): node, component (the
     smallest node reachable).  Alternating large-star / small-star contraction;
     every round is a few shuffles whose hot keys pre-aggregate or split, and is
     stored in the shared folder.  No link is collected."""
-    cur = stored(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc"
-    )
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    # a forest of each chunk of edges does for all of them; a chunk has FOREST_EDGES on average
+    chunks = -(-edges.count() // FOREST_EDGES)
+    if chunks:
+        edges = edges.repartition(chunks).mapInArrow(_forest, "u long, v long").distinct()
+    cur = stored(edges, "cc")
     for _ in range(max_rounds):
         if cur.isEmpty():
             break
@@ -140,7 +170,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, dtype=np.uint64)
-    start, end = word_bounds(raw)
+    return hashes_between(raw, *word_bounds(raw))
+
+
+def hashes_between(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes [start, end)."""
     if not len(start):
         return np.empty(0, dtype=np.uint64)
     up, down = _powers(len(raw))

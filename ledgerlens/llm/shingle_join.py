@@ -29,6 +29,7 @@ smallest of these.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ from . import common
 WIDTH = 5
 #: the threshold as a fraction, so that all bounds are exact in integers
 NUM, DEN = 80, 100
-SKETCH = 1 << 20
+#: buckets of the sketch of shingle counts, one saturating byte each
+SKETCH = 1 << 24
 BITS = 512
 
 
@@ -87,7 +89,7 @@ def _class(h: np.ndarray) -> tuple[int, int]:
 
 
 def _members_and_sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(SKETCH, dtype=np.int32)
+    sketch = np.zeros(SKETCH, dtype=np.uint8)
     some = False
     for b in common.batches(frames, 512):
         out = {"doc_id": b["doc_id"], "n": [], "one": [], "two": []}
@@ -99,14 +101,37 @@ def _members_and_sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             out["two"].append(two)
             if len(h):
                 some = True
-                np.add.at(sketch, (h % np.uint64(SKETCH)).astype(np.int64), 1)
+                count(sketch, h)
         yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(out[c], pa.int64()) for c in ("n", "one", "two")), pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "n", "one", "two", "sketch"])
     if some:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([sketch.tobytes()], pa.binary())], names=["doc_id", "n", "one", "two", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed(sketch)], pa.binary())], names=["doc_id", "n", "one", "two", "sketch"])
+
+
+def count(sketch: np.ndarray, h: np.ndarray) -> None:
+    """One more for each distinct shingle's bucket, up to 255."""
+    at = (h % np.uint64(SKETCH)).astype(np.int64)
+    v = sketch[at]
+    sketch[at] = v + (v < 255)
+
+
+def packed(sketch: np.ndarray) -> bytes:
+    return zlib.compress(sketch.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint8)
 
 
 def _added(a: bytes, b: bytes) -> bytes:
-    return (np.frombuffer(a, dtype=np.int32) + np.frombuffer(b, dtype=np.int32)).tobytes()
+    x, y = unpacked(a), unpacked(b)
+    return packed(np.where(x > 255 - y, np.uint8(255), x + y))
+
+
+def gathered(sketches: DataFrame) -> np.ndarray:
+    """The sum of the tasks' sketches (one column of packed ones), added up in a
+    tree; its size is fixed."""
+    parts = sketches.rdd.map(lambda r: bytes(r[0]))
+    return np.zeros(SKETCH, dtype=np.uint8) if parts.isEmpty() else unpacked(parts.treeReduce(_added, depth=3))
 
 
 def _prefix_rows(shared, num: int, den: int):
@@ -166,11 +191,22 @@ def _groups(frames: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
 
 def _stars(num: int, den: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of groups: star pairs (b set), and, where a group has more than
-        its star says, its members (key set)."""
-        told: set[tuple[int, int]] = set()
+        """Rows of groups: star pairs (b set; n: how often they met here; at: 1 if
+        nothing else tells of them, as in a group of two), and the members of
+        larger groups (key set)."""
+        met: dict[tuple[int, int], int] = {}
+        only: set[tuple[int, int]] = set()
+
+        def told() -> pa.RecordBatch:
+            k = len(met)
+            a, b = (pa.array([p[j] for p in met], pa.int64()) for j in (0, 1))
+            out = pa.RecordBatch.from_arrays([a, b, pa.nulls(k, pa.int64()), pa.array(list(met.values()), pa.int32()), pa.array([int(p in only) for p in met], pa.int32())], names=["a", "b", "key", "n", "at"])
+            met.clear()
+            only.clear()
+            return out
+
         for start, g in _groups(frames, ("key", "class", "n", "at")):
-            pairs_a, pairs_b, members = [], [], []
+            members = []
             for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 cls, first = np.unique(g["class"][i:j], return_index=True)
                 if len(cls) < 2:
@@ -185,21 +221,19 @@ def _stars(num: int, den: int):
                     others = np.arange(centre + 1, end)
                     for x in others[_first_shared(n[centre], at[centre], n[others], at[others])].tolist():
                         pair = (int(cls[centre]), int(cls[x]))
-                        if pair not in told:
-                            if len(told) > 500_000:
-                                told.clear()
-                            told.add(pair)
-                            pairs_a.append(pair[0])
-                            pairs_b.append(pair[1])
+                        met[pair] = met.get(pair, 0) + 1
+                        if len(rows) == 2:
+                            only.add(pair)
                     centre = max(end, centre + 1)
                 if len(rows) > 2:
                     members.append(rows)
+            if len(met) > 300_000:
+                yield told()
             m = np.concatenate(members) if members else np.empty(0, dtype=np.int64)
-            k = len(pairs_a)
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs_a, pa.int64()), pa.array(pairs_b, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], names=["a", "b", "key", "n", "at"])
             if len(m):
                 yield pa.RecordBatch.from_arrays([pa.array(g["class"][m]), pa.nulls(len(m), pa.int64()), pa.array(g["key"][m]), pa.array(g["n"][m]), pa.array(g["at"][m])], names=["a", "b", "key", "n", "at"])
+        if met:
+            yield told()
 
     return run
 
@@ -285,18 +319,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = common.stored(docs.mapInArrow(_members_and_sketch, "doc_id long, n long, one long, two long, sketch binary"), "members")
     # empty documents get a name of their own, so that they do not gather in one task
     members = first.where("n >= 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("one")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")).alias("class"))
-    parts = first.where("sketch is not null").select("sketch").rdd.map(lambda r: bytes(r[0]))
-    sketch = np.zeros(SKETCH, dtype=np.int32)
-    if not parts.isEmpty():
-        sketch = np.frombuffer(parts.treeReduce(_added, depth=3), dtype=np.int32)
-    shared = spark.sparkContext.broadcast(sketch)
+    shared = spark.sparkContext.broadcast(gathered(first.where("sketch is not null").select("sketch")))
     # only classes that a doc_id names can be fetched; documents without an id stay alone or join by equality
     reps = common.stored(members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "reps")
 
     rows = docs.where("doc_id is not null").mapInArrow(_prefix_rows(shared, NUM, DEN), "key long, class long, n int, at int")
     rows = rows.repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
     found = common.stored(rows.mapInArrow(_stars(NUM, DEN), "a long, b long, key long, n int, at int"), "stars")
-    pairs = common.stored(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    stars = found.where("b is not null")
+    # pairs of groups of two are all verified; in larger ones each member first tries
+    # the centre that it met most often, and step 4 sees to the others
+    met = common.stored(stars.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("at").alias("only")), "met")
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    pairs = common.stored(best.union(met.where("only = 1").select("a", "b")).distinct(), "pairs")
     groups = found.where("key is not null").select("key", F.col("a").alias("class"), "n", "at")
 
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(groups.select("class")).distinct()
