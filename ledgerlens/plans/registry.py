@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import qc, reports  # noqa: F401
+    from . import findings, orgs, qc, reports, texts  # noqa: F401
