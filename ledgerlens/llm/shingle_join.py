@@ -43,7 +43,7 @@ WIDTH = 5
 #: the threshold as a fraction, so that all bounds are exact in integers
 NUM, DEN = 80, 100
 #: buckets of the sketch of shingle counts, one saturating byte each
-SKETCH = 1 << 24
+SKETCH = 1 << 23
 BITS = 512
 
 
@@ -127,11 +127,25 @@ def _added(a: bytes, b: bytes) -> bytes:
     return packed(np.where(x > 255 - y, np.uint8(255), x + y))
 
 
-def gathered(sketches: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches (one column of packed ones), added up in a
-    tree; its size is fixed."""
-    parts = sketches.rdd.map(lambda r: bytes(r[0]))
-    return np.zeros(SKETCH, dtype=np.uint8) if parts.isEmpty() else unpacked(parts.treeReduce(_added, depth=3))
+def _sum_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in common.batches(frames, 1):
+        one = b["sketch"][0].as_py()
+        total = one if total is None else _added(total, one)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], names=["sketch"])
+
+
+def gathered(sketches: DataFrame, fan_in: int = 8) -> np.ndarray:
+    """The sum of the tasks' sketches, added up in a tree of stored tables; only
+    the last one, of fixed size, comes to the driver."""
+    n = sketches.count()
+    while n > 1:
+        n = -(-n // fan_in)
+        sketches = common.stored(sketches.repartition(n).mapInArrow(_sum_of, "sketch binary"), "sketch")
+        n = sketches.count()
+    row = sketches.first()
+    return unpacked(bytes(row[0])) if row else np.zeros(SKETCH, dtype=np.uint8)
 
 
 def _prefix_rows(shared, num: int, den: int):
