@@ -238,21 +238,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
     loose_bins = 4
     packed = common.stored(dealt.groupBy("part").applyInPandas(_packer(capacity, "a", loose_bins), _PACKED), "packed")
     for k in range(rounds):
-        done.append(packed.where(~F.col("loose")))
-        pool = packed.where("loose")
-        bins = pool.select("bin").distinct().count()
-        if not bins:
+        loose = packed.where("loose")
+        left = loose.count()
+        if not left:
             break
-        # each pool has the loose bins of many parts, as many items as a part at most on average
-        pools = max(1, -(-pool.count() // part_items))
-        if k:
-            last = True
-        else:
-            last = pools == 1
-        pool = pool.drop("loose", "gap").withColumn("part", F.pmod(F.xxhash64("bin"), F.lit(pools)).cast("int"))
-        schema = f"{_ITEM}, bin string, place long, loose boolean, gap int"
-        packed = common.stored(pool.groupBy("part").applyInPandas(_packer(capacity, f"p{k}", loose_bins), schema), "packed")
-        if last:
+        done.append(packed.where("NOT loose"))
+        # each pool has the loose bins of many parts, as many items as a part on average
+        pools = max(1, -(-left // part_items))
+        pool = loose.drop("loose", "gap").withColumn("part", F.pmod(F.xxhash64("bin"), F.lit(pools)).cast("int"))
+        packed = common.stored(pool.groupBy("part").applyInPandas(_packer(capacity, f"p{k}", loose_bins), _PACKED), "packed")
+        if pools == 1:
             break
     done.append(packed)
     every = done[0].select("copy", "bin", "place")
