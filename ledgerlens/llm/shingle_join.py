@@ -10,11 +10,14 @@ the threshold.  The join is exact and never looks at all pairs of a group:
    n - ceil(t n) + 1 of its shingles in that order: sets that link share one.
 3. Rows meet by shingle, in size order.  They are cut into size-banded tiles, in
    which sizes allow the similarity, and every member is paired with the first of
-   its tile (a star); these pairs are verified.
+   its tile (a star); these pairs are verified, and the bitmap of how a member
+   differs from its centre is kept.
 4. The stars' components are contracted.  Only members of *different* components
    that still share a shingle are compared, tile by tile, and pairs whose hashed
    bitmap signatures bound the overlap below what is needed stop there: a bit
    that is set in one signature alone stands for a shingle of one set alone.
+   Members of one centre are also bounded by the bitmaps of their differences
+   from it, which are small where whole sets would fill a bitmap.
 5. What is left is decided by intersecting the sorted arrays of shingles.
 
 Links within a component that was already found are skipped, as they cannot
@@ -260,17 +263,19 @@ def _across(num: int, den: int):
         """Pairs of a group's members in different components that sizes,
         positions and bitmaps allow to link."""
         told: set[tuple[int, int]] = set()
-        for start, g in _groups(frames, ("key", "class", "n", "at", "comp", "bits")):
+        for start, g in _groups(frames, ("key", "class", "n", "at", "comp", "bits", "centre", "delta")):
             out: list[tuple[int, int]] = []
             for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 comp = g["comp"][i:j]
                 if (comp == comp[0]).all():
                     continue
                 n, at, cls = g["n"][i:j].astype(np.int64), g["at"][i:j].astype(np.int64), g["class"][i:j]
-                bits = np.frombuffer(b"".join(g["bits"][i:j]), dtype=np.uint8).reshape(j - i, -1)
+                bits, delta = (np.frombuffer(b"".join(g[c][i:j]), dtype=np.uint8).reshape(j - i, -1) for c in ("bits", "delta"))
+                centre = g["centre"][i:j]
                 for x in range(j - i - 1):
                     end = int(np.searchsorted(n, n[x] * den // num, side="right"))
                     y = x + 1 + np.flatnonzero(comp[x + 1 : end] != comp[x])
+                    y = y[(cls[y] != centre[x]) & (centre[y] != cls[x])]  # those have been verified
                     if not len(y):
                         continue
                     y = y[_first_shared(n[x], at[x], n[y], at[y])]
@@ -279,7 +284,12 @@ def _across(num: int, den: int):
                     least = needed(n[x], n[y])
                     only_x = _POP[bits[x] & ~bits[y]].sum(1, dtype=np.int64)
                     only_y = _POP[~bits[x] & bits[y]].sum(1, dtype=np.int64)
-                    y = y[np.minimum(n[x] - only_x, n[y] - only_y) >= least]
+                    ok = np.minimum(n[x] - only_x, n[y] - only_y) >= least
+                    if centre[x]:
+                        # relative to a common centre, sets differ where their deltas do
+                        apart = _POP[delta[x] ^ delta[y]].sum(1, dtype=np.int64)
+                        ok &= (centre[y] != centre[x]) | (apart <= n[x] + n[y] - 2 * least)
+                    y = y[ok]
                     for k in y.tolist():
                         pair = (min(int(cls[x]), int(cls[k])), max(int(cls[x]), int(cls[k])))
                         if pair not in told:
@@ -296,6 +306,24 @@ def _across(num: int, den: int):
     return run
 
 
+def _star_verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs with whether they link, and the bitmap of b's difference from a."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(frames, 2000):
+            ok, delta = [], []
+            for x, y in zip(b["x"], b["y"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
+                ok.append(both * (NUM + DEN) >= NUM * (len(x) + len(y)))
+                delta.append(signature(apart).tobytes())
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["main"], pa.array(ok, pa.bool_()), pa.array(delta, pa.binary())], names=["a", "b", "main", "ok", "delta"])
+
+    both = pairs.join(arrays.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(arrays.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    return both.mapInArrow(run, "a long, b long, main boolean, ok boolean, delta binary")
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """The pairs whose sorted arrays intersect enough."""
 
@@ -344,21 +372,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # pairs of groups of two are all verified; in larger ones each member first tries
     # the centre that it met most often, and step 4 sees to the others
     met = common.stored(stars.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("at").alias("only")), "met")
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    pairs = common.stored(best.union(met.where("only = 1").select("a", "b")).distinct(), "pairs")
+    # (of its centres, the one that most of all members met: few centres serve many)
+    fame = common.stored(met.groupBy("a").agg(F.sum("n").alias("fame")), "fame")
+    best = met.join(fame, "a").groupBy("b").agg(F.max_by("a", F.struct("fame", "n", "a")).alias("a")).select("a", "b", F.lit(True).alias("main"))
+    pairs = best.unionByName(met.where("only = 1").select("a", "b", F.lit(False).alias("main"))).groupBy("a", "b").agg(F.bool_or("main").alias("main"))
+    pairs = common.stored(pairs, "pairs")
     groups = found.where("key is not null").select("key", F.col("a").alias("class"), "n", "at")
 
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(groups.select("class")).distinct()
     wanted = common.stored(wanted, "wanted")
     repeats = _repeats(members)
     sets = common.stored(_sets(docs, wanted, reps, repeats), "sets")
-    links = common.stored(_verified(pairs, sets), "links")
+    tried = common.stored(_star_verified(pairs, sets), "tried")
+    links = tried.where("ok").select("a", "b")
+    centres = tried.where("main").select(F.col("b").alias("class"), F.col("a").alias("centre"), "delta")
     comps = common.stored(common.components(links), "components")
 
     named = (
         groups.join(comps.withColumnRenamed("node", "class"), "class", "left")
         .join(sets.select("class", "bits"), "class")
-        .select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"), "bits")
+        .join(centres, "class", "left")
+        .select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"), "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta"))
     )
     named = named.repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
     more = common.stored(named.mapInArrow(_across(NUM, DEN), "a long, b long").distinct(), "pairs")
