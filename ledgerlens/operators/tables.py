@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -111,12 +112,12 @@ def partial_ratio(a: str, b: str) -> float:
     return 100.0 * best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
@@ -175,7 +176,7 @@ def match_measure(headers: DataFrame, measures: list[tuple[str, str]]) -> DataFr
     """headers(..., header) plus measure: the first of the best measure aliases at 78 or more."""
     names = list(zip([m for m, _ in measures], X_normal([a for _, a in measures]), strict=True))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def pick(h: pd.Series) -> pd.Series:
         def one(x: str) -> str | None:
             best, found = 0.0, None

@@ -107,7 +107,7 @@ def zero_increase_findings(pages: DataFrame) -> DataFrame:
     flat = pages.select("doc_id", "page", X.compact(F.col("text")).alias("t"))
     both = F.arrays_zip(F.regexp_extract_all("t", F.lit(pattern), F.lit(1)).alias("item"), F.regexp_extract_all("t", F.lit(pattern), F.lit(2)).alias("amount"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("hit"))
     rows = flat.select("doc_id", "page", "t", F.explode(both).alias("z")).where(N.parse_plain(F.col("z.amount")) > 0)
-    return rows.select("doc_id", F.lit("zero_increase").alias("rule"), F.lit("error").alias("severity"), "page", (F.locate(F.lit("拨款支出预算0"), F.col("t")) - 1).alias("pos"), F.concat(F.col("z.item"), F.lit(" is 0 but grew by "), F.col("z.amount")).alias("message"), F.col("z.hit").alias("evidence"))
+    return rows.select("doc_id", F.lit("zero_increase").alias("rule"), F.lit("error").alias("severity"), "page", (F.locate("拨款支出预算0", F.col("t")) - 1).alias("pos"), F.concat(F.col("z.item"), F.lit(" is 0 but grew by "), F.col("z.amount")).alias("message"), F.col("z.hit").alias("evidence"))
 
 
 def direction_findings(pages: DataFrame) -> DataFrame:

@@ -44,10 +44,12 @@ def csv_report(found: DataFrame, path: str, columns: list[str]) -> None:
     df.withColumnRenamed(columns[0], "﻿" + columns[0]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def json_report(found: DataFrame, path: str) -> None:
-    """One object per document: its findings and their count."""
+def json_report(found: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """One object per document: its findings, in order, and their count."""
     rest = [c for c in found.columns if c != "doc_id"]
-    by = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct(*rest))).alias("issues"))
+    # rows come to the aggregate by document and in order, and are collected as they come
+    rows = found.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+    by = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count"), F.collect_list(F.struct(*rest)).alias("issues"))
     by.write.mode("overwrite").json(path)
 
 
