@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import documents, findings, orgs, qc, reports, texts  # noqa: F401
+    from . import documents, findings, misc, orgs, qc, reports, texts  # noqa: F401
