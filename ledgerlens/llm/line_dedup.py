@@ -12,7 +12,9 @@ filter).  Classes meet by token if their sizes (length filter) and the token's
 places (positional filter, for the first token both have) allow the similarity,
 and are verified by intersecting whole sorted arrays.  Each class first tries the
 earliest of its size tile that it meets most often, which settles large groups of
-near copies in linear work; classes that are still kept then meet all others.
+near copies in linear work; classes that are still kept then meet all others,
+unless bitmaps of how they differ from a common centre show them to be too far
+apart.
 
 This is Arrow and numpy code; the DataFrame-only form that the method asks for
 did not keep within the limits (figures in the README).
@@ -189,16 +191,23 @@ def _rest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes that are still kept with every earlier class of the group."""
     told: set[tuple[int, int]] = set()
     out: list[tuple[int, int]] = []
-    for start, g in J._groups(frames, ("key", "cls", "n", "at", "doc", "sub", "gone")):
+    for start, g in J._groups(frames, ("key", "cls", "n", "at", "doc", "sub", "gone", "centre", "delta")):
         for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             left = i + np.flatnonzero(g["gone"][i:j] == 0)
             n, at = g["n"][i:j].astype(np.int64), g["at"][i:j].astype(np.int64)
-            doc, sub, cls = g["doc"][i:j], g["sub"][i:j], g["cls"][i:j]
+            doc, sub, cls, centre = g["doc"][i:j], g["sub"][i:j], g["cls"][i:j], g["centre"][i:j]
+            delta = np.frombuffer(b"".join(g["delta"][i:j]), dtype=np.uint8).reshape(j - i, -1) if len(left) else None
             for x in (left - i).tolist():
                 a, b = np.searchsorted(n, [-(-n[x] * NUM // DEN), n[x] * DEN // NUM + 1])
                 y = np.arange(a, b)
                 y = y[(doc[y] < doc[x]) | ((doc[y] == doc[x]) & (sub[y] < sub[x]))]
-                for k in y[J._first_shared(n[x], at[x], n[y], at[y])].tolist():
+                y = y[(cls[y] != centre[x]) & (centre[y] != cls[x])]  # those have been verified
+                y = y[J._first_shared(n[x], at[x], n[y], at[y])]
+                if centre[x] and len(y):
+                    # relative to a common centre, sets differ where their deltas do
+                    apart = J._POP[delta[x] ^ delta[y]].sum(1, dtype=np.int64)
+                    y = y[(centre[y] != centre[x]) | (apart <= n[x] + n[y] - 2 * J.needed(n[x], n[y]))]
+                for k in y.tolist():
                     pair = (int(cls[x]), int(cls[k]))
                     if pair not in told:
                         told.add(pair)
@@ -232,9 +241,8 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return common.stored(found.select("class", "set").dropDuplicates(["class"]), "sets")
 
 
-def _later_gone(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """The later class of each pair that is similar."""
-    same = J._verified(pairs.select(F.col("cls").alias("a"), F.col("other").alias("b")), sets)
+def _later(same: DataFrame, classes: DataFrame) -> DataFrame:
+    """The later class of each pair (a, b)."""
     c = classes.select("cls", F.struct("doc", "sub").alias("pos"))
     both = same.join(c.withColumnsRenamed({"cls": "a", "pos": "pa"}), "a").join(c.withColumnsRenamed({"cls": "b", "pos": "pb"}), "b")
     return both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("cls")).distinct()
@@ -255,17 +263,22 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     found = common.stored(rows.mapInArrow(_meet, "cls long, other long, only int, key long, n int, at int"), "met")
     met = found.where("other is not null").groupBy("cls", "other").agg(F.max("only").alias("only"), F.count(F.lit(1)).alias("n"))
     met = common.stored(met, "met")
-    best = met.groupBy("cls").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-    stars = common.stored(best.union(met.where("only = 1").select("cls", "other")).distinct(), "pairs")
+    fame = common.stored(met.groupBy("other").agg(F.sum("n").alias("fame")), "fame")
+    best = met.join(fame, "other").groupBy("cls").agg(F.max_by("other", F.struct("fame", "n", "other")).alias("other")).select("cls", "other", F.lit(True).alias("main"))
+    stars = best.unionByName(met.where("only = 1").select("cls", "other", F.lit(False).alias("main"))).groupBy("cls", "other").agg(F.bool_or("main").alias("main"))
+    stars = common.stored(stars, "pairs")
     members = found.where("key is not null").select("key", "cls", "n", "at")
     wanted = common.stored(stars.select("cls").union(stars.select("other")).union(members.select("cls")).distinct(), "wanted")
     sets = _sets(docs, classes, wanted)
-    gone = common.stored(_later_gone(stars, sets, classes), "gone")
+    tried = common.stored(J._star_verified(stars.select(F.col("other").alias("a"), F.col("cls").alias("b"), "main"), sets), "tried")
+    gone = common.stored(_later(tried.where("ok").select("a", "b"), classes), "gone")
+    centres = tried.where("main").select(F.col("b").alias("cls"), F.col("a").alias("centre"), "delta")
 
-    left = members.join(classes.select("cls", "doc", "sub"), "cls").join(gone.withColumn("gone", F.lit(1)), "cls", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    left = left.select("key", "cls", "n", "at", "doc", "sub", "gone").repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
+    left = members.join(classes.select("cls", "doc", "sub"), "cls").join(gone.withColumn("gone", F.lit(1)), "cls", "left").join(centres, "cls", "left")
+    left = left.select("key", "cls", "n", "at", "doc", "sub", F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(J.BITS // 8))).alias("delta")).repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
     more = common.stored(left.mapInArrow(_rest, "cls long, other long").distinct(), "pairs")
-    gone = common.stored(gone.union(_later_gone(more, sets, classes)).distinct(), "gone")
+    same = J._verified(more.select(F.col("cls").alias("a"), F.col("other").alias("b")), sets)
+    gone = common.stored(gone.union(_later(same, classes)).distinct(), "gone")
 
     known = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("times > 1 or gone")
     known = common.stored(known.select("cls", F.col("doc").alias("d"), F.col("sub").alias("s"), F.coalesce("gone", F.lit(False)).alias("gone")), "known")
