@@ -3,6 +3,7 @@ distributed connected components, and numpy word scanning."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -189,3 +190,13 @@ def batches(frames: Iterator, size: int) -> Iterator:
     for b in frames:
         for k in range(0, b.num_rows, size):
             yield b.slice(k, size)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return what a finished task has freed to the machine: Python workers live
+    on, and the allocator would keep the task's peak."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own counsel
+        pass

@@ -37,8 +37,8 @@ CAPACITY = 2048
 END = 0
 #: items of one part: bounds the memory and time of one packing task
 PART_ITEMS = 4096
-#: distinct words whose ids a Python worker keeps
-CACHE_WORDS = 500_000
+#: distinct words, and as many runs of letters, whose ids a Python worker keeps
+CACHE_WORDS = 200_000
 
 
 def tokenizer_path() -> str:
