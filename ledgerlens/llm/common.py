@@ -79,6 +79,25 @@ def _forest(frames: Iterator) -> Iterator:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+def _labels(frames: Iterator) -> Iterator:
+    """Each node that is not the smallest of its component, with that one."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    for b in frames:
+        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+            ru, rv = root(u), root(v)
+            if ru != rv:
+                parent[max(ru, rv)] = min(ru, rv)
+    pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["node", "component"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of `edges(a, b)` (long ids): node, component (the
     smallest node reachable).  Alternating large-star / small-star contraction;
@@ -90,6 +109,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if chunks:
         edges = edges.repartition(chunks).mapInArrow(_forest, "u long, v long").distinct()
     cur = stored(edges, "cc")
+    if 0 < cur.count() <= FOREST_EDGES:  # few enough for one task to finish
+        return stored(cur.repartition(1).mapInArrow(_labels, "node long, component long"), "cc")
     for _ in range(max_rounds):
         if cur.isEmpty():
             break
