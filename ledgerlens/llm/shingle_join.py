@@ -17,7 +17,9 @@ the threshold.  The join is exact and never looks at all pairs of a group:
    bitmap signatures bound the overlap below what is needed stop there: a bit
    that is set in one signature alone stands for a shingle of one set alone.
    Members of one centre are also bounded by the bitmaps of their differences
-   from it, which are small where whole sets would fill a bitmap.
+   from it, which are small where whole sets would fill a bitmap.  At first each
+   member tries only the one that looks nearest; after some rounds of contraction
+   all that is left is compared.
 5. What is left is decided by intersecting the sorted arrays of shingles.
 
 Links within a component that was already found are skipped, as they cannot
@@ -48,6 +50,10 @@ NUM, DEN = 80, 100
 #: buckets of the sketch of shingle counts, one saturating byte each
 SKETCH = 1 << 23
 BITS = 512
+#: rounds in which members try the nearest of other components, before all are compared
+ROUNDS = 3
+#: stars tried in a group; what they leave is compared in full
+STARS = 64
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -231,17 +237,18 @@ def _stars(num: int, den: int):
                 first.sort()
                 rows = i + first  # one row per class, in size order
                 n, at, cls = g["n"][rows].astype(np.int64), g["at"][rows].astype(np.int64), g["class"][rows]
-                centre = 0
-                while centre < len(rows):
+                # a star of the smallest set, then of the smallest that it did not reach, ...
+                left, tries = np.arange(len(rows)), 0
+                while len(left) > 1 and tries < STARS:
+                    c, others = left[0], left[1:]
                     # the tile of this centre: sizes up to n / t
-                    end = int(np.searchsorted(n, n[centre] * den // num, side="right"))
-                    others = np.arange(centre + 1, end)
-                    for x in others[_first_shared(n[centre], at[centre], n[others], at[others])].tolist():
-                        pair = (int(cls[centre]), int(cls[x]))
+                    ok = (n[others] <= n[c] * den // num) & _first_shared(n[c], at[c], n[others], at[others])
+                    for x in others[ok].tolist():
+                        pair = (int(cls[c]), int(cls[x]))
                         met[pair] = met.get(pair, 0) + 1
                         if len(rows) == 2:
                             only.add(pair)
-                    centre = max(end, centre + 1)
+                    left, tries = others[~ok], tries + 1
                 if len(rows) > 2:
                     members.append(rows)
             if len(met) > 300_000:
@@ -258,13 +265,18 @@ def _stars(num: int, den: int):
 _POP = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, nearest: bool):
+    """nearest: of each member only the pair that the bitmaps show closest."""
+
+    def batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)), pa.array([p[2] for p in pairs], pa.int32())], names=["a", "b", "apart"])
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a group's members in different components that sizes,
         positions and bitmaps allow to link."""
         told: set[tuple[int, int]] = set()
         for start, g in _groups(frames, ("key", "class", "n", "at", "comp", "bits", "centre", "delta")):
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 comp = g["comp"][i:j]
                 if (comp == comp[0]).all():
@@ -285,23 +297,26 @@ def _across(num: int, den: int):
                     only_x = _POP[bits[x] & ~bits[y]].sum(1, dtype=np.int64)
                     only_y = _POP[~bits[x] & bits[y]].sum(1, dtype=np.int64)
                     ok = np.minimum(n[x] - only_x, n[y] - only_y) >= least
-                    if centre[x]:
-                        # relative to a common centre, sets differ where their deltas do
-                        apart = _POP[delta[x] ^ delta[y]].sum(1, dtype=np.int64)
-                        ok &= (centre[y] != centre[x]) | (apart <= n[x] + n[y] - 2 * least)
-                    y = y[ok]
-                    for k in y.tolist():
-                        pair = (min(int(cls[x]), int(cls[k])), max(int(cls[x]), int(cls[k])))
+                    # relative to a common centre, sets differ where their deltas do
+                    apart = _POP[delta[x] ^ delta[y]].sum(1, dtype=np.int64)
+                    common_centre = (centre[y] == centre[x]) & (centre[x] != 0)
+                    ok &= ~common_centre | (apart <= n[x] + n[y] - 2 * least)
+                    apart = np.where(common_centre, apart, only_x + only_y)
+                    y, apart = y[ok], apart[ok]
+                    if nearest and len(y):
+                        y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
+                    for k, d in zip(y.tolist(), apart.tolist(), strict=True):
+                        pair = (int(cls[x]), int(cls[k]))
                         if pair not in told:
-                            if len(told) > 500_000:
+                            if len(told) > 300_000:
                                 told.clear()
                             told.add(pair)
-                            out.append(pair)
+                            out.append((*pair, d))
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    yield batch(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield batch(out)
 
     return run
 
@@ -388,17 +403,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = tried.where("main").select(F.col("b").alias("class"), F.col("a").alias("centre"), "delta")
     comps = common.stored(common.components(links), "components")
 
-    named = (
-        groups.join(comps.withColumnRenamed("node", "class"), "class", "left")
-        .join(sets.select("class", "bits"), "class")
-        .join(centres, "class", "left")
-        .select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"), "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta"))
-    )
-    named = named.repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
-    more = common.stored(named.mapInArrow(_across(NUM, DEN), "a long, b long").distinct(), "pairs")
-    more_links = common.stored(_verified(more, sets), "links")
-    if not more_links.isEmpty():
-        comps = common.stored(common.components(links.unionByName(more_links)), "components")
+    def across(nearest: bool) -> DataFrame:
+        rows = (
+            groups.join(comps.withColumnRenamed("node", "class"), "class", "left")
+            .join(sets.select("class", "bits"), "class")
+            .join(centres, "class", "left")
+            .select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"), "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta"))
+        )
+        rows = rows.repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
+        return common.stored(rows.mapInArrow(_across(NUM, DEN, nearest), "a long, b long, apart int"), "across")
+
+    # members of families that a centre did not gather try their nearest, round by round
+    more = across(nearest=True)
+    for _ in range(ROUNDS):
+        pick = common.stored(more.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "pairs")
+        new = common.stored(_verified(pick, sets), "links")
+        if new.isEmpty():
+            break
+        links = common.stored(links.unionByName(new), "links")
+        comps = common.stored(common.components(links), "components")
+        more = across(nearest=True)
+        if more.isEmpty():
+            break
+    if not more.isEmpty():
+        # and what is left is compared in full
+        pairs = common.stored(across(nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        new = common.stored(_verified(pairs, sets), "links")
+        if not new.isEmpty():
+            comps = common.stored(common.components(links.unionByName(new)), "components")
 
     # components of classes; then the smallest doc_id of all documents in each
     by_class = common.stored(reps.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("comp")), "classes")
