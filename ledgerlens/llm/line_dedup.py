@@ -164,16 +164,16 @@ def _meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rows = i + np.sort(first)
             n, at, cls = g["n"][rows].astype(np.int64), g["at"][rows].astype(np.int64), g["cls"][rows]
-            low = 0
-            while low < len(rows):
-                end = int(np.searchsorted(n, n[low] * DEN // NUM, side="right"))
-                tile = np.arange(low, end)
-                c = low + int(np.lexsort((g["sub"][rows[tile]], g["doc"][rows[tile]]))[0])
-                for x in tile[J._first_shared(n[c], at[c], n[tile], at[tile])].tolist():
-                    if x != c:
-                        pair = (int(cls[x]), int(cls[c]))
-                        met[pair] = met.get(pair, 0) | int(len(rows) == 2)
-                low = end
+            # a star of the earliest line, then of the earliest that it did not reach, ...
+            left = np.lexsort((g["sub"][rows], g["doc"][rows]))
+            tries = 0
+            while len(left) > 1 and tries < J.STARS:
+                c, others = left[0], left[1:]
+                ok = (n[others] * NUM <= n[c] * DEN) & (n[c] * NUM <= n[others] * DEN) & J._first_shared(n[c], at[c], n[others], at[others])
+                for x in others[ok].tolist():
+                    pair = (int(cls[x]), int(cls[c]))
+                    met[pair] = met.get(pair, 0) | int(len(rows) == 2)
+                left, tries = others[~ok], tries + 1
             if len(rows) > 2:
                 members.append(rows)
         if len(met) > 300_000:
