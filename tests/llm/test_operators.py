@@ -438,7 +438,9 @@ def test_url_rules(spark):
 # ------------------------------------------------------------------- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [10, 100_000])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(common, "FOREST_EDGES", chunk)
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 540)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
