@@ -28,8 +28,8 @@ change it; links between different components are all found.
 Defined cases: documents without words, or with null text, have an empty set and
 link with nothing; their component_id is their own doc_id.  Repeated rows (equal
 doc_id) are kept and get equal results.  An empty table gives an empty result.
-Rows with a null doc_id are kept; where a component has other ids it gets the
-smallest of these.
+Rows with a null doc_id are kept.  They link with rows of an equal set, and get
+the smallest id of its component; a set that only they have links with nothing.
 """
 
 from __future__ import annotations
