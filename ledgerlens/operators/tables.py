@@ -244,3 +244,29 @@ def coalesce_tables(grids: DataFrame, key: str) -> DataFrame:
     joins = F.coalesce(near & ((F.col("table_code") == before) | (goes_on & before.isNotNull())), F.lit(False))
     out = grids.withColumn("__new", F.when(joins, 0).otherwise(1))
     return out.withColumn("island", F.sum("__new").over(by)).drop("__new")
+
+
+#: fixed values: headers of columns that say what a row is, not how much
+DIMENSION_HEADERS = ("项目", "科目", "科目编码", "科目名称", "功能分类", "经济分类", "行次", "序号", "类", "款", "项", "栏次", "编码", "名称")
+
+
+def is_dimension_header(header: Column) -> Column:
+    t = X.normalized(header)
+    return t.isin(*DIMENSION_HEADERS) | t.rlike("科目编码|科目名称|行次|序号")
+
+
+def title_line(lines: DataFrame, key: str) -> DataFrame:
+    """lines(key, idx, line): the line that looks most like a table's title: +4 for
+    a title word, +2 for a year or 部门, -3 for a unit line, less 0.1 a line."""
+    t = F.col("line")
+    score = F.when(t.rlike("预算表|决算表|总表|经费预算表|经费支出表|分类预算表"), 4.0).otherwise(0.0) + F.when(t.rlike(r"20\d{2}年|部门"), 2.0).otherwise(0.0) - F.when(t.rlike("^(?:编制部门|编制单位|单位[:：])"), 3.0).otherwise(0.0) - F.col("idx") * 0.1
+    best = lines.groupBy(key).agg(F.max_by(F.struct("line", score.alias("score")), F.struct(score, -F.col("idx"))).alias("b"))
+    return best.select(key, F.col("b.line").alias("title"), F.col("b.score").alias("score")).where("score > 0")
+
+
+def placeholder_tables(lines: DataFrame, key: str, have: DataFrame, dictionary: list[dict]) -> DataFrame:
+    """Tables that a page announces but that were not extracted: key, table_code,
+    title; recognized with at least 0.75 and not among have(key, table_code)."""
+    best = title_line(lines.where("idx < 6"), key).select(key, "title", F.lit(None).cast("string").alias("hint"), F.array().cast("array<string>").alias("headers"))
+    found = detect_table(best, key, dictionary).where((F.col("score") >= 0.75) & F.col("table_code").isNotNull())
+    return found.join(best.select(key, "title"), key).join(have, [key, "table_code"], "left_anti").select(key, "table_code", "title")

@@ -148,3 +148,35 @@ def year_findings(pages: DataFrame, years: DataFrame, titles: Sequence[str], key
     rows = rows.withColumn("kind", F.when(wrong_title.isNotNull(), 0).when(wrong_line.isNotNull(), 1)).withColumn("bad", F.coalesce(wrong_title, wrong_line)).where("kind IS NOT NULL")
     first = rows.groupBy("doc_id", "page", "year").agg(F.min_by(F.struct("kind", "bad", "line"), F.struct("kind", "line_no")).alias("f"))
     return first.select("doc_id", F.lit("year").alias("rule"), F.lit("warn").alias("severity"), "page", F.lit(0).alias("pos"), F.concat(F.when(F.col("f.kind") == 0, "title of year ").otherwise("text of year "), F.col("f.bad").cast("string"), F.lit(" in a report of "), F.col("year").cast("string")).alias("message"), F.col("f.line").alias("evidence"))
+
+
+def percent_findings(pages: DataFrame) -> DataFrame:
+    """Percentages below 0 or above 100."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)\s*%"), F.lit(1))
+    rows = pages.select("doc_id", "page", "text", F.explode(found).alias("p")).where((F.col("p").try_cast("double") < 0) | (F.col("p").try_cast("double") > 100))
+    return rows.select("doc_id", F.lit("percent_range").alias("rule"), F.lit("warn").alias("severity"), "page", (F.instr("text", F.col("p")) - 1).alias("pos"), F.concat(F.col("p"), F.lit("% is out of range")).alias("message"), F.col("p").alias("evidence"))
+
+
+def unit_findings(pages: DataFrame, first_pages: int = 3) -> DataFrame:
+    """Documents whose pages name no money unit, or more than one; the dominant
+    unit is the most frequent one, of equals the first seen."""
+    unit = X.money_unit(F.col("text"))
+    by = pages.select("doc_id", "page", unit.alias("unit")).groupBy("doc_id").agg(F.collect_set("unit").alias("units"), F.count(F.when(F.col("page") <= first_pages, F.col("unit"))).alias("early"))
+    message = F.when(F.size("units") == 0, "no money unit").when(F.size("units") > 1, F.concat(F.lit("mixed units: "), F.array_join(F.array_sort("units"), ", ")))
+    return by.select("doc_id", F.lit("unit").alias("rule"), F.lit("info").alias("severity"), F.lit(1).alias("page"), F.lit(0).alias("pos"), message.alias("message"), F.lit("").alias("evidence")).where("message IS NOT NULL")
+
+
+def dominant(values: DataFrame, key: str, value: str, ord_col: str) -> DataFrame:
+    """(key, value): the most frequent value, of equals the first seen."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(ord_col).alias("first"))
+    return counts.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
+
+
+def page_of_text(needles: DataFrame, pages: DataFrame, head: int = 40) -> DataFrame:
+    """needles(doc_id, id, needle) -> the first page that has the text, white space
+    and punctuation aside, or at least its first characters."""
+    p = pages.select("doc_id", "page", X.without_punctuation(F.col("text")).alias("t"))
+    n = needles.select("doc_id", "id", X.without_punctuation(F.col("needle")).alias("needle")).where("needle <> ''")
+    both = n.join(p, "doc_id")
+    whole, start = F.col("t").contains(F.col("needle")), F.col("t").contains(F.substring("needle", 1, head))
+    return both.groupBy("doc_id", "id").agg(F.coalesce(F.min(F.when(whole, F.col("page"))), F.min(F.when(start, F.col("page")))).alias("page"))

@@ -252,3 +252,24 @@ def test_review_items(spark):
     got = M.review_items(spark.createDataFrame(rows, kind), D.CORE_TABLES).collect()
     assert {r["version"] for r in got} == {1} and sorted(r["type"] for r in got) == ["fact_materialization_empty", "low_confidence_table", *["missing_core_table"] * 3, "unknown_table"]
     assert dt.date.today().year > 2000
+
+
+def test_page_rules(spark):
+    pages = spark.createDataFrame([(1, 1, "单位：万元 占比 120.5% 和 50%"), (1, 2, "单位：元"), (2, 1, "nothing")], "doc_id long, page int, text string")
+    assert [r["message"] for r in text_rules.percent_findings(pages).collect()] == ["120.5% is out of range"]
+    assert {r["doc_id"]: r["message"] for r in text_rules.unit_findings(pages).collect()} == {1: "mixed units: 万元, 元", 2: "no money unit"}
+    rows = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (1, "a", 4), (1, "b", 2)], "k int, v string, o int")
+    assert text_rules.dominant(rows, "k", "v", "o").first()["v"] == "b"
+    needles = spark.createDataFrame([(1, 7, "占比，120.5%"), (1, 8, "absent")], "doc_id long, id int, needle string")
+    assert {r["id"]: r["page"] for r in text_rules.page_of_text(needles, pages).collect()} == {7: 1, 8: None}
+
+
+def test_announced_tables(spark):
+    lines = spark.createDataFrame([(1, 0, "单位：万元"), (1, 1, "2024年支出决算表"), (2, 0, "text")], "id int, idx int, line string")
+    none = spark.createDataFrame([], "id int, table_code string")
+    got = tables.placeholder_tables(lines, "id", none, [{"code": "FIN_03_expenditure", "aliases": ("支出决算表",), "required": ()}])
+    assert [tuple(r) for r in got.collect()] == []  # 0.72 of a title alone is not enough
+    strong = [{"code": "FIN_03_expenditure", "aliases": ("2024年支出决算表",), "required": ()}]
+    assert [r["table_code"] for r in tables.placeholder_tables(lines, "id", none, strong).collect()] == ["FIN_03_expenditure"]
+    heads = spark.createDataFrame([("科目 编码",), ("合计",)], "h string")
+    assert [r[0] for r in heads.select(tables.is_dimension_header(F.col("h"))).collect()] == [True, False]
