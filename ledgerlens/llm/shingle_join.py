@@ -404,12 +404,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = common.stored(common.components(links), "components")
 
     def across(nearest: bool) -> DataFrame:
-        rows = (
-            groups.join(comps.withColumnRenamed("node", "class"), "class", "left")
-            .join(sets.select("class", "bits"), "class")
-            .join(centres, "class", "left")
-            .select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"), "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta"))
-        )
+        nonlocal groups
+        slim = groups.join(comps.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"))
+        slim = common.stored(slim, "members")
+        # groups that are one component by now are done with, and carry no bitmaps
+        live = slim.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        slim = common.stored(slim.join(live, "key", "left_semi"), "members")
+        groups = slim.drop("comp")
+        rows = slim.join(sets.select("class", "bits"), "class").join(centres, "class", "left")
+        rows = rows.select("key", "class", "n", "at", "comp", "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta"))
         rows = rows.repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
         return common.stored(rows.mapInArrow(_across(NUM, DEN, nearest), "a long, b long, apart int"), "across")
 
