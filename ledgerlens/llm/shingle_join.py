@@ -266,10 +266,13 @@ _POP = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
 def _across(num: int, den: int, nearest: bool):
-    """nearest: of each member only the pair that the bitmaps show closest."""
+    """nearest: of each member only the pair that the bitmaps show closest.  Besides
+    pairs, the keys of all groups that have one."""
 
-    def batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)), pa.array([p[2] for p in pairs], pa.int32())], names=["a", "b", "apart"])
+    def batch(pairs: list[tuple[int, int, int]], keys: list[int]) -> pa.RecordBatch:
+        none = len(pairs), len(keys)
+        cols = [pa.array([*(p[k] for p in pairs), *[None] * none[1]], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([*[None] * none[0], *keys], pa.int64())], names=["a", "b", "apart", "key"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a group's members in different components that sizes,
@@ -277,6 +280,7 @@ def _across(num: int, den: int, nearest: bool):
         told: set[tuple[int, int]] = set()
         for start, g in _groups(frames, ("key", "class", "n", "at", "comp", "bits", "centre", "delta")):
             out: list[tuple[int, int, int]] = []
+            live: list[int] = []
             for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 comp = g["comp"][i:j]
                 if (comp == comp[0]).all():
@@ -303,6 +307,8 @@ def _across(num: int, den: int, nearest: bool):
                     ok &= ~common_centre | (apart <= n[x] + n[y] - 2 * least)
                     apart = np.where(common_centre, apart, only_x + only_y)
                     y, apart = y[ok], apart[ok]
+                    if len(y) and (not live or live[-1] != g["key"][i]):
+                        live.append(int(g["key"][i]))
                     if nearest and len(y):
                         y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
                     for k, d in zip(y.tolist(), apart.tolist(), strict=True):
@@ -313,10 +319,10 @@ def _across(num: int, den: int, nearest: bool):
                             told.add(pair)
                             out.append((*pair, d))
                 if len(out) > 50_000:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
+                    yield batch(out, live)
+                    out, live = [], []
+            if out or live:
+                yield batch(out, live)
 
     return run
 
@@ -403,18 +409,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = tried.where("main").select(F.col("b").alias("class"), F.col("a").alias("centre"), "delta")
     comps = common.stored(common.components(links), "components")
 
+    about = common.stored(sets.select("class", "bits").join(centres, "class", "left").select("class", "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta")), "about")
+
     def across(nearest: bool) -> DataFrame:
         nonlocal groups
         slim = groups.join(comps.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"))
-        slim = common.stored(slim, "members")
-        # groups that are one component by now are done with, and carry no bitmaps
-        live = slim.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        slim = common.stored(slim.join(live, "key", "left_semi"), "members")
-        groups = slim.drop("comp")
-        rows = slim.join(sets.select("class", "bits"), "class").join(centres, "class", "left")
-        rows = rows.select("key", "class", "n", "at", "comp", "bits", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(BITS // 8))).alias("delta"))
-        rows = rows.repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
-        return common.stored(rows.mapInArrow(_across(NUM, DEN, nearest), "a long, b long, apart int"), "across")
+        rows = slim.join(about, "class").repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
+        found = common.stored(rows.mapInArrow(_across(NUM, DEN, nearest), "a long, b long, apart int, key long"), "across")
+        # groups without a pair now will have none later, when components are fewer
+        live = found.where("a IS NULL").select("key").distinct()
+        groups = common.stored(groups.join(live, "key", "left_semi"), "members")
+        return found.where("a IS NOT NULL").select("a", "b", "apart")
 
     # members of families that a centre did not gather try their nearest, round by round
     more = across(nearest=True)
