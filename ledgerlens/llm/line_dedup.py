@@ -187,38 +187,60 @@ def _meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pair_batch([(*p, v) for p, v in met.items()])
 
 
-def _rest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that are still kept with every earlier class of the group."""
-    told: set[tuple[int, int]] = set()
-    out: list[tuple[int, int]] = []
-    for start, g in J._groups(frames, ("key", "cls", "n", "at", "doc", "sub", "gone", "centre", "delta")):
-        for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-            left = i + np.flatnonzero(g["gone"][i:j] == 0)
-            n, at = g["n"][i:j].astype(np.int64), g["at"][i:j].astype(np.int64)
-            doc, sub, cls, centre = g["doc"][i:j], g["sub"][i:j], g["cls"][i:j], g["centre"][i:j]
-            delta = np.frombuffer(b"".join(g["delta"][i:j]), dtype=np.uint8).reshape(j - i, -1) if len(left) else None
-            for x in (left - i).tolist():
-                a, b = np.searchsorted(n, [-(-n[x] * NUM // DEN), n[x] * DEN // NUM + 1])
-                y = np.arange(a, b)
-                y = y[(doc[y] < doc[x]) | ((doc[y] == doc[x]) & (sub[y] < sub[x]))]
-                y = y[(cls[y] != centre[x]) & (centre[y] != cls[x])]  # those have been verified
-                y = y[J._first_shared(n[x], at[x], n[y], at[y])]
-                if centre[x] and len(y):
+def _rest(nearest: bool):
+    """nearest: of each line only the earlier one that the bitmaps show closest.
+    Besides pairs, the keys of all groups that have one."""
+
+    def batch(pairs: list[tuple[int, int, int]], keys: list[int]) -> pa.RecordBatch:
+        cols = [pa.array([*(p[k] for p in pairs), *[None] * len(keys)], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([*[None] * len(pairs), *keys], pa.int64())], names=["cls", "other", "apart", "key"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of classes that are still kept with every earlier class of the group."""
+        told: set[tuple[int, int]] = set()
+        out: list[tuple[int, int, int]] = []
+        live: list[int] = []
+        for start, g in J._groups(frames, ("key", "cls", "n", "at", "doc", "sub", "gone", "centre", "delta")):
+            for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                left = np.flatnonzero(g["gone"][i:j] == 0)
+                if not len(left):
+                    continue
+                n, at = g["n"][i:j].astype(np.int64), g["at"][i:j].astype(np.int64)
+                doc, sub, cls, centre = g["doc"][i:j], g["sub"][i:j], g["cls"][i:j], g["centre"][i:j]
+                delta = np.frombuffer(b"".join(g["delta"][i:j]), dtype=np.uint8).reshape(j - i, -1)
+                for x in left.tolist():
+                    a, b = np.searchsorted(n, [-(-n[x] * NUM // DEN), n[x] * DEN // NUM + 1])
+                    y = np.arange(a, b)
+                    y = y[(doc[y] < doc[x]) | ((doc[y] == doc[x]) & (sub[y] < sub[x]))]
+                    y = y[(cls[y] != centre[x]) & (centre[y] != cls[x])]  # those have been verified
+                    y = y[J._first_shared(n[x], at[x], n[y], at[y])]
+                    if not len(y):
+                        continue
                     # relative to a common centre, sets differ where their deltas do
                     apart = J._POP[delta[x] ^ delta[y]].sum(1, dtype=np.int64)
-                    y = y[(centre[y] != centre[x]) | (apart <= n[x] + n[y] - 2 * J.needed(n[x], n[y]))]
-                for k in y.tolist():
-                    pair = (int(cls[x]), int(cls[k]))
-                    if pair not in told:
-                        told.add(pair)
-                        out.append(pair)
-        if len(out) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["cls", "other"])
-            out = []
-            if len(told) > 500_000:
-                told.clear()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["cls", "other"])
+                    one = (centre[y] == centre[x]) & (centre[x] != 0)
+                    ok = ~one | (apart <= n[x] + n[y] - 2 * J.needed(n[x], n[y]))
+                    y, apart = y[ok], np.where(one, apart, 0)[ok]
+                    if not len(y):
+                        continue
+                    if not live or live[-1] != g["key"][i]:
+                        live.append(int(g["key"][i]))
+                    if nearest:
+                        y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
+                    for k, d in zip(y.tolist(), apart.tolist(), strict=True):
+                        pair = (int(cls[x]), int(cls[k]))
+                        if pair not in told:
+                            told.add(pair)
+                            out.append((*pair, d))
+            if len(out) > 50_000:
+                yield batch(out, live)
+                out, live = [], []
+                if len(told) > 300_000:
+                    told.clear()
+        if out or live:
+            yield batch(out, live)
+
+    return run
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,11 +296,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     gone = common.stored(_later(tried.where("ok").select("a", "b"), classes), "gone")
     centres = tried.where("main").select(F.col("b").alias("cls"), F.col("a").alias("centre"), "delta")
 
-    left = members.join(classes.select("cls", "doc", "sub"), "cls").join(gone.withColumn("gone", F.lit(1)), "cls", "left").join(centres, "cls", "left")
-    left = left.select("key", "cls", "n", "at", "doc", "sub", F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(J.BITS // 8))).alias("delta")).repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
-    more = common.stored(left.mapInArrow(_rest, "cls long, other long").distinct(), "pairs")
-    same = J._verified(more.select(F.col("cls").alias("a"), F.col("other").alias("b")), sets)
-    gone = common.stored(gone.union(_later(same, classes)).distinct(), "gone")
+    about = common.stored(classes.select("cls", "doc", "sub").join(wanted, "cls", "left_semi").join(centres, "cls", "left").select("cls", "doc", "sub", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(J.BITS // 8))).alias("delta")), "about")
+
+    def rest(nearest: bool) -> DataFrame:
+        nonlocal members
+        rows = members.join(gone.withColumn("gone", F.lit(1)), "cls", "left").join(about, "cls")
+        rows = rows.select("key", "cls", "n", "at", "doc", "sub", F.coalesce("gone", F.lit(0)).alias("gone"), "centre", "delta")
+        rows = rows.repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
+        got = common.stored(rows.mapInArrow(_rest(nearest), "cls long, other long, apart int, key long"), "rest")
+        # groups without a pair now will have none later, when fewer lines are kept
+        members = common.stored(members.join(got.where("cls IS NULL").select("key").distinct(), "key", "left_semi"), "members")
+        return got.where("cls IS NOT NULL").select("cls", "other", "apart")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return common.stored(_later(J._verified(pairs.select(F.col("cls").alias("a"), F.col("other").alias("b")), sets), classes), "gone")
+
+    more = rest(nearest=True)
+    for _ in range(J.ROUNDS):
+        new = similar(common.stored(more.groupBy("cls").agg(F.min_by("other", F.struct("apart", "other")).alias("other")), "pairs"))
+        if new.isEmpty():
+            break
+        gone = common.stored(gone.union(new).distinct(), "gone")
+        more = rest(nearest=True)
+        if more.isEmpty():
+            break
+    if not more.isEmpty():
+        gone = common.stored(gone.union(similar(common.stored(rest(nearest=False).select("cls", "other").distinct(), "pairs"))).distinct(), "gone")
 
     known = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("times > 1 or gone")
     known = common.stored(known.select("cls", F.col("doc").alias("d"), F.col("sub").alias("s"), F.coalesce("gone", F.lit(False)).alias("gone")), "known")
