@@ -19,7 +19,8 @@ apart.
 This is Arrow and numpy code; the DataFrame-only form that the method asks for
 did not keep within the limits (figures in the README).
 
-Defined cases: lines with fewer than MIN_WORDS words are always kept.  A null text
+Defined cases: lines with fewer than `min_words` words are always kept; the query and
+the pipeline give 1, so that every line with a word has a class.  A null text
 stays null, an empty one empty; both have no lines.  A text that loses all its
 lines becomes empty.  Rows that repeat doc_id and text are one document and are
 treated alike; rows that share only the doc_id are ordered by a hash of their
@@ -41,6 +42,8 @@ from . import shingle_join as J
 
 NUM, DEN = J.NUM, J.DEN
 MIN_WORDS = 4
+#: least size of a set that can be similar to another one: n / (n + 1) >= NUM / DEN
+ALIKE = -(-NUM // (DEN - NUM))
 _NO_ID = -(1 << 63)
 
 
@@ -48,7 +51,7 @@ class Lines:
     """The lines of some texts, as flat arrays: for each line with enough words its
     text and place, its class, and its distinct tokens in ascending order of hash."""
 
-    def __init__(self, texts: list[str | None]) -> None:
+    def __init__(self, texts: list[str | None], min_words: int = MIN_WORDS) -> None:
         have = [k for k, t in enumerate(texts) if t is not None]
         data = "\n".join([texts[k] for k in have]).encode("utf-8", "surrogatepass").translate(common._LOWER)
         raw = np.frombuffer(data, dtype=np.uint8)
@@ -59,7 +62,7 @@ class Lines:
         word = common.hashes_between(raw, start, end)
         line = np.searchsorted(breaks, start)
         ids, at, size = np.unique(line, return_index=True, return_counts=True)
-        ok = size >= MIN_WORDS
+        ok = size >= min_words
         ids, at, size = ids[ok], at[ok], size[ok]
         k = np.minimum(size, J.WIDTH)
         grams = size - k + 1
@@ -105,33 +108,37 @@ def _positions(b: pa.RecordBatch, lines: Lines) -> tuple[np.ndarray, np.ndarray]
     return doc, (row << 32) + lines.place
 
 
-def _lines_and_sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(J.SKETCH, dtype=np.uint8)
-    names = ["doc", "sub", "cls", "n", "sketch"]
-    some = False
-    for b in common.batches(frames, 256):
-        lines = Lines(b["text"].to_pylist())
-        doc, sub = _positions(b, lines)
-        at, times = np.unique(lines.token % np.uint64(J.SKETCH), return_counts=True)
-        at = at.astype(np.int64)
-        sketch[at] = np.minimum(255, sketch[at].astype(np.int64) + times).astype(np.uint8)
-        some |= bool(len(at))
-        k = len(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(lines.cls), pa.array(lines.n), pa.nulls(k, pa.binary())], names=names)
-    if some:
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([J.packed(sketch)], pa.binary())], names=names)
-
-
-def _prefixes(shared):
+def _lines_and_sketch(min_words: int):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(J.SKETCH, dtype=np.uint8)
+        names = ["doc", "sub", "cls", "n", "sketch"]
+        some = False
+        for b in common.batches(frames, 256):
+            lines = Lines(b["text"].to_pylist(), min_words)
+            doc, sub = _positions(b, lines)
+            at, times = np.unique(lines.token % np.uint64(J.SKETCH), return_counts=True)
+            at = at.astype(np.int64)
+            sketch[at] = np.minimum(255, sketch[at].astype(np.int64) + times).astype(np.uint8)
+            some |= bool(len(at))
+            k = len(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(lines.cls), pa.array(lines.n), pa.nulls(k, pa.binary())], names=names)
+        if some:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([J.packed(sketch)], pa.binary())], names=names)
+
+    return run
+
+
+def _prefixes(shared, min_words: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         seen = np.empty(0, dtype=np.int64)  # classes of this task: equal lines emit their rows once
         for b in common.batches(frames, 256):
-            lines = Lines(b["text"].to_pylist())
+            lines = Lines(b["text"].to_pylist(), min_words)
             doc, sub = _positions(b, lines)
             _, first = np.unique(lines.cls, return_index=True)
             fresh = np.zeros(len(lines.cls), dtype=bool)
             fresh[first] = True
+            fresh &= lines.n >= ALIKE  # a smaller set is similar to its equals alone, which are its class
             fresh &= ~np.isin(lines.cls, seen)
             if len(seen) < 2_000_000:
                 seen = np.concatenate([seen, lines.cls[fresh]])
@@ -243,14 +250,14 @@ def _rest(nearest: bool):
     return run
 
 
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """class and sorted token array of the wanted classes, from their first lines."""
     wanted = common.stored(classes.join(wanted, "cls", "left_semi").select("cls", "doc", "sub"), "wanted")
     ids = common.stored(wanted.select("doc").distinct(), "ids")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(frames, 256):
-            lines = Lines(b["text"].to_pylist())
+            lines = Lines(b["text"].to_pylist(), min_words)
             doc, sub = _positions(b, lines)
             _, one = np.unique(lines.cls, return_index=True)
             blobs = [lines.token[s : s + n].tobytes() for s, n in zip(lines.start[one], lines.n[one], strict=True)]
@@ -270,17 +277,17 @@ def _later(same: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("cls")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, sub) of every line that goes."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = common.stored(_keyed(docs).mapInArrow(_lines_and_sketch, "doc long, sub long, cls long, n long, sketch binary"), "lines")
+    first = common.stored(_keyed(docs).mapInArrow(_lines_and_sketch(min_words), "doc long, sub long, cls long, n long, sketch binary"), "lines")
     lines = first.where("sketch is null")
     shared = spark.sparkContext.broadcast(J.gathered(first.where("sketch is not null").select("sketch")))
     by = lines.groupBy("cls").agg(F.min(F.struct("doc", "sub")).alias("pos"), F.count(F.lit(1)).alias("times"))
     classes = common.stored(by.select("cls", "pos.doc", "pos.sub", "times"), "classes")
 
-    rows = _keyed(docs).mapInArrow(_prefixes(shared), "key long, cls long, n int, at int, doc long, sub long")
+    rows = _keyed(docs).mapInArrow(_prefixes(shared, min_words), "key long, cls long, n int, at int, doc long, sub long")
     rows = rows.repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
     found = common.stored(rows.mapInArrow(_meet, "cls long, other long, only int, key long, n int, at int"), "met")
     met = found.where("other is not null").groupBy("cls", "other").agg(F.max("only").alias("only"), F.count(F.lit(1)).alias("n"))
@@ -291,7 +298,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     stars = common.stored(stars, "pairs")
     members = found.where("key is not null").select("key", "cls", "n", "at")
     wanted = common.stored(stars.select("cls").union(stars.select("other")).union(members.select("cls")).distinct(), "wanted")
-    sets = _sets(docs, classes, wanted)
+    sets = _sets(docs, classes, wanted, min_words)
     tried = common.stored(J._star_verified(stars.select(F.col("other").alias("a"), F.col("cls").alias("b"), "main"), sets), "tried")
     gone = common.stored(_later(tried.where("ok").select("a", "b"), classes), "gone")
     centres = tried.where("main").select(F.col("b").alias("cls"), F.col("a").alias("centre"), "delta")
@@ -328,10 +335,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return lines.select("cls", "doc", "sub").join(known, "cls").where("gone or doc <> d or sub <> s").select("doc", "sub")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the removed lines taken out of text, and n_lines, n_removed."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs).groupBy("doc", F.shiftrightunsigned("sub", 32).alias("row")).agg(F.collect_set(F.col("sub").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("__gone"))
+    gone = removed_lines(docs, min_words).groupBy("doc", F.shiftrightunsigned("sub", 32).alias("row")).agg(F.collect_set(F.col("sub").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("__gone"))
     gone = common.stored(gone, "removed").withColumnsRenamed({"doc": "__doc", "row": "__row"})
     keyed = docs.select(*keep).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__r", _row_key())
     rows = keyed.join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__r") == F.col("__row")), "left")

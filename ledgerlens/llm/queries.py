@@ -54,7 +54,7 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(_docs(spark, sf_dir).select("doc_id", "text"))
+    out = line_dedup.deduplicated(_docs(spark, sf_dir).select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
