@@ -9,19 +9,22 @@ base64 and compression).  A layer that was seen before with the same origin is
 not taken up again, so cycles end.
 
 Defined cases: a null text counts as empty and has no spans.  Repeated rows are
-kept.  Whole texts are scanned.  A single layer may inflate to at most
-`MAX_LAYER` bytes (a bomb guard, not a prefix rule: a larger layer is not taken
-up at all).  Spans are in code points, end exclusive.
+kept.  Whole texts are scanned.  A layer may inflate to any size, from all of its
+zlib or gzip members: beyond `PIECE` bytes it is inflated and scanned in pieces,
+cut behind a character that no pattern has in it, so that no match is cut.  Only a
+run without such a character is held whole.  Spans are in code points, end
+exclusive.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LAYER = 1 << 24
+#: bytes of a decoded layer that are held at a time
+PIECE = 1 << 22
 KINDS = ("assign", "access", "hex")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -53,6 +57,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: a character that stands in no match of any pattern here
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'\x20%\\{}&#;-]""")
 
 
 class Layer:
@@ -103,28 +109,106 @@ def _unicode(layer: Layer) -> Layer | None:
     return _substituted(layer, edits) if edits else None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+def _wrap(data: bytes) -> int | None:
+    """zlib's window bits for the gzip or zlib member that data begins with."""
+    if data[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0 else None
+
+
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes | None]:
+    """What the zlib or gzip members in chunks inflate to, and None at the end of
+    each; ends at the first that is broken, cut short or no member."""
+    rest, first = b"", True
+    while True:
+        while len(rest) < 3 and (more := next(chunks, None)) is not None:
+            rest = (rest + more) if first else (rest + more).lstrip(b"\0")  # members may be padded
+        wrap = _wrap(rest)
+        if wrap is None:
+            return
+        d, full = zlib.decompressobj(wrap), False
+        while not d.eof:
+            if not rest and not full and not (rest := next(chunks, b"")):
+                return
+            try:
+                out = d.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            rest, full = d.unused_data if d.eof else d.unconsumed_tail, len(out) == PIECE
+            if out:
+                yield out
+        yield None
+        rest, first = rest.lstrip(b"\0"), False
+
+
+#: gives the bytes of a layer, as often as it is called
+Source = Callable[[], Iterator[bytes]]
+
+
+def _whole_members(source: Source, most: int) -> Iterator[bytes]:
+    for out in _members(source()):
+        if out is not None:
+            yield out
+        elif (most := most - 1) == 0:
+            return
+
+
+def _inflated(source: Source) -> tuple[Source, bytes] | None:
+    """The source without one zlib or gzip layer, as far as its members are whole, and a digest."""
+    whole, n, held, new = 0, 0, [], []
+    digest, done = hashlib.blake2b(digest_size=16), b""
+    for out in _members(source()):
+        if out is None:
+            whole, done = whole + 1, digest.digest()
+            if n <= PIECE:
+                held, new = held + new, []
+        else:
+            digest.update(out)
+            n += len(out)
+            if n <= PIECE:
+                new.append(out)
+    if not whole:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    if n <= PIECE:
+        data = b"".join(held)
+        return (lambda: iter((data,))), done
+    return (lambda: _whole_members(source, whole)), done
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """data without one zlib or gzip layer."""
-    if data[:2] == b"\x1f\x8b":
-        wrap = 31
-    elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        wrap = 15
-    else:
-        return None
-    d = zlib.decompressobj(wrap)
+def _texts(source: Source) -> Iterator[str]:
+    """The source as text, in chunks; a UnicodeDecodeError where it is none."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    for chunk in source():
+        yield decoder.decode(chunk)
+    yield decoder.decode(b"", True)
+
+
+def _readable(source: Source) -> bool:
+    some = False
     try:
-        out = d.decompress(data, MAX_LAYER + 1)
-    except zlib.error:
-        return None
-    return out if d.eof and len(out) <= MAX_LAYER else None
+        for text in _texts(source):
+            some |= bool(text)
+            if not text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable():
+                return False
+    except UnicodeDecodeError:
+        return False
+    return some
+
+
+def _pieces(source: Source) -> Iterator[str]:
+    """The text of the source, cut where no match can stand."""
+    parts: list[str] = []
+    size = 0
+    for text in _texts(source):
+        parts.append(text)
+        size += len(text)
+        if size >= PIECE and (m := _BREAK.search(text[::-1])):
+            cut = len(text) - m.start()
+            parts[-1] = text[:cut]
+            yield "".join(parts)
+            parts, size = [text[cut:]], len(text) - cut
+    if last := "".join(parts):
+        yield last
 
 
 def _decoded_runs(layer: Layer) -> Iterator[Layer]:
@@ -136,12 +220,24 @@ def _decoded_runs(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except binascii.Error:
             continue
-        while (more := _inflated(data)) is not None and more != data:
-            data = more
-        text = _readable(data)
-        if text is not None:
-            n, a, b = len(text), layer.starts[m.start()], layer.ends[m.end() - 1]
-            yield Layer(text, [a] * n, [b] * n)
+        source: Source = lambda data=data: iter((data,))
+        known = {hashlib.blake2b(data, digest_size=16).digest()}
+        while (more := _inflated(source)) is not None and more[1] not in known:
+            source = more[0]
+            known.add(more[1])
+        if _readable(source):
+            a, b = layer.starts[m.start()], layer.ends[m.end() - 1]
+            for text in _pieces(source):
+                yield Layer(text, [a] * len(text), [b] * len(text))
+
+
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    """What one step of decoding makes of the layer, one after the other."""
+    yield from _decoded_runs(layer)
+    if ("\\" in layer.text or "&#" in layer.text) and (got := _unicode(layer)):
+        yield got
+    if "%" in layer.text and (got := _url(layer)):
+        yield got
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -149,24 +245,22 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base = base_spans(text)
     found = set(base)
     n = len(text)
-    # only a text with an escape or a long enough run has anything to unwrap
-    work = [Layer(text, range(n), range(1, n + 1))]
+    # the layers being unwrapped, each with what is still to come of it
+    whole = Layer(text, range(n), range(1, n + 1))
+    work = [(whole, _unwrapped(whole))]
     seen: set[tuple[bytes, int, int]] = set()
     while work:
-        layer = work.pop()
-        nxt: list[Layer] = []
-        if "%" in layer.text and (got := _url(layer)):
-            nxt.append(got)
-        if ("\\" in layer.text or "&#" in layer.text) and (got := _unicode(layer)):
-            nxt.append(got)
-        nxt += _decoded_runs(layer)
-        for new in nxt:
-            key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.starts[0] if new.text else 0, new.ends[-1] if new.text else 0)
-            if key in seen or new.text == layer.text:
-                continue
-            seen.add(key)
-            found.update((new.starts[a], kind, new.ends[b - 1]) for a, kind, b in base_spans(new.text))
-            work.append(new)
+        layer, nxt = work[-1]
+        new = next(nxt, None)
+        if new is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.starts[0] if new.text else 0, new.ends[-1] if new.text else 0)
+        if key in seen or new.text == layer.text:
+            continue
+        seen.add(key)
+        found.update((new.starts[a], kind, new.ends[b - 1]) for a, kind, b in base_spans(new.text))
+        work.append((new, _unwrapped(new)))
     return base, sorted(found)
 
 
