@@ -98,8 +98,8 @@ def fit(docs: DataFrame, teaches: Column, settings: Settings = Settings()) -> Mo
     """Learn from text and lang of the rows for which `teaches` holds.
 
     Of each language about `sample_rows` rows are read, chosen by a hash of the
-    text, and the `grams` n-grams found in most of them are kept: both are the
-    documented bounds of the classifier.
+    text, and the `grams` n-grams found in most of them are kept, those of a single
+    row too where there is room: both are the documented bounds of the classifier.
     """
     s = settings
     rows = docs.where(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
@@ -126,10 +126,13 @@ def fit(docs: DataFrame, teaches: Column, settings: Settings = Settings()) -> Mo
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(np.concatenate(langs), pa.string()), "gram": np.concatenate(found)})
 
     sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
-    df = sample.mapInArrow(grams_of, "lang string, gram long").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = sample.mapInArrow(grams_of, "lang string, gram long").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("df"))
+    # a language with enough n-grams of several rows needs none of a single row
     df = common.stored(df, "grams")
+    several = {r["lang"]: r["n"] for r in df.where("df > 1").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     for i, lang in enumerate(languages):
-        top = df.where(F.col("lang") == lang).orderBy(F.desc("df"), "gram").limit(s.grams).select("gram").toPandas()["gram"]
+        least = 2 if several.get(lang, 0) >= s.grams else 1
+        top = df.where((F.col("lang") == lang) & (F.col("df") >= least)).orderBy(F.desc("df"), "gram").limit(s.grams).select("gram").toPandas()["gram"]
         for slot in _slots(top.to_numpy(dtype=np.int64).view(np.uint64), s):
             filters[slot, i // 64] |= np.uint64(1 << (i % 64))
     fill = np.array([np.count_nonzero(filters[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(languages))]) / s.positions
