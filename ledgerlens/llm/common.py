@@ -42,7 +42,20 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def matching(df: DataFrame, keys: DataFrame, on: str | list[str], limit: int = 1_000_000) -> DataFrame:
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: rows of a small table that may be broadcast, its count checked
+BROADCAST_ROWS = 1_000_000
+
+
+def matching(df: DataFrame, keys: DataFrame, on: str | list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose `on` is among the (distinct, stored) keys.
 
     The keys are broadcast only when their count is checked to be at most

@@ -1,346 +1,224 @@
-"""Line deduplication by an exact set-similarity self-join.
-
-A line is the set of its distinct 5-word shingles (A-Z lower-cased; a shorter line
-is one shingle, its whole word sequence).  A line is removed if a line before it
-(by doc_id, then place in the text) has a set of Jaccard similarity at least
-NUM/DEN, whether or not that one is removed itself.
-
-Tokens are ordered from rare to common, by their count in a corpus-wide sketch of
-fixed size and then by hash; the order bears on speed alone.  Lines with equal
-sets form a class.  A class emits its n - ceil(t n) + 1 rarest tokens (prefix
-filter).  Classes meet by token if their sizes (length filter) and the token's
-places (positional filter, for the first token both have) allow the similarity,
-and are verified by intersecting whole sorted arrays.  Each class first tries the
-earliest of its size tile that it meets most often, which settles large groups of
-near copies in linear work; classes that are still kept then meet all others,
-unless bitmaps of how they differ from a common centre show them to be too far
-apart.
-
-This is Arrow and numpy code; the DataFrame-only form that the method asks for
-did not keep within the limits (figures in the README).
-
-Defined cases: lines with fewer than `min_words` words are always kept; the query and
-the pipeline give 1, so that every line with a word has a class.  A null text
-stays null, an empty one empty; both have no lines.  A text that loses all its
-lines becomes empty.  Rows that repeat doc_id and text are one document and are
-treated alike; rows that share only the doc_id are ordered by a hash of their
-text.  Null doc_ids come first.  An empty table gives an empty result.  Columns
-other than text are carried along.
+"""Line deduplication by an exact set-similarity self-join (DataFrame only).
+
+A line's tokens are its distinct 5-word shingles (lower-cased; a shorter line is one
+token, its whole word sequence).  A line is removed if a line before it (by doc_id,
+then place in the text) has a token set of Jaccard similarity at least NUM/DEN,
+whether or not that one is removed itself.
+
+1. Every line is tokenized once; lines with equal sets form a class.  Tokens are
+   counted over the whole corpus in BUCKETS buckets, and a token's frequency step
+   is written in front of its hash, so that an array of longs in ascending order
+   has rare tokens first.  The order bears on speed alone.
+2. A line keeps its n - ceil(t n) + 1 rarest tokens (prefix filter).  One
+   aggregation finds the tokens that two classes have in their prefixes; only
+   rows of these go on.
+3. Rows of a token that agree in size (length filter) and whose places leave
+   enough tokens behind (positional filter) are candidates.  At first each class
+   tries the earliest of the group it meets most often, so that a group of near
+   copies is settled in linear work; classes still kept then try the earliest that
+   is still kept, round by round, and at last all others, unless bitmaps of how two
+   classes differ from a common centre show them to be too far apart.
+4. Candidates are decided by intersecting their whole token arrays.
+
+Defined cases: lines with fewer than `min_words` words are always kept.  A null text
+stays null, an empty one empty; both have no lines.  A text that loses all its lines
+becomes empty.  Very long texts are split into lines like others.  Rows that repeat
+doc_id and text are one document and are treated alike; rows that share only the
+doc_id are ordered by a hash of their text.  Null doc_ids come first.  An empty table
+gives an empty result.  Columns other than text are carried along; n_lines and
+n_removed of the input are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from . import shingle_join as J
 
-NUM, DEN = J.NUM, J.DEN
-MIN_WORDS = 4
+WIDTH = 5
+#: the threshold as a fraction, so that all bounds are exact in integers
+NUM, DEN = 80, 100
 #: least size of a set that can be similar to another one: n / (n + 1) >= NUM / DEN
 ALIKE = -(-NUM // (DEN - NUM))
+#: bits of a token's hash; the bits above hold its frequency step
+HASH_BITS = 58
+STEPS = 1 << (64 - HASH_BITS)
+#: buckets of the count of tokens, a table of fixed size
+BUCKETS = 1 << 16
+#: 64-bit words of the bitmap of a difference
+BITMAP = 4
+#: rounds in which kept classes try the earliest kept one, before all are compared;
+#: a round that settles less than one in SETTLES of the classes with a centre is the last
+ROUNDS, SETTLES = 4, 20
 _NO_ID = -(1 << 63)
 
 
-class Lines:
-    """The lines of some texts, as flat arrays: for each line with enough words its
-    text and place, its class, and its distinct tokens in ascending order of hash."""
-
-    def __init__(self, texts: list[str | None], min_words: int = MIN_WORDS) -> None:
-        have = [k for k, t in enumerate(texts) if t is not None]
-        data = "\n".join([texts[k] for k in have]).encode("utf-8", "surrogatepass").translate(common._LOWER)
-        raw = np.frombuffer(data, dtype=np.uint8)
-        breaks = np.flatnonzero(raw == 10)
-        counts = np.array([texts[k].count("\n") + 1 for k in have], dtype=np.int64)
-        first_line = np.cumsum(counts) - counts
-        start, end = common.word_bounds(raw)
-        word = common.hashes_between(raw, start, end)
-        line = np.searchsorted(breaks, start)
-        ids, at, size = np.unique(line, return_index=True, return_counts=True)
-        ok = size >= min_words
-        ids, at, size = ids[ok], at[ok], size[ok]
-        k = np.minimum(size, J.WIDTH)
-        grams = size - k + 1
-        self.of_line = np.repeat(np.arange(len(ids)), grams)
-        place = np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(at, grams)
-        width = np.repeat(k, grams)
-        h = width.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(J.WIDTH):
-                more = width > j
-                h[more] = h[more] * common._BASE + word[place[more] + j]
-        h = common.mix64(h)
-        # distinct tokens of each line: sorted by (line, upper 40 bits)
-        key = self.of_line.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=bool)
-        order = order[new]
-        self.token, self.of_line = h[order], self.of_line[order]
-        self.n = np.bincount(self.of_line, minlength=len(ids)).astype(np.int64)
-        self.start = np.cumsum(self.n) - self.n
-        self.cls = np.empty(0, dtype=np.int64)
-        if len(ids):
-            with np.errstate(over="ignore"):
-                self.cls = common.mix64(np.add.reduceat(common.mix64(self.token ^ common._MUL), self.start) + self.n.astype(np.uint64)).view(np.int64)
-        doc = np.searchsorted(first_line, ids, side="right") - 1
-        self.text = np.array(have, dtype=np.int64)[doc] if len(ids) else np.empty(0, dtype=np.int64)
-        self.place = ids - first_line[doc] if len(ids) else np.empty(0, dtype=np.int64)
+def needed(a: Column, b: Column) -> Column:
+    """Least overlap of sets of sizes a and b that are similar."""
+    return F.ceil((a + b) * NUM / (NUM + DEN)).cast("int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc (null ids first), row (tells rows of one doc_id apart), text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), _row_key().alias("row"), "text").where("text is not null")
-
-
-def _row_key() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))
-
-
-def _positions(b: pa.RecordBatch, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """doc and sub (row, then place) of each line."""
-    doc, row = b["doc"].to_numpy()[lines.text], b["row"].to_numpy()[lines.text]
-    return doc, (row << 32) + lines.place
-
-
-def _lines_and_sketch(min_words: int):
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(J.SKETCH, dtype=np.uint8)
-        names = ["doc", "sub", "cls", "n", "sketch"]
-        some = False
-        for b in common.batches(frames, 256):
-            lines = Lines(b["text"].to_pylist(), min_words)
-            doc, sub = _positions(b, lines)
-            at, times = np.unique(lines.token % np.uint64(J.SKETCH), return_counts=True)
-            at = at.astype(np.int64)
-            sketch[at] = np.minimum(255, sketch[at].astype(np.int64) + times).astype(np.uint8)
-            some |= bool(len(at))
-            k = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(lines.cls), pa.array(lines.n), pa.nulls(k, pa.binary())], names=names)
-        if some:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([J.packed(sketch)], pa.binary())], names=names)
-
-    return run
-
-
-def _prefixes(shared, min_words: int):
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-        seen = np.empty(0, dtype=np.int64)  # classes of this task: equal lines emit their rows once
-        for b in common.batches(frames, 256):
-            lines = Lines(b["text"].to_pylist(), min_words)
-            doc, sub = _positions(b, lines)
-            _, first = np.unique(lines.cls, return_index=True)
-            fresh = np.zeros(len(lines.cls), dtype=bool)
-            fresh[first] = True
-            fresh &= lines.n >= ALIKE  # a smaller set is similar to its equals alone, which are its class
-            fresh &= ~np.isin(lines.cls, seen)
-            if len(seen) < 2_000_000:
-                seen = np.concatenate([seen, lines.cls[fresh]])
-            # rare tokens first within each line
-            count = sketch[(lines.token % np.uint64(J.SKETCH)).astype(np.int64)].astype(np.uint64)
-            order = np.argsort(lines.of_line.astype(np.uint64) << np.uint64(40) | count << np.uint64(32) | lines.token >> np.uint64(32))
-            at = np.arange(len(order)) - lines.start[lines.of_line]
-            p = lines.n - -(-(NUM * lines.n) // DEN) + 1
-            keep = (at < p[lines.of_line]) & fresh[lines.of_line]
-            of = lines.of_line[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.token[order][keep].view(np.int64)), pa.array(lines.cls[of]), pa.array(lines.n[of].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(doc[of]), pa.array(sub[of])], names=["key", "cls", "n", "at", "doc", "sub"])
-
-    return run
-
-
-def _pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    k = len(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int32()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int32()))], names=["cls", "other", "only", "key", "n", "at"])
-
-
-def _meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each member of a group with the earliest of its size tile (only: 1
-    where nothing else tells of them), and the members of groups of three and more."""
-    met: dict[tuple[int, int], int] = {}
-    for start, g in J._groups(frames, ("key", "cls", "n", "at", "doc", "sub")):
-        members = []
-        for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-            cls, first = np.unique(g["cls"][i:j], return_index=True)
-            if len(cls) < 2:
-                continue
-            rows = i + np.sort(first)
-            n, at, cls = g["n"][rows].astype(np.int64), g["at"][rows].astype(np.int64), g["cls"][rows]
-            # a star of the earliest line, then of the earliest that it did not reach, ...
-            left = np.lexsort((g["sub"][rows], g["doc"][rows]))
-            tries = 0
-            while len(left) > 1 and tries < J.STARS:
-                c, others = left[0], left[1:]
-                ok = (n[others] * NUM <= n[c] * DEN) & (n[c] * NUM <= n[others] * DEN) & J._first_shared(n[c], at[c], n[others], at[others])
-                for x in others[ok].tolist():
-                    pair = (int(cls[x]), int(cls[c]))
-                    met[pair] = met.get(pair, 0) | int(len(rows) == 2)
-                left, tries = others[~ok], tries + 1
-            if len(rows) > 2:
-                members.append(rows)
-        if len(met) > 300_000:
-            yield _pair_batch([(*p, v) for p, v in met.items()])
-            met.clear()
-        if members:
-            m = np.concatenate(members)
-            k = len(m)
-            yield pa.RecordBatch.from_arrays([pa.array(g["cls"][m]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(g["key"][m]), pa.array(g["n"][m]), pa.array(g["at"][m])], names=["cls", "other", "only", "key", "n", "at"])
-    if met:
-        yield _pair_batch([(*p, v) for p, v in met.items()])
-
-
-def _rest(nearest: bool):
-    """nearest: of each line only the earlier one that the bitmaps show closest.
-    Besides pairs, the keys of all groups that have one."""
-
-    def batch(pairs: list[tuple[int, int, int]], keys: list[int]) -> pa.RecordBatch:
-        cols = [pa.array([*(p[k] for p in pairs), *[None] * len(keys)], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([*[None] * len(pairs), *keys], pa.int64())], names=["cls", "other", "apart", "key"])
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of classes that are still kept with every earlier class of the group."""
-        told: set[tuple[int, int]] = set()
-        out: list[tuple[int, int, int]] = []
-        live: list[int] = []
-        for start, g in J._groups(frames, ("key", "cls", "n", "at", "doc", "sub", "gone", "centre", "delta")):
-            for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                left = np.flatnonzero(g["gone"][i:j] == 0)
-                if not len(left):
-                    continue
-                n, at = g["n"][i:j].astype(np.int64), g["at"][i:j].astype(np.int64)
-                doc, sub, cls, centre = g["doc"][i:j], g["sub"][i:j], g["cls"][i:j], g["centre"][i:j]
-                delta = np.frombuffer(b"".join(g["delta"][i:j]), dtype=np.uint8).reshape(j - i, -1)
-                for x in left.tolist():
-                    a, b = np.searchsorted(n, [-(-n[x] * NUM // DEN), n[x] * DEN // NUM + 1])
-                    y = np.arange(a, b)
-                    y = y[(doc[y] < doc[x]) | ((doc[y] == doc[x]) & (sub[y] < sub[x]))]
-                    y = y[(cls[y] != centre[x]) & (centre[y] != cls[x])]  # those have been verified
-                    y = y[J._first_shared(n[x], at[x], n[y], at[y])]
-                    if not len(y):
-                        continue
-                    # relative to a common centre, sets differ where their deltas do
-                    apart = J._POP[delta[x] ^ delta[y]].sum(1, dtype=np.int64)
-                    one = (centre[y] == centre[x]) & (centre[x] != 0)
-                    ok = ~one | (apart <= n[x] + n[y] - 2 * J.needed(n[x], n[y]))
-                    y, apart = y[ok], np.where(one, apart, 0)[ok]
-                    if not len(y):
-                        continue
-                    if not live or live[-1] != g["key"][i]:
-                        live.append(int(g["key"][i]))
-                    if nearest:
-                        y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
-                    for k, d in zip(y.tolist(), apart.tolist(), strict=True):
-                        pair = (int(cls[x]), int(cls[k]))
-                        if pair not in told:
-                            told.add(pair)
-                            out.append((*pair, d))
-            if len(out) > 50_000:
-                yield batch(out, live)
-                out, live = [], []
-                if len(told) > 300_000:
-                    told.clear()
-        if out or live:
-            yield batch(out, live)
-
-    return run
-
-
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """class and sorted token array of the wanted classes, from their first lines."""
-    wanted = common.stored(classes.join(wanted, "cls", "left_semi").select("cls", "doc", "sub"), "wanted")
-    ids = common.stored(wanted.select("doc").distinct(), "ids")
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(frames, 256):
-            lines = Lines(b["text"].to_pylist(), min_words)
-            doc, sub = _positions(b, lines)
-            _, one = np.unique(lines.cls, return_index=True)
-            blobs = [lines.token[s : s + n].tobytes() for s, n in zip(lines.start[one], lines.n[one], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.cls[one]), pa.array(doc[one]), pa.array(sub[one]), pa.array(blobs, pa.binary())], names=["class", "doc", "sub", "set"])
-
-    found = common.matching(_keyed(docs), ids, "doc").mapInArrow(run, "class long, doc long, sub long, set binary")
-    keys = wanted.select(F.col("cls").alias("class"))
-    found = common.matching(found, keys, "class")
-    # a class may come from several of its lines
-    return common.stored(found.select("class", "set").dropDuplicates(["class"]), "sets")
-
-
-def _later(same: DataFrame, classes: DataFrame) -> DataFrame:
-    """The later class of each pair (a, b)."""
-    c = classes.select("cls", F.struct("doc", "sub").alias("pos"))
-    both = same.join(c.withColumnsRenamed({"cls": "a", "pos": "pa"}), "a").join(c.withColumnsRenamed({"cls": "b", "pos": "pb"}), "b")
-    return both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("cls")).distinct()
-
-
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, sub) of every line that goes."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    first = common.stored(_keyed(docs).mapInArrow(_lines_and_sketch(min_words), "doc long, sub long, cls long, n long, sketch binary"), "lines")
-    lines = first.where("sketch is null")
-    shared = spark.sparkContext.broadcast(J.gathered(first.where("sketch is not null").select("sketch")))
-    by = lines.groupBy("cls").agg(F.min(F.struct("doc", "sub")).alias("pos"), F.count(F.lit(1)).alias("times"))
-    classes = common.stored(by.select("cls", "pos.doc", "pos.sub", "times"), "classes")
-
-    rows = _keyed(docs).mapInArrow(_prefixes(shared, min_words), "key long, cls long, n int, at int, doc long, sub long")
-    rows = rows.repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
-    found = common.stored(rows.mapInArrow(_meet, "cls long, other long, only int, key long, n int, at int"), "met")
-    met = found.where("other is not null").groupBy("cls", "other").agg(F.max("only").alias("only"), F.count(F.lit(1)).alias("n"))
-    met = common.stored(met, "met")
-    fame = common.stored(met.groupBy("other").agg(F.sum("n").alias("fame")), "fame")
-    best = met.join(fame, "other").groupBy("cls").agg(F.max_by("other", F.struct("fame", "n", "other")).alias("other")).select("cls", "other", F.lit(True).alias("main"))
-    stars = best.unionByName(met.where("only = 1").select("cls", "other", F.lit(False).alias("main"))).groupBy("cls", "other").agg(F.bool_or("main").alias("main"))
-    stars = common.stored(stars, "pairs")
-    members = found.where("key is not null").select("key", "cls", "n", "at")
-    wanted = common.stored(stars.select("cls").union(stars.select("other")).union(members.select("cls")).distinct(), "wanted")
-    sets = _sets(docs, classes, wanted, min_words)
-    tried = common.stored(J._star_verified(stars.select(F.col("other").alias("a"), F.col("cls").alias("b"), "main"), sets), "tried")
-    gone = common.stored(_later(tried.where("ok").select("a", "b"), classes), "gone")
-    centres = tried.where("main").select(F.col("b").alias("cls"), F.col("a").alias("centre"), "delta")
-
-    about = common.stored(classes.select("cls", "doc", "sub").join(wanted, "cls", "left_semi").join(centres, "cls", "left").select("cls", "doc", "sub", F.coalesce("centre", F.lit(0)).alias("centre"), F.coalesce("delta", F.lit(bytes(J.BITS // 8))).alias("delta")), "about")
-
-    def rest(nearest: bool) -> DataFrame:
-        nonlocal members
-        rows = members.join(gone.withColumn("gone", F.lit(1)), "cls", "left").join(about, "cls")
-        rows = rows.select("key", "cls", "n", "at", "doc", "sub", F.coalesce("gone", F.lit(0)).alias("gone"), "centre", "delta")
-        rows = rows.repartition(J._partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
-        got = common.stored(rows.mapInArrow(_rest(nearest), "cls long, other long, apart int, key long"), "rest")
-        # groups without a pair now will have none later, when fewer lines are kept
-        members = common.stored(members.join(got.where("cls IS NULL").select("key").distinct(), "key", "left_semi"), "members")
-        return got.where("cls IS NOT NULL").select("cls", "other", "apart")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        return common.stored(_later(J._verified(pairs.select(F.col("cls").alias("a"), F.col("other").alias("b")), sets), classes), "gone")
-
-    more = rest(nearest=True)
-    for _ in range(J.ROUNDS):
-        new = similar(common.stored(more.groupBy("cls").agg(F.min_by("other", F.struct("apart", "other")).alias("other")), "pairs"))
-        if new.isEmpty():
-            break
-        gone = common.stored(gone.union(new).distinct(), "gone")
-        more = rest(nearest=True)
-        if more.isEmpty():
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text").where("text is not null")
+
+
+def tokens(words: Column) -> Column:
+    """Sorted distinct shingle hashes of HASH_BITS bits; past the end `get` has
+    nulls, which the hash passes over."""
+    grams = F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WIDTH)]), 64 - HASH_BITS))
+    return F.array_distinct(F.sort_array(F.slice(grams, 1, F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))))
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """doc, row, place, line (lower-cased, white space as spaces) of every line with a word."""
+    low = F.lower("text")
+    other = [F.contains(low, F.lit(c)) for c in "\t\x0b\x0c\r"]
+    plain = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(low, r"[\t\x0B-\r]", " ")).otherwise(low)
+    return docs.select("doc", "row", F.posexplode(F.split(plain, "\n")).alias("place", "line")).where(F.trim("line") != "")
+
+
+def _words(line: str = "line") -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _tokenized(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc, row, place, tokens, n, and the class: two hashes of the set."""
+    worded = _split(docs).select("doc", "row", "place", _words().alias("words"))
+    worded = worded.where(F.size("words") >= min_words) if min_words > 1 else worded
+    lines = worded.select("doc", "row", "place", tokens(F.col("words")).alias("tokens"))
+    return lines.select("doc", "row", "place", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("cls"), F.hash("tokens").alias("cls2"))
+
+
+def _steps(lines: DataFrame) -> DataFrame:
+    """One row: the frequency step of each bucket.  Steps are a sixth of an octave
+    above the mean count; a bucket's count is at least that of each token in it."""
+    spark = lines.sparkSession
+    counts = lines.select(F.explode_outer("tokens").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = common.stored(spark.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n")), "counts")
+    mean = max(1.0, counts.agg(F.avg("n")).first()[0])
+    step = F.least(F.greatest(F.floor(6 * F.log2(F.greatest("n", F.lit(1)) / mean)) + 1, F.lit(0)), F.lit(STEPS - 1)) - STEPS // 2
+    every = counts.select("bucket", step.cast("long").alias("step")).agg(F.sort_array(F.collect_list(F.struct("bucket", "step"))).alias("s"))
+    return common.stored(every.select(F.col("s.step").alias("steps")), "steps")
+
+
+def _ordered(found: Column, steps: Column) -> Column:
+    """The tokens with their steps in front, rare ones first."""
+    return F.sort_array(F.transform(found, lambda t: F.shiftleft(F.element_at(steps, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1), HASH_BITS).bitwiseOR(t)))
+
+
+def _pos(prefix: str = "") -> Column:
+    return F.struct(*[F.col(prefix + c).alias(c) for c in ("doc", "row", "place")])
+
+
+def _sizes_allow(a: str, b: str) -> Column:
+    """Length filter, and the positional one: sets meet at the first token that both
+    have, behind which enough others must be left."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    return (F.col(f"{a}.n") * DEN >= F.col(f"{b}.n") * NUM) & (F.col(f"{b}.n") * DEN >= F.col(f"{a}.n") * NUM) & (left >= needed(F.col(f"{a}.n"), F.col(f"{b}.n")))
+
+
+def _members(prefixes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, id, n, at of the classes that share a prefix token with another one; and
+    the classes (id, cls, doc, row, place), numbered in the order of their first lines."""
+    rows = prefixes.where(F.col("n") >= ALIKE)
+    live = rows.select("cls", F.explode_outer("prefix").alias("key")).groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
+    live = common.stored(live.where("least <> most").select("key"), "keys")
+    found = common.matching(rows.select("cls", "n", F.posexplode("prefix").alias("at", "key")), live, "key").dropDuplicates(["cls", "key"])
+    found = common.stored(found, "members")
+    firsts = classes.join(found.select("cls").distinct(), "cls", "left_semi").select("cls", "doc", "row", "place")
+    firsts = common.stored(firsts.orderBy("doc", "row", "place").withColumn("id", F.monotonically_increasing_id()), "firsts")
+    small = F.broadcast if firsts.count() <= common.BROADCAST_ROWS else (lambda df: df)
+    return common.stored(found.join(small(firsts.select("cls", "id")), "cls").select("key", "id", "n", "at"), "members"), firsts
+
+
+def _wanted_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id and tokens of the classes, from the first line of each."""
+    ids = common.stored(firsts.select("doc", "row").distinct(), "ids")
+    found = common.matching(docs, ids, ["doc", "row"])
+    if found.count() > ids.count():  # rows that repeat id and text
+        found = found.dropDuplicates(["doc", "row"])
+    small = F.broadcast if firsts.count() <= common.BROADCAST_ROWS else (lambda df: df)
+    lines = _split(found).join(small(firsts.select("id", "doc", "row", "place")), ["doc", "row", "place"])
+    return common.stored(lines.select("id", _words().alias("words")).select("id", tokens(F.col("words")).alias("tokens")), "sets")
+
+
+def _decided(pairs: DataFrame, sets: DataFrame, bitmaps: bool = False) -> DataFrame:
+    """pairs(x, y) with ok: whether their whole sets are similar; with bitmaps also
+    how x differs from y, hashed into BITMAP words."""
+    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("b")), "y")
+    ok = F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM
+    if not bitmaps:
+        return both.select("x", "y", ok.alias("ok"))
+    both = both.select("x", "y", ok.alias("ok"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("apart"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda k: F.aggregate(F.filter("apart", lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(BITMAP - 1)) == k), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+    return both.select("x", "y", "ok", *[word(k).alias(f"d{k}") for k in range(BITMAP)])
+
+
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """(x, y): for each class the centre of its groups that it meets most often.  A
+    group's centres are its earliest classes, one for each band of sizes."""
+    m = members.withColumn("band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int"))
+    first = m.groupBy("key", "band").agg(F.min("id").alias("y"))
+    # sets that are similar are in the same band or in adjacent ones
+    met = m.join(first.withColumnRenamed("band", "b"), "key").where((F.col("id") > F.col("y")) & (F.abs(F.col("band") - F.col("b")) <= 1))
+    met = met.groupBy(F.col("id").alias("x"), "y").agg(F.count(F.lit(1)).alias("times"))
+    return common.stored(met.groupBy("x").agg(F.max_by("y", "times").alias("y")), "pairs")
+
+
+def similar_to_earlier(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id of every member with an earlier class that is similar."""
+    stars = common.stored(_decided(_star_pairs(members), sets, bitmaps=True), "tried")
+    tried = stars.select("x", "y")
+    gone = common.stored(stars.where("ok").select(F.col("x").alias("id")), "gone")
+    for _ in range(ROUNDS):
+        pairs = _star_pairs(common.stored(members.join(gone, "id", "left_anti"), "kept"))
+        new = common.stored(_decided(pairs.join(tried, ["x", "y"], "left_anti"), sets), "new")
+        tried = tried.unionByName(new.select("x", "y"))
+        gone = common.stored(gone.unionByName(new.where("ok").select(F.col("x").alias("id"))), "gone")
+        if new.where("ok").count() * SETTLES <= pairs.count():
             break
-    if not more.isEmpty():
-        gone = common.stored(gone.union(similar(common.stored(rest(nearest=False).select("cls", "other").distinct(), "pairs"))).distinct(), "gone")
-
+    # what is still kept meets all earlier classes of its groups
+    centre = stars.select(F.col("x").alias("id"), F.col("y").alias("centre"), *[f"d{k}" for k in range(BITMAP)])
+    about = common.stored(members.join(centre, "id", "left"), "about")
+    m, c = common.stored(about.join(gone, "id", "left_anti"), "kept").alias("m"), about.alias("c")
+    # relative to a common centre, sets differ where their differences do
+    apart = sum((F.bit_count(F.col(f"m.d{k}").bitwiseXOR(F.col(f"c.d{k}"))) for k in range(BITMAP)), F.lit(0))
+    near = ~F.col("m.centre").eqNullSafe(F.col("c.centre")) | F.col("m.centre").isNull() | (apart <= F.col("m.n") + F.col("c.n") - 2 * needed(F.col("m.n"), F.col("c.n")))
+    pairs = m.join(c, (F.col("m.key") == F.col("c.key")) & (F.col("m.id") > F.col("c.id")) & _sizes_allow("m", "c") & near)
+    pairs = common.stored(pairs.select(F.col("m.id").alias("x"), F.col("c.id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+    rest = _decided(pairs, sets).where("ok").select(F.col("x").alias("id"))
+    return common.stored(gone.unionByName(rest).distinct(), "gone")
+
+
+def removed_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """(doc, row, place) of every line that goes."""
+    docs = _keyed(docs.select("doc_id", "text"))
+    lines = common.stored(_tokenized(docs, min_words), "lines")
+    steps = _steps(lines)
+    size = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
+    ordered = lines.withColumn("steps", steps.scalar()).withColumn("ordered", _ordered(F.col("tokens"), F.col("steps")))
+    prefixes = common.stored(ordered.select("doc", "row", "place", "n", "cls", "cls2", F.slice("ordered", 1, size).alias("prefix")), "prefixes")
+    common.dropped(lines)  # the sets of candidates are made anew from their lines
+    classes = prefixes.groupBy("cls", "cls2").agg(F.min(_pos()).alias("pos"), F.count(F.lit(1)).alias("times"))
+    classes = common.stored(classes.select("cls", "cls2", "pos.doc", "pos.row", "pos.place", "times"), "classes")
+    members, firsts = _members(prefixes, classes)
+    gone = similar_to_earlier(members, _wanted_sets(docs, firsts))
+    gone = common.stored(firsts.join(gone, "id", "left_semi").select("cls"), "gone")
+    # a class that goes takes all its lines along, another one all but its first
     known = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("times > 1 or gone")
-    known = common.stored(known.select("cls", F.col("doc").alias("d"), F.col("sub").alias("s"), F.coalesce("gone", F.lit(False)).alias("gone")), "known")
-    return lines.select("cls", "doc", "sub").join(known, "cls").where("gone or doc <> d or sub <> s").select("doc", "sub")
+    known = common.stored(known.select("cls", "cls2", _pos().alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "known")
+    return prefixes.select("cls", "cls2", "doc", "row", "place").join(known, ["cls", "cls2"]).where(F.col("gone") | (_pos() != F.col("first"))).select("doc", "row", "place")
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """docs with the removed lines taken out of text, and n_lines, n_removed."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs, min_words).groupBy("doc", F.shiftrightunsigned("sub", 32).alias("row")).agg(F.collect_set(F.col("sub").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("__gone"))
-    gone = common.stored(gone, "removed").withColumnsRenamed({"doc": "__doc", "row": "__row"})
-    keyed = docs.select(*keep).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__r", _row_key())
+    gone = removed_lines(docs, min_words).groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("place").alias("__gone"))
+    gone = common.stored(gone, "removed")
+    keyed = docs.select(*keep).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__r", F.xxhash64("doc_id", "text"))
     rows = keyed.join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__r") == F.col("__row")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))

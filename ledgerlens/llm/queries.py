@@ -153,5 +153,32 @@ LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.draw = c.draw
 """
 
 
+_LINES_SQL = r"""
+WITH line AS (
+  SELECT doc_id, place, string_split(trim(regexp_replace(lower(line), '[\x09-\x0D\x20]+', ' ', 'g'), ' '), ' ') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)
+  WHERE regexp_matches(line, '[^\x09-\x0D\x20]')),
+class AS (
+  SELECT doc_id, place, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM line),
+named AS (
+  SELECT s, len(s) AS n, row_number() OVER (ORDER BY min({'d': doc_id, 'p': place})) AS id, min({'d': doc_id, 'p': place}) AS first FROM class GROUP BY s),
+token AS (SELECT id, n, unnest(s) AS t FROM named WHERE n >= 4),
+pair AS (
+  SELECT a.id, a.n AS an, b.n AS bn, count(*) AS shared FROM token a JOIN token b
+  ON a.t = b.t AND a.id > b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.id, b.id, a.n, b.n),
+late AS (SELECT DISTINCT id FROM pair WHERE 100 * shared >= 80 * (an + bn - shared)),
+gone AS (
+  SELECT doc_id, list(place) AS places FROM class JOIN named USING (s)
+  WHERE id IN (SELECT id FROM late) OR (doc_id, place) <> (first.d, first.p) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, text, places, CASE WHEN places IS NULL THEN text
+    ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(places, i - 1)), chr(10)) END AS kept
+  FROM documents LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END::INT AS n_lines,
+  coalesce(len(places), 0)::INT AS n_removed, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _MIX_SQL, "op10_url_rules": _URL_SQL}
+    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL}

@@ -381,7 +381,7 @@ def brute_lines(rows):
     gone, before = set(), []
     for i, t in sorted(rows):
         for k, line in enumerate((t or "").split("\n")):
-            if len(words(line)) < 4:
+            if not words(line):
                 continue
             s = shingle_set(line)
             if any(100 * len(s & o) >= 80 * len(s | o) for o in before):
@@ -402,12 +402,35 @@ def test_line_dedup_is_exact(spark, docs, none):
     assert gone and line_dedup.deduplicated(none).count() == 0
 
 
-def test_lines_are_the_plain_ones():
-    texts = [None, "", "a b c d e f\n\nA B  c\td\n x", "a b c d", "q" * 300 + " r s t u\n" + " ".join(map(str, range(50)))]
-    got = line_dedup.Lines(texts)
-    want = [(k, p, len(shingle_set(x))) for k, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n")) if len(words(x)) >= line_dedup.MIN_WORDS]
-    assert list(zip(got.text.tolist(), got.place.tolist(), got.n.tolist(), strict=True)) == want
-    assert got.cls[1] == got.cls[2] and len(set(got.cls.tolist())) == len(want) - 1
+def test_line_tokens_are_the_plain_ones(spark):
+    texts = ["a b c d e f\n\nA B  c\td\n x", "a b c d", "q" * 300 + " r s t u\r\n" + " ".join(map(str, range(50)))]
+    docs = line_dedup._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = line_dedup._tokenized(docs, 1).collect()
+    want = {(k, p): shingle_set(x) for k, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if words(x)}
+    assert {(r["doc"], r["place"]): r["n"] for r in got} == {k: len(v) for k, v in want.items()}
+    cls = {(r["doc"], r["place"]): r["cls"] for r in got}
+    assert cls[0, 2] == cls[1, 0] and len(set(cls.values())) == len(want) - 1
+    assert {r["doc"] for r in line_dedup._tokenized(docs, 5).collect()} == {0, 2}
+
+
+def test_line_dedup_of_a_family_and_of_clashing_columns(spark, monkeypatch):
+    """Near copies at all distances, each line a document; a frequent token order, several rounds."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.integers(0, 60, rng.integers(0, 4)):
+            w[k] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(w[: 60 - int(rng.integers(0, 8))])))
+    rows += [(None, " ".join(base)), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_removed": F.lit("clash"), "place": F.lit(1), "cls": F.lit("c"), "id": F.lit(2)})
+    distinct = [(-1 if i is None else i, t) for i, t in rows if t]
+    gone = {i for i, _ in brute_lines(distinct)}
+    got = line_dedup.deduplicated(df).collect()
+    assert len(got) == len(rows) and {r["doc_id"] for r in got if r["n_removed"]} == gone and "place" in df.columns
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert {r["doc_id"] for r in line_dedup.deduplicated(df).collect() if r["n_removed"]} == gone
 
 
 # -------------------------------------------------------------------- url rules
