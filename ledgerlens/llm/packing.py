@@ -3,21 +3,27 @@
 Documents are tokenized, ended by an end id, and cut into pieces only where they
 are longer than a sequence.  Full pieces are sequences of their own.  The others
 are dealt to parts of bounded size; each part is packed by best-fit decreasing
-and certified by lower bounds from dual feasible functions.  Parts with a gap
-between their bins and the bound give up their loosest bins; the documents of
-these meet in larger pools (exchange), are packed again, and the new packing is
-taken where it has fewer bins.  Rounds go on until no gap is left, pools stop
-helping, or one pool is left.
+and certified by lower bounds from dual feasible functions: a part that has as many
+bins as its bound is optimal.  A part with a gap gives up all bins that have room;
+the documents of these meet in pools with those of other parts (exchange), are
+packed again, and the new packing is taken where it has fewer bins.  A certified part
+gives up its emptiest bin only, and only while all parts together have more bins than
+the bound of all documents.  Rounds go on until that bound is met, no pool saves a
+bin, or one pool is left.
 
 Defined cases: a null text is empty and has the end id only.  Repeated rows are
 packed as often as they occur.  An empty table gives an empty result.  Pieces
-never overlap and every sequence is gapless from 0.  The tokenizer's file is a
-parameter; pretokenization never joins text across white space, so words are
-encoded once and looked up after that.
+never overlap and every sequence is gapless from 0.  Of equally long pieces the one
+that was read first is packed first.  Columns other than doc_id and text are not
+looked at, whatever their names; very long texts are encoded whole.  The tokenizer's
+file is a parameter.  Its pretokenization must never join text across white space,
+so that words are encoded once and looked up after that; for a file of which this
+encoder's shortcuts do not hold, every text goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -53,6 +59,18 @@ _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LATIN_END = "\u0250"
 
 
+#: fixed values: the tokenizer's parts, as its file names them, for which the two patterns above hold
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 #: how byte-level tokenizers write bytes: printable ones of Latin-1 stand for themselves, the others for U+0100 on
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_TEXT = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
@@ -88,6 +106,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.by_word = {c: parts.get(c) for c in ("normalizer", "pre_tokenizer")} == BY_WORD
         self.pieces = _Kept(self._piece, cache_words)
         self.words = _Kept(self._word, cache_words)
 
@@ -113,6 +134,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.  Only space, line feed and tab
         split, all of which the tokenizer drops."""
+        if not self.by_word:
+            return list(map(self._whole, texts))
         get = self.words.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
@@ -175,19 +198,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible
-    functions over the items' sizes (as shares of the capacity).
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, times: np.ndarray | None = None) -> int:
+    """Bins that any packing needs (of items that occur `times` times): the best of two
+    families of dual feasible functions over the items' sizes (as shares of the capacity).
 
     U(e): items above 1-e count 1, items below e count 0, others their size.
     V(k): an item counts floor((k+1) x) / k, or x where (k+1) x is whole.
     """
     if not len(lengths):
         return 0
-    size, count = np.unique(lengths, return_counts=True)
+    size, count = np.unique(lengths, return_counts=True) if times is None else (lengths, times)
     total = int((size * count).sum())
     best = -(-total // capacity)
-    low = size[size <= capacity // 2]
+    low = np.sort(size[size <= capacity // 2])
     for e in low[:: max(1, len(low) // 128)].tolist():
         big, middle = size > capacity - e, (size >= e) & (size <= capacity - e)
         best = max(best, int(count[big].sum()) + -(-int((size[middle] * count[middle]).sum()) // capacity))
@@ -199,67 +222,77 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-_ITEM = "doc_id long, piece int, copy long, length long"
-_PACKED = f"{_ITEM}, bin string, place long, loose boolean, gap int"
+_PACKED = "copy long, length long, bin long, place long, room long, gap long, saved long"
+
 
+def _packer(capacity: int, level: int):
+    """Packs the items of one part.  Where they come in bins of earlier packing, the
+    new packing counts only if it has fewer."""
 
-def _packer(capacity: int, tag: str, loose_bins: int):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
-        lengths = frame["length"].to_numpy()
+        frame = frame.sort_values(["length", "copy"], ascending=[False, True], kind="stable")
+        lengths, part = frame["length"].to_numpy(), int(frame["part"].iloc[0])
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        part = frame["part"].iloc[0]
-        bound = lower_bound(lengths, capacity)
-        if "bin" in frame and len(fill) >= frame["bin"].nunique():
-            # the exchange saved nothing: what these documents had stands
-            out = frame.drop(columns=["part"]).assign(loose=False, gap=0)
-            return out
-        # what is lost against the bound without rounding shows as free room in the loosest bins
-        gap = int(len(fill) > bound or len(fill) * capacity - int(lengths.sum()) > 0)
-        emptiest = np.argsort(fill, kind="stable")[:loose_bins]
-        loose = np.isin(bins, emptiest[fill[emptiest] < capacity])
-        names = np.array([f"{tag}:{part}:{k}" for k in range(len(fill))], dtype=object)
-        return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "piece": frame["piece"].to_numpy(), "copy": frame["copy"].to_numpy(), "length": lengths, "bin": names[bins], "place": offsets, "loose": loose & bool(gap), "gap": gap})
+        gap, saved = len(fill) - lower_bound(lengths, capacity), 0
+        # (level, part, number) names a bin; a part has far fewer than 2^24
+        names = (level << 56) + (part << 24) + bins
+        if level and (saved := frame["bin"].nunique() - len(fill)) <= 0:
+            names, offsets, saved = frame["bin"].to_numpy(), frame["place"].to_numpy(), 0
+            room = capacity - frame.groupby("bin")["length"].transform("sum").to_numpy()
+        else:
+            room = (capacity - fill)[bins]
+        return pd.DataFrame({"copy": frame["copy"].to_numpy(), "length": lengths, "bin": names, "place": offsets, "room": room, "gap": gap, "saved": saved})
 
     return pack
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = 2) -> DataFrame:
-    """items(doc_id, piece, length, ...) plus sequence_id and offset."""
-    spark = items.sparkSession
+def _loose(packed: DataFrame) -> DataFrame:
+    """packed with `loose`: bins that are broken up again.  A part with a gap gives up
+    all bins with room, a certified one only its emptiest."""
+    part = F.shiftright("bin", 24)
+    most = packed.groupBy(part.alias("p")).agg(F.max("room").alias("most"))
+    return packed.join(most, part == F.col("p")).withColumn("loose", (F.col("room") > 0) & ((F.col("gap") > 0) | (F.col("room") == F.col("most")))).drop("p", "most")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
+    """items(doc_id, piece, length, ...) plus sequence_id, offset and certified
+    (whether the part that the sequence was packed in has as few as its lower bound)."""
     extra = [c for c in items.columns if c not in ("doc_id", "piece", "length")]
     # repeated rows get a number of their own within their partition of the stored table
     items = common.stored(items.withColumn("copy", F.monotonically_increasing_id()), "items")
     small = items.where(F.col("length") < capacity)
-    n = small.count()
+    # how often each length occurs: at most `capacity` rows
+    tally = small.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    n = int(tally["n"].sum())
+    least = lower_bound(tally["length"].to_numpy(), capacity, tally["n"].to_numpy())
     parts = max(1, -(-n // part_items))
-    dealt = small.select("doc_id", "piece", "copy", "length", F.pmod(F.xxhash64("doc_id", "piece", "copy"), F.lit(parts)).cast("int").alias("part"))
-    done = []
-    loose_bins = 4
-    packed = common.stored(dealt.groupBy("part").applyInPandas(_packer(capacity, "a", loose_bins), _PACKED), "packed")
-    for k in range(rounds):
-        loose = packed.where("loose")
-        left = loose.count()
-        if not left:
-            break
-        done.append(packed.where("NOT loose"))
+    dealt = small.select("copy", "length", F.pmod(F.xxhash64("copy"), F.lit(parts)).alias("part"))
+    packed = common.stored(dealt.groupBy("part").applyInPandas(_packer(capacity, 0), _PACKED), "packed")
+    done, level, kept = [], 0, 0
+    while parts > 1:
+        packed = common.stored(_loose(packed), "packed")
+        shut = packed.where("NOT loose")
+        kept += shut.select("bin").distinct().count()
+        here = packed.where("loose").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("bin").alias("bins")).first()
+        done.append(shut.drop("loose"))
+        packed = packed.where("loose").drop("loose")
+        if kept + here["bins"] <= least or not here["items"]:
+            break  # certified as a whole
         # each pool has the loose bins of many parts, as many items as a part on average
-        pools = max(1, -(-left // part_items))
-        pool = loose.drop("loose", "gap").withColumn("part", F.pmod(F.xxhash64("bin"), F.lit(pools)).cast("int"))
-        packed = common.stored(pool.groupBy("part").applyInPandas(_packer(capacity, f"p{k}", loose_bins), _PACKED), "packed")
-        if pools == 1:
-            break
-    done.append(packed)
-    every = done[0].select("copy", "bin", "place")
-    for d in done[1:]:
-        every = every.unionByName(d.select("copy", "bin", "place"))
-    every = every.select("copy", F.xxhash64(F.lit("bin"), "bin").alias("sequence_id"), F.col("place").alias("offset"))
+        level, parts = level + 1, max(1, -(-here["items"] // part_items))
+        pool = packed.select("copy", "length", "bin", "place", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(parts)).alias("part"))
+        packed = common.stored(pool.groupBy("part").applyInPandas(_packer(capacity, level), _PACKED), "packed")
+        if packed.where("saved > 0").isEmpty():
+            break  # no pool helps
+    for d in done:
+        packed = packed.unionByName(d)
+    every = packed.select("copy", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"), (F.col("gap") == 0).alias("certified"))
     full = items.where(F.col("length") >= capacity)
-    out = [*("doc_id", "piece"), *[c for c in extra if c in ("start",)], "length", *[c for c in extra if c != "start"], "sequence_id", "offset"]
+    out = [*("doc_id", "piece"), *[c for c in extra if c in ("start",)], "length", *[c for c in extra if c != "start"], "sequence_id", "offset", "certified"]
     return (
         small.join(every, "copy")
         .select(*out)
-        .unionByName(full.withColumn("sequence_id", F.xxhash64(F.lit("full"), "copy")).withColumn("offset", F.lit(0).cast("long")).select(*out))
+        .unionByName(full.withColumn("sequence_id", -1 - F.col("copy")).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True)).select(*out))
     )
 
 
