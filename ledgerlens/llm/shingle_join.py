@@ -54,6 +54,8 @@ BITS = 512
 ROUNDS = 3
 #: stars tried in a group; what they leave is compared in full
 STARS = 64
+#: pairs of one set that are verified in one place
+PLACE = 256
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -89,31 +91,28 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _class(h: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set (sum and scrambled sum)."""
+def _class(h: np.ndarray) -> int:
+    """A 64-bit name of a set."""
     with np.errstate(over="ignore"):
         one = int(common.mix64(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h))]))[0])
-        two = int(common.mix64(common.mix64(h ^ common._MUL)).sum(dtype=np.uint64))
-    return one - (1 << 64 if one >> 63 else 0), two - (1 << 64 if two >> 63 else 0)
+    return one - (1 << 64 if one >> 63 else 0)
 
 
 def _members_and_sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(SKETCH, dtype=np.uint8)
     some = False
     for b in common.batches(frames, 512):
-        out = {"doc_id": b["doc_id"], "n": [], "one": [], "two": []}
+        out = {"n": [], "one": []}
         for text in b["text"].to_pylist():
             h = shingles(text)
-            one, two = _class(h) if len(h) else (0, 0)
             out["n"].append(len(h))
-            out["one"].append(one)
-            out["two"].append(two)
+            out["one"].append(_class(h) if len(h) else 0)
             if len(h):
                 some = True
                 count(sketch, h)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(out[c], pa.int64()) for c in ("n", "one", "two")), pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "n", "one", "two", "sketch"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(out[c], pa.int64()) for c in ("n", "one")), pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "n", "one", "sketch"])
     if some:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed(sketch)], pa.binary())], names=["doc_id", "n", "one", "two", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed(sketch)], pa.binary())], names=["doc_id", "n", "one", "sketch"])
 
 
 def count(sketch: np.ndarray, h: np.ndarray) -> None:
@@ -168,7 +167,7 @@ def _prefix_rows(shared, num: int, den: int):
                 n = len(h)
                 if not n:
                     continue
-                name = _class(h)[0]
+                name = _class(h)
                 if name in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -327,38 +326,42 @@ def _across(num: int, den: int, nearest: bool):
     return run
 
 
-def _star_verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs with whether they link, and the bitmap of b's difference from a."""
+def _small(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, broadcast where its checked count is small."""
+    return F.broadcast(df) if df.count() <= common.BROADCAST_ROWS else df
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(frames, 2000):
-            ok, delta = [], []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                apart = np.setxor1d(x, y, assume_unique=True)
-                both = (len(x) + len(y) - len(apart)) // 2
-                ok.append(both * (NUM + DEN) >= NUM * (len(x) + len(y)))
-                delta.append(signature(apart).tobytes())
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["main"], pa.array(ok, pa.bool_()), pa.array(delta, pa.binary())], names=["a", "b", "main", "ok", "delta"])
-
-    both = pairs.join(arrays.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(arrays.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return both.mapInArrow(run, "a long, b long, main boolean, ok boolean, delta binary")
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b, main), distinct, with ok: whether they link, and delta: the bitmap
+    of b's difference from a.
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs whose sorted arrays intersect enough."""
+    A pair moves one set: b's goes to where a's is held.  An `a` with many pairs is
+    held in several places, so that none gets more than PLACE pairs on average.
+    """
+    pairs = common.stored(pairs.select("a", "b", "main"), "pairs")
+    many = common.stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PLACE).cast("long").alias("places")).where("places > 1"), "many")
+    dealt = pairs.join(_small(many), "a", "left").select("a", "b", "main", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1))).cast("int").alias("place"))
+    dealt = common.stored(dealt, "dealt")
+    held = common.stored(dealt.select("a", "place").distinct(), "held")
+    own = sets.join(_small(held), F.col("class") == F.col("a")).select("a", "place", F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("main"), "set")
+    other = sets.join(_small(dealt), F.col("class") == F.col("b")).select("a", "place", "b", "main", "set")
+    rows = own.unionByName(other).repartition(_partitions(pairs.sparkSession), "a", "place").sortWithinPartitions("a", "place", F.asc_nulls_first("b"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(frames, 2000):
-            keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
-                keep.append(len(both) * (NUM + DEN) >= NUM * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        x = np.empty(0, dtype=np.uint64)
+        for batch in common.batches(frames, 500):
+            out: list[tuple] = []
+            for a, b, main, data in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["main"].to_pylist(), batch["set"], strict=True):
+                y = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                if b is None:
+                    x = y.copy()  # sorted to stand before its pairs
+                    continue
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
+                out.append((a, b, main, both * (NUM + DEN) >= NUM * (len(x) + len(y)), signature(apart).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], names=["a", "b", "main", "ok", "delta"])
 
-    both = pairs.join(arrays.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(arrays.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    return common.stored(rows.mapInArrow(run, "a long, b long, main boolean, ok boolean, delta binary"), "tried")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, repeats: bool) -> DataFrame:
@@ -367,7 +370,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, repeats: bool) ->
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(frames, 256):
             got = [h for h in map(shingles, b["text"].to_pylist()) if len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(h)[0] for h in got], pa.int64()), pa.array([signature(h).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], names=["class", "bits", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(h) for h in got], pa.int64()), pa.array([signature(h).tobytes() for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], names=["class", "bits", "set"])
 
     ids = common.stored(reps.join(wanted, "class", "left_semi").select("doc_id"), "ids")
     found = common.matching(docs.where("doc_id is not null"), ids, "doc_id").mapInArrow(run, "class long, bits binary, set binary")
@@ -379,7 +382,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = common.stored(docs.mapInArrow(_members_and_sketch, "doc_id long, n long, one long, two long, sketch binary"), "members")
+    first = common.stored(docs.mapInArrow(_members_and_sketch, "doc_id long, n long, one long, sketch binary"), "members")
     # empty documents get a name of their own, so that they do not gather in one task
     members = first.where("n >= 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("one")).otherwise(F.xxhash64(F.lit("empty"), "doc_id")).alias("class"))
     shared = spark.sparkContext.broadcast(gathered(first.where("sketch is not null").select("sketch")))
@@ -404,7 +407,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = common.stored(wanted, "wanted")
     repeats = _repeats(members)
     sets = common.stored(_sets(docs, wanted, reps, repeats), "sets")
-    tried = common.stored(_star_verified(pairs, sets), "tried")
+    tried = _verified(pairs, sets)
     links = tried.where("ok").select("a", "b")
     centres = tried.where("main").select(F.col("b").alias("class"), F.col("a").alias("centre"), "delta")
     comps = common.stored(common.components(links), "components")
@@ -413,19 +416,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def across(nearest: bool) -> DataFrame:
         nonlocal groups
-        slim = groups.join(comps.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp"))
+        named = groups.join(_small(comps.withColumnRenamed("node", "class")), "class", "left")
+        slim = common.stored(named.select("key", "class", "n", "at", F.coalesce("component", "class").alias("comp")), "slim")
+        # a group of one component has no pair to try; only rows of the others take bitmaps along
+        mixed = slim.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        slim = common.matching(slim, common.stored(mixed.select("key"), "mixed"), "key")
         rows = slim.join(about, "class").repartition(_partitions(spark), "key").sortWithinPartitions("key", "n", "class")
         found = common.stored(rows.mapInArrow(_across(NUM, DEN, nearest), "a long, b long, apart int, key long"), "across")
         # groups without a pair now will have none later, when components are fewer
-        live = found.where("a IS NULL").select("key").distinct()
-        groups = common.stored(groups.join(live, "key", "left_semi"), "members")
+        live = common.stored(found.where("a IS NULL").select("key").distinct(), "live")
+        groups = common.stored(common.matching(groups, live, "key"), "members")
         return found.where("a IS NOT NULL").select("a", "b", "apart")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        return common.stored(_verified(pairs.withColumn("main", F.lit(False)), sets).where("ok").select("a", "b"), "links")
+
     # members of families that a centre did not gather try their nearest, round by round
     more = across(nearest=True)
     for _ in range(ROUNDS):
-        pick = common.stored(more.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "pairs")
-        new = common.stored(_verified(pick, sets), "links")
+        new = linked(more.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
         if new.isEmpty():
             break
         links = common.stored(links.unionByName(new), "links")
@@ -435,13 +444,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
     if not more.isEmpty():
         # and what is left is compared in full
-        pairs = common.stored(across(nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        new = common.stored(_verified(pairs, sets), "links")
+        new = linked(across(nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not new.isEmpty():
             comps = common.stored(common.components(links.unionByName(new)), "components")
 
     # components of classes; then the smallest doc_id of all documents in each
-    by_class = common.stored(reps.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("comp")), "classes")
+    by_class = common.stored(reps.join(_small(comps.withColumnRenamed("node", "class")), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("comp")), "classes")
     low = common.stored(by_class.groupBy("comp").agg(F.min("doc_id").alias("low")), "low")
     by_class = common.stored(by_class.join(low, "comp").select("class", "low"), "classes")
     out = members.join(by_class, "class", "left")
