@@ -21,10 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir of the session.
 
-    Only where the session has none (local tests) a temporary folder is set.
+    Only where the session has none and runs on this machine alone (tests), a
+    temporary folder is set; on a cluster that would lose data, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "ledgerlens-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -124,9 +127,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     cur = stored(edges, "cc")
     if 0 < cur.count() <= FOREST_EDGES:  # few enough for one task to finish
         return stored(cur.repartition(1).mapInArrow(_labels, "node long, component long"), "cc")
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
         if cur.isEmpty():
             break
+        if k == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc")
         # each neighbour above u goes to the smallest of u's neighbourhood

@@ -209,6 +209,44 @@ def test_packing_round_trip(spark, docs, none):
     assert packing.best_fit_packing(none).count() == 0
 
 
+def packed_lengths(spark, lengths, part_items=40):
+    items = spark.createDataFrame([(k, 0, int(n), f"x{k}") for k, n in enumerate(lengths)], "doc_id long, piece int, length long, bin string")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(items, 100, part_items).collect():
+        assert r["bin"] == f"x{r['doc_id']}"  # a column that clashes is carried along
+        bins[r["sequence_id"]].append((r["offset"], r["length"], r["certified"]))
+    assert sorted(n for b in bins.values() for _, n, _ in b) == sorted(lengths)
+    for b in bins.values():
+        assert sum(n for _, n, _ in b) <= 100 and [o for o, *_ in sorted(b)] == np.cumsum([0, *(n for _, n, _ in sorted(b))])[:-1].tolist()
+    return bins
+
+
+def test_packing_exchanges_until_certified(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    some = rng.integers(5, 70, 400)
+    few = len(packed_lengths(spark, some))
+    alone = sum(len(packing.best_fit_decreasing(some[k : k + 40], 100)[2]) for k in range(0, 400, 40))
+    assert packing.lower_bound(some, 100) <= few <= len(packing.best_fit_decreasing(some, 100)[2]) + 2 < alone
+    # the bound decides: it certifies, or the parts are broken up again
+    large = [*rng.integers(51, 100, 200).tolist(), *[100] * 3]
+    bins = packed_lengths(spark, large)
+    assert len(bins) == 203 and all(b[0][2] for b in bins.values()) and {i >> 56 for i in bins if i >= 0} == {0}
+    monkeypatch.setattr(packing, "lower_bound", lambda *a: 0)
+    assert {b[0][2] for i, b in packed_lengths(spark, large).items() if i >= 0} == {False}
+
+
+def test_other_tokenizers_go_whole(tmp_path):
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        parts = json.load(f)
+    parts["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(parts), encoding="utf-8")
+    enc = packing.WordEncoder(str(other))
+    assert not enc.by_word
+    for t in ("A b\u00e9 c", "don't 12", "\u00c9t\u0065\u0301"):
+        assert np.frombuffer(enc.encode([t])[0], dtype="<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_lower_bound_is_one():
     rng = np.random.default_rng(4)
     for _ in range(100):
@@ -335,6 +373,17 @@ def test_ppm_base_scores(spark, docs, none):
     assert ppm.scores(none, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_ppm_small_tables(spark, parts):
+    """Few documents: all words of training text are hot, and held-out text has others."""
+    rows = [(0, "a b c a"), (1, "a b c"), (2, "zebra unknown a"), (3, None), (None, "a other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.lit("clash")).repartition(parts)
+    got = {r["doc_id"]: r for r in ppm.scores(df, F.col("doc_id") != 2).collect()}
+    assert {k: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for k, r in got.items()} == {0: (False, 5, 5, 10), 1: (False, 4, 4, 10), 2: (True, 4, 2, 10), 3: (False, 1, 1, 10), None: (False, 3, 2, 10)}
+    want = sum(math.log10((c + 1) / (10 + 4 + 1)) for c in (0, 0, 3, 3))
+    assert abs(got[2]["base_score"] - want) < 1e-9
+
+
 def brute_ppm(rows, order, text):
     """Escape and exclusion, symbol by symbol, with dictionaries."""
     data, bits = ppm.text_bytes(text).tobytes(), 0.0
