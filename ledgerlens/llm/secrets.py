@@ -8,8 +8,13 @@ character, through URL and Unicode escapes; to the whole encoded run through
 base64 and compression).  A layer that was seen before with the same origin is
 not taken up again, so cycles end.
 
+Bytes that do not decode (a bad URL escape, binary data around a text) are passed
+over, the rest is scanned.  Base64 is tried from the start of a run and behind every
+separator in it that could also be one of its digits, and across wrapped lines.
+
 Defined cases: a null text counts as empty and has no spans.  Repeated rows are
-kept.  Whole texts are scanned.  A layer may inflate to any size, from all of its
+kept, and an empty table gives an empty result.  Columns other than doc_id and text
+are not looked at, whatever their names.  Whole texts are scanned.  A layer may inflate to any size, from all of its
 zlib or gzip members: beyond `PIECE` bytes it is inflated and scanned in pieces,
 cut behind a character that no pattern has in it, so that no match is cut.  Only a
 run without such a character is held whole.  Spans are in code points, end
@@ -19,7 +24,6 @@ exclusive.
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import hashlib
 import re
@@ -57,6 +61,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: lines of base64, as mail wraps them
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
+#: what decoded bytes must hold to hold a match: the shortest has 12 characters of ASCII,
+#: so that its base64 has the 16 digits that a run must have
+_PLAIN = re.compile(rb"[\x20-\x7E]{12}")
 #: a character that stands in no match of any pattern here
 _BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'\x20%\\{}&#;-]""")
 
@@ -87,15 +96,16 @@ def _substituted(layer: Layer, edits: list[tuple[int, int, str]]) -> Layer:
 def _url(layer: Layer) -> Layer | None:
     edits = []
     for m in _URL.finditer(layer.text):
-        # each escape on its own where the bytes are ASCII, else the run as UTF-8
-        data = bytes.fromhex(m[0].replace("%", ""))
-        if data.isascii():
-            edits += [(m.start() + 3 * k, m.start() + 3 * k + 3, chr(c)) for k, c in enumerate(data)]
-        else:
+        # each escape on its own where its byte is ASCII, else as many as make a character;
+        # bytes that make none stay as they are written
+        data, k = bytes.fromhex(m[0].replace("%", "")), 0
+        while k < len(data):
+            n = 1 if data[k] < 0x80 else 2 if data[k] < 0xE0 else 3 if data[k] < 0xF0 else 4
             try:
-                edits.append((m.start(), m.end(), data.decode()))
+                edits.append((m.start() + 3 * k, m.start() + 3 * (k + n), data[k : k + n].decode()))
+                k += n
             except UnicodeDecodeError:
-                continue
+                k += 1
     return _substituted(layer, edits) if edits else None
 
 
@@ -176,25 +186,13 @@ def _inflated(source: Source) -> tuple[Source, bytes] | None:
 
 
 def _texts(source: Source) -> Iterator[str]:
-    """The source as text, in chunks; a UnicodeDecodeError where it is none."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
+    """The source as text, in chunks; bytes that are none are replaced."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
     for chunk in source():
         yield decoder.decode(chunk)
     yield decoder.decode(b"", True)
 
 
-def _readable(source: Source) -> bool:
-    some = False
-    try:
-        for text in _texts(source):
-            some |= bool(text)
-            if not text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable():
-                return False
-    except UnicodeDecodeError:
-        return False
-    return some
-
-
 def _pieces(source: Source) -> Iterator[str]:
     """The text of the source, cut where no match can stand."""
     parts: list[str] = []
@@ -211,24 +209,38 @@ def _pieces(source: Source) -> Iterator[str]:
         yield last
 
 
+def _layers_of(data: bytes) -> Iterator[Source]:
+    """What is in decoded bytes: compressed layers, one in the other, or the bytes themselves."""
+    source: Source = lambda: iter((data,))
+    known = {hashlib.blake2b(data, digest_size=16).digest()}
+    while (more := _inflated(source)) is not None and more[1] not in known:
+        source = more[0]
+        known.add(more[1])
+    if len(known) > 1 or _PLAIN.search(data):
+        yield source
+
+
 def _decoded_runs(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        source: Source = lambda data=data: iter((data,))
-        known = {hashlib.blake2b(data, digest_size=16).digest()}
-        while (more := _inflated(source)) is not None and more[1] not in known:
-            source = more[0]
-            known.add(more[1])
-        if _readable(source):
-            a, b = layer.starts[m.start()], layer.ends[m.end() - 1]
-            for text in _pieces(source):
-                yield Layer(text, [a] * len(text), [b] * len(text))
+    found = [(m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        found += [(m.start(), m.end(), "".join(m[0].split())) for m in _WRAPPED.finditer(layer.text)]
+    for start, end, run in found:
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        # what is encoded may begin behind a separator that could be one of its digits;
+        # where it begins matters by fours only, as another start gives the same bytes later
+        begins = [0, *(k + 1 for k, c in enumerate(run) if c in "+/")]
+        for offset in sorted({k % 4 for k in begins}):
+            digits = run[offset:]
+            digits = digits[: len(digits) - (len(digits) % 4 == 1)]
+            data = base64.b64decode(digits + "=" * (-len(digits) % 4))
+            at = [(k - offset) * 3 // 4 for k in begins if k % 4 == offset and k >= offset]
+            sources = [s for k in at if k == 0 or _wrap(data[k : k + 3]) for s in _layers_of(data[k:])]
+            if at[0] > 0 and _PLAIN.search(data):
+                sources.append(lambda data=data: iter((data,)))
+            for source in sources:
+                a, b = layer.starts[start], layer.ends[end - 1]
+                for text in _pieces(source):
+                    yield Layer(text, [a] * len(text), [b] * len(text))
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:

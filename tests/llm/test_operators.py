@@ -314,6 +314,48 @@ def test_secret_layers_nest_and_end():
     assert secrets.all_spans("&#x25;2&#37; %26#37;") == ([], [])
 
 
+def brute_decoded(text, depth=4):
+    """All texts that decoding any substring between non-digits, at any start, gives."""
+    import re
+
+    found, todo = set(), [(text, 0)]
+    while todo:
+        t, d = todo.pop()
+        if t in found or d > depth:
+            continue
+        found.add(t)
+        todo.append((urllib.parse.unquote(t, errors="replace"), d + 1))
+        todo.append((re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), t), d + 1))
+        for m in re.finditer(r"[A-Za-z0-9+/_\n-]{16,}", t):
+            run = m[0].replace("-", "+").replace("_", "/").replace("\n", "")
+            for k in range(len(run) - 15):
+                part = run[k:][: (len(run) - k) // 4 * 4]
+                data = base64.b64decode(part)
+                if k == 0 or run[k - 1] in "+/":
+                    todo.append((data.decode("utf-8", "replace"), d + 1))
+                    try:
+                        todo.append((zlib.decompressobj().decompress(data).decode("utf-8", "replace"), d + 1))
+                    except zlib.error:
+                        pass
+    return found
+
+
+def test_secret_layers_against_brute_force():
+    secret = "password=hunter2xyz"
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    wrapped = "\n".join(b64("x" * 60 + secret + "y" * 40)[k : k + 76] for k in range(0, 160, 76))
+    forms = ["%E9%70assword%3Dhunter2xyz", "%70assword%3Dhunter2xyz", f"/cfg/{b64(secret + '!!')}", b64(b"\x00\x01" + secret.encode() + b"\xff\xfe\x00"), wrapped, f"a-b_{b64(zlib.compress(secret.encode()))}", b64("\\u0070" + secret[1:] + "  "), urllib.parse.quote(f"/x/{b64(secret + '??')}"), "%C3%A9%70assword%3Dhunter2xyz"]
+    for f in forms:
+        text = f"see {f} end"
+        assert any(brute_base(t) for t in brute_decoded(text)), f
+        base, every = secrets.all_spans(text)
+        assert not base and any(4 <= a < b <= 4 + len(f) and k == 0 for a, k, b in every), f
+    for f in ("internationalization/of/something-else", "d2hhdCBhIG5pY2UgZGF5IGl0IGlz", "%E9%E9%E9", "%", "abc%4"):
+        assert secrets.all_spans(f) == ([], [])
+    long = "word " * 60_000 + forms[2]
+    assert secrets.all_spans(long)[1] == [(300_000, 0, len(long))]
+
+
 def test_secret_scan_rows(spark, docs, none):
     extra = spark.createDataFrame([(9000, "api-key api_key = abcdefgh123")], "doc_id long, text string")
     got = secrets.scan(docs.select("doc_id", "text").unionByName(extra)).collect()
