@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# freed Arrow memory goes back to the C library, and from there to the machine at a task's end
+pa.set_memory_pool(pa.system_memory_pool())
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,11 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: rows of an Arrow batch between Spark and its Python workers
+ARROW_ROWS = 1000
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to a table in the shared folder and read it back: cuts lineage
     so that a lost executor costs no recomputation of what is stored."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    # Spark's Arrow batches are held whole on either side of a worker's pipe, and texts are long
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     df.write.parquet(path)
     # what led to the table is not needed again: with the plan gone, its shuffle files can go
     gc.collect()
@@ -224,17 +234,32 @@ def hashes_between(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MUL)
 
 
+#: bytes of a batch that are worked on at a time; numpy needs some ten times as many
+BATCH_BYTES = 4 << 20
+
+
 def batches(frames: Iterator, size: int) -> Iterator:
-    """Arrow record batches cut to at most `size` rows."""
+    """Arrow record batches cut to at most `size` rows, and to BATCH_BYTES where that
+    is more than one row."""
+
+    def cut(b, rows: int) -> Iterator:
+        for k in range(0, b.num_rows, rows):
+            part = b.slice(k, rows)
+            if part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                yield from cut(part, -(-part.num_rows // 2))
+            else:
+                yield part
+
     for b in frames:
-        for k in range(0, b.num_rows, size):
-            yield b.slice(k, size)
+        yield from cut(b, size)
     _give_back()
 
 
 def _give_back() -> None:
     """Return what a finished task has freed to the machine: Python workers live
     on, and the allocator would keep the task's peak."""
+    if len(_POWERS.get("up", ())) > 1 << 17:  # a very long text has been there
+        _POWERS.clear()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library: it keeps its own counsel

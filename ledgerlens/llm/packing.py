@@ -44,7 +44,7 @@ END = 0
 #: items of one part: bounds the memory and time of one packing task
 PART_ITEMS = 4096
 #: distinct words, and as many runs of letters, whose ids a Python worker keeps
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def tokenizer_path() -> str:

@@ -170,7 +170,7 @@ def _prefix_rows(shared, num: int, den: int):
                 name = _class(h)
                 if name in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(name)
                 p = n - -(-(num * n) // den) + 1
                 order = np.lexsort((h, sketch[(h % np.uint64(SKETCH)).astype(np.int64)]))[:p]
@@ -250,7 +250,7 @@ def _stars(num: int, den: int):
                     left, tries = others[~ok], tries + 1
                 if len(rows) > 2:
                     members.append(rows)
-            if len(met) > 300_000:
+            if len(met) > 100_000:
                 yield told()
             m = np.concatenate(members) if members else np.empty(0, dtype=np.int64)
             if len(m):
@@ -313,7 +313,7 @@ def _across(num: int, den: int, nearest: bool):
                     for k, d in zip(y.tolist(), apart.tolist(), strict=True):
                         pair = (int(cls[x]), int(cls[k]))
                         if pair not in told:
-                            if len(told) > 300_000:
+                            if len(told) > 100_000:
                                 told.clear()
                             told.add(pair)
                             out.append((*pair, d))
