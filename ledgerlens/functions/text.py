@@ -94,10 +94,12 @@ def pairs(s: Column, left: str, right: str, most: int = 20) -> Column:
     return F.slice(F.zip_with(a, b, lambda x, y: F.struct(x.alias("left"), y.alias("right"))), 1, most)
 
 
-def windows(s: Column, size: int = 12000, overlap: int = 1200, most: int = 12) -> Column:
-    """(start, text) of overlapping windows; the last one reaches the end."""
+def windows(s: Column, size: int = 12000, overlap: int = 1200, most: int | None = 12) -> Column:
+    """(start, text) of overlapping windows; without a limit (None) the last one
+    reaches the end."""
     n, step = F.length(s), size - overlap
-    count = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil((n - overlap) / F.lit(step)).cast("int")))
+    count = F.greatest(F.lit(1), F.ceil((n - overlap) / F.lit(step)).cast("int"))
+    count = count if most is None else F.least(F.lit(most), count)
     return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct((k * step).alias("start"), F.substring(s, k * step + 1, F.lit(size)).alias("text")))
 
 

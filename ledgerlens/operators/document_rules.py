@@ -106,7 +106,9 @@ def continued(rows: DataFrame, total: str = "合计|总计", tail: int = 5) -> D
 @dataclass(frozen=True)
 class Operand:
     """A value of the first (or last) row of a table whose text has all words:
-    number at `pick` ("first", "last", "max" or a place from 0 among the numbers)."""
+    number at `pick` ("first", "last", "max" or a place from 0 among the numbers).
+    With "code" the word is a code: the sum of the first positive numbers to the right
+    of the cells that hold just this code, wherever these stand in their rows."""
 
     name: str
     table: str
@@ -123,10 +125,15 @@ def _numbers(cells: Column) -> Column:
 
 def operands(rows: DataFrame, wanted: list[Operand]) -> DataFrame:
     """One row per document with every operand (NULL where its row is missing)."""
-    slim = rows.where(F.col("t").isin(*{o.table for o in wanted})).select("doc_id", "t", "row_idx", X.compact(F.array_join("cells", "")).alias("text"), _numbers(F.col("cells")).alias("v"))
+    slim = rows.where(F.col("t").isin(*{o.table for o in wanted})).select("doc_id", "t", "row_idx", X.compact(F.array_join("cells", "")).alias("text"), _numbers(F.col("cells")).alias("v"), F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells"))
 
     def value(o: Operand) -> Column:
         v = F.col("v")
+        if o.pick == "code":
+            at = F.array_position("cells", F.lit(o.words[0])).cast("int")
+            right = F.transform(F.slice("cells", at + 1, F.size("cells")), N.parse_number)
+            amount = F.get(F.filter(right, lambda x: x.isNotNull()), F.lit(0))
+            return F.sum(F.when((F.col("t") == o.table) & (at > 0) & (amount > 0), amount)).alias(o.name)
         got = {"first": F.get(v, F.lit(0)), "last": F.get(v, F.size(v) - 1), "max": F.array_max(v)}[o.pick] if isinstance(o.pick, str) else F.get(v, F.lit(o.pick))
         hit = (F.col("t") == o.table) & X.contains_all(F.col("text"), o.words) & (F.size("v") > 0)
         choose = F.min_by if o.row == "first" else F.max_by
@@ -162,10 +169,10 @@ OPERANDS = [
     Operand("t6_total", "T6", ("合计",), "first", "last"),
     Operand("t6_personnel", "T6", ("人员经费合计",), "first"),
     Operand("t6_public", "T6", ("公用经费合计",), "first"),
-    Operand("t6_301", "T6", ("301",), "first"),
-    Operand("t6_302", "T6", ("302",), "first"),
-    Operand("t6_303", "T6", ("303",), "first"),
-    Operand("t6_310", "T6", ("310",), "first"),
+    Operand("t6_301", "T6", ("301",), "code"),
+    Operand("t6_302", "T6", ("302",), "code"),
+    Operand("t6_303", "T6", ("303",), "code"),
+    Operand("t6_310", "T6", ("310",), "code"),
     Operand("t7_total", "T7", ("合计",), "last"),
     Operand("t7_budget", "T7", ("合计",), "first"),
     Operand("t7_overseas", "T7", ("因公出国",), "last"),
@@ -221,8 +228,8 @@ IDENTITIES = [
     Identity("v33_115_balance", "t1_income_total", "t1_expense_total", 0.01),
     Identity("v33_115_income", "t1_income_total", "t1_year_income + t1_non_fiscal + t1_opening", 0.01, optional=("t1_non_fiscal", "t1_opening")),
     Identity("v33_115_expense", "t1_expense_total", "t1_year_expense + t1_allocation + t1_closing", 0.01, optional=("t1_allocation", "t1_closing")),
-    Identity("v33_117_personnel", "t6_personnel", "t6_301 + t6_303", 1.0, optional=("t6_303",)),
-    Identity("v33_117_public", "t6_public", "t6_302 + t6_310", 1.0, optional=("t6_310",)),
+    Identity("v33_117_personnel", "t6_personnel", "0.0 + t6_301 + t6_303", 1.0, severity="warn", when="t6_personnel > 0", optional=("t6_301", "t6_303")),
+    Identity("v33_117_public", "t6_public", "0.0 + t6_302 + t6_310", 1.0, severity="warn", when="t6_public > 0", optional=("t6_302", "t6_310")),
     Identity("v33_119", "t4_expense", "t4_general + t4_fund + t4_state", 0.05, optional=("t4_fund", "t4_state")),
     Identity("v33_121", "t7_total", "t7_overseas + t7_vehicle + t7_reception", 0.01, optional=("t7_overseas", "t7_vehicle", "t7_reception")),
     Identity("v33_122_fund", "t8_total", "0.0", 0.1, when="abs(t4_fund) <= 0.1"),

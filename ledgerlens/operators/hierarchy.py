@@ -1,8 +1,8 @@
 """Organization trees: closure, roll-up, validation, matching, clean-up.
 
 orgs(id, name, level, parent_id, code, keywords array); links(job_id, org_id, ...).
-Trees are shallow (city, district, department, unit), so closures are a bounded
-number of equi joins; a cycle ends them.
+Closures are equi joins, a level at a time, for as long as a level brings new pairs;
+a cycle ends them.
 """
 
 from __future__ import annotations
@@ -19,29 +19,48 @@ FULL_NAME, VARIANT, KEYWORD = (0.96, 0.78), (0.76, 0.62), (0.68, 0.58)
 GENERIC = (0.34, 0.28)
 
 
-def closure(orgs: DataFrame, depth: int = 8) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder where the session has one, so that
+    the lineage of a loop stays short, else in the executors' storage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _parents(orgs: DataFrame) -> DataFrame:
+    return orgs.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("__c"), F.col("parent_id").alias("__p"))
+
+
+def _above(orgs: DataFrame) -> DataFrame:
+    """(id, up, depth): everything above each organization, itself where it is in a
+    cycle.  A level at a time, until one brings nothing new, however deep the tree."""
+    parents = _kept(_parents(orgs).distinct())
+    level = _kept(parents.select(F.col("__c").alias("id"), F.col("__p").alias("up"), F.lit(1).alias("depth")))
+    found = level
+    while not level.isEmpty():
+        up = level.join(parents, F.col("up") == F.col("__c")).select("id", F.col("__p").alias("up"), (F.col("depth") + 1).alias("depth")).distinct()
+        level = _kept(up.join(found, ["id", "up"], "left_anti"))
+        found = found.unionByName(level)
+    return found
+
+
+def closure(orgs: DataFrame) -> DataFrame:
     """(ancestor, descendant, depth), each org its own ancestor at depth 0."""
-    parents = orgs.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("__c"), F.col("parent_id").alias("__p"))
-    level = orgs.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"))
-    out = level
-    for k in range(1, depth + 1):
-        up = level.join(parents, F.col("ancestor") == F.col("__c")).select(F.col("__p").alias("ancestor"), "descendant", F.lit(k).alias("depth"))
-        level = up.where(F.col("ancestor") != F.col("descendant"))
-        out = out.unionByName(level)
-    return out.join(orgs.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
+    own = orgs.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"))
+    above = _above(orgs).where("id <> up").select(F.col("up").alias("ancestor"), F.col("id").alias("descendant"), "depth")
+    out = own.unionByName(above.join(orgs.select(F.col("id").alias("ancestor")), "ancestor", "left_semi"))
+    return out.groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
 
 
-def rollup(orgs: DataFrame, stats: DataFrame, measures: list[str], depth: int = 8) -> DataFrame:
+def rollup(orgs: DataFrame, stats: DataFrame, measures: list[str]) -> DataFrame:
     """stats(org_id, measures) summed over each org and all below it, beside its own."""
     own = stats.groupBy("org_id").agg(*[F.sum(m).alias(m) for m in measures])
-    tree = closure(orgs, depth).join(own, F.col("descendant") == F.col("org_id"), "left")
+    tree = closure(orgs).join(own, F.col("descendant") == F.col("org_id"), "left")
     zero = F.lit(0)
     direct = [F.coalesce(F.sum(F.when(F.col("depth") == 0, F.col(m))), zero).alias(f"direct_{m}") for m in measures]
     return tree.groupBy(F.col("ancestor").alias("org_id")).agg(*[F.coalesce(F.sum(m), zero).alias(m) for m in measures], *direct)
 
 
-def descendants(orgs: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
-    return closure(orgs, depth).join(roots.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias("id")).distinct()
+def descendants(orgs: DataFrame, roots: DataFrame) -> DataFrame:
+    return closure(orgs).join(roots.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias("id")).distinct()
 
 
 def delete_preview(orgs: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -80,15 +99,17 @@ def validate(orgs: DataFrame) -> DataFrame:
     return out
 
 
-def cycles(orgs: DataFrame, depth: int = 8) -> DataFrame:
-    """Organizations that are their own ancestor."""
-    parents = orgs.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("__c"), F.col("parent_id").alias("__p"))
-    at = parents.select(F.col("__c").alias("id"), F.col("__p").alias("up"))
-    found = at.where("id = up")
-    for _ in range(depth):
-        at = at.where("id <> up").join(parents, F.col("up") == F.col("__c")).select("id", F.col("__p").alias("up"))
-        found = found.unionByName(at.where("id = up"))
-    return found.select("id").distinct()
+def cycles(orgs: DataFrame) -> DataFrame:
+    """Organizations that are their own ancestor.  Those that a root reaches are in no
+    cycle; only what is left is followed upwards."""
+    parents = _kept(_parents(orgs).distinct())
+    level = _kept(orgs.select("id").distinct().join(parents.join(orgs.select(F.col("id").alias("__p")).distinct(), "__p", "left_semi").select(F.col("__c").alias("id")), "id", "left_anti"))
+    reached = level
+    while not level.isEmpty():
+        level = _kept(level.join(parents, F.col("id") == F.col("__p")).select(F.col("__c").alias("id")).distinct().join(reached, "id", "left_anti"))
+        reached = reached.unionByName(level)
+    rest = _kept(orgs.join(reached, "id", "left_anti").select("id", "parent_id"))
+    return _above(rest).where("id = up").select("id").distinct()
 
 
 def unresolved(links: DataFrame, orgs: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ cells(<key>, row_idx, col_idx, raw_text) is the long form of every grid.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,19 +95,26 @@ def spatial_dedupe(boxes: DataFrame, page: str, priority: str, overlap: float =
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """0..100: how well the shorter text matches its best window of the longer."""
-    from difflib import SequenceMatcher
-
+    """0..100: how well the shorter text matches its best window of the longer: twice
+    the longest common subsequence over both lengths.  Windows hang over the ends."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
+    n = len(short)
+    if not n:
         return 0.0
     if short in long:
         return 100.0
-    n, best = len(short), 0.0
-    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()} | {0, max(0, len(long) - n)}
-    for s in starts:
-        best = max(best, SequenceMatcher(None, short, long[s : s + n], autojunk=False).ratio())
-    return 100.0 * best
+    at: dict[str, int] = {}
+    for k, c in enumerate(short):
+        at[c] = at.get(c, 0) | 1 << k
+    full, best = (1 << n) - 1, 0.0
+    for i in range(1 - n, len(long)):
+        window = long[max(0, i) : i + n]
+        row = full  # a bit for each place of the short text, 0 once it is matched
+        for c in window:
+            hit = row & at.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        best = max(best, 200.0 * (n - row.bit_count()) / (n + len(window)))
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
@@ -124,22 +129,51 @@ def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def _nearest(texts: pd.Series, words: pd.Series) -> pd.Series:
+    """0..1: the best partial ratio of a text with any of the words."""
+    return pd.Series([max((partial_ratio(t or "", w) for w in ws), default=0.0) / 100 for t, ws in zip(texts, words, strict=True)])
+
+
+#: fixed values: weights of alias and headers, floors (least cover, score), and least score of a recognized table
+BY_ALIAS, BY_HEADERS, FLOORS, HINTED, RECOGNIZED, MOST = 0.72, 0.28, ((0.85, 0.98), (0.7, 0.93)), 0.92, 0.55, 0.99
+
+
 def detect_table(titles: DataFrame, key: str, dictionary: list[dict]) -> DataFrame:
     """titles(key, title, hint, headers array) -> key, table_code, score.
 
-    0.72 of the best alias similarity and 0.28 of the share of required headers;
-    floors where an alias covers the title or the hint names the table; the first
-    entry of the dictionary wins ties; below 0.55 nothing is recognized.
+    Each title meets each entry of the dictionary.  An entry's score weighs the best
+    similarity of its aliases and the share of its required headers; it has floors
+    where an alias covers the title or the hint has the code's first two parts.  The
+    first entry wins ties.  Containment is decided in columns; only what no alias or
+    header contains is measured, once for each distinct text.
     """
-    names = [(i, d["code"], X_normal(d["aliases"]), X_normal(d["required"])) for i, d in enumerate(dictionary)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [_detect(t or "", h or "", [x for x in hs if x], names) for t, h, hs in zip(f["t"], f["h"], f["hs"], strict=True)]
-            yield pd.DataFrame({key: f[key], "table_code": [o[0] for o in out], "score": [o[1] for o in out]})
-
-    plain = titles.select(key, X.normalized(F.col("title")).alias("t"), X.normalized(F.col("hint")).alias("h"), F.transform(F.coalesce("headers", F.array().cast("array<string>")), X.normalized).alias("hs"))
-    return plain.mapInPandas(run, f"{key} {titles.schema[key].dataType.simpleString()}, table_code string, score double")
+    words = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    entries = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(d["code"]).alias("code"), words(X_normal(d["aliases"])).alias("aliases"), words(X_normal(d["required"])).alias("required"), words(d["code"].lower().split("_")[:2]).alias("parts")) for i, d in enumerate(dictionary)])
+    plain = titles.select(key, X.normalized(F.col("title")).alias("t"), X.normalized(F.col("hint")).alias("h"), F.filter(F.transform(F.coalesce("headers", F.array().cast("array<string>")), X.normalized), lambda x: x != "").alias("hs"))
+    plain = plain.select(key, F.coalesce("t", F.lit("")).alias("t"), F.coalesce("h", F.lit("")).alias("h"), "hs")
+    distinct = plain.select("t", "h", "hs").distinct()
+    each = distinct.withColumn("e", F.explode(entries)).select("t", "h", "hs", "e.*")
+    t, h = F.col("t"), F.col("h")
+    covers = F.transform(F.filter("aliases", lambda a: F.contains(t, a) | F.contains(h, a)), lambda a: F.length(a) / F.greatest(F.length(t), F.length(h), F.length(a)))
+    missing = F.filter("required", lambda r: ~F.exists("hs", lambda x: F.contains(x, r)))
+    each = each.withColumn("cover", F.array_max(covers)).withColumn("missing", missing)
+    # a text is measured against an entry's aliases where none of them stands in it
+    measured = F.greatest(*[_nearest(F.when(F.col("cover").isNull(), x), F.col("aliases")) for x in (t, h)])
+    likeness = F.when(F.col("cover").isNotNull(), F.lit(1.0)).otherwise(measured)
+    asked = each.select("t", "h", "hs", "code", F.explode("missing").alias("word"))
+    found = asked.withColumn("x", F.explode("hs")).where(_nearest(F.col("x"), F.array("word")) >= 0.82).groupBy("t", "h", "hs", "code").agg(F.count_distinct("word").alias("near"))
+    each = each.withColumn("likeness", likeness).join(found, ["t", "h", "hs", "code"], "left")
+    share = F.when(F.size("required") > 0, (F.size("required") - F.size("missing") + F.coalesce("near", F.lit(0))) / F.size("required")).otherwise(0.0)
+    floor = F.lit(0.0)
+    for least, value in reversed(FLOORS):
+        floor = F.when(F.col("cover") >= least, value).otherwise(floor)
+    floor = F.greatest(floor, F.when(F.forall("parts", lambda p: F.contains(h, p)), HINTED).otherwise(0.0))
+    score = F.greatest(F.col("likeness") * BY_ALIAS + share * BY_HEADERS, floor)
+    best = each.withColumn("score", score).groupBy("t", "h", "hs").agg(F.max_by(F.struct("code", "score"), F.struct(F.col("score"), -F.col("place"))).alias("b"))
+    some = (F.col("b.score") >= RECOGNIZED) & ~F.contains(t, F.lit("编制说明"))  # an explanation is no table
+    best = best.select("t", "h", "hs", F.when(some, F.col("b.code")).alias("table_code"), F.when(F.contains(t, F.lit("编制说明")), 0.0).otherwise(F.least(F.col("b.score"), F.lit(MOST))).alias("score"))
+    return plain.join(best, ["t", "h", "hs"]).select(key, "table_code", "score")
 
 
 def X_normal(words) -> list[str]:
@@ -150,28 +184,6 @@ def X_normal(words) -> list[str]:
     return [re.sub(r"\s+", "", unicodedata.normalize("NFKC", w)).lower() for w in words]
 
 
-def _detect(title: str, hint: str, headers: list[str], names: list) -> tuple[str | None, float]:
-    if "编制说明" in title:
-        return None, 0.0
-    best, best_score = None, 0.0
-    for _, code, aliases, required in names:
-        similar = cover = 0.0
-        for a in aliases:
-            similar = max(similar, partial_ratio(title, a) / 100, partial_ratio(hint, a) / 100)
-            if a in title or a in hint:
-                cover = max(cover, len(a) / max(len(title), len(hint), len(a)))
-                similar = max(similar, 0.86 + min(0.12, 0.16 * cover))
-        hits = sum(any(r in h or partial_ratio(h, r) >= 82 for h in headers) for r in required)
-        score = 0.72 * similar + 0.28 * (hits / len(required) if required else 0.0)
-        floor = 0.98 if cover >= 0.85 else 0.93 if cover >= 0.7 else 0.0
-        if all(p in hint for p in code.lower().split("_")[:2]):
-            floor = max(floor, 0.92)
-        score = max(score, floor)
-        if score > best_score:
-            best, best_score = code, score
-    return (best, min(best_score, 0.99)) if best_score >= 0.55 else (None, best_score)
-
-
 def match_measure(headers: DataFrame, measures: list[tuple[str, str]]) -> DataFrame:
     """headers(..., header) plus measure: the first of the best measure aliases at 78 or more."""
     names = list(zip([m for m, _ in measures], X_normal([a for _, a in measures]), strict=True))

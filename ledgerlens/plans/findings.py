@@ -86,7 +86,7 @@ def union_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_detectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two detectors that mostly agree on an order's lines."""
     cols = ("l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 30").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*cols)).alias("l")).select("l_orderkey", "l_linenumber", "l.*")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*cols)).alias("l")).select("l_orderkey", "l_linenumber", "l.*")
     doc, n = F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int")
     title = F.concat(F.lit("line "), n.cast("string"), F.lit(" of "), F.col("l_returnflag"))
     tags = F.array(F.col("l_returnflag"), F.col("l_linestatus"))
@@ -106,7 +106,7 @@ _EQ = lambda x, y: (x == y).cast("double")
 # titles of an order's lines are unique, so equality of titles leaves one partner for each
 _SIDES = """
 b AS (SELECT doc_id, n, m.p AS p, m.price AS price FROM (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(struct_pack(p := l_partkey, flag := l_returnflag, st := l_linestatus, price := l_extendedprice)) AS m
-  FROM lineitem WHERE l_quantity >= 30 GROUP BY 1, 2)),
+  FROM lineitem GROUP BY 1, 2)),
 a AS (SELECT * FROM b WHERE p % 5 <> 0), r AS (SELECT * FROM b WHERE p % 3 <> 0),
 m AS (SELECT a.doc_id, a.n, a.p,
     0.4 + 0.3 * ((CASE WHEN a.p % 11 = 0 THEN 0.0 ELSE 0.5 END + 0.3) / 0.8) + 0.2 + 0.1 * (CASE WHEN a.p % 2 = 0 THEN 1.0 ELSE 1.0 - abs(a.price - a.price * 1.02) / (a.price * 1.02) END) AS sim

@@ -32,7 +32,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("org_closure", f"WITH {_CLOSURE} SELECT ancestor, descendant, depth::INT AS depth FROM t")
 def org_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.closure(orgs(spark, sf_dir), depth=3)
+    return H.closure(orgs(spark, sf_dir))
 
 
 @query(
@@ -44,7 +44,7 @@ def org_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def org_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("org_id")).agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("o_orderstatus") == "F").alias("issues"))
-    return H.rollup(orgs(spark, sf_dir), stats, ["jobs", "issues"], depth=3)
+    return H.rollup(orgs(spark, sf_dir), stats, ["jobs", "issues"])
 
 
 @query("org_children", f"WITH {_ORGS} SELECT p.id, count(c.id) AS children FROM o p LEFT JOIN o c ON c.parent_id = p.id WHERE p.level <> 'unit' GROUP BY p.id")

@@ -87,13 +87,13 @@ def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "code_mirror",
-    """WITH c AS (SELECT c_nationkey AS code, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1), s AS (SELECT s_nationkey AS code, count(*) AS n FROM supplier GROUP BY 1)
+    """WITH c AS (SELECT c_nationkey AS code, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS code, count(*) AS n FROM supplier GROUP BY 1)
        SELECT coalesce(c.code, s.code)::INT AS code, c.n AS income, s.n AS expense,
        CASE WHEN c.n IS NULL THEN 'expense only' WHEN s.n IS NULL THEN 'income only' WHEN c.n <> s.n THEN 'differs' ELSE 'equal' END AS status
        FROM c FULL OUTER JOIN s ON c.code = s.code""",
 )
 def code_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
-    income = table(spark, sf_dir, "customer").where("c_acctbal > 5000").groupBy(F.col("c_nationkey").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("income"))
+    income = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("income"))
     expense = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("expense"))
     status = F.when(F.col("income").isNull(), "expense only").when(F.col("expense").isNull(), "income only").when(F.col("income") != F.col("expense"), "differs").otherwise("equal")
     return income.join(expense, "code", "full_outer").select("code", "income", "expense", status.alias("status"))
@@ -102,12 +102,12 @@ def code_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "code_sets",
     """SELECT code::INT AS code, side FROM (
-         SELECT code, 'both' AS side FROM (SELECT c_nationkey AS code FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)
-         UNION ALL SELECT code, 'customer only' FROM (SELECT c_nationkey AS code FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0))""",
+         SELECT code, 'both' AS side FROM (SELECT c_nationkey AS code FROM customer INTERSECT SELECT s_nationkey FROM supplier)
+         UNION ALL SELECT code, 'customer only' FROM (SELECT c_nationkey AS code FROM customer EXCEPT SELECT s_nationkey FROM supplier))""",
 )
 def code_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("code"))
-    b = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("int").alias("code"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("code"))
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("customer only")))
 
 

@@ -56,21 +56,21 @@ def percent_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     "line_numbering",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
        n AS (SELECT doc_id, k, length(line) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, k) AS place FROM l WHERE trim(line) <> '')
-       SELECT doc_id, k::INT AS line_no, chars::INT AS chars, place::INT AS place FROM n WHERE place <= 10""",
+       SELECT doc_id, k::INT AS line_no, chars::INT AS chars, place::INT AS place FROM n""",
 )
 def line_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.lines(_pages(spark, sf_dir)).where(F.trim("line") != "").select("doc_id", "line_no", F.length("line").alias("chars"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("chars"), "line_no")
-    return rows.withColumn("place", F.row_number().over(order)).where("place <= 10")
+    return rows.withColumn("place", F.row_number().over(order))
 
 
 @query(
     "text_windows",
-    """SELECT doc_id, (k * 2700)::INT AS start, md5(substr(text, (k * 2700 + 1)::INT, 3000)) AS digest
-       FROM (SELECT doc_id, text, unnest(range(least(12, greatest(1, ceil((length(text) - 300) / 2700.0)::INT)))) AS k FROM documents)""",
+    """SELECT doc_id, (k * 10800)::INT AS start, md5(substr(text, (k * 10800 + 1)::INT, 12000)) AS digest
+       FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 1200) / 10800.0)::INT))) AS k FROM documents)""",
 )
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.windows(F.col("text"), 3000, 300, 12)).alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.windows(F.col("text"), 12000, 1200, None)).alias("w"))
     return rows.select("doc_id", F.col("w.start").alias("start"), F.md5("w.text").alias("digest"))
 
 
@@ -137,15 +137,20 @@ def amount_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jaccard_pairs",
-    """WITH t AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM benchmark)
-       SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard
-       FROM t a JOIN t b ON a.item_id < b.item_id AND a.item_id % 10 = b.item_id % 10""",
+    """WITH t AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM benchmark),
+       p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(list_distinct(list_concat(a.w, b.w))) AS every FROM t a JOIN t b ON a.item_id < b.item_id)
+       SELECT a, b, round(shared::DOUBLE / every, 6) AS jaccard FROM p WHERE 10 * shared >= 3 * every""",
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 10).alias("block"), F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("w"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.item_id") < F.col("b.item_id")))
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(X.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
+    """All pairs of at least 0.3: sets that similar share one of their first n - ceil(0.3 n) + 1 words."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))).alias("w")).where(F.size("w") > 0)
+    head = rows.withColumn("word", F.explode(F.slice("w", 1, (F.size("w") - F.ceil(F.size("w") * 3 / 10) + 1).cast("int"))))
+    a, b = head.alias("a"), head.alias("b")
+    near = (F.size("a.w") * 10 >= F.size("b.w") * 3) & (F.size("b.w") * 10 >= F.size("a.w") * 3)
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id")) & near)
+    shared, every = F.size(F.array_intersect("a.w", "b.w")), F.size(F.array_union("a.w", "b.w"))
+    found = pairs.where(shared * 10 >= every * 3).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(X.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
+    return found.distinct()
 
 
 @query("key_value_parse", "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, 3 AS keys FROM orders")

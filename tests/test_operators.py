@@ -152,6 +152,11 @@ def test_recognition(spark):
     assert got[1][0] == "FIN_01_income_expenditure_total" and got[2] == (None, 0.0) and got[3] == ("FIN_03_expenditure", 0.92) and got[4][0] == "FIN_06_basic_expenditure" and got[4][1] >= 0.98
     heads = spark.createDataFrame([("财政拨款收入（万元）",), ("其他",)], "header string")
     assert [r["measure"] for r in tables.match_measure(heads, list(D.FACT_TABLES[1][3])).collect()][0] == "fiscal_allocation"
+    for x, y in (("收入决算表", "部门收支决算总表"), ("abcd", "xxabzcdxx"), ("ab", "ba"), ("总表", "支出")):
+        short, long = sorted((x, y), key=len)
+        lcs = lambda u, v: 0 if not u or not v else 1 + lcs(u[1:], v[1:]) if u[0] == v[0] else max(lcs(u[1:], v), lcs(u, v[1:]))
+        windows = [long[max(0, k) : k + len(short)] for k in range(1 - len(short), len(long))]
+        assert abs(tables.partial_ratio(x, y) - max(200 * lcs(short, w) / (len(short) + len(w)) for w in windows)) < 1e-9
     assert tables.partial_ratio("abc", "xxabcxx") == 100.0 and tables.partial_ratio("", "a") == 0.0
 
 
@@ -273,3 +278,21 @@ def test_announced_tables(spark):
     assert [r["table_code"] for r in tables.placeholder_tables(lines, "id", none, strong).collect()] == ["FIN_03_expenditure"]
     heads = spark.createDataFrame([("科目 编码",), ("合计",)], "h string")
     assert [r[0] for r in heads.select(tables.is_dimension_header(F.col("h"))).collect()] == [True, False]
+
+
+def test_trees_of_any_depth(spark):
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(14)], "id long, parent_id long")
+    got = H.closure(chain).collect()
+    assert len(got) == 14 * 15 // 2 and all(r["depth"] == r["descendant"] - r["ancestor"] for r in got)
+    assert H.cycles(chain).count() == 0
+    ring = spark.createDataFrame([(k, (k + 1) % 12) for k in range(12)] + [(20, 3), (21, None), (22, 21)], "id long, parent_id long")
+    assert {r["id"] for r in H.cycles(ring).collect()} == set(range(12))
+    assert H.closure(ring).where("descendant = 20").count() == 13
+
+
+def test_amounts_beside_codes(spark):
+    """Two columns of codes, a longer code above them, and a blank amount."""
+    cells = [["13010", "x", "7"], ["301", "a", "100", "302", "b", "40"], ["303", "c", "", "310", "d", "5"], ["人员经费合计", "100", "公用经费合计", "45"]]
+    rows = spark.createDataFrame([(1, "T6", k, c) for k, c in enumerate(cells)], "doc_id long, t string, row_idx int, cells array<string>")
+    got = R.operands(rows, R.OPERANDS).first()
+    assert (got["t6_301"], got["t6_302"], got["t6_310"]) == (100.0, 40.0, 5.0)
