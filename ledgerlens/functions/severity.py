@@ -19,24 +19,27 @@ RANKS = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 
 
 def _mapped(key: Column, table: dict, default: Column) -> Column:
-    out = default
-    for k, v in table.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """One look-up in a literal map."""
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
+
+
+def _by_word(table: dict) -> dict:
+    """What a table of normal forms says of each word."""
+    return {w: table[k] for k, words in WORDS.items() for w in words}
 
 
 def normalized(s: Column, default: str = "info") -> Column:
-    key = F.lower(F.trim(s))
-    return _mapped(key, {w: k for k, ws in WORDS.items() for w in ws}, F.lit(default))
+    return _mapped(F.lower(F.trim(s)), _by_word({k: k for k in WORDS}), F.lit(default))
 
 
 def bucket(s: Column) -> Column:
     """error / warn / info of any severity word."""
-    return _mapped(normalized(s), BUCKETS, F.lit("info"))
+    return _mapped(F.lower(F.trim(s)), _by_word(BUCKETS), F.lit(BUCKETS["info"]))
 
 
 def rank(s: Column) -> Column:
-    return _mapped(normalized(s), RANKS, F.lit(0))
+    return _mapped(F.lower(F.trim(s)), _by_word(RANKS), F.lit(RANKS["info"]))
 
 
 def ratio(score: Column) -> Column:

@@ -59,8 +59,8 @@ def without_ignored(found: DataFrame, ignored: DataFrame) -> DataFrame:
 
 def buckets(found: DataFrame) -> DataFrame:
     """Per document the counts of error / warn / info."""
-    b = S.bucket(F.col("severity"))
-    return found.groupBy("doc_id").agg(*[F.count_if(b == x).alias(x) for x in ("error", "warn", "info")], F.count(F.lit(1)).alias("all"))
+    b = F.col("__bucket")
+    return found.select("doc_id", S.bucket(F.col("severity")).alias("__bucket")).groupBy("doc_id").agg(*[F.count_if(b == x).alias(x) for x in ("error", "warn", "info")], F.count(F.lit(1)).alias("all"))
 
 
 def capped(found: DataFrame, most: int = 50) -> DataFrame:
