@@ -14,8 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as D
 from ..functions import numbers as N
 from ..functions import text as X
+from . import text_rules as T
 
 # ------------------------------------------------------------------- structure
 
@@ -169,6 +171,7 @@ OPERANDS = [
     Operand("t6_total", "T6", ("合计",), "first", "last"),
     Operand("t6_personnel", "T6", ("人员经费合计",), "first"),
     Operand("t6_public", "T6", ("公用经费合计",), "first"),
+    Operand("t6_basic", "T6", ("基本支出合计",), "first"),
     Operand("t6_301", "T6", ("301",), "code"),
     Operand("t6_302", "T6", ("302",), "code"),
     Operand("t6_303", "T6", ("303",), "code"),
@@ -241,6 +244,9 @@ IDENTITIES = [
     Identity("v33_204", "t2_grant", "t4_year_income", 0.05),
     Identity("v33_214", "t1_income_total", "t1_expense_total", 0.01),
     Identity("v33_241_total", "t3_total", "t3_basic + t3_project", 0.01),
+    Identity("v33_243_personnel", "t6_personnel", "0.0 + t6_301 + t6_303", 0.01, when="t6_personnel > 0", optional=("t6_301", "t6_303")),
+    Identity("v33_243_public", "t6_public", "0.0 + t6_302 + t6_310", 0.01, when="t6_public > 0", optional=("t6_302", "t6_310")),
+    Identity("v33_243_total", "t6_basic", "t6_personnel + t6_public", 0.01, when="t6_basic > 0", optional=("t6_public",)),
     Identity("v33_244_vehicle", "t7_vehicle", "t7_vehicle_buy + t7_vehicle_run", 0.01, optional=("t7_vehicle_buy",)),
     Identity("bud_101", "b1_income", "b1_expense", 1.0, 0.0005, kind="budget"),
     Identity("bud_102", "b3_total", "b3_basic + b3_project", 1.0, 0.0005, kind="budget"),
@@ -288,7 +294,7 @@ def code_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "t", "row_idx", code.alias("code"), _numbers(F.col("cells")).alias("v")).where((F.col("code") != "") & (F.size("v") > 0))
 
 
-def hierarchy_findings(rows: DataFrame, tables: tuple[str, ...] = ("T2", "T3", "T5"), tolerance: float = 0.1) -> DataFrame:
+def hierarchy_findings(rows: DataFrame, tables: tuple[str, ...] = ("T2", "T3", "T5"), tolerance: float = 0.1, rule: str = "v33_120") -> DataFrame:
     """Codes whose amount is not the sum of the codes one level below.  Parent and
     children meet on (document, table, parent code), an equi key."""
     codes = code_rows(rows).where(F.col("t").isin(*tables)).select("doc_id", "t", "code", F.get("v", F.lit(0)).alias("amount"))
@@ -296,7 +302,7 @@ def hierarchy_findings(rows: DataFrame, tables: tuple[str, ...] = ("T2", "T3", "
     both = codes.select("doc_id", "t", F.col("code").alias("k"), F.col("amount").alias("own"), F.lit(None).cast("double").alias("part")).unionByName(codes.select("doc_id", "t", parent.alias("k"), F.lit(None).cast("double").alias("own"), F.col("amount").alias("part")).where("k IS NOT NULL"))
     sums = both.groupBy("doc_id", "t", "k").agg(F.max("own").alias("own"), F.sum("part").alias("parts"))
     bad = sums.where(F.col("own").isNotNull() & F.col("parts").isNotNull() & ~N.close(F.col("own"), F.col("parts"), tolerance))
-    return bad.select("doc_id", F.lit("v33_120").alias("rule"), F.lit("error").alias("severity"), F.col("own").alias("lhs"), F.col("parts").alias("rhs"), F.concat_ws(" ", "t", "k").alias("message"))
+    return bad.select("doc_id", F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.col("own").alias("lhs"), F.col("parts").alias("rhs"), F.concat_ws(" ", "t", "k").alias("message"))
 
 
 def row_findings(rows: DataFrame, tables: tuple[str, ...] = ("T3", "T5"), tolerance: float = 0.01) -> DataFrame:
@@ -307,6 +313,39 @@ def row_findings(rows: DataFrame, tables: tuple[str, ...] = ("T3", "T5"), tolera
     return bad.select("doc_id", F.lit("v33_241").alias("rule"), F.lit("error").alias("severity"), v(0).alias("lhs"), (v(1) + v(2)).alias("rhs"), F.concat_ws(" ", "t", "code").alias("message"))
 
 
+def _found(df: DataFrame, rule: str, severity: str, lhs: Column, rhs: Column) -> DataFrame:
+    return df.select("doc_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), lhs.cast("double").alias("lhs"), rhs.cast("double").alias("rhs"), F.concat_ws(" ", "t", F.col("row_idx").cast("string")).alias("message"))
+
+
+def largest_findings(rows: DataFrame, table: str, rule: str, least: int, parts: int | None = None, skip: str | None = None, head: int = 3, tolerance: float = 0.05) -> DataFrame:
+    """Rows below the header whose largest amount is not the sum of the others (of
+    the `parts` next ones), where they have at least `least` positive amounts."""
+    positive = F.reverse(F.array_sort(F.filter(_numbers(F.col("cells")), lambda x: x > 0)))
+    body = rows.where((F.col("t") == table) & (F.col("row_idx") >= head))
+    body = body.where(~F.array_join("cells", "").rlike(skip)) if skip else body
+    rest = F.slice("v", F.lit(2), F.lit(parts) if parts else F.greatest(F.size("v"), F.lit(1)))
+    total, others = F.get("v", F.lit(0)), F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
+    found = body.select("doc_id", "t", "row_idx", positive.cast("array<double>").alias("v")).where(F.size("v") >= least)
+    found = found.select("doc_id", "t", "row_idx", total.alias("total"), others.alias("others"))
+    return _found(found.where((F.col("total") > 0.01) & (F.col("others") > 0.01) & (F.abs(F.col("total") - F.col("others")) > tolerance)), rule, "warn", F.col("total"), F.col("others"))
+
+
+def source_findings(rows: DataFrame, table: str = "T2", tolerance: float = 0.01) -> DataFrame:
+    """Code rows whose first amount is not the sum of all that follow (its sources)."""
+    v = F.col("v").cast("array<double>")
+    some = code_rows(rows).where((F.col("t") == table) & (F.size("v") >= 2)).select("doc_id", "t", "row_idx", F.get(v, F.lit(0)).alias("total"), F.aggregate(F.slice(v, F.lit(2), F.size("v") - 1), F.lit(0.0), lambda a, x: a + x).alias("parts"))
+    return _found(some.where(F.abs(F.col("total") - F.col("parts")) > tolerance), "v33_240", "error", F.col("total"), F.col("parts"))
+
+
+def blank_findings(rows: DataFrame, pages: DataFrame, tables: tuple[str, ...] = ("T7", "T8", "T9")) -> DataFrame:
+    """Tables of at most five rows and few filled cells, without a note that they have no data."""
+    filled = F.size(F.filter("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    size = rows.where(F.col("t").isin(*tables)).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(filled).alias("filled"), F.max(F.size("cells")).alias("width"))
+    noted = pages.where(F.col("text").contains("注：") & F.col("text").contains("无数据")).select("doc_id").distinct()
+    bare = size.where("n <= 5 AND filled <= 2 * width").join(noted, "doc_id", "left_anti")
+    return bare.select("doc_id", F.lit("v33_114").alias("rule"), F.lit("error").alias("severity"), F.concat(F.col("t"), F.lit(" is empty without a note")).alias("message"))
+
+
 def leaf_findings(rows: DataFrame, tables: tuple[str, ...] = ("T2", "T3", "T5")) -> DataFrame:
     """A total row against the sum of the deepest codes, column by column: beyond
     1 and 0.1 %, and beyond half of the total."""
@@ -424,6 +463,35 @@ class Rule:
 
 
 _COLUMNS = ("doc_id", "rule", "severity", "message")
+
+
+def _structure(tables: dict, what) -> object:
+    """A rule on where the tables' names stand."""
+    return lambda pages, rows, wide: what(pages, anchors(pages, tables))
+
+
+def _missing(tables: dict) -> object:
+    return _structure(tables, lambda pages, found: missing_tables(pages.select("doc_id").distinct(), found, tables))
+
+
+def _order(tables: dict) -> object:
+    return _structure(tables, lambda pages, found: order_inversions(found.groupBy("doc_id", "t").agg(F.min("page").alias("page")), tables))
+
+
+#: rules on the text alone, by name
+TEXT_RULES = {
+    "placeholders": lambda pages: T.placeholder_findings(pages),
+    "punctuation": lambda pages: T.punctuation_findings(pages),
+    "doubled_words": lambda pages: T.page_findings(pages, T.DOUBLED, "doubled_words"),
+    "odd_wording": lambda pages: T.page_findings(pages, T.ODD_WORDING, "odd_wording", compacted=True),
+    "zero_total": lambda pages: T.page_findings(pages, T.ZERO_TOTAL, "zero_total", compacted=True),
+    "long_percent": lambda pages: T.page_findings(pages, T.LONG_PERCENT, "long_percent"),
+    "percent_range": lambda pages: T.percent_findings(pages),
+    "units": lambda pages: T.unit_findings(pages),
+    "zero_increase": lambda pages: T.zero_increase_findings(pages),
+    "direction": lambda pages: T.direction_findings(pages),
+}
+
 RULES = [
     Rule("identity_final", "final", lambda pages, rows, wide: identity_findings(wide, [r for r in IDENTITIES if r.kind == "final"])),
     Rule("identity_budget", "budget", lambda pages, rows, wide: identity_findings(wide, [r for r in IDENTITIES if r.kind == "budget"])),
@@ -434,6 +502,17 @@ RULES = [
     Rule("mirror_budget", "budget", lambda pages, rows, wide: mirror_findings(rows, "B2", "B3")),
     Rule("narrative", "any", lambda pages, rows, wide: narrative_findings(pages, wide)),
     Rule("wording", "final", lambda pages, rows, wide: wording_findings(pages)),
+    Rule("income_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T2", "v33_210", 2, skip="合计")),
+    Rule("expenditure_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T3", "v33_211", 3, parts=2)),
+    Rule("income_sources", "final", lambda pages, rows, wide: source_findings(rows)),
+    Rule("economic_details", "final", lambda pages, rows, wide: hierarchy_findings(rows, ("T6",), 1.0, "v33_243")),
+    Rule("blank_tables", "final", lambda pages, rows, wide: blank_findings(rows, pages)),
+    Rule("missing_final", "final", _missing(D.FINAL_TABLES)),
+    Rule("missing_budget", "budget", _missing(D.BUDGET_TABLES)),
+    Rule("order_final", "final", _order(D.FINAL_TABLES)),
+    Rule("order_budget", "budget", _order(D.BUDGET_TABLES)),
+    Rule("contents", "any", _structure({**D.FINAL_TABLES, **D.BUDGET_TABLES}, toc_findings)),
+    *[Rule(name, "any", lambda pages, rows, wide, f=f: f(pages)) for name, f in TEXT_RULES.items()],
 ]
 
 
