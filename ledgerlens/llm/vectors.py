@@ -10,12 +10,15 @@ stop there.  What is left is decided by the whole cosine in double precision.
 The rotation only orders the work: every linked pair is found whatever it is.
 
 Vectors that are equal in all components are one class with a multiplicity.  A
-tile pair returns the links per class and a spanning forest, never its pairs.
+tile pair returns the links per class and a spanning forest, never its pairs.  Cells
+of more than `tile_rows` classes are dealt out to several tiles.
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite
 components link with nothing and are kept.  Vectors of different length do not
 link.  Rows that repeat a vec_id are separate vectors for n_links, and meet in
-component_id by their vec_id.  An empty table gives an empty result.
+component_id by their vec_id.  Ties at the threshold link.  An empty table gives an
+empty result; columns other than vec_id and embedding are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -148,31 +151,35 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float, tile_rows: in
             yield pa.RecordBatch.from_arrays([b["id"], b["times"], pa.array(a.cells(block).astype(np.int32)), pa.FixedSizeListArray.from_arrays(lead.ravel(), lead.shape[1]).cast(pa.list_(pa.float64())), pa.array([r.tobytes() for r in block], pa.binary())], names=["id", "times", "cell", "lead", "data"])
 
     tiles = common.stored(classes.select("id", "v", "times").mapInArrow(rotate, "id long, times long, cell int, lead array<double>, data binary"), "tiles")
-    boxes = tiles.groupBy("cell").agg(*[f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for k in range(min(CUT_AXES, dim)) for name, f in (("lo", F.min), ("hi", F.max))]).toPandas().sort_values("cell")
-    lo = boxes[[f"lo{k}" for k in range(min(CUT_AXES, dim))]].to_numpy()
-    hi = boxes[[f"hi{k}" for k in range(min(CUT_AXES, dim))]].to_numpy()
+    lead = range(min(CUT_AXES, dim))
+    boxes = tiles.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for k in lead for name, f in (("lo", F.min), ("hi", F.max))]).toPandas().sort_values("cell")
+    lo, hi = (boxes[[f"{name}{k}" for k in lead]].to_numpy() for name in ("lo", "hi"))
     reach = 2.0 - 2.0 * threshold + 1e-9  # squared distance of unit vectors at the threshold
+    names, blocks = boxes["cell"].tolist(), (-(-boxes["n"] // tile_rows)).tolist()
     pairs = []
-    names = boxes["cell"].tolist()
-    for i, cell in enumerate(names):
-        gap = np.maximum(0.0, np.maximum(lo - hi[i], lo[i] - hi))
-        for j in np.flatnonzero((gap * gap).sum(1) <= reach).tolist():
-            if j >= i:
-                pairs.append((cell, names[j], f"{cell}:{names[j]}"))
-    todo = spark.createDataFrame([(a, p) for a, b, p in pairs] + [(b, p) for a, b, p in pairs if a != b], "cell int, pair string")
-    # a tile moves once for every tile that its box can reach
-    dealt = tiles.drop("lead").join(F.broadcast(todo), "cell")
-    return dealt.groupBy("pair").applyInPandas(_compare(dim, threshold), "a long, b long, n long")
+    for i, cell in enumerate(names):  # no more cells than rows of the sample
+        gap = np.maximum(0.0, np.maximum(lo[i:] - hi[i], lo[i] - hi[i:]))
+        pairs += [(cell, blocks[i], names[j], blocks[j]) for j in (i + np.flatnonzero((gap * gap).sum(1) <= reach)).tolist()]
+    todo = F.broadcast(spark.createDataFrame(pairs, "a int, na int, b int, nb int"))
+    count = spark.createDataFrame(list(zip(names, blocks, strict=True)), "cell int, blocks int")
+    # a cell of many vectors is dealt out to tiles, so that no task holds more than two of tile_rows
+    tiles = tiles.drop("lead").join(F.broadcast(count), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    first = tiles.join(todo, F.col("cell") == F.col("a")).select("a", F.col("block").alias("ablock"), "b", every("nb"), "id", "times", "data", F.lit(0).alias("side")).withColumnRenamed("other", "bblock").where("a <> b OR bblock >= ablock")
+    second = tiles.join(todo, F.col("cell") == F.col("b")).select("a", every("na"), "b", F.col("block").alias("bblock"), "id", "times", "data", F.lit(1).alias("side")).withColumnRenamed("other", "ablock").where("a <> b OR bblock > ablock")
+    # a tile moves once for every tile that its cell's box can reach
+    dealt = first.unionByName(second)
+    return dealt.groupBy("a", "ablock", "b", "bblock").applyInPandas(_compare(dim, threshold), "a long, b long, n long")
 
 
 def _compare(dim: int, threshold: float):
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        first, second = (int(x) for x in key[0].split(":"))
-        in_first = (frame["cell"] == first).to_numpy()
+        in_first = (frame["side"] == 0).to_numpy()
         data = np.frombuffer(b"".join(frame["data"]), dtype=np.float64).reshape(-1, dim)
         ids, times = frame["id"].to_numpy(), frame["times"].to_numpy()
         left = np.flatnonzero(in_first)
-        right = left if first == second else np.flatnonzero(~in_first)
+        same = key[:2] == key[2:]
+        right = left if same else np.flatnonzero(~in_first)
         lead = min(LEADING, dim)
         # the suffix norm as one more coordinate: one product gives the upper bound
         suffix = np.sqrt((data[:, lead:] ** 2).sum(1, keepdims=True))
@@ -184,7 +191,7 @@ def _compare(dim: int, threshold: float):
         block = 512
         for i in range(0, len(left), block):
             a = left[i : i + block]
-            b = right[i:] if first == second else right
+            b = right[i:] if same else right
             may = bound[a] @ bound[b].T >= threshold - SLACK
             at = np.flatnonzero(may.ravel())
             if not len(at):
@@ -192,7 +199,7 @@ def _compare(dim: int, threshold: float):
             for k in range(0, len(at), 200_000):
                 x, y = np.divmod(at[k : k + 200_000], len(b))
                 x, y = a[x], b[y]
-                if first == second:
+                if same:
                     some = x < y
                     x, y = x[some], y[some]
                 some = np.einsum("ij,ij->i", data[x], data[y]) >= threshold

@@ -180,6 +180,14 @@ def test_vectors_are_exact(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_cluster_are_dealt_out(spark):
+    """Many near-equal vectors fall into one cell; they all link."""
+    rng = np.random.default_rng(3)
+    rows = [(k, (np.ones(6) + rng.normal(scale=1e-3, size=6)).tolist()) for k in range(400)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile_rows=30, sample_rows=8).collect()
+    assert len(got) == 400 and {(r["n_links"], r["component_id"]) for r in got} == {(399, 0)}
+
+
 # ---------------------------------------------------------------------- packing
 
 
