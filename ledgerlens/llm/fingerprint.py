@@ -13,7 +13,9 @@ pass over the text whatever the signature's length, and nothing is sampled.
 Defined cases: a null text counts as empty; an empty text has the fingerprint of
 empty components only, and two of these are equal (likeness 1).  Equal texts
 have equal fingerprints.  A component empty in both texts says nothing and is
-left out of the likeness.
+left out of the likeness.  Repeated rows are kept and follow one another.  Very long
+texts are read whole.  An empty table gives an empty result; columns other than
+doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, PARTS, KEEP = 5, 64, 2
+#: most ranges of doc_id that rows are dealt to: a task streams its range, whatever its size
+RANGES = 4096
 _EMPTY = np.uint16(0)
 
 
@@ -113,7 +117,7 @@ def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
-    parts = max(1, -(-n // rows_per_part))
+    parts = min(RANGES, max(1, -(-n // rows_per_part)))
     ids = rows.where("doc_id is not null").select("doc_id")
     # splits: how even they are matters for speed only, not for the result
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 and not ids.isEmpty() else []
@@ -132,7 +136,7 @@ def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
     heads_df = spark.createDataFrame([(p, heads[p], before[p]) for p in have], "part int, head long, before int")
     own = F.struct(F.col("part"), F.lit(False).alias("tail"))
     tail = F.struct(F.col("before").alias("part"), F.lit(True).alias("tail"))
-    # at most as many heads as parts, and a part has rows_per_part rows: a table of bounded size per row of input
+    # at most RANGES + 1 heads
     dealt = (
         rows.join(F.broadcast(heads_df), "part")
         .withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, tail)).otherwise(F.array(own))))

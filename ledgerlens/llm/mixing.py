@@ -8,7 +8,8 @@ documents, worth the fraction, once more.
 
 Defined cases: a null text has size 0; null sources form a source of their own
 that sorts last.  Sources of size 0 have target 0.  Repeated rows (same doc_id)
-are drawn alike.  An empty table gives an empty result.
+are drawn alike.  Very long texts are counted whole.  An empty table gives an empty
+result; the output's own columns replace those of docs with the same names.
 """
 
 from __future__ import annotations

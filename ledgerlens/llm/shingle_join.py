@@ -30,6 +30,8 @@ link with nothing; their component_id is their own doc_id.  Repeated rows (equal
 doc_id) are kept and get equal results.  An empty table gives an empty result.
 Rows with a null doc_id are kept.  They link with rows of an equal set, and get
 the smallest id of its component; a set that only they have links with nothing.
+Very long texts are read whole.  Columns other than doc_id and text are not looked
+at, whatever their names.  Shingles and sets go by 64-bit hashes.
 """
 
 from __future__ import annotations

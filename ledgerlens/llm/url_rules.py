@@ -9,7 +9,9 @@ Defined cases: a null URL, or one without `://`, has an empty host and path and
 no rule.  Hosts compare with A-Z lower-cased; labels are split at dots and a rule
 fits its host and all subdomains.  Repeated rows are kept.  Of equally long rules
 the one with the longer host wins, of the same rule given twice `block`.  An
-empty table gives an empty result; without rules every URL gets the default.
+empty table gives an empty result; without rules every URL gets the default.  Of very
+long URLs only as many path prefixes are made as rules have lengths.  Columns other
+than page_id and url are not looked at, whatever their names.
 """
 
 from __future__ import annotations
