@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents.
+
+Defined cases: null and empty texts, and texts without letters, go at the first
+stage.  Rows with a null doc_id pass; where they repeat another document's text
+only lines take part, as near copies are told by their ids.  Of repeated rows one
+stays after the third stage, of rows that share only a doc_id the one whose text
+sorts first.  Very long texts go through whole.  Extra columns are carried along to
+the fourth stage, whatever their names.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -33,7 +40,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = shingle_join.near_duplicates(docs)
     gone = common.stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
     out = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti")
-    return out.select(*docs.columns)
+    out = out.select(*docs.columns)
+    ids = docs.where("doc_id IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["n"] > ids["ids"]:  # repeated rows are copies too
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        one = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row"))
+        one = one.select("doc_id", *[F.col("__row")[c].alias(c) for c in ("text", *rest)]).select(*docs.columns)
+        out = one.unionByName(out.where("doc_id IS NULL"))
+    return out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
