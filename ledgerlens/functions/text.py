@@ -103,6 +103,12 @@ def windows(s: Column, size: int = 12000, overlap: int = 1200, most: int | None
     return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct((k * step).alias("start"), F.substring(s, k * step + 1, F.lit(size)).alias("text")))
 
 
+def first_amount(s: Column, patterns: tuple[str, ...]) -> Column:
+    """The amount (first group) of the first pattern that finds one."""
+    found = [F.replace(F.nullif(F.regexp_extract(s, p, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double") for p in patterns]
+    return F.coalesce(*found)
+
+
 def ordinal(n: Column) -> Column:
     """1..99 in Chinese numerals."""
     digits = "一二三四五六七八九"

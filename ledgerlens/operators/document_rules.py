@@ -404,6 +404,14 @@ STATED = [
     Stated("v33_108", rf"“三公”经费[^0-9。]{{0,40}}预算(?:数)?为{_AMOUNT}", "t7_budget", 1.0, 0.001),
     Stated("v33_224_overseas", rf"因公出国（境）费[^0-9。]{{0,30}}决算(?:数)?为{_AMOUNT}", "t7_overseas"),
     Stated("v33_224_reception", rf"公务接待费[^0-9。]{{0,30}}决算(?:数)?为{_AMOUNT}", "t7_reception"),
+    Stated("cmm_001_overseas", rf"因公出国(?:（境）|\(境\)|境)?费{_AMOUNT}", "t7_overseas"),
+    Stated("cmm_001_reception", rf"公务接待费{_AMOUNT}", "t7_reception"),
+    Stated("cmm_001_vehicle", rf"公务用车购置及运行(?:维护)?费{_AMOUNT}", "t7_vehicle"),
+    Stated("cmm_001_vehicle_buy", rf"公务用车购置费{_AMOUNT}", "t7_vehicle_buy"),
+    Stated("cmm_001_vehicle_run", rf"公务用车运行(?:维护)?费{_AMOUNT}", "t7_vehicle_run"),
+    Stated("cmm_001_budget_overseas", rf"因公出国(?:（境）|\(境\)|境)?费{_AMOUNT}", "b9_overseas"),
+    Stated("cmm_001_budget_reception", rf"公务接待费{_AMOUNT}", "b9_reception"),
+    Stated("cmm_001_budget_vehicle", rf"公务用车购置及运行(?:维护)?费{_AMOUNT}", "b9_vehicle"),
     Stated("bud_107_income", rf"收入预算{_AMOUNT}", "b1_income", 0.05, 0.0005),
     Stated("bud_107_expense", rf"支出预算{_AMOUNT}", "b1_expense", 0.05, 0.0005),
     Stated("bud_107_public", rf"“三公”经费预算(?:数)?为{_AMOUNT}", "b9_total", 0.05, 0.0005),

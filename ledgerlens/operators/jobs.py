@@ -160,3 +160,8 @@ def provider_stats(calls: DataFrame, key: str, ok: Column, ms: Column) -> DataFr
 def active_rules(versions: DataFrame) -> DataFrame:
     """The latest active version of each rule."""
     return latest(versions.where("is_active"), ["rule_key"], [F.col("created_at"), F.col("version")])
+
+
+def job_time(version_created: Column, job_created: Column, touched: Column) -> Column:
+    """The time by which a job counts: its version's, else its own, else when its files were last touched."""
+    return F.coalesce(version_created, job_created, touched)

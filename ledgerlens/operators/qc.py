@@ -140,3 +140,9 @@ def status_summary(found: DataFrame) -> DataFrame:
     by = found.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     # a handful of statuses: their counts add up to all
     return by.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 2))
+
+
+def with_definitions(found: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Findings beside their rules' descriptions and severities; unknown rules keep
+    their findings.  Definitions are a few dozen rows and go to every task."""
+    return found.join(F.broadcast(definitions.select("rule_key", "description", "severity")), "rule_key", "left")

@@ -10,7 +10,9 @@ from ..functions import numbers as N
 from ..functions import severity as S
 from ..functions import text as X
 from ..operators import findings as A
-from ..operators import paging
+from ..operators import jobs as J
+from ..operators import paging, qc
+from ..operators import tables as T
 from ..sources import sinks
 from .base import table
 from .registry import query
@@ -103,3 +105,46 @@ def optional_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("amount_checks", "SELECT c_custkey, CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'out of range' END AS problem FROM customer")
 def amount_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", N.amount_problem(F.col("c_acctbal").cast("string"), 0, 9000).alias("problem"))
+
+
+@query(
+    "first_amount",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 900)::DOUBLE WHEN o_custkey % 3 = 1 THEN 1234.5 END AS amount FROM orders""",
+)
+def first_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("合计 7 元，总额为 "), (F.col("o_custkey") % 900).cast("string"), F.lit(" 万元"))).when(F.col("o_custkey") % 3 == 1, "共计 1,234.5 万元").otherwise("总额 x 万元")
+    amount = X.first_amount(text, (r"总额为\s*([0-9,.]+)\s*万元", r"计\s*([0-9,.]+)\s*万元"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", amount.alias("amount"))
+
+
+@query(
+    "job_times",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderkey % 3 = 1 THEN o_orderdate + INTERVAL 1 DAY ELSE TIMESTAMP '2000-01-01' END AS at FROM orders""",
+)
+def job_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, day = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    at = J.job_time(F.when(k == 0, day), F.when(k == 1, day + F.expr("INTERVAL 1 DAY")), F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"))
+
+
+@query(
+    "finding_definitions",
+    """SELECT o_orderkey AS id, 'R' || (o_custkey % 9)::VARCHAR AS rule_key, CASE WHEN o_custkey % 9 < 5 THEN 'rule ' || (o_custkey % 9)::VARCHAR END AS description,
+       CASE WHEN o_custkey % 9 < 5 THEN 'warn' END AS severity FROM orders""",
+)
+def finding_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("R"), (F.col("o_custkey") % 9).cast("string")).alias("rule_key"))
+    known = spark.createDataFrame([(f"R{k}", f"rule {k}", "warn") for k in range(5)], "rule_key string, description string, severity string")
+    return qc.with_definitions(found, known).select("id", "rule_key", "description", "severity")
+
+
+@query(
+    "older_table_score",
+    """WITH p AS (SELECT p_partkey, lower(p_name) AS title, string_split(lower(p_type), ' ') AS headers FROM part),
+       s AS (SELECT *, list_max(list_transform(['red', 'steel'], lambda k: CASE WHEN contains(title, k) THEN 1.0 ELSE len(list_filter(string_split(k, ''), lambda c: contains(title, c)))::DOUBLE / length(k) END)) AS best,
+         len(list_filter(['pro', 'tin'], lambda w: len(list_filter(headers, lambda h: contains(h, w))) > 0))::DOUBLE / 2 AS req, len(list_filter(['x'], lambda w: len(list_filter(headers, lambda h: contains(h, w))) > 0))::DOUBLE AS opt FROM p)
+       SELECT p_partkey, round(0.58 * best + 0.32 * req + 0.10 * opt, 4)::DOUBLE AS score FROM s""",
+)
+def older_table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = T.older_score(F.lower("p_name"), F.split(F.lower("p_type"), " "), ("red", "steel"), ("pro", "tin"), ("x",))
+    return table(spark, sf_dir, "part").select("p_partkey", score.cast("double").alias("score"))

@@ -36,6 +36,14 @@ SENTENCES = {
     "v33_108": "“三公”经费财政拨款支出预算为{}万元。",
     "v33_224_overseas": "因公出国（境）费支出决算为{}万元。",
     "v33_224_reception": "公务接待费支出决算为{}万元。",
+    "cmm_001_overseas": "因公出国（境）费{}万元，",
+    "cmm_001_reception": "公务接待费{}万元；",
+    "cmm_001_vehicle": "公务用车购置及运行维护费{}万元。",
+    "cmm_001_vehicle_buy": "公务用车购置费{}万元。",
+    "cmm_001_vehicle_run": "公务用车运行维护费{}万元。",
+    "cmm_001_budget_overseas": "因公出国(境)费{}万元，",
+    "cmm_001_budget_reception": "公务接待费{}万元；",
+    "cmm_001_budget_vehicle": "公务用车购置及运行费{}万元。",
     "bud_107_income": "收入预算{}万元。",
     "bud_107_expense": "支出预算{}万元。",
     "bud_107_public": "“三公”经费预算数为{}万元。",
