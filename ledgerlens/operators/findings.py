@@ -177,8 +177,9 @@ def merge_totals(ai: DataFrame, rule: DataFrame, matched: DataFrame) -> DataFram
 
 
 def merged_ids(ai: DataFrame, rule: DataFrame, matches: DataFrame) -> DataFrame:
-    """(doc_id, place, id): matched AI findings, then unmatched ones, then unmatched rule findings."""
-    first = matches.select("doc_id", F.col("ai_id").alias("id"), F.lit(0).alias("__g"), (-F.col("similarity")).alias("__o"))
+    """(doc_id, place, id): matched AI findings, best first (similarities that agree to
+    nine places are equal), then unmatched ones, then unmatched rule findings."""
+    first = matches.select("doc_id", F.col("ai_id").alias("id"), F.lit(0).alias("__g"), F.round(-F.col("similarity"), 9).alias("__o"))
     rest = lambda df, key, g: df.join(matches.select("doc_id", F.col(key).alias("id")), ["doc_id", "id"], "left_anti").select("doc_id", "id", F.lit(g).alias("__g"), F.col("ord").cast("double").alias("__o"))
     every = first.unionByName(rest(ai, "ai_id", 1)).unionByName(rest(rule, "rule_id", 2))
     return every.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("__g", "__o", "id")).alias("place"), "id")

@@ -140,7 +140,13 @@ def merge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.merge_totals(ai, rule, A.conflicts(A.greedy_matches(A.candidate_pairs(ai, rule, _EQ)), ai, rule))
 
 
-@query("merged_id_list")
+@query(
+    "merged_id_list",
+    f"""WITH {_SIDES}, e AS (SELECT doc_id, ai_id AS id, 0 AS g, round(-sim, 9) AS o FROM k
+          UNION ALL SELECT doc_id, 'ai-' || n::VARCHAR, 1, n FROM a WHERE (doc_id, 'ai-' || n::VARCHAR) NOT IN (SELECT (doc_id, ai_id) FROM k)
+          UNION ALL SELECT doc_id, 'rule-' || n::VARCHAR, 2, n FROM r WHERE (doc_id, 'rule-' || n::VARCHAR) NOT IN (SELECT (doc_id, rule_id) FROM k))
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, o, id)::INT AS place, id FROM e""",
+)
 def merged_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai, rule = two_detectors(spark, sf_dir)
     return A.merged_ids(ai, rule, A.greedy_matches(A.candidate_pairs(ai, rule, _EQ)))
