@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: seconds between two times that what is no longer needed is cleared away
+CLEAR_S = 2.0
+_CLEARED = [0.0]
 #: rows of an Arrow batch between Spark and its Python workers
 ARROW_ROWS = 1000
 
@@ -50,8 +54,11 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     df.write.parquet(path)
     # what led to the table is not needed again: with the plan gone, its shuffle files can go
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # (small tables that follow one another closely are cleared away together)
+    if time.monotonic() - _CLEARED[0] > CLEAR_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _CLEARED[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
