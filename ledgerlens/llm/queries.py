@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, line_dedup, mixing, packing, ppm, secrets, shingle_join, url_rules, vectors
+from . import divergence, fingerprint, language_id, line_dedup, mixing, packing, ppm, secrets, shingle_join, url_rules, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_shingle_join, op3_order_minhash, op4_vectors, op5_best_fit_packing, op6_secrets, op7_mixing, op8_ppm, op9_line_dedup, op10_url_rules)
+    found = (op1_language_id, op2_shingle_join, op3_order_minhash, op4_vectors, op5_best_fit_packing, op6_secrets, op7_mixing, op8_ppm, op9_line_dedup, op10_url_rules, op13_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -180,5 +184,44 @@ FROM kept
 """
 
 
+# Every pair of sources meets on every term; the operator adds what absent terms have in common only once.
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+occ AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term)
+  GROUP BY lang, source, term),
+cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::HUGEINT AS n
+  FROM grp g JOIN kept k USING (lang) LEFT JOIN occ o USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM cell JOIN size USING (lang)),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 2)) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * any_value(v)) AS q
+  FROM cell JOIN size USING (lang) GROUP BY lang, term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL}
+    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL, "op13_divergence": _DIVERGENCE_SQL}
