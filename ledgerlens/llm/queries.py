@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fingerprint, language_id, line_dedup, mixing, packing, ppm, secrets, shingle_join, url_rules, vectors
+from . import divergence, fingerprint, language_id, line_dedup, mixing, packing, ppm, secrets, shingle_join, spelling, url_rules, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +67,16 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_shingle_join, op3_order_minhash, op4_vectors, op5_best_fit_packing, op6_secrets, op7_mixing, op8_ppm, op9_line_dedup, op10_url_rules, op13_divergence)
+    found = (op1_language_id, op2_shingle_join, op3_order_minhash, op4_vectors, op5_best_fit_packing, op6_secrets, op7_mixing, op8_ppm, op9_line_dedup, op10_url_rules, op12_spelling, op13_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -184,6 +188,46 @@ FROM kept
 """
 
 
+# Words meet where one letter is left out: at the same place (exchanged), or of one of them.  The
+# checksum is made byte by byte from a table by its rule, as there is no function for it.
+_SPELLING_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT b, b::BIGINT AS v, 0 AS k FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM step WHERE k < 8),
+tbl AS (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8),
+run AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+byte AS (
+  SELECT *, list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))) AS bytes FROM run),
+sum AS (
+  SELECT run, n, xor(list_reduce(list_transform(bytes, lambda b: b::BIGINT), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM byte, tbl),
+word AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM sum),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM word WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (
+  SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM w)),
+pair AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION
+  SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION
+  SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM pair GROUP BY word),
+form AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, form FROM form
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN form f ON c.form = f.word)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM form f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""
+
 # Every pair of sources meets on every term; the operator adds what absent terms have in common only once.
 _DIVERGENCE_SQL = r"""
 WITH d AS (
@@ -224,4 +268,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL, "op13_divergence": _DIVERGENCE_SQL}
+    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL, "op12_spelling": _SPELLING_SQL, "op13_divergence": _DIVERGENCE_SQL}
