@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fingerprint, language_id, line_dedup, mixing, packing, ppm, secrets, shingle_join, spelling, url_rules, vectors
+from . import divergence, fingerprint, knn, language_id, line_dedup, mixing, packing, ppm, secrets, shingle_join, spelling, url_rules, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_docs(spark, sf_dir))
 
@@ -76,7 +80,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_shingle_join, op3_order_minhash, op4_vectors, op5_best_fit_packing, op6_secrets, op7_mixing, op8_ppm, op9_line_dedup, op10_url_rules, op12_spelling, op13_divergence)
+    found = (op1_language_id, op2_shingle_join, op3_order_minhash, op4_vectors, op5_best_fit_packing, op6_secrets, op7_mixing, op8_ppm, op9_line_dedup, op10_url_rules, op11_top_k, op12_spelling, op13_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -188,6 +192,17 @@ FROM kept
 """
 
 
+_TOP_K_SQL = r"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.uid, q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+  FROM v q JOIN v d ON q.uid <> d.uid AND len(q.v) = len(d.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 10
+"""
+
 # Words meet where one letter is left out: at the same place (exchanged), or of one of them.  The
 # checksum is made byte by byte from a table by its rule, as there is no function for it.
 _SPELLING_SQL = r"""
@@ -268,4 +283,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL, "op12_spelling": _SPELLING_SQL, "op13_divergence": _DIVERGENCE_SQL}
+    return {"op7_mixing": _MIX_SQL, "op9_line_dedup": _LINES_SQL, "op10_url_rules": _URL_SQL, "op11_top_k": _TOP_K_SQL, "op12_spelling": _SPELLING_SQL, "op13_divergence": _DIVERGENCE_SQL}
