@@ -6,11 +6,10 @@ the largest inner product is the smallest distance, so that the triangle inequal
 bounds it.
 
 1. Pivots are drawn from a bounded sample; every row goes to the cell of its nearest
-   pivot.  A summary of each cell holds how many rows it has, how far they reach, and the
-   distances of its k + 1 nearest rows; that of its queries holds how far these reach.
+   pivot.  The summary of a cell holds the distances of its k + 1 nearest rows.
 2. Cells of queries are put together to groups of GROUP queries, neighbours first (a
-   larger cell gives several groups).  From the summaries alone follows, for each cell of queries,
-   a distance within which every query has k others (`reach`), and for each cell of data the ring
+   larger cell gives several groups).  From the summaries alone follows, for each query,
+   a distance within which it has k others, and for each group and cell of data the ring
    around its pivot outside which no row can be nearer than that.
 3. A row is copied to the groups whose ring holds it, and no others.  Each group meets its
    rows in blocks of BLOCK; a block gives every query its own k best by exact
@@ -99,6 +98,10 @@ class Cells:
         rest = np.sqrt(np.maximum(0.0, self.largest / self.unit**2 - (points * points).sum(1)))
         return np.column_stack([points, np.where(asks, 0.0, rest)])
 
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """Of every point from every pivot."""
+        return np.sqrt(np.maximum(0.0, ((points[:, None, :] - self.pivots[None, :, :]) ** 2).sum(2)))
+
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         square = (points * points).sum(1)[:, None] - 2 * points @ self.pivots.T + (self.pivots**2).sum(1)
         cell = square.argmin(1)
@@ -121,21 +124,21 @@ def _of_length(rows: DataFrame, dim: int, n: int, k: int, scale: int, pivots: in
             points = _points(b["v"], dim, scale)
             cell, far = c.nearest(c.lifted(points, False))
             asks = np.asarray(b["asks"].to_numpy(zero_copy_only=False), dtype=bool)
-            own, own_far = c.nearest(c.lifted(points, True))
+            own, _ = c.nearest(c.lifted(points, True))
             yield pa.RecordBatch.from_arrays(
-                [b["uid"], b["vec_id"], b["asks"], pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.where(asks, own, -1).astype(np.int32)), pa.array(own_far), pa.array([x.tobytes() for x in points], pa.binary())],
-                names=["uid", "vec_id", "asks", "cell", "far", "q_cell", "q_far", "data"],
+                [b["uid"], b["vec_id"], b["asks"], pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.where(asks, own, -1).astype(np.int32)), pa.array([x.tobytes() for x in points], pa.binary())],
+                names=["uid", "vec_id", "asks", "cell", "far", "q_cell", "data"],
             )
 
-    placed = common.stored(rows.select("uid", "vec_id", "asks", "v").mapInArrow(assign, "uid long, vec_id long, asks boolean, cell int, far double, q_cell int, q_far double, data binary"), "placed")
-    rings, asked = _rings(placed, cells, k, group)
-    ring = spark.createDataFrame(rings, "cell int, part int, low double, high double")
-    parts = spark.createDataFrame(asked, "q_cell int, first int, parts int")
-    # at most PIVOTS * groups rows, each of which says what a group takes from a cell
-    ring = F.broadcast(ring) if len(rings) <= common.BROADCAST_ROWS else ring
+    placed = common.stored(rows.select("uid", "vec_id", "asks", "v").mapInArrow(assign, "uid long, vec_id long, asks boolean, cell int, far double, q_cell int, data binary"), "placed")
+    # at most PIVOTS rows: the groups of each cell of queries
+    parts = spark.createDataFrame(_groups(placed, cells, group), "q_cell int, first int, parts int")
     part = F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
     queries = placed.where("asks").join(F.broadcast(parts), "q_cell").select(part.alias("part"), "uid", "vec_id", "data")
-    data = placed.join(ring, "cell").where("far between low and high").select("part", "uid", "vec_id", "data")
+    rings = common.stored(_rings(placed, queries, cells, dim, k), "rings")
+    # a row for each group and cell at most
+    rings = F.broadcast(rings) if rings.count() <= common.BROADCAST_ROWS else rings
+    data = placed.join(rings, "cell").where("far between low and high").select("part", "uid", "vec_id", "data")
     blocks = max(1, -(-n // block))
     of = F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")
     both = data.select("part", of.alias("block"), F.lit(False).alias("asks"), "uid", "vec_id", "data").unionByName(
@@ -145,46 +148,48 @@ def _of_length(rows: DataFrame, dim: int, n: int, k: int, scale: int, pivots: in
     return _ranked(best, k, exact)
 
 
-def _rings(placed: DataFrame, cells: Cells, k: int, group: int) -> tuple[list, list]:
-    """(cell, part, low, high): the ring of a cell that a group of queries takes; and
-    (q_cell, first, parts): the groups of a cell's queries."""
-    order = Window.partitionBy("cell").orderBy("far")
-    nearest = placed.select("cell", "far").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
-    near = {r["cell"]: r["near"] for r in nearest.collect()}  # at most PIVOTS rows of k + 1 numbers
-    reach = {r["cell"]: (r["low"], r["high"]) for r in placed.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high")).collect()}
-    asked = placed.where("asks").groupBy("q_cell").agg(F.count(F.lit(1)).alias("n"), F.max("q_far").alias("far")).collect()
+def _groups(placed: DataFrame, cells: Cells, group: int) -> list[tuple[int, int, int]]:
+    """(q_cell, first, parts): the groups that a cell's queries are dealt out to."""
+    asked = {r["q_cell"]: r["n"] for r in placed.where("asks").groupBy("q_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     p = cells.pivots
-    between = np.sqrt(np.maximum(0.0, ((p[:, None, :] - p[None, :, :]) ** 2).sum(2)))
-    slack = SLACK * (1.0 + between.max(initial=0.0))
-
-    # neighbours first: from each cell to the nearest that is left
-    left, chain = {r["q_cell"]: r for r in asked}, []
-    while left:
-        at = min(left, key=lambda c: (between[chain[-1]["q_cell"], c], c)) if chain else min(left)
-        chain.append(left.pop(at))
-    numbered, members, part, held = [], {}, 0, 0
-    for r in chain:
-        if held and held + r["n"] > group:
+    between = ((p[:, None, :] - p[None, :, :]) ** 2).sum(2)
+    out, part, held, last = [], 0, 0, None
+    while asked:  # neighbours first: from each cell to the nearest that is left
+        cell = min(asked, key=lambda c: (0.0 if last is None else between[last, c], c))
+        n, last = asked.pop(cell), cell
+        if held and held + n > group:
             part, held = part + 1, 0
-        pieces = -(-r["n"] // group)
-        numbered.append((r["q_cell"], part, pieces))
-        for x in range(part, part + pieces):
-            members.setdefault(x, []).append(r)
-        part, held = (part + pieces - 1, held + r["n"]) if pieces == 1 else (part + pieces, 0)
-
-    out = []
-    for x, own in members.items():
-        low, high = np.full(len(p), np.inf), np.full(len(p), -np.inf)
-        for r in own:
-            gap = between[r["q_cell"]]
-            # k others and the query itself are within this distance of every query of the cell
-            within = sorted(gap[c] + d for c, ds in near.items() for d in ds)
-            theta = r["far"] + within[k] + slack if len(within) > k else np.inf
-            # |q - x| is at least each of: |p_q - p_c| - far(q) - far(x), far(x) - |p_q - p_c| - far(q)
-            low = np.minimum(low, gap - r["far"] - theta - slack)
-            high = np.maximum(high, gap + r["far"] + theta + slack)
-        out += [(int(c), x, float(low[c]), float(high[c])) for c, (a, b) in reach.items() if b >= low[c] and a <= high[c]]
-    return out, numbered
+        pieces = -(-n // group)
+        out.append((int(cell), part, pieces))
+        part, held = (part + pieces, 0) if pieces > 1 else (part, held + n)
+    return out
+
+
+def _rings(placed: DataFrame, queries: DataFrame, cells: Cells, dim: int, k: int) -> DataFrame:
+    """cell, part, low, high: the distances from a cell's pivot at which a group of queries
+    may have a row among its k nearest."""
+    order = Window.partitionBy("cell").orderBy("far")
+    nearest = placed.select("cell", "far").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    summary = [(r["cell"], r["far"]) for r in nearest.collect()]  # at most PIVOTS * (k + 1) numbers
+    at, far = np.array([s[0] for s in summary], dtype=np.int64), np.array([s[1] for s in summary])
+    shared = queries.sparkSession.sparkContext.broadcast((cells, at, far))
+
+    def bounds(frames):
+        c, at, far = shared.value
+        for b in common.batches(frames, 256):
+            points = np.frombuffer(b"".join(b["data"].to_pylist()), dtype=np.float64).reshape(-1, dim)
+            gap = c.distances(c.lifted(points, True))
+            # k others and the query itself are within this distance of a query
+            theta = np.partition(gap[:, at] + far, k, axis=1)[:, k : k + 1] if len(far) > k else np.inf
+            theta = theta + SLACK * (1.0 + gap.max(1, keepdims=True))
+            part = b["part"].to_numpy()
+            for x in np.unique(part):
+                # a row at distance f from the pivot is at least |gap - f| from the query
+                low, high = (gap - theta)[part == x].min(0), (gap + theta)[part == x].max(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low), dtype=np.int32)), pa.array(np.full(len(low), x, dtype=np.int32)), pa.array(low), pa.array(high)], names=["cell", "part", "low", "high"])
+
+    found = queries.select("part", "data").mapInArrow(bounds, "cell int, part int, low double, high double")
+    return found.groupBy("cell", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
