@@ -178,7 +178,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INV = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_WORD = np.array([not (c == 0x20 or 0x09 <= c <= 0x0D) for c in range(256)])
 
 
@@ -223,7 +223,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     Words are runs of bytes other than 20 and 09-0D; as all of these are ASCII,
     the UTF-8 bytes split where the code points do.
     """
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, dtype=np.uint64)

@@ -50,7 +50,7 @@ END_WORD = np.uint64(0x5EED0E4D)
 
 
 def text_bytes(text: str | None) -> np.ndarray:
-    data = (text or "").encode("utf-8", "surrogatepass").translate(common._LOWER)
+    data = (text or "").encode("utf-8", "surrogatepass").translate(common.LOWER)
     return np.frombuffer(data, dtype=np.uint8)
 
 
