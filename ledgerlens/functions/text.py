@@ -17,7 +17,7 @@ _RADICALS = "".join(chr(c) for c in range(0x2E80, 0x2FE0) if unicodedata.normali
 _COMMON = "".join(unicodedata.normalize("NFKC", c) for c in _RADICALS)
 
 #: fixed values: punctuation that names and headings are compared without
-_PUNCT = r"[ \t\r\n　，,。.:：；;、/（）()【】《》〈〉—\-━﻿·•●\[\]{}_~“”\"'‘’＋+]"
+PUNCTUATION = r"[ \t\r\n　，,。.:：；;、/（）()【】《》〈〉—\-━﻿·•●\[\]{}_~“”\"'‘’＋+]"
 
 
 def normalized(s: Column) -> Column:
@@ -29,7 +29,7 @@ def normalized(s: Column) -> Column:
 
 
 def without_punctuation(s: Column) -> Column:
-    return F.regexp_replace(F.coalesce(s, F.lit("")), _PUNCT, "")
+    return F.regexp_replace(F.coalesce(s, F.lit("")), PUNCTUATION, "")
 
 
 def compact(s: Column) -> Column:
