@@ -1,7 +1,8 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 The model is a trie of byte contexts up to `order` bytes, counted over all
-training text.  A symbol is coded in the longest context that the trie has; where
+training text; it has every context that occurs at least `least` times, and grows
+with the corpus.  A symbol is coded in the longest context that the trie has; where
 it was not seen there, the coder escapes to the next shorter context, and the
 symbols of the longer one are excluded there.  Escapes are estimated by method C
 (distinct symbols / (distinct + total)).  Below the empty context every symbol
@@ -9,8 +10,15 @@ that is not excluded is equally likely.  The alphabet has the 256 bytes and an
 end symbol, so the probabilities of all texts sum to one.
 
 Because every symbol of a context is also one of its suffix, what is excluded at
-an order depends on the next longer context only.  The cost of each (context,
-symbol) can therefore be tabulated once; scoring a text is a lookup for each byte.
+an order depends on the next longer context only.  The trie is therefore sparse: a
+count for each symbol seen in a context, and for each context the costs of its escape
+and of what its suffix leaves.  Scoring a text is a lookup for most bytes, and one
+more for each escape.
+
+A trie of more than `shard_grams` counts is cut by the last two bytes of its contexts,
+which a context shares with its suffixes, so that every position of a text belongs to one
+shard.  Each shard is broadcast by itself and scores its positions in a pass over the texts;
+no more than one is held at a time.
 
 The word model beside it (add-one unigrams) needs the count of every word.  Words
 that make up a large part of all tokens - there can be at most `hot_words` of
@@ -42,8 +50,12 @@ from . import common
 END = 256
 SYMBOLS = 257
 ORDER = 5
-#: bound of the trie's contexts, the most frequent ones of the whole corpus
-MAX_CONTEXTS = 24_000
+#: occurrences of a context in all training text from which on it is kept
+LEAST = 2
+#: counts of a shard of the trie: some 60 MB with its index
+SHARD_GRAMS = 2_500_000
+#: positions of texts that are scored at a time
+POSITIONS = 1 << 18
 HOT_WORDS = 20_000
 #: hash that stands for the end token of the word model (no word has it but by accident)
 END_WORD = np.uint64(0x5EED0E4D)
@@ -117,129 +129,215 @@ def _gram_batch(k: np.ndarray, ctx: np.ndarray, symbol: np.ndarray, n: np.ndarra
 # ---------------------------------------------------------------------- model
 
 
+def _tag(k, context: np.ndarray, symbol=0) -> np.ndarray:
+    """A context of k bytes (and a symbol) as one number; five bytes at most."""
+    return np.uint64(k << 52) | context << np.uint64(9) | symbol
+
+
+class Lookup:
+    """Places of keys, by tables of hashes; what two keys share goes on to the next table."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables = keys, []
+        left, factor = np.arange(len(keys), dtype=np.int32), int(common._MUL)
+        while len(left):
+            bits = max(4, (2 * len(left) - 1).bit_length())
+            slot = _slot(keys[left], factor, bits)
+            table = np.full(1 << bits, -1, dtype=np.int32)
+            table[slot] = left
+            self.tables.append((factor, bits, table))
+            left = left[table[slot] != left]
+            factor = factor * 0xD1342543DE82EF95 % (1 << 64) | 1
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = np.full(len(want), -1, dtype=np.int32)
+        todo = None
+        for factor, bits, table in self.tables:
+            some = want if todo is None else want[todo]
+            at = table[_slot(some, factor, bits)]
+            ok = self.keys[at] == some
+            ok &= at >= 0
+            if todo is None:
+                out = np.where(ok, at, np.int32(-1))
+                todo = np.flatnonzero((at >= 0) & ~ok)
+            else:
+                out[todo[ok]] = at[ok]
+                todo = todo[(at >= 0) & ~ok]
+            if not len(todo):
+                break
+        return out
+
+
+def _slot(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @dataclass
 class Model:
-    """keys[k]: sorted contexts of k bytes; first[k]: the row of the first of
-    these in `cost`, which has the log2 cost of each symbol."""
+    """Counts of a trie (of a shard of it) as costs in bits.
+
+    grams: (context, symbol) keys, with what the symbol costs in its context (here) and
+    the logarithm of its count; contexts: keys, with the cost of an escape (out), and for
+    what a longer context escapes to: the logarithm of the suffix's mass without what is
+    excluded (mass), and the cost of escaping from the suffix as well (on).
+    nothing: the cost of a symbol below the empty context.  shard: of each last two bytes, or None.
+    """
 
     order: int
-    keys: list[np.ndarray] = field(repr=False)
-    first: list[int] = field(repr=False)
-    cost: np.ndarray = field(repr=False)
-    _index: list | None = field(default=None, repr=False, compare=False)
-
-    def index(self) -> list:
-        """slot -> context row, for each order; a slot that two contexts share is searched."""
-        if self._index is None:
-            self._index = []
-            for k, keys in enumerate(self.keys):
-                bits = min(19, max(10, 8 * k))
-                table = np.full(1 << bits, -1, dtype=np.int32)
-                slot = _slot(keys, bits)
-                table[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-                twice = np.bincount(slot, minlength=1 << bits) > 1
-                table[twice] = -2
-                self._index.append((bits, table))
-        return self._index
-
-
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((keys * common._MUL) >> np.uint64(64 - bits)).astype(np.int64)
+    grams: Lookup = field(repr=False)
+    here: np.ndarray = field(repr=False)
+    log_count: np.ndarray = field(repr=False)
+    contexts: Lookup = field(repr=False)
+    out: np.ndarray = field(repr=False)
+    mass: np.ndarray = field(repr=False)
+    on: np.ndarray = field(repr=False)
+    nothing: float
+    number: int = 0
+    shard: np.ndarray | None = field(default=None, repr=False)
+
 
+@dataclass
+class Trie:
+    """Stored counts (k, ctx, symbol, n) of all kept contexts, and the shard of each last two bytes."""
+
+    counts: DataFrame
+    order: int
+    shard: np.ndarray
+    shards: int
 
-def fit(docs: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Count all texts of docs and keep the most frequent contexts.
+    def model(self, number: int = 0) -> Model:
+        """One shard; contexts of less than two bytes (at most 257 of them) are in each."""
+        rows = self.counts
+        if self.shards > 1:
+            pairs = np.flatnonzero(self.shard == number).tolist()
+            named = self.counts.sparkSession.createDataFrame([(p,) for p in pairs], "pair long")
+            own = rows.where("k >= 2").withColumn("pair", F.col("ctx").bitwiseAND(F.lit(0xFFFF))).join(F.broadcast(named), "pair").drop("pair")
+            rows = rows.where("k < 2").unionByName(own)
+        return build(rows.toPandas(), self.order, number, self.shard if self.shards > 1 else None)
 
-    Only counts of kept contexts come to the driver: at most max_contexts rows of
-    257 symbols.  Shorter contexts are kept before longer ones of equal count, so
-    the suffix of a kept context is kept.
+
+def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST, shard_grams: int = SHARD_GRAMS) -> Trie:
+    """Count all texts of docs and keep every context that occurs `least` times.
+
+    The suffix of a context occurs at least as often, so it is kept as well.  Only counts by
+    the last two bytes of contexts come to the driver here: at most 65536 numbers.
     """
+    if order > 5:
+        raise ValueError("contexts have five bytes at most")
     grams = common.stored(count_grams(docs, order), "grams")
     # every order's counts follow from the full order's: a suffix is the remainder by a power of 256
     orders = F.explode(F.sequence(F.lit(0), F.col("k")))
     every = grams.withColumn("j", orders).groupBy("j", F.when(F.col("j") > 0, F.pmod("ctx", F.expr("shiftleft(1L, 8 * j)"))).otherwise(F.lit(0)).cast("long").alias("c"), "symbol").agg(F.sum("n").alias("n"))
-    every = common.stored(every.withColumnRenamed("j", "k").withColumnRenamed("c", "ctx"), "grams")
-    total = every.groupBy("k", "ctx").agg(F.sum("n").alias("total"))
-    kept = common.stored(total.orderBy(F.desc("total"), "k", "ctx").limit(max_contexts), "kept")
-    rows = every.join(F.broadcast(kept), ["k", "ctx"]).select("k", "ctx", "symbol", "n").toPandas()
-    return build(rows, order)
-
-
-def build(rows: pd.DataFrame, order: int) -> Model:
-    keys = [np.sort(rows.loc[rows["k"] == k, "ctx"].unique()).astype(np.uint64) for k in range(order + 1)]
-    keys[0] = np.zeros(1, dtype=np.uint64)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).tolist()
-    cost = np.zeros((first[-1], SYMBOLS), dtype=np.float32)
-    lower_counts = lower_tail = None
-    for k in range(order + 1):
-        mine = rows[rows["k"] == k]
-        counts = np.zeros((len(keys[k]), SYMBOLS), dtype=np.float64)
-        if len(mine):
-            counts[np.searchsorted(keys[k], mine["ctx"].to_numpy().astype(np.uint64)), mine["symbol"].to_numpy()] = mine["n"].to_numpy()
-        seen = counts > 0
-        total, distinct = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        # tail: the cost, after the escape, of a symbol that was not seen here
-        if k == 0:
-            rest = SYMBOLS - distinct
-            tail = np.broadcast_to(np.log2(np.maximum(rest, 1)), counts.shape)
-        else:
-            suffix = np.searchsorted(keys[k - 1], keys[k] & np.uint64((1 << (8 * (k - 1))) - 1)) if k > 1 else np.zeros(len(keys[k]), dtype=np.int64)
-            low, low_tail = lower_counts[suffix], lower_tail[suffix]
-            free = np.where(seen, 0.0, low)
-            new = (free > 0).sum(1, keepdims=True)
-            mass = free.sum(1, keepdims=True) + new
-            with np.errstate(divide="ignore", invalid="ignore"):
-                at_suffix = np.log2(mass) - np.log2(free)
-                # nothing new at the suffix: it escapes for certain, at no cost
-                escape = np.where(new > 0, np.log2(mass) - np.log2(new), 0.0)
-            # where every symbol has been seen by the suffix no escape is possible, and none is asked for
-            tail = np.where(free > 0, at_suffix, escape + low_tail)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            here = np.log2(total + distinct) - np.log2(counts)
-            escape = np.where(distinct > 0, np.log2(total + distinct) - np.log2(np.maximum(distinct, 1)), 0.0)
-        cost[first[k] : first[k + 1]] = np.where(seen, here, escape + tail)
-        lower_counts, lower_tail = counts, tail
-    return Model(order, keys, first, cost)
-
-
-def code_lengths(raw: np.ndarray, model: Model) -> np.ndarray:
-    """Bits for each byte of the text and its end."""
-    n = len(raw)
-    sym = np.concatenate([raw, [END]]).astype(np.int64)
-    wide = raw.astype(np.uint64)
-    row = np.full(n + 1, -1, dtype=np.int64)
-    todo = np.arange(n + 1)
-    context = np.zeros(n + 1, dtype=np.uint64)
-    # the last `order` bytes before each position
-    for j in range(model.order, 0, -1):
-        context[j:] = context[j:] << np.uint64(8) | wide[: max(0, n + 1 - j)]
-        # bytes of positions nearer to the start than j are not there to be shifted in
-    index = model.index()
-    for k in range(model.order, 0, -1):
-        keys = model.keys[k]
-        todo = todo[todo >= k] if k == model.order else todo
-        near = todo[todo >= k]
-        if not len(near) or not len(keys):
+    every = every.withColumnRenamed("j", "k").withColumnRenamed("c", "ctx")
+    if least > 1:
+        every = common.stored(every, "grams")
+        total = every.groupBy("k", "ctx").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (F.col("k") == 0))
+        every = every.join(total.drop("total"), ["k", "ctx"], "left_semi")
+    every = common.stored(every.select("k", "ctx", "symbol", "n"), "trie")
+    sizes = every.where("k >= 2").groupBy(F.col("ctx").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.count(F.lit(1)).alias("n")).collect()
+    shard = np.zeros(1 << 16, dtype=np.int16)
+    shards, held = 1, 0
+    for r in sorted(sizes, key=lambda r: (-r["n"], r["pair"])):
+        if held and held + r["n"] > shard_grams:
+            shards, held = shards + 1, 0
+        shard[r["pair"]], held = shards - 1, held + r["n"]
+    return Trie(every, order, shard, shards)
+
+
+def build(rows: pd.DataFrame, order: int, number: int = 0, shard: np.ndarray | None = None) -> Model:
+    k, ctx = rows["k"].to_numpy(np.int64), rows["ctx"].to_numpy(np.int64).view(np.uint64)
+    keys = (k.astype(np.uint64) << np.uint64(52)) | ctx << np.uint64(9) | rows["symbol"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    keys, n, k = keys[by], rows["n"].to_numpy(np.float64)[by], k[by]
+    context = keys >> np.uint64(9)
+    start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
+    if not len(keys):  # nothing to learn from: every symbol is equally likely
+        none = np.empty(0, dtype=np.float32)
+        return Model(order, Lookup(keys), none, none, Lookup(keys), none, none, none, float(np.log2(SYMBOLS)), number, shard)
+    names = context[start]
+    of = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(keys)]])))
+    total, distinct = np.add.reduceat(n, start), np.bincount(of).astype(np.float64)
+    # the suffix of a context, and the counts that it has of the context's symbols
+    level = k[start]
+    low = names & ((np.uint64(1) << (8 * np.maximum(level - 1, 0)).astype(np.uint64)) - np.uint64(1)) | (np.maximum(level - 1, 0).astype(np.uint64) << np.uint64(43))
+    suffix = np.searchsorted(names, low)
+    at = np.searchsorted(keys, low[of] << np.uint64(9) | keys & np.uint64(511))
+    excluded = np.add.reduceat(n[at], start)
+    new = distinct[suffix] - distinct
+    mass = total[suffix] - excluded + new
+    deep = level > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        here = np.log2(total + distinct)[of] - np.log2(n)
+        out = np.log2(total + distinct) - np.log2(distinct)
+        # nothing new at the suffix: it escapes for certain, at no cost
+        on = np.where(deep & (new > 0), np.log2(mass) - np.log2(new), 0.0)
+        mass = np.where(deep & (mass > 0), np.log2(mass), 0.0)
+    small = lambda x: x.astype(np.float32)
+    nothing = float(np.log2(max(SYMBOLS - distinct[0], 1))) if level[0] == 0 else float(np.log2(SYMBOLS))
+    return Model(order, Lookup(keys), small(here), small(np.log2(n)), Lookup(names << np.uint64(9)), small(out), small(mass), small(on), nothing, number, shard)
+
+
+def _costs(context: np.ndarray, near: np.ndarray, symbol: np.ndarray, m: Model) -> np.ndarray:
+    """Bits for each symbol behind the last five bytes (`near` of them are there)."""
+    cost = np.zeros(len(symbol))
+    above = np.full(len(symbol), -1, dtype=np.int32)  # the context that was escaped from
+    todo = np.arange(len(symbol))
+    for k in range(m.order, -1, -1):
+        waits = near[todo] < k
+        some, rest = (todo[~waits], todo[waits]) if waits.any() else (todo, todo[:0])
+        if not len(some):
             continue
-        want = context[near] & np.uint64((1 << (8 * k)) - 1)
-        bits, table = index[k]
-        at = table[_slot(want, bits)].astype(np.int64)
-        many = at == -2
-        if many.any():
-            at[many] = np.minimum(np.searchsorted(keys, want[many]), len(keys) - 1)
-        ok = (at >= 0) & (keys[at] == want)
-        row[near[ok]] = model.first[k] + at[ok]
-        if k == model.order:
-            todo = np.flatnonzero(row < 0)
-        else:
-            todo = todo[row[todo] < 0]
-    row[row < 0] = 0
-    return model.cost[row, sym]
+        key = _tag(k, context[some] & np.uint64((1 << (8 * k)) - 1))
+        at = m.grams.find(key | symbol[some])
+        hit, up = at >= 0, above[some]
+        first = hit & (up < 0)
+        cost[some[first]] += m.here[at[first]]
+        later = hit & (up >= 0)
+        cost[some[later]] += m.mass[up[later]] - m.log_count[at[later]]
+        miss = some[~hit]
+        up, own = up[~hit], m.contexts.find(key[~hit])
+        escapes = (up < 0) & (own >= 0)
+        cost[miss[escapes]] += m.out[own[escapes]]
+        cost[miss[up >= 0]] += m.on[up[up >= 0]]
+        above[miss] = own
+        todo = np.concatenate([miss, rest]) if len(rest) else miss
+    cost[todo] += m.nothing
+    return cost
+
+
+def batch_bits(texts: list[str | None], m: Model) -> np.ndarray:
+    """Bits for each text and its end (for its positions in the model's shard)."""
+    parts = [text_bytes(t) for t in texts]
+    length = np.array([len(x) + 1 for x in parts], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(length)])
+    stream = np.full(int(first[-1]), END, dtype=np.uint16)
+    for x, at in zip(parts, first[:-1].tolist(), strict=True):
+        stream[at : at + len(x)] = x
+    out = np.zeros(len(texts))
+    for low in range(0, len(stream), POSITIONS):
+        high = min(low + POSITIONS, len(stream))
+        back = min(low, m.order)
+        wide = stream[low - back : high].astype(np.uint64)
+        place = np.arange(low, high)
+        text = np.searchsorted(first, place, side="right") - 1
+        near = np.minimum(place - first[text], m.order)
+        context = np.zeros(high - low, dtype=np.uint64)
+        for j in range(m.order, 0, -1):
+            context <<= np.uint64(8)
+            head = max(0, j - back)  # positions too near to the stream's start
+            context[head:] |= wide[back + head - j : max(0, len(wide) - j)]
+        symbol = wide[back:]
+        if m.shard is not None:
+            own = np.where(near >= 2, m.shard[(context & np.uint64(0xFFFF)).astype(np.int64)], 0) == m.number
+            context, near, symbol, text = context[own], near[own], symbol[own], text[own]
+        out += np.bincount(text, weights=_costs(context, near, symbol, m), minlength=len(texts))
+    return out
 
 
 def log10_probability(text: str | None, model: Model) -> float:
-    return -float(code_lengths(text_bytes(text), model).sum(dtype=np.float64)) * float(np.log10(2.0))
+    return -float(batch_bits([text], model)[0]) * float(np.log10(2.0))
 
 
 # ----------------------------------------------------------------- word model
@@ -274,18 +372,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, trains: Column, order: int = ORDER, max_contexts: int = MAX_CONTEXTS, hot_words: int = HOT_WORDS) -> DataFrame:
+def scores(docs: DataFrame, trains: Column, order: int = ORDER, least: int = LEAST, hot_words: int = HOT_WORDS, shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     # a row's own number ties repeated doc_ids apart; the table is stored, so it stays the same
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(trains, F.lit(False)).alias("trains"), F.coalesce(~trains, F.lit(False)).alias("held"))
-    model = fit(rows.where("trains"), order, max_contexts)
+    trie = fit(rows.where("trains"), order, least, shard_grams)
     words = common.stored(count_words(rows.where("trains")), "words")
     first = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, distinct = first["n"] or 0, first["v"]
     # no more than hot_words words can each have more than that share of all tokens
     hot = words.where(F.col("n") * hot_words > n_all).orderBy("word").toPandas()
-    shared = spark.sparkContext.broadcast((model, hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((trie.model(), hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
     log_total = float(np.log10(n_all + distinct + 1))
 
     def first_pass(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +396,13 @@ def scores(docs: DataFrame, trains: Column, order: int = ORDER, max_contexts: in
         size = 0
         for b in common.batches(frames, 256):
             head = {c: [] for c in ("row", "doc_id", "held", "n_tokens", "known", "base", "score")}
-            for row, doc_id, text, train, out in zip(*(b[c].to_pylist() for c in ("row", "doc_id", "text", "trains", "held")), strict=True):
+            texts = b["text"].to_pylist()
+            bits = batch_bits(texts, m) * -float(np.log10(2.0))
+            for row, doc_id, text, train, out, score in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), texts, b["trains"].to_pylist(), b["held"].to_pylist(), bits.tolist(), strict=True):
                 w, n = np.unique(_words(text), return_counts=True)
                 at = np.minimum(np.searchsorted(hot_keys, w), max(0, len(hot_keys) - 1))
                 is_hot = hot_keys[at] == w if len(hot_keys) else np.zeros(len(w), dtype=bool)
-                vals = (row, doc_id, out, int(n.sum()), int(n[is_hot].sum()), float((n[is_hot] * hot_logs[at[is_hot]]).sum()) if len(hot_keys) else 0.0, log10_probability(text, m))
+                vals = (row, doc_id, out, int(n.sum()), int(n[is_hot].sum()), float((n[is_hot] * hot_logs[at[is_hot]]).sum()) if len(hot_keys) else 0.0, score)
                 for c, v in zip(head, vals, strict=True):
                     head[c].append(v)
                 cold = ~is_hot
@@ -317,7 +417,15 @@ def scores(docs: DataFrame, trains: Column, order: int = ORDER, max_contexts: in
 
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     once = common.stored(rows.mapInArrow(first_pass, _FIRST), "scored")
+    shared.destroy()
     heads = once.where("word is null").select("row", "doc_id", "held", "n_tokens", "known", "base", "score")
+    more = [_of_shard(rows, trie, k) for k in range(1, trie.shards)]
+    if more:
+        rest = more[0]
+        for x in more[1:]:
+            rest = rest.unionByName(x)
+        rest = rest.groupBy("row").agg(F.sum("more").alias("more"))
+        heads = heads.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
     postings = once.where("word is not null").select("word", "known", "posting")
     postings = postings.repartition("word").sortWithinPartitions("word")
     # what words add comes back packed, by the split of the input that a document is in
@@ -327,6 +435,19 @@ def scores(docs: DataFrame, trains: Column, order: int = ORDER, max_contexts: in
     return heads.cogroup(cold).applyInPandas(_together(n_all, log_total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _of_shard(rows: DataFrame, trie: Trie, number: int) -> DataFrame:
+    """row, more: what the positions of one more shard add to each text's score."""
+    shared = rows.sparkSession.sparkContext.broadcast(trie.model(number))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(frames, 256):
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(batch_bits(b["text"].to_pylist(), shared.value) * -float(np.log10(2.0)))], names=["row", "more"])
+
+    found = common.stored(rows.select("row", "text").mapInArrow(run, "row long, more double"), "shard")
+    shared.destroy()
+    return found
+
+
 _SUMS = np.dtype([("row", "<i8"), ("known", "<i8"), ("base", "<f8")])
 
 

@@ -409,7 +409,7 @@ def test_water_filling(spark):
 
 def test_ppm_base_scores(spark, docs, none):
     trains = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
-    got = ppm.scores(docs, trains, max_contexts=2000, hot_words=50).collect()
+    got = ppm.scores(docs, trains, hot_words=50).collect()
     rows = corpus()
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows]
     tokens = [[*words(t), "\0end"] for _, t, *_ in rows]
@@ -457,19 +457,57 @@ def brute_ppm(rows, order, text):
     return bits
 
 
-def test_ppm_is_what_coding_gives(spark):
-    texts = ["the cat sat on the mat", "the hat that sat", "a cat and a hat", "xyzzy"]
-    order = 3
-    model = ppm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order, 10_000)
+def _ppm_counts(texts, order, least=1):
     rows = collections.defaultdict(collections.Counter)
     for t in texts:
         d = ppm.text_bytes(t).tobytes()
         for p in range(len(d) + 1):
             for k in range(min(order, p) + 1):
                 rows[k, d[p - k : p]][d[p] if p < len(d) else ppm.END] += 1
-    for t in [*texts, "the cat that", "", "q\u00e9", "THE CAT"]:
-        assert abs(ppm.code_lengths(ppm.text_bytes(t), model).sum() - brute_ppm(rows, order, t)) < 1e-3
-    assert np.allclose(np.exp2(-model.cost.astype(float)).sum(1), 1.0, atol=1e-5)
+    return {c: n for c, n in rows.items() if sum(n.values()) >= least or not c[0]}
+
+
+@pytest.mark.parametrize(("order", "least"), [(3, 1), (3, 2), (5, 1), (5, 3)])
+def test_ppm_is_what_coding_gives(spark, order, least):
+    texts = ["the cat sat on the mat", "the hat that sat", "a cat and a hat", "xyzzy", None, "", "aaaaaaaa", "the cat sat"]
+    trie = ppm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order, least)
+    assert trie.shards == 1
+    model, rows = trie.model(), _ppm_counts(texts, order, least)
+    tries = [*texts, "the cat that", "", "q\u00e9", "THE CAT", "\x00\xff"]
+    bits = ppm.batch_bits(tries, model)
+    for t, b in zip(tries, bits, strict=True):
+        assert abs(b - brute_ppm(rows, order, t)) < 1e-3
+        assert abs(ppm.log10_probability(t, model) + b * math.log10(2)) < 1e-9
+    # the probabilities of all symbols behind a context sum to one
+    for before in ("", "t", "the c", "zz", "aaaa", "q"):
+        raw = np.frombuffer(before.encode()[-order:], dtype=np.uint8)
+        context = np.full(257, int.from_bytes(raw.tobytes(), "big"), dtype=np.uint64)
+        costs = ppm._costs(context, np.full(257, len(raw)), np.arange(257, dtype=np.uint64), model)
+        assert abs(np.exp2(-costs).sum() - 1) < 1e-5
+
+
+def test_ppm_shards_give_the_whole(spark, docs, monkeypatch):
+    trains = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    key = lambda rows: collections.Counter((r["doc_id"], r["n_tokens"], round(r["base_score"], 6), round(r["score"], 3)) for r in rows)
+    whole = key(ppm.scores(docs, trains, least=1).collect())
+    trie = ppm.fit(docs.where(trains), least=1, shard_grams=3000)
+    assert trie.shards > 3
+    assert key(ppm.scores(docs, trains, least=1, shard_grams=3000).collect()) == whole
+    # positions are scored piece by piece as well
+    monkeypatch.setattr(ppm, "POSITIONS", 7)
+    model, texts = ppm.fit(docs.where(trains), least=2).model(), ["the of and in to", None, "", "la des et une dans pour"]
+    pieces = ppm.batch_bits(texts, model)
+    monkeypatch.undo()
+    assert np.allclose(pieces, ppm.batch_bits(texts, model))
+
+
+def test_ppm_grows_with_the_corpus_and_scores_better(spark):
+    rows = [(r[0], r[1]) for r in corpus(n=160) if r[0] < 1000]
+    held = [t for i, t in rows if i % 4 == 0]
+    fitted = [ppm.fit(spark.createDataFrame([(t,) for i, t in rows if i % 4 and i < most], "text string")) for most in (40, 80, 160)]
+    sizes = [t.counts.count() for t in fitted]
+    bits = [ppm.batch_bits(held, t.model()).sum() for t in fitted]
+    assert sizes[0] < sizes[1] < sizes[2] and bits[0] > bits[1] > bits[2]
 
 
 # ------------------------------------------------------------------- line dedup
