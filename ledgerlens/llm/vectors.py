@@ -6,8 +6,9 @@ into tiles along the leading axes; two tiles are compared only if their bounding
 boxes are nearer than a pair at the threshold can be.  Within a pair of tiles the
 leading coordinates are multiplied first; the product of the suffix norms bounds
 what the other coordinates can add, and pairs that cannot reach the threshold
-stop there.  What is left is decided by the whole cosine in double precision.
-The rotation only orders the work: every linked pair is found whatever it is.
+stop there.  What is left is decided by the whole cosine in double precision; where
+it is within NEAR of the threshold, on the original components.  The rotation only
+orders the work: every linked pair is found whatever it is.
 
 Vectors that are equal in all components are one class with a multiplicity.  A
 tile pair returns the links per class and a spanning forest, never its pairs.  Cells
@@ -16,7 +17,8 @@ of more than `tile_rows` classes are dealt out to several tiles.
 Defined cases: vectors that are null, empty, zero or have null or non-finite
 components link with nothing and are kept.  Vectors of different length do not
 link.  Rows that repeat a vec_id are separate vectors for n_links, and meet in
-component_id by their vec_id.  Ties at the threshold link.  An empty table gives an
+component_id by their vec_id.  Ties at the threshold link: the cosine counts that the
+original components give, added up in extended precision and rounded to double once.  An empty table gives an
 empty result; columns other than vec_id and embedding are not looked at, whatever
 their names.
 """
@@ -41,6 +43,8 @@ LEADING = 16
 #: leading axes that tiles are cut along
 CUT_AXES = 6
 SLACK = 1e-5
+#: distance from the threshold within which rotated vectors do not decide
+NEAR = 1e-9
 
 
 def _unit(block: np.ndarray) -> np.ndarray:
@@ -67,6 +71,9 @@ class Axes:
         low = lead[:, axis] <= at
         return [axis, at, self._cut(rows[low], cells // 2, depth + 1), self._cut(rows[~low], cells - cells // 2, depth + 1)]
 
+    def rotated(self, rows: np.ndarray) -> np.ndarray:
+        return _unit(rows / np.abs(rows).max(1, keepdims=True)) @ self.rotation
+
     def cells(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows), dtype=np.int64)
         names: list[int] = [0]
@@ -145,10 +152,10 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float, tile_rows: in
     def rotate(frames):
         a = shared.value
         for b in common.batches(frames, 4096):
-            block = np.asarray(b["v"].flatten(), dtype=np.float64).reshape(-1, dim)
-            block = _unit(block / np.abs(block).max(1, keepdims=True)) @ a.rotation
+            raw = np.asarray(b["v"].flatten(), dtype=np.float64).reshape(-1, dim)
+            block = a.rotated(raw)
             lead = block[:, : min(CUT_AXES, dim)]
-            yield pa.RecordBatch.from_arrays([b["id"], b["times"], pa.array(a.cells(block).astype(np.int32)), pa.FixedSizeListArray.from_arrays(lead.ravel(), lead.shape[1]).cast(pa.list_(pa.float64())), pa.array([r.tobytes() for r in block], pa.binary())], names=["id", "times", "cell", "lead", "data"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["times"], pa.array(a.cells(block).astype(np.int32)), pa.FixedSizeListArray.from_arrays(lead.ravel(), lead.shape[1]).cast(pa.list_(pa.float64())), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "times", "cell", "lead", "data"])
 
     tiles = common.stored(classes.select("id", "v", "times").mapInArrow(rotate, "id long, times long, cell int, lead array<double>, data binary"), "tiles")
     lead = range(min(CUT_AXES, dim))
@@ -169,13 +176,22 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float, tile_rows: in
     second = tiles.join(todo, F.col("cell") == F.col("b")).select("a", every("na"), "b", F.col("block").alias("bblock"), "id", "times", "data", F.lit(1).alias("side")).withColumnRenamed("other", "ablock").where("a <> b OR bblock > ablock")
     # a tile moves once for every tile that its cell's box can reach
     dealt = first.unionByName(second)
-    return dealt.groupBy("a", "ablock", "b", "bblock").applyInPandas(_compare(dim, threshold), "a long, b long, n long")
+    return dealt.groupBy("a", "ablock", "b", "bblock").applyInPandas(_compare(dim, threshold, shared), "a long, b long, n long")
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with that of b.  Scaling by powers of two is exact."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]).astype(np.longdouble) for x in (a, b))
+    dot = lambda x, y: (x * y).sum(1)
+    return (dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))).astype(np.float64)
 
 
-def _compare(dim: int, threshold: float):
+def _compare(dim: int, threshold: float, shared):
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         in_first = (frame["side"] == 0).to_numpy()
-        data = np.frombuffer(b"".join(frame["data"]), dtype=np.float64).reshape(-1, dim)
+        raw = np.frombuffer(b"".join(frame["data"]), dtype=np.float64).reshape(-1, dim)
+        # the original components travel, and are rotated where they are compared
+        data = shared.value.rotated(raw)
         ids, times = frame["id"].to_numpy(), frame["times"].to_numpy()
         left = np.flatnonzero(in_first)
         same = key[:2] == key[2:]
@@ -202,7 +218,10 @@ def _compare(dim: int, threshold: float):
                 if same:
                     some = x < y
                     x, y = x[some], y[some]
-                some = np.einsum("ij,ij->i", data[x], data[y]) >= threshold
+                product = np.einsum("ij,ij->i", data[x], data[y])
+                some = product >= threshold
+                close = np.flatnonzero(np.abs(product - threshold) <= NEAR)
+                some[close] = cosines(raw[x[close]], raw[y[close]]) >= threshold
                 x, y = x[some], y[some]
                 links += np.bincount(x, weights=times[y], minlength=len(ids)).astype(np.int64)
                 links += np.bincount(y, weights=times[x], minlength=len(ids)).astype(np.int64)

@@ -510,6 +510,21 @@ def test_ppm_grows_with_the_corpus_and_scores_better(spark):
     assert sizes[0] < sizes[1] < sizes[2] and bits[0] > bits[1] > bits[2]
 
 
+def test_vectors_at_the_threshold(spark):
+    """19 / 20 is the threshold itself, whatever the rotation makes of it."""
+    rng = np.random.default_rng(11)
+    rows = [np.array(v, dtype=float) for v in ((1, 0, 0, 0, 0, 0), (19, 5, 3, 2, 1, 0), (0, 0, 19, 5, 3, 2), (0, 0, 1, 0, 0, 0), (19, 6, 3, 2, 1, 0))]
+    for _ in range(150):  # the same pairs, turned by a permutation, scaled by powers of two
+        at, scale = rng.permutation(6), 2.0 ** rng.integers(-30, 30)
+        rows += [rows[0][at] * scale, rows[1][at] * scale]
+    rows += [np.asarray(x) for x in rng.normal(size=(60, 6)).round(1) if np.any(x)]
+    cosine = lambda a, b: float(a @ b) / math.sqrt(float(a @ a) * float(b @ b))
+    links = [sum(cosine(a, b) >= 0.95 for j, b in enumerate(rows) if j != i) for i, a in enumerate(rows)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    for how in ({}, {"tile_rows": 40}):
+        assert [r["n_links"] for r in vectors.near_duplicates(df, **how).orderBy("vec_id").collect()] == links
+
+
 # ------------------------------------------------------------------- line dedup
 
 
