@@ -7,8 +7,9 @@ columns of documents.
 Defined cases: null and empty texts, and texts without letters, go at the first
 stage.  Rows with a null doc_id pass; where they repeat another document's text
 only lines take part, as near copies are told by their ids.  Of repeated rows one
-stays after the third stage, of rows that share only a doc_id the one whose text
-sorts first.  Very long texts go through whole.  Extra columns are carried along to
+stays after the third stage; rows that share only a doc_id are documents of their own.
+Of near copies the one with the smallest doc_id stays, of rows with that id the one whose
+text's hash is smallest.  Very long texts go through whole.  Extra columns are carried along to
 the fourth stage, whatever their names.  An empty table stays empty.
 """
 
@@ -37,17 +38,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    found = shingle_join.near_duplicates(docs)
-    gone = common.stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    out = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti")
-    out = out.select(*docs.columns)
     ids = docs.where("doc_id IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    if ids["n"] > ids["ids"]:  # repeated rows are copies too
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        one = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row"))
-        one = one.select("doc_id", *[F.col("__row")[c].alias(c) for c in ("text", *rest)]).select(*docs.columns)
-        out = one.unionByName(out.where("doc_id IS NULL"))
-    return out
+    place, keyed = "doc_id", docs
+    if ids["n"] > ids["ids"]:  # ids do not tell rows apart: they are numbered in the order of their ids
+        place = "__place" + "_" * max(len(c) for c in docs.columns)
+        number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        keyed = common.stored(docs.orderBy("doc_id", F.xxhash64("text")).withColumn(place, number), "placed")
+    found = shingle_join.near_duplicates(keyed.select(F.col(place).alias("doc_id"), "text"))
+    gone = common.stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(place)).distinct(), "copies")
+    return keyed.join(F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone, place, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
