@@ -56,3 +56,14 @@ def test_empty_table_and_null_ids(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = common.stored(stage(spark, out, ""), f"n-{name}")
     assert {r["doc_id"] for r in out.collect()} <= {None, 4} and out.count() >= 1
+
+
+def test_rows_that_share_only_an_id_are_documents(spark):
+    one, other = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "other"))
+    near = one.replace("alpha39", "changed")
+    rows = [(1, one), (1, other), (1, other), (7, near), (7, "a text of its own that nothing else resembles at all"), (9, other), (None, one)]
+    docs = frame(spark, [(i, t, "en", "s", len(t), 1, "x", "y", 2, "z") for i, t in rows])
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, one), (1, other), (7, rows[4][1]), (None, one)], key=str)
