@@ -138,7 +138,14 @@ class Lookup:
     """Places of keys, by tables of hashes; what two keys share goes on to the next table."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.keys, self.tables = keys, []
+        self.keys, self.tables = keys, None
+
+    def __getstate__(self) -> dict:
+        """The keys alone: each worker makes tables of its own."""
+        return {"keys": self.keys, "tables": None}
+
+    def _index(self) -> None:
+        keys, self.tables = self.keys, []
         left, factor = np.arange(len(keys), dtype=np.int32), int(common._MUL)
         while len(left):
             bits = max(4, (2 * len(left) - 1).bit_length())
@@ -151,6 +158,8 @@ class Lookup:
 
     def find(self, want: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
+        if self.tables is None:
+            self._index()
         out = np.full(len(want), -1, dtype=np.int32)
         todo = None
         for factor, bits, table in self.tables:
@@ -215,7 +224,9 @@ class Trie:
             named = self.counts.sparkSession.createDataFrame([(p,) for p in pairs], "pair long")
             own = rows.where("k >= 2").withColumn("pair", F.col("ctx").bitwiseAND(F.lit(0xFFFF))).join(F.broadcast(named), "pair").drop("pair")
             rows = rows.where("k < 2").unionByName(own)
-        return build(rows.toPandas(), self.order, number, self.shard if self.shards > 1 else None)
+        key = F.shiftleft(F.col("k").cast("long"), 52).bitwiseOR(F.shiftleft("ctx", 9)).bitwiseOR(F.col("symbol"))
+        table = rows.select(key.alias("key"), "n").toArrow()
+        return build(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy(), self.order, number, self.shard if self.shards > 1 else None)
 
 
 def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST, shard_grams: int = SHARD_GRAMS) -> Trie:
@@ -246,21 +257,20 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST, shard_grams: in
     return Trie(every, order, shard, shards)
 
 
-def build(rows: pd.DataFrame, order: int, number: int = 0, shard: np.ndarray | None = None) -> Model:
-    k, ctx = rows["k"].to_numpy(np.int64), rows["ctx"].to_numpy(np.int64).view(np.uint64)
-    keys = (k.astype(np.uint64) << np.uint64(52)) | ctx << np.uint64(9) | rows["symbol"].to_numpy(np.int64).view(np.uint64)
+def build(keys: np.ndarray, n: np.ndarray, order: int, number: int = 0, shard: np.ndarray | None = None) -> Model:
+    """The model of counts n of tagged (context, symbol) keys."""
     by = np.argsort(keys)
-    keys, n, k = keys[by], rows["n"].to_numpy(np.float64)[by], k[by]
+    keys, n = keys[by], n[by].astype(np.float64)
     context = keys >> np.uint64(9)
     start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
     if not len(keys):  # nothing to learn from: every symbol is equally likely
         none = np.empty(0, dtype=np.float32)
         return Model(order, Lookup(keys), none, none, Lookup(keys), none, none, none, float(np.log2(SYMBOLS)), number, shard)
     names = context[start]
-    of = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(keys)]])))
+    of = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.concatenate([start, [len(keys)]])))
     total, distinct = np.add.reduceat(n, start), np.bincount(of).astype(np.float64)
     # the suffix of a context, and the counts that it has of the context's symbols
-    level = k[start]
+    level = (names >> np.uint64(43)).astype(np.int64)
     low = names & ((np.uint64(1) << (8 * np.maximum(level - 1, 0)).astype(np.uint64)) - np.uint64(1)) | (np.maximum(level - 1, 0).astype(np.uint64) << np.uint64(43))
     suffix = np.searchsorted(names, low)
     at = np.searchsorted(keys, low[of] << np.uint64(9) | keys & np.uint64(511))
