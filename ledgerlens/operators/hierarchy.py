@@ -50,6 +50,28 @@ def closure(orgs: DataFrame) -> DataFrame:
     return out.groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
 
 
+def nearest_of_level(orgs: DataFrame, level: str = "department") -> DataFrame:
+    """(id, at): the nearest organization of a level, upwards from each, itself included; NULL where
+    none is above it (or only a cycle).
+
+    Pointer doubling: each points at its parent, those of the level and roots at themselves; a round lets all
+    point where what they point at does, so that chains of n take about log2(n) rounds.
+    """
+    known = _kept(orgs.select("id", "parent_id", (F.lower(F.trim("level")) == level).alias("is_level")).dropDuplicates(["id"]))
+    parents = known.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    stays = F.coalesce("is_level", F.lit(False)) | F.col("known").isNull()
+    at = _kept(known.join(parents, "parent_id", "left").select("id", F.when(stays, F.col("id")).otherwise(F.col("parent_id")).alias("at")))
+    for _ in range(max(1, known.count().bit_length())):
+        on = at.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        new = _kept(at.join(on, "at").select("id", "at", "next"))
+        moved = new.where("at <> next").limit(1).count()
+        at = new.select("id", F.col("next").alias("at"))
+        if not moved:
+            break
+    good = known.where("is_level").select(F.col("id").alias("at"), F.lit(True).alias("good"))
+    return at.join(good, "at", "left").select("id", F.when(F.col("good"), F.col("at")).alias("at"))
+
+
 def rollup(orgs: DataFrame, stats: DataFrame, measures: list[str]) -> DataFrame:
     """stats(org_id, measures) summed over each org and all below it, beside its own."""
     own = stats.groupBy("org_id").agg(*[F.sum(m).alias(m) for m in measures])

@@ -253,3 +253,17 @@ def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+@query(
+    "org_department",
+    f"""WITH RECURSIVE {_ORGS}, x AS (
+          SELECT id, level, CASE WHEN level <> 'unit' THEN parent_id WHEN substr(id, 2)::BIGINT % 7 <> 0 THEN 'c' || (substr(id, 2)::BIGINT - 1)::VARCHAR ELSE parent_id END AS parent_id FROM o),
+        up AS (SELECT id, id AS place, level, parent_id FROM x UNION ALL SELECT up.id, x.id, x.level, x.parent_id FROM up JOIN x ON up.parent_id = x.id WHERE up.level <> 'department')
+        SELECT id, max(CASE WHEN level = 'department' THEN place END) AS department FROM up GROUP BY id""",
+)
+def org_department(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # units hang below other units, up to seven deep
+    number = F.substring("id", 2, 20).try_cast("long")
+    chained = F.when((F.col("level") == "unit") & (number % 7 != 0), F.concat(F.lit("c"), (number - 1).cast("string"))).otherwise(F.col("parent_id"))
+    return H.nearest_of_level(orgs(spark, sf_dir).withColumn("parent_id", chained)).withColumnRenamed("at", "department")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import paging, tables
+from ..operators import boxes, paging, tables
 from .base import table
 from .registry import query
 
@@ -41,16 +41,17 @@ def star_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
        ORDER BY fiscal_year DESC, report_id LIMIT 50 OFFSET 20""",
 )
 def report_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("l_returnflag").alias("tables"))
     rows = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("fiscal_year", F.year("o_orderdate").cast("int"))
     )
-    rows = rows.where(paging.filters(equal={}, search="a", columns=("n_name",)) | F.col("c_mktsegment").ilike("%build%")).where("fiscal_year >= 1995")
+    rows = rows.where(paging.filters(equal={}, search="a", columns=("n_name",)) | F.col("c_mktsegment").ilike("%build%")).where("o_orderdate >= TIMESTAMP '1995-01-01'")
     page = paging.page(rows.select("o_orderkey", "n_name", "fiscal_year"), [F.desc("fiscal_year"), F.asc("o_orderkey")], limit=50, offset=20)
-    # only the page's rows look up their counts
+    # only the page's rows look up their counts: their keys, 50 at most, filter the lines before these are counted
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").join(F.broadcast(page.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")
+    counts = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items"), F.size(F.collect_set("l_returnflag")).cast("long").alias("tables"))
     return page.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("report_id"), F.col("n_name").alias("department"), "fiscal_year", F.coalesce("tables", F.lit(0)).alias("table_count"), F.coalesce("items", F.lit(0)).alias("line_count")
     )
@@ -252,3 +253,21 @@ def page_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("conv_id").orderBy("turn")
     nxt = F.when(F.lead("turn").over(by) == F.col("turn") + 1, F.lead("n").over(by))
     return pages.select("conv_id", "turn", nxt.isNotNull().alias("continued"), F.coalesce(nxt, F.lit(0)).alias("next_rows"))
+
+
+@query(
+    "box_suppression",
+    """WITH b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_partkey % 4 * 3 AS x0, l_suppkey % 3 * 2 AS y0,
+         CASE WHEN l_partkey % 5 = 0 THEN 9 ELSE 40 END AS w, CASE WHEN l_partkey % 5 = 0 THEN 7 ELSE 30 END AS h, l_partkey % 3 AS priority FROM lineitem),
+       l AS (SELECT page, list([{'id': id, 'x0': x0, 'y0': y0, 'x1': x0 + w, 'y1': y0 + h, 'area': w * h}] ORDER BY priority DESC, id) AS boxes FROM b GROUP BY page),
+       k AS (SELECT page, list_reduce(boxes, lambda acc, n: CASE WHEN len(list_filter(acc, lambda o:
+           greatest(0, least(o.x1, n[1].x1) - greatest(o.x0, n[1].x0)) * greatest(0, least(o.y1, n[1].y1) - greatest(o.y0, n[1].y0))
+           >= least(0.75 * (o.area + n[1].area) / 1.75, 0.9 * least(o.area, n[1].area)))) > 0 THEN acc ELSE list_concat(acc, n) END) AS kept FROM l)
+       SELECT page, unnest(list_transform(kept, lambda b: b.id))::INT AS id FROM k""",
+)
+def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    small, x, y = F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 4 * 3, F.col("l_suppkey") % 3 * 2
+    box = tables.bbox(x, y, x + F.when(small, 9).otherwise(40), y + F.when(small, 7).otherwise(30))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), place.cast("int").alias("id"), box.alias("box"), (F.col("l_partkey") % 3).alias("priority"))
+    return boxes.suppressed(rows, ["page"]).select("page", "id")
