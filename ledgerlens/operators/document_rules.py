@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as D
 from ..functions import numbers as N
 from ..functions import text as X
+from . import grant_table as G
+from . import headers as H
+from . import narrative as V
+from . import sections as S
 from . import text_rules as T
 
 # ------------------------------------------------------------------- structure
@@ -500,16 +504,31 @@ TEXT_RULES = {
     "direction": lambda pages: T.direction_findings(pages),
 }
 
+#: rules that are evaluated on whole rows or sections instead of single operands
+ELSEWHERE = ("v33_101", "v33_102", "v33_103", "v33_105", "v33_108", "v33_119", "v33_122_fund", "v33_122_state", "v33_202", "v33_220_basic", "v33_220_project", "v33_221", "v33_222", "v33_223_personnel", "v33_223_public", "v33_224_total", "v33_224_overseas", "v33_224_reception", "v33_225", "v33_226")
+
 RULES = [
-    Rule("identity_final", "final", lambda pages, rows, wide: identity_findings(wide, [r for r in IDENTITIES if r.kind == "final"])),
+    Rule("identity_final", "final", lambda pages, rows, wide: identity_findings(wide, [r for r in IDENTITIES if r.kind == "final" and r.rule not in ELSEWHERE])),
     Rule("identity_budget", "budget", lambda pages, rows, wide: identity_findings(wide, [r for r in IDENTITIES if r.kind == "budget"])),
     Rule("hierarchy", "final", lambda pages, rows, wide: hierarchy_findings(rows)),
     Rule("rows", "final", lambda pages, rows, wide: row_findings(rows)),
     Rule("leaves", "final", lambda pages, rows, wide: leaf_findings(rows)),
     Rule("mirror_final", "final", lambda pages, rows, wide: mirror_findings(rows, "T2", "T3")),
     Rule("mirror_budget", "budget", lambda pages, rows, wide: mirror_findings(rows, "B2", "B3")),
-    Rule("narrative", "any", lambda pages, rows, wide: narrative_findings(pages, wide)),
-    Rule("wording", "final", lambda pages, rows, wide: wording_findings(pages)),
+    Rule("narrative", "any", lambda pages, rows, wide: narrative_findings(pages, wide, [s for s in STATED if s.rule not in ELSEWHERE])),
+    Rule("wording", "final", lambda pages, rows, wide: S.expenditure_findings(pages)),
+    Rule("totals", "final", lambda pages, rows, wide: V.total_findings(pages, rows)),
+    Rule("near_numbers", "final", lambda pages, rows, wide: V.near_findings(pages, rows)),
+    Rule("class_shares", "final", lambda pages, rows, wide: V.class_share_findings(pages, rows)),
+    Rule("statements", "final", lambda pages, rows, wide: V.statement_findings(pages, rows)),
+    Rule("classes", "final", lambda pages, rows, wide: V.class_findings(pages, rows)),
+    Rule("zero_hints", "final", lambda pages, rows, wide: V.zero_hints(pages, rows)),
+    Rule("grant_balances", "final", lambda pages, rows, wide: G.balance_findings(rows)),
+    Rule("grant_rows", "final", lambda pages, rows, wide: G.row_findings(rows)),
+    Rule("grant_columns", "final", lambda pages, rows, wide: G.column_findings(rows)),
+    Rule("grant_empty", "final", lambda pages, rows, wide: G.empty_findings(rows)),
+    Rule("grant_general", "final", lambda pages, rows, wide: G.general_findings(rows)),
+    Rule("unfilled", "budget", lambda pages, rows, wide: H.placeholder_findings(pages)),
     Rule("income_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T2", "v33_210", 2, skip="合计")),
     Rule("expenditure_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T3", "v33_211", 3, parts=2)),
     Rule("income_sources", "final", lambda pages, rows, wide: source_findings(rows)),
@@ -524,19 +543,25 @@ RULES = [
 ]
 
 
-def run_rules(pages: DataFrame, rows: DataFrame, docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """All findings of docs(doc_id, kind): rules run on the documents of their kind.
+def run_rules(pages: DataFrame, rows: DataFrame, docs: DataFrame, rules: list[Rule] = RULES, isolated: bool = False) -> DataFrame:
+    """All findings of docs(doc_id, kind): rules run on the documents of their kind, which are
+    picked out once for all rules of a kind.
 
-    A rule whose plan cannot be built gives one `hint` finding in its place and
-    the others go on.
+    A rule whose plan cannot be built gives one `hint` finding in its place and the others
+    go on.  isolated: the findings of each rule are written to the checkpoint folder by
+    themselves, so that the same holds for one that fails while it runs.
     """
     wide = operands(rows, OPERANDS)
+    inputs: dict[str, tuple] = {}
     out = None
     for r in rules:
         of = docs.select("doc_id") if r.kind == "any" else docs.where(F.col("kind") == r.kind).select("doc_id")
+        if r.kind not in inputs:
+            inputs[r.kind] = tuple(df.join(of, "doc_id", "left_semi") for df in (pages, rows, wide))
         try:
-            found = r.run(*[df.join(of, "doc_id", "left_semi") for df in (pages, rows, wide)])
+            found = r.run(*inputs[r.kind])
             found = found.select(*[F.col(c) if c in found.columns else (F.concat_ws(" vs ", F.col("lhs").cast("string"), F.col("rhs").cast("string")) if c == "message" else F.lit(None).cast("string")).alias(c) for c in _COLUMNS])
+            found = found.checkpoint() if isolated else found
         except Exception as e:  # one broken rule must not take the others along
             found = of.limit(1).select("doc_id", F.lit(r.name).alias("rule"), F.lit("hint").alias("severity"), F.lit(f"rule failed: {type(e).__name__}").alias("message"))
         out = found if out is None else out.unionByName(found)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .boxes import suppressed
 
 
 def cells_of(df: DataFrame, keys: tuple[str, ...], row: Column, columns: dict[int, Column]) -> DataFrame:
@@ -68,27 +69,17 @@ def contained(a: Column, b: Column) -> Column:
 
 
 def spatial_dedupe(boxes: DataFrame, page: str, priority: str, overlap: float = 0.75, inside: float = 0.9) -> DataFrame:
-    """Of overlapping boxes on a page the ones of higher priority stay: greedy, in
-    order of priority, against what stays already.  A page has a handful of boxes."""
-    schema = boxes.schema
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for i, r in frame.sort_values(priority, ascending=False, kind="stable").iterrows():
-            b = r["box"]
-            for o in kept:
-                w = max(0, min(b["x1"], o["x1"]) - max(b["x0"], o["x0"]))
-                h = max(0, min(b["y1"], o["y1"]) - max(b["y0"], o["y0"]))
-                size = lambda q: (q["x1"] - q["x0"]) * (q["y1"] - q["y0"])
-                both, least = w * h, min(size(b), size(o))
-                if both and (both / (size(b) + size(o) - both) >= overlap or (least and both / least >= inside)):
-                    break
-            else:
-                kept.append(b)
-                frame.loc[i, "__keep"] = True
-        return frame[frame.get("__keep", pd.Series(False, index=frame.index)) == True].drop(columns="__keep", errors="ignore")[list(schema.names)]  # noqa: E712
-
-    return boxes.groupBy(page).applyInPandas(keep, schema)
+    """Of overlapping boxes on a page the ones of higher priority stay: greedy, in order of priority,
+    against what stays already.  Boxes without an id are numbered; of equals the first number stays."""
+    numbered = boxes if "id" in boxes.columns else _numbered(boxes)
+    rows = numbered.withColumnRenamed(priority, "priority") if priority != "priority" else numbered
+    kept = suppressed(rows.select(page, "id", "box", "priority"), [page], overlap, inside).select(page, "id")
+    return numbered.join(kept, [page, "id"], "left_semi").select(*boxes.columns)
+
+
+def _numbered(boxes: DataFrame) -> DataFrame:
+    out = boxes.withColumn("id", F.monotonically_increasing_id())
+    return out.checkpoint() if boxes.sparkSession.sparkContext.getCheckpointDir() else out.persist()
 
 
 # ------------------------------------------------------------------ similarity
