@@ -134,4 +134,4 @@ def recognize_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("match_measures")
 def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit("财政拨款收入（万元）"), F.lit("事业收入"), F.col("p_name")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("header"))
-    return tables.match_measure(heads, list(D.FACT_TABLES[1][3]))
+    return tables.match_measure(heads, D.measures("FIN_02_income"))

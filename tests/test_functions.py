@@ -76,3 +76,11 @@ def test_written_numbers_are_read(number_cases, x):
 def test_numbers_round_trip(spark, number_cases):
     values = [f"{x:,.2f}" for x in number_cases]
     assert column(spark, values, N.parse_number) == pytest.approx(number_cases)
+
+
+def test_headers_of_a_measure():
+    from ledgerlens.functions import dictionaries as D
+
+    assert D.measures("FIN_02_income")[:3] == [("total_actual", "合计"), ("total_actual", "收入合计"), ("total_actual", "决算数")]
+    assert all(set(D.MORE_HEADERS.get(c, {})) <= {m for m, _ in ms} for c, _, _, ms in D.FACT_TABLES)
+    assert len({a for names in D.FACT_ALIASES.values() for a in names}) == sum(map(len, D.FACT_ALIASES.values()))
