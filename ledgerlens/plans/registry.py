@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import documents, findings, locating, misc, narrative, orgs, qc, reports, rules, texts  # noqa: F401
+    from . import documents, findings, locating, misc, narrative, orgs, qc, reports, rules, syncing, texts  # noqa: F401
