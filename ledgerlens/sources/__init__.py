@@ -3,7 +3,7 @@ come extracted."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: fixed values: columns of the two CSV imports
@@ -38,24 +38,37 @@ def csv_facts(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("table_code").isNotNull())
 
 
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of every line; line grows along a file, whichever split a line is in.
+
+    A split has fewer lines than bytes, so that its start plus a line's number in it does.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    first = lines.groupBy("file", "block").agg(F.min("id").alias("first"))  # a row for each split
+    return lines.join(F.broadcast(first), ["file", "block"]).select("file", (F.col("block") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
 def pg_copy(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The rows of one COPY block of a database dump, as strings; \\N is NULL.
+    """The rows of a table's COPY blocks of a database dump, as strings; \\N is NULL.
 
-    The file's lines are numbered by a scan in file order; a block reaches from its
-    COPY line to the line `\\.`.
+    Blocks reach from a COPY line to the next line `\\.`; both kinds of lines are few, and lines are
+    theirs by range.  A block may span any number of splits, and no dump is held as one string.
+    line orders the rows of a file.
     """
-    whole = spark.read.text(path, wholetext=True)
-    head = F.regexp_extract("value", rf"(?m)^COPY (?:\w+\.)?{table} \(([^)]*)\) FROM stdin;$", 1)
-    body = F.regexp_extract("value", rf"(?ms)^COPY (?:\w+\.)?{table} \([^)]*\) FROM stdin;\n(.*?)^\\\.$", 1)
-    found = whole.select(head.alias("head"), body.alias("body")).where("head <> ''")
+    lines = _file_lines(spark, path)
+    head = rf"^COPY (?:\w+\.)?{table} \(([^)]*)\) FROM stdin;$"
+    marks = lines.where(F.col("value").startswith("COPY ") | (F.col("value") == "\\."))
+    # one row for each block of the dump
+    ends = marks.withColumn("end", F.lead("line").over(Window.partitionBy("file").orderBy("line")))
+    found = ends.where(F.col("value").rlike(head)).select("file", F.col("line").alias("start"), F.coalesce("end", F.lit((1 << 62))).alias("end"), F.regexp_extract("value", head, 1).alias("head"))
     first = found.select("head").first()
     if first is None:
         return spark.createDataFrame([], "line int")
     names = [n.strip().strip('"') for n in first["head"].split(",")]
-    lines = found.select(F.posexplode(F.split("body", "\n")).alias("line", "row")).where("row <> ''")
+    inside = lines.join(F.broadcast(found.drop("head")), "file").where("line > start AND line < end AND value <> ''").select("line", F.col("value").alias("row"))
     cells = F.split("row", "\t", -1)
     unescape = lambda c: F.when(c == "\\N", None).otherwise(F.replace(F.replace(F.replace(c, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\")))
-    return lines.select("line", *[unescape(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(names)])
+    return inside.select("line", *[unescape(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def json_statuses(spark: SparkSession, path: str, schema: str) -> DataFrame:

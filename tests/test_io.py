@@ -35,6 +35,25 @@ def test_dump_and_status_sources(spark, tmp_path):
     assert sources.file_checksums(spark, str(tmp_path / "jobs" / "j1")).first()["size"] == 18
 
 
+def test_dump_over_many_splits(spark, tmp_path):
+    rows = [(f"u{k}", f"name {k}" * (k % 7), None if k % 5 else f"u{k // 2}") for k in range(4000)]
+    body = lambda some: "".join(f"{a}\t{b}\t{c or chr(92) + 'N'}\n" for a, b, c in some)
+    text = "-- dump\n\nCOPY other (id) FROM stdin;\nx\n\\.\nCOPY public.units (id, name, parent) FROM stdin;\n" + body(rows[:3000]) + "\\.\nSELECT 1;\nCOPY public.units (id, name, parent) FROM stdin;\n" + body(rows[3000:]) + "\\.\nCOPY last (id) FROM stdin;\ny\n\\.\n"
+    (tmp_path / "dump.sql").write_text(text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100b")
+        df = sources.pg_copy(spark, str(tmp_path / "dump.sql"), "units")
+        assert df.rdd.getNumPartitions() > 20
+        got = [(r["id"], r["name"], r["parent"]) for r in df.orderBy("line").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == rows
+    assert sources.pg_copy(spark, str(tmp_path / "dump.sql"), "absent").count() == 0
+
+
 def test_organizations(spark):
     df = spark.createDataFrame([("财政局", "国库科", None), ("财政局", None, None), (None, None, "独立")], "`部门` string, `单位` string, `名称` string")
     got = sources.organizations(df, {"department": ("部门",), "unit": ("单位",), "name": ("名称",)}).collect()
