@@ -505,7 +505,7 @@ TEXT_RULES = {
 }
 
 #: rules that are evaluated on whole rows or sections instead of single operands
-ELSEWHERE = ("v33_101", "v33_102", "v33_103", "v33_105", "v33_108", "v33_119", "v33_122_fund", "v33_122_state", "v33_202", "v33_220_basic", "v33_220_project", "v33_221", "v33_222", "v33_223_personnel", "v33_223_public", "v33_224_total", "v33_224_overseas", "v33_224_reception", "v33_225", "v33_226")
+ELSEWHERE = ("v33_101", "v33_102", "v33_103", "v33_105", "v33_108", "v33_119", "v33_122_fund", "v33_122_state", "v33_202", "v33_220_basic", "v33_220_project", "v33_221", "v33_222", "v33_223_personnel", "v33_223_public", "v33_224_total", "v33_224_overseas", "v33_224_reception", "v33_225", "v33_226", "cmm_001_overseas", "cmm_001_reception", "cmm_001_vehicle", "cmm_001_vehicle_buy", "cmm_001_vehicle_run", "cmm_001_budget_overseas", "cmm_001_budget_reception", "cmm_001_budget_vehicle")
 
 RULES = [
     Rule("identity_final", "final", lambda pages, rows, wide: identity_findings(wide, [r for r in IDENTITIES if r.kind == "final" and r.rule not in ELSEWHERE])),
@@ -522,6 +522,7 @@ RULES = [
     Rule("class_shares", "final", lambda pages, rows, wide: V.class_share_findings(pages, rows)),
     Rule("statements", "final", lambda pages, rows, wide: V.statement_findings(pages, rows)),
     Rule("classes", "final", lambda pages, rows, wide: V.class_findings(pages, rows)),
+    Rule("public", "any", lambda pages, rows, wide: V.public_findings(pages, rows)),
     Rule("zero_hints", "final", lambda pages, rows, wide: V.zero_hints(pages, rows)),
     Rule("grant_balances", "final", lambda pages, rows, wide: G.balance_findings(rows)),
     Rule("grant_rows", "final", lambda pages, rows, wide: G.row_findings(rows)),

@@ -313,3 +313,53 @@ def zero_hints(pages: DataFrame, rows: DataFrame) -> DataFrame:
     empty = rows.where(F.col("t") == "T7").groupBy("doc_id").agg(F.max(F.coalesce(F.array_max(cell_values(F.col("cells"))), F.lit(0.0))).alias("most")).where("most <= 0")
     said = pages.where(F.col("text").contains("三公") & F.col("text").contains("0")).groupBy("doc_id").agg(F.min("page").alias("page"))
     return said.join(empty, "doc_id").select("doc_id", F.lit("v33_230").alias("rule"), F.lit("info").alias("severity"), F.lit(0.0).alias("lhs"), F.lit(None).cast("double").alias("rhs"), F.concat(F.lit("page "), F.col("page").cast("string")).alias("message"))
+
+
+# ------------------------------------------------------- the three public expenses
+
+#: fixed values: what texts state of the three public expenses, and the order of a table's amounts
+_AMOUNT = r"([0-9][0-9,]*\.?[0-9]*)万元"
+PUBLIC_STATED = (
+    ("total", (rf"三公[^\n]{{0,40}}经费(?:支出)?(?:预算数|决算数|预算|决算)?(?:为|是)?\s*{_AMOUNT}", rf"三公[^\n]{{0,20}}合计[^\n]{{0,8}}{_AMOUNT}")),
+    ("abroad", (rf"因公出国(?:（境）|\(境\)|境)?费\s*{_AMOUNT}",)),
+    ("reception", (rf"公务接待费\s*{_AMOUNT}",)),
+    ("car_total", (rf"公务用车购置及运行费[^0-9]{{0,4}}{_AMOUNT}",)),
+    ("car_buy", (rf"公务用车购置费\s*{_AMOUNT}",)),
+    ("car_run", (rf"公务用车运行费\s*{_AMOUNT}",)),
+)
+#: numbers that a line or row of the table has at least
+LEAST_NUMBERS = 6
+
+
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+
+
+def public_amounts(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, v: the table's amounts in the order of PUBLIC_STATED, from the first page that names it
+    and has a line of enough numbers (the one with most of them, a decimal point counting as
+    one more; of equals the first); else from the row of T7 or B9 with most numbers."""
+    text = F.coalesce("text", F.lit(""))
+    own = text.contains("三公") & text.contains("表") & X.contains_any(text, ("预算", "决算")) & ~F.substring(text, 1, 120).contains("目录")
+    lines = pages.where(own).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    numbers = F.array_compact(F.transform(F.regexp_extract_all("line", F.lit(r"[0-9][0-9,]*\.?[0-9]*"), F.lit(0)), _plain))
+    lines = lines.select("doc_id", "page", "k", numbers.alias("v"), F.when(F.col("line").contains("."), 1).otherwise(0).alias("point")).where(F.size("v") >= LEAST_NUMBERS)
+    from_text = lines.groupBy("doc_id").agg(F.min_by("v", F.struct("page", -(F.size("v") + F.col("point")), "k")).alias("v"))
+    cells = F.array_compact(F.transform("cells", N.parse_plain))
+    grid = rows.where(F.col("t").isin("T7", "B9")).select("doc_id", "t", "row_idx", cells.alias("v")).where(F.size("v") >= LEAST_NUMBERS)
+    from_rows = grid.groupBy("doc_id").agg(F.min_by("v", F.struct(-F.size("v"), "t", "row_idx")).alias("w"))
+    return from_text.join(from_rows, "doc_id", "full_outer").select("doc_id", F.coalesce("v", "w").alias("v"))
+
+
+def public_findings(pages: DataFrame, rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Amounts of the three public expenses that text and table state differently (the vehicles' running
+    cost is an error, others warn); and in the text, vehicles that are not bought plus run."""
+    stated = sections.full_texts(pages).select("doc_id", *[F.coalesce(*[_plain(F.nullif(F.regexp_extract("text", f"(?s){p}", 1), F.lit(""))) for p in patterns]).alias(n) for n, patterns in PUBLIC_STATED])
+    both = stated.join(public_amounts(pages, rows), "doc_id")
+    found = []
+    for i, (n, _) in enumerate(PUBLIC_STATED):
+        table = F.get("v", F.lit(i))
+        found.append(F.when(F.abs(F.col(n) - table) > tolerance, _found(f"cmm_001_{n}", F.col(n), table, severity="error" if n == "car_run" else "warn")))
+    parts = F.col("car_buy") + F.col("car_run")
+    found.append(F.when(F.abs(F.col("car_total") - parts) > tolerance, _found("cmm_001_closure", F.col("car_total"), parts)))
+    return _exploded(both, found)

@@ -242,3 +242,21 @@ def grant_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the largest amount counts, wherever it stands; no finding where T4 has 0
     rows = _rows(spark, sf_dir, {"T4": [("'本年支出合计'", "CASE WHEN k % 5 = 0 THEN 0 ELSE 30 + k % 3 END", "50"), ("'支出合计'", "7", "7")], "T5": [("'小计合计'", "99"), ("'合计'", "5", "30 + c % 2", "3")]})
     return G.general_findings(rows).select("doc_id", "lhs", "rhs")
+
+
+@query("narrative_public", _union(
+    _case("cmm_001_total", "31", "30", "k % 4 = 0"), _case("cmm_001_abroad", "10 + c % 2", "10", "c % 2 = 1"),
+    _case("cmm_001_car_run", "12", "11", "k % 3 = 0 AND k % 5 <> 0"), _case("cmm_001_car_run", "12", "13", "k % 3 = 0 AND k % 5 = 0"),
+    _case("cmm_001_car_run", "11", "13", "k % 3 <> 0 AND k % 5 = 0"),
+    _case("cmm_001_closure", "16", "17", "k % 3 = 0"),
+))
+def narrative_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the amounts stand in a line of the table's page, or (every fifth order) only in the grid
+    rows = _rows(spark, sf_dir, {"T7": [("'合计'", "1", "2"), ("'决算'", "30", "10", "4", "16", "5", "13")]})
+    line = r"CASE WHEN k % 5 = 0 THEN '见附表 1 2 3' ELSE '7 7 7 7 7 7 \n30.00 10.00 4.00 16.00 5.00 11.00' END"
+    pages = _pages(spark, sf_dir, {
+        1: "'目录 三公经费决算表 1 2 3 4 5 6 7'",
+        3: rf"'三公经费支出决算表\n合计 出国 接待 小计 购置 运行\n' || {line}",
+        4: r"'“三公”经费支出决算数为' || CASE WHEN k % 4 = 0 THEN 31 ELSE 30 END || '万元，其中：因公出国（境）费' || (10 + c % 2) || '万元，公务接待费4万元，公务用车购置及运行费为16万元（公务用车购置费5万元，公务用车运行费' || CASE WHEN k % 3 = 0 THEN 12 ELSE 11 END || '万元）。'",
+    })
+    return V.public_findings(pages, rows).select(*_OUT)
