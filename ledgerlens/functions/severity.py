@@ -15,6 +15,16 @@ WORDS = {
 }
 #: fixed values: display bucket of a normal form
 BUCKETS = {"critical": "error", "high": "error", "medium": "warn", "low": "info", "info": "info"}
+#: fixed values: what each source of findings means by its words (by level), and by all others
+SOURCES = {
+    "pipeline": ({"error": ("error", "err", "fatal", "critical", "high"), "warn": ("warn", "warning", "medium", "low")}, "info"),
+    "engine": ({"critical": ("critical", "fatal"), "high": ("error", "high"), "medium": ("warn", "warning", "medium"), "low": ("low", "hint"), "info": ("info",)}, "medium"),
+    "rules": ({"critical": ("critical",), "high": ("high", "error"), "medium": ("medium", "warning"), "low": ("low",), "info": ("info", "notice")}, "medium"),
+    "model": ({"critical": ("critical",), "high": ("high",), "medium": ("medium",), "low": ("low",), "info": ("info",)}, "medium"),
+    "extractor": ({"critical": ("critical", "fatal"), "high": ("p0", "error", "high"), "medium": ("p1", "warn", "warning", "medium"), "low": ("p2", "low"), "info": ("info", "hint")}, "medium"),
+}
+#: fixed values: sources that take white space off a word first
+TRIMMED = ("engine", "extractor")
 RANKS = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 
 
@@ -33,6 +43,13 @@ def normalized(s: Column, default: str = "info") -> Column:
     return _mapped(F.lower(F.trim(s)), _by_word({k: k for k in WORDS}), F.lit(default))
 
 
+def of_source(s: Column, source: str) -> Column:
+    """The level that a source's word stands for; a NULL is a word like any other unknown one."""
+    levels, other = SOURCES[source]
+    word = F.lower(F.coalesce(s, F.lit("")))
+    return _mapped(F.trim(word) if source in TRIMMED else word, {w: level for level, words in levels.items() for w in words}, F.lit(other))
+
+
 def bucket(s: Column) -> Column:
     """error / warn / info of any severity word."""
     return _mapped(F.lower(F.trim(s)), _by_word(BUCKETS), F.lit(BUCKETS["info"]))

@@ -176,3 +176,20 @@ def smart_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai, rule = two_detectors(spark, sf_dir)
     side = lambda d, text: d.select("doc_id", "ord", F.concat(F.lit("r"), F.get("tags", F.lit(0))).alias("rule"), F.concat(F.col("title"), F.lit(text)).alias("description"), F.col("section").alias("snippet"), F.when(F.col("severity") == "high", "MEDIUM").otherwise("LOW").alias("confidence"))
     return A.smart_merge(side(rule, ""), side(ai, " confirmed"), threshold=0.6)
+
+
+@query(
+    "severity_sources",
+    """WITH w AS (SELECT o_orderkey AS doc_id, ['Critical', 'fatal', 'ERROR', ' high ', 'warn', 'Warning', 'hint', 'p0', 'P2', 'notice', NULL][(o_orderkey % 11 + 1)::INT] AS word FROM orders)
+    SELECT doc_id,
+      CASE WHEN lower(word) IN ('critical', 'fatal', 'error') THEN 'error' WHEN lower(word) IN ('warn', 'warning') THEN 'warn' ELSE 'info' END AS pipeline,
+      CASE WHEN lower(word) IN ('critical', 'fatal') THEN 'critical' WHEN lower(trim(word)) IN ('error', 'high') THEN 'high' WHEN lower(word) = 'hint' THEN 'low' ELSE 'medium' END AS engine,
+      CASE WHEN lower(word) = 'critical' THEN 'critical' WHEN lower(word) = 'error' THEN 'high' WHEN word = 'notice' THEN 'info' ELSE 'medium' END AS rules,
+      CASE WHEN lower(word) = 'critical' THEN 'critical' ELSE 'medium' END AS model,
+      CASE WHEN lower(word) IN ('critical', 'fatal') THEN 'critical' WHEN lower(trim(word)) IN ('p0', 'error', 'high') THEN 'high' WHEN word = 'P2' THEN 'low' WHEN word = 'hint' THEN 'info' ELSE 'medium' END AS extractor
+    FROM w""",
+)
+def severity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in ("Critical", "fatal", "ERROR", " high ", "warn", "Warning", "hint", "p0", "P2", "notice")], F.lit(None).cast("string"))
+    word = F.get(words, (F.col("o_orderkey") % 11).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), *[S.of_source(word, n).alias(n) for n in S.SOURCES])
