@@ -142,15 +142,18 @@ def amount_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT a, b, round(shared::DOUBLE / every, 6) AS jaccard FROM p WHERE 10 * shared >= 3 * every""",
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of at least 0.3: sets that similar share one of their first n - ceil(0.3 n) + 1 words."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))).alias("w")).where(F.size("w") > 0)
-    head = rows.withColumn("word", F.explode(F.slice("w", 1, (F.size("w") - F.ceil(F.size("w") * 3 / 10) + 1).cast("int"))))
+    """All pairs of at least 0.3: sets that similar share one of their n - ceil(0.3 n) + 1 rarest words."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("w")).where(F.size("w") > 0)
+    each = rows.select("item_id", F.size("w").alias("size"), F.explode("w").alias("word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(counts, "word").groupBy("item_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("t"))
+    head = ranked.select("item_id", "size", F.explode(F.slice("t", F.lit(1), (F.col("size") - F.ceil(F.col("size") * 3 / 10) + 1).cast("int"))["word"]).alias("word"))
     a, b = head.alias("a"), head.alias("b")
-    near = (F.size("a.w") * 10 >= F.size("b.w") * 3) & (F.size("b.w") * 10 >= F.size("a.w") * 3)
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id")) & near)
-    shared, every = F.size(F.array_intersect("a.w", "b.w")), F.size(F.array_union("a.w", "b.w"))
-    found = pairs.where(shared * 10 >= every * 3).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(X.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
-    return found.distinct()
+    near = (F.col("a.size") * 10 >= F.col("b.size") * 3) & (F.col("b.size") * 10 >= F.col("a.size") * 3)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id")) & near).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
+    both = met.join(rows.select(F.col("item_id").alias("a"), F.col("w").alias("aw")), "a").join(rows.select(F.col("item_id").alias("b"), F.col("w").alias("bw")), "b")
+    shared, every = F.size(F.array_intersect("aw", "bw")), F.size(F.array_union("aw", "bw"))
+    return both.where(shared * 10 >= every * 3).select("a", "b", F.round(X.jaccard(F.col("aw"), F.col("bw")), 6).alias("jaccard"))
 
 
 @query("key_value_parse", "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, 3 AS keys FROM orders")

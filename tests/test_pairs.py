@@ -91,3 +91,15 @@ def test_nearest_of_level_in_long_chains_and_cycles(spark):
     assert all(got[f"u{k}"] == "d" for k in range(3001)) and got["d"] == got["y"] == "d" and got["r"] is None
     assert [got[k] for k in "abcsx"] == [None] * 5 and got["e"] == got["f"] == "e"
     assert H.nearest_of_level(df.limit(0)).count() == 0
+
+
+def test_jaccard_pairs_on_items_that_share_words(spark, tmp_path):
+    from ledgerlens.plans import registry
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["the", "The", "a", *"bcdefghijkl"], k=rng.randint(0, 9)))) for i in range(120)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in registry.queries()["jaccard_pairs"](spark, str(tmp_path)).collect()}
+    sets = {i: {w for w in t.lower().split(" ") if w} for i, t in rows}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert got.keys() == want.keys() and len(want) > 500 and all(abs(got[k] - v) < 1e-5 for k, v in want.items())
