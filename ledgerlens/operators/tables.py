@@ -115,9 +115,21 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Each pair of a batch is compared once.  Of a text inside a short one all characters match."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    def ratio(x: str, y: str) -> float:
+        if x and y and len(y) < 200 and (x in y or y in x):
+            return 2.0 * min(len(x), len(y)) / (len(x) + len(y))
+        return SequenceMatcher(None, x, y).ratio()
+
+    seen, out = {}, []
+    for x, y in zip(a, b, strict=True):
+        pair = (x or "", y or "")
+        if pair not in seen:
+            seen[pair] = ratio(*pair)
+        out.append(seen[pair])
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())

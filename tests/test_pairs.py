@@ -103,3 +103,26 @@ def test_jaccard_pairs_on_items_that_share_words(spark, tmp_path):
     sets = {i: {w for w in t.lower().split(" ") if w} for i, t in rows}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
     assert got.keys() == want.keys() and len(want) > 500 and all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+
+
+def test_pairs_of_small_documents_take_no_tokens(spark):
+    """Titles of a few findings are not dealt out to their characters; a crowded document's are."""
+    kind = "doc_id int, id string, ord int, title string, page int, section string, table string, tags array<string>, metrics map<string,double>, severity string"
+    side = lambda name, sizes: spark.createDataFrame([(d, f"{name}{k}", k, f"title {k % 30} of {d}", k % 4, "s", None, ["a"], {"x": 1.0}, "warn") for d, n in enumerate(sizes) for k in range(n)], kind)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = S.candidate_pairs(side("a", (5, 70, 3)), side("r", (5, 4, 70)))
+    assert "Generate" not in plan(small)
+    ai, rule = side("a", (5, 70, 70)), side("r", (5, 4, 70))
+    mixed = S.candidate_pairs(ai, rule)
+    assert [r["doc_id"] for r in S.crowded(ai, rule).collect()] == [2] and "Generate" in plan(mixed)
+    pairs = lambda df: {(r["doc_id"], r["ai_id"], r["rule_id"]): round(r["similarity"], 12) for r in df.collect()}
+    want = pairs(S._blocked_pairs(ai, rule, A.MergeConfig()))
+    assert pairs(mixed) == pairs(S._all_pairs(ai, rule, A.MergeConfig())) == want and len(want) > 300
+
+
+def test_sequence_ratio_is_that_of_whole_texts(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("abc", k=rng.choice((0, 1, 5, 190, 210)))), "".join(rng.choices("abc", k=rng.choice((0, 2, 30, 199, 260))))) for _ in range(60)]
+    rows += [(y[3:40], y) for _, y in rows] + [(y, y[2:30]) for _, y in rows] + [(y, y) for _, y in rows] + [(None, "a"), (None, None)]
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", tables.sequence_ratio_udf("x", "y").alias("q")).collect()
+    assert all(r["q"] == SequenceMatcher(None, r["x"] or "", r["y"] or "").ratio() for r in got)
