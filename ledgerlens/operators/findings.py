@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as S
 from ..functions import text as X
+from .hierarchy import _kept
 
 #: fixed values: severities by level
 LEVELS = {"info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
@@ -110,6 +111,8 @@ def candidate_pairs(ai: DataFrame, rule: DataFrame, title_ratio, c: MergeConfig
     a, r = ai.alias("a"), rule.alias("r")
     pairs = a.join(r, F.col("a.doc_id") == F.col("r.doc_id"))
     title = title_ratio(F.lower(F.col("a.title")), F.lower(F.col("r.title")))
+    # titles weigh 0.4: most pairs go by theirs, before the rest is compared
+    pairs = pairs.where(title * 0.4 + 0.6 >= c.title_similarity - 1e-9)
     sim = title * 0.4 + location_similarity("a", "r", c) * 0.3 + tag_similarity(F.col("a.tags"), F.col("r.tags")) * 0.2 + metric_similarity(F.col("a.metrics"), F.col("r.metrics"), c) * 0.1
     out = pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.id").alias("ai_id"), F.col("r.id").alias("rule_id"), F.col("a.ord").alias("i"), F.col("r.ord").alias("j"), sim.alias("similarity"))
     return out.where(F.col("similarity") >= c.title_similarity)
@@ -179,6 +182,7 @@ def merge_totals(ai: DataFrame, rule: DataFrame, matched: DataFrame) -> DataFram
 def merged_ids(ai: DataFrame, rule: DataFrame, matches: DataFrame) -> DataFrame:
     """(doc_id, place, id): matched AI findings, best first (similarities that agree to
     nine places are equal), then unmatched ones, then unmatched rule findings."""
+    matches = _kept(matches)
     first = matches.select("doc_id", F.col("ai_id").alias("id"), F.lit(0).alias("__g"), F.round(-F.col("similarity"), 9).alias("__o"))
     rest = lambda df, key, g: df.join(matches.select("doc_id", F.col(key).alias("id")), ["doc_id", "id"], "left_anti").select("doc_id", "id", F.lit(g).alias("__g"), F.col("ord").cast("double").alias("__o"))
     every = first.unionByName(rest(ai, "ai_id", 1)).unionByName(rest(rule, "rule_id", 2))

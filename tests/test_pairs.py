@@ -126,3 +126,16 @@ def test_sequence_ratio_is_that_of_whole_texts(spark):
     rows += [(y[3:40], y) for _, y in rows] + [(y, y[2:30]) for _, y in rows] + [(y, y) for _, y in rows] + [(None, "a"), (None, None)]
     got = spark.createDataFrame(rows, "x string, y string").select("x", "y", tables.sequence_ratio_udf("x", "y").alias("q")).collect()
     assert all(r["q"] == SequenceMatcher(None, r["x"] or "", r["y"] or "").ratio() for r in got)
+
+
+def test_merged_ids_match_once_and_titles_decide_first(spark):
+    kind = "doc_id int, id string, ord int, title string, page int, section string, table string, tags array<string>, metrics map<string,double>, severity string"
+    side = lambda name: spark.createDataFrame([(d, f"{name}{k}", k, f"t{k}", k, "s", None, ["a"], {"x": 1.0}, "warn") for d in range(4) for k in range(d + 1)], kind)
+    ai, rule = side("a"), side("r").where("ord <> 2")
+    pairs = A.candidate_pairs(ai, rule, lambda x, y: (x == y).cast("double"))
+    plan = A.merged_ids(ai, rule, A.greedy_matches(pairs))
+    assert "MapInPandas" not in plan._jdf.queryExecution().optimizedPlan().toString() or "InMemoryRelation" in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["doc_id"], r["place"]): r["id"] for r in plan.collect()}
+    assert len(got) == 10 and got[3, 1] == "a0" and got[3, 4] == "a2" and got[0, 1] == "a0"
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("lower(title") < joined.index("transform(")
