@@ -34,12 +34,14 @@ def parse_number(s: Column) -> Column:
 
 
 def parse_amount(s: Column) -> Column:
-    """Tolerant: full-width signs, unit words, (x) for -x; dashes are blank."""
+    """Tolerant: full-width signs, unit words, (x) for -x; dashes are blank.  What is written
+    plainly, as most cells are, takes none of the replacements."""
+    plain = F.translate(s, ",", "")
     t = F.regexp_replace(stripped(s), r"[,，\s　%]|亿元|千元|万元|元", "")
     t = F.replace(F.regexp_replace(t, "—|--", ""), F.lit("－"), F.lit("-"))
     t = F.translate(t, "（）", "()")
     t = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
-    return F.when(t.rlike(r"^\(?-?\d+(?:\.\d+)?\)?$"), t.try_cast("double"))
+    return F.when(s.rlike(r"^-?[0-9][0-9,]*(?:\.[0-9]+)?\z"), plain.try_cast("double")).when(t.rlike(r"^\(?-?\d+(?:\.\d+)?\)?$"), t.try_cast("double"))
 
 
 def parse_plain(s: Column) -> Column:

@@ -35,8 +35,19 @@ def split_code(code: Column) -> tuple[Column, Column, Column]:
     return tuple(F.when(ok & (F.length(code) >= k), F.substring(code, 1, k)) for k in (3, 5, 7))
 
 
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """rows(version, table_code, row_idx, cells): each row's cells in the order of columns."""
+    names = [c for c in ("col_idx", "id", "raw_text", "numeric_value", "page_number", "confidence", "unit_hint") if c in cells.columns]
+    return cells.groupBy(*KEYS, "row_idx").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("cells"))
+
+
 def materialize(cells: DataFrame, mappings: DataFrame, instances: DataFrame) -> DataFrame:
-    """One fact per data row and mapped column with a number.
+    """One fact per data row and mapped column with a number."""
+    return unpivoted(row_facts(grid_rows(cells), mappings, instances))
+
+
+def row_facts(rows: DataFrame, mappings: DataFrame, instances: DataFrame) -> DataFrame:
+    """Data rows with their facts in an array: rows as `grid_rows` gives them.
 
     Rows start at the first with a number in a mapped column.  Label cells are
     those left of the first mapped column: a total row has code `total`, digit
@@ -45,35 +56,48 @@ def materialize(cells: DataFrame, mappings: DataFrame, instances: DataFrame) ->
     One shuffle by (version, table): all that follows keeps that partitioning.
     """
     maps = mappings.groupBy(*KEYS).agg(F.min("source_col_idx").alias("first_col"), F.map_from_entries(F.collect_list(F.struct("source_col_idx", F.struct("canonical_measure", "source_col_name", "confidence")))).alias("columns"))
-    value = F.coalesce("numeric_value", N.parse_amount(F.col("raw_text")))
-    rows = cells.join(maps, KEYS).join(instances.select(*KEYS, F.col("confidence").alias("table_confidence"), "classification_type"), KEYS)
-    mapped = F.map_contains_key("columns", F.col("col_idx"))
-    text = N.stripped(F.coalesce("raw_text", F.lit("")))
-    label = (F.col("col_idx") < F.col("first_col")) & (text != "")
-    by_row = rows.groupBy(*KEYS, "row_idx", "table_confidence", "classification_type").agg(
-        F.array_sort(F.collect_list(F.when(label, F.struct("col_idx", text.alias("text"), "id")))).alias("labels"),
-        F.array_sort(F.collect_list(F.when(mapped & value.isNotNull(), F.struct("col_idx", value.alias("amount"), "id", "confidence", F.element_at("columns", F.col("col_idx")).alias("m"))))).alias("measures"),
-        F.min_by("page_number", F.when(F.col("page_number").isNotNull(), F.col("col_idx"))).alias("source_page_number"),
-        F.min_by("unit_hint", F.when(F.coalesce("unit_hint", F.lit("")) != "", F.col("col_idx"))).alias("unit_hint"),
+    rows = rows.join(maps, KEYS).join(instances.select(*KEYS, F.col("confidence").alias("table_confidence"), "classification_type"), KEYS)
+    label = lambda c: F.struct(c["col_idx"].alias("col_idx"), N.stripped(F.coalesce(c["raw_text"], F.lit(""))).alias("text"), c["id"].alias("id"))
+    measure = lambda c: F.struct(c["col_idx"].alias("col_idx"), F.coalesce(c["numeric_value"], N.parse_amount(c["raw_text"])).alias("amount"), c["id"].alias("id"), c["confidence"].alias("confidence"), F.element_at("columns", c["col_idx"]).alias("m"))
+    first = lambda name, hit: F.get(F.filter("cells", hit), F.lit(0))[name]
+    by_row = rows.select(
+        *KEYS, "row_idx", "table_confidence", "classification_type",
+        F.array_sort(F.filter(F.transform(F.filter("cells", lambda c: c["col_idx"] < F.col("first_col")), label), lambda x: x["text"] != "")).alias("labels"),
+        F.filter(F.transform(F.filter("cells", lambda c: F.map_contains_key("columns", c["col_idx"])), measure), lambda x: x["amount"].isNotNull()).alias("measures"),
+        first("page_number", lambda c: c["page_number"].isNotNull()).alias("source_page_number"),
+        first("unit_hint", lambda c: F.coalesce(c["unit_hint"], F.lit("")) != "").alias("unit_hint"),
     )
     start = F.min(F.when(F.size("measures") > 0, F.col("row_idx"))).over(Window.partitionBy(*KEYS))
     by_row = by_row.withColumn("start", start).where((F.col("row_idx") >= F.col("start")) & (F.size("measures") > 0) & (F.size("labels") > 0))
-    texts = F.transform("labels", lambda x: x["text"])
-    total = F.get(F.filter(texts, lambda t: t.contains("合计") | t.contains("总计")), F.lit(0))
-    digits, words = F.filter(texts, lambda t: t.rlike("^[0-9]+$")), F.filter(texts, lambda t: ~t.rlike("^[0-9]+$"))
-    code = F.when(total.isNotNull(), "total").when(F.size(digits) > 0, F.array_join(digits, ""))
-    name = F.when(total.isNotNull(), total).when(F.size(digits) > 0, F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), F.array_join(digits, ""))).otherwise(F.array_join(texts, " "))
+    by_row = by_row.withColumn("texts", F.transform("labels", lambda x: x["text"]))
+    by_row = by_row.withColumns({
+        "total": F.get(F.filter("texts", lambda t: t.contains("合计") | t.contains("总计")), F.lit(0)),
+        "digits": F.array_join(F.filter("texts", lambda t: t.rlike("^[0-9]+$")), ""),
+        "words": F.array_join(F.filter("texts", lambda t: ~t.rlike("^[0-9]+$")), " "),
+    })
+    total, digits = F.col("total"), F.nullif(F.col("digits"), F.lit(""))
+    code = F.when(total.isNotNull(), "total").otherwise(digits)
+    name = F.when(total.isNotNull(), total).when(digits.isNotNull(), F.coalesce(F.nullif("words", F.lit("")), digits)).otherwise(F.array_join("texts", " "))
     by_row = by_row.withColumn("classification_code", code).withColumn("classification_name", name)
     level, parent, path = hierarchy(F.col("classification_code"))
-    rows = by_row.withColumns({"classification_level": level, "parent_classification_code": parent, "hierarchy_path": path}).withColumn("x", F.explode("measures"))
     # a confidence of 0 counts as unknown, like NULL
     known = lambda c: F.coalesce(F.nullif(c.cast("double"), F.lit(0.0)), F.col("table_confidence"))
-    return rows.select(
-        *KEYS, "classification_type", "classification_code", "classification_name", F.col("x.m.canonical_measure").alias("measure"), F.col("x.amount").alias("amount"), F.col("row_idx").alias("row_order"),
-        "classification_level", "parent_classification_code", "hierarchy_path", "source_page_number",
-        F.concat(F.array_compact(F.transform("labels", lambda l: l["id"])), F.array_compact(F.array("x.id"))).alias("source_cell_ids"),
-        F.least("table_confidence", known(F.col("x.m.confidence")), known(F.col("x.confidence"))).alias("parse_confidence"),
-        F.struct(F.col("x.m.source_col_name").alias("source_header"), "unit_hint").alias("extra_dims"),
+    fact = lambda x: F.struct(
+        x["m"]["canonical_measure"].alias("measure"), x["amount"].alias("amount"), x["m"]["source_col_name"].alias("source_header"),
+        F.concat(F.array_compact(F.transform("labels", lambda l: l["id"])), F.array_compact(F.array(x["id"]))).alias("source_cell_ids"),
+        F.least("table_confidence", known(x["m"]["confidence"]), known(x["confidence"])).alias("parse_confidence"),
+    )
+    return by_row.select(
+        *KEYS, "classification_type", "classification_code", "classification_name", F.col("row_idx").alias("row_order"), level.alias("classification_level"),
+        parent.alias("parent_classification_code"), path.alias("hierarchy_path"), "source_page_number", "unit_hint", F.transform("measures", fact).alias("facts"),
+    )
+
+
+def unpivoted(rows: DataFrame) -> DataFrame:
+    """One row for each fact of `row_facts`."""
+    return rows.withColumn("x", F.explode("facts")).select(
+        *KEYS, "classification_type", "classification_code", "classification_name", "x.measure", "x.amount", "row_order", "classification_level", "parent_classification_code",
+        "hierarchy_path", "source_page_number", "x.source_cell_ids", "x.parse_confidence", F.struct("x.source_header", "unit_hint").alias("extra_dims"),
     )
 
 
@@ -82,19 +106,43 @@ def low_confidence(facts: DataFrame, limit: float = 0.8) -> DataFrame:
     return facts.where(F.col("parse_confidence") < limit).select(*KEYS).distinct()
 
 
+def _item(measure: Column, ids: Column, amount: Column, page: Column, confidence: Column) -> Column:
+    return F.struct(measure.alias("measure"), F.coalesce(F.array_max(ids), F.lit(0)).alias("cell"), amount.alias("amount"), page.alias("page"), confidence.alias("confidence"))
+
+
 def wide_items(facts: DataFrame) -> DataFrame:
     """One row per statement line: measures in a map (the last of a repeated one),
     code prefixes, pages and the least confidence."""
-    last = facts.groupBy(*KEYS, "row_order", "classification_code", "classification_name", "measure").agg(F.max_by("amount", F.coalesce(F.array_max("source_cell_ids"), F.lit(0))).alias("amount"), F.collect_set("source_page_number").alias("pages"), F.min("parse_confidence").alias("confidence"))
-    rows = last.groupBy(*KEYS, "row_order", "classification_code", "classification_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("measure", "amount")))).alias("values"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("page_numbers"), F.min("confidence").alias("min_confidence"))
+    item = _item(*(F.col(c) for c in ("measure", "source_cell_ids", "amount", "source_page_number", "parse_confidence")))
+    return _wide(facts.groupBy(*KEYS, "row_order", "classification_code", "classification_name").agg(F.array_sort(F.collect_list(item)).alias("items")))
+
+
+def wide_rows(rows: DataFrame) -> DataFrame:
+    """The same of `row_facts`, whose rows need no grouping."""
+    item = lambda x: _item(x["measure"], x["source_cell_ids"], x["amount"], F.col("source_page_number"), x["parse_confidence"])
+    return _wide(rows.select(*KEYS, "row_order", "classification_code", "classification_name", F.array_sort(F.transform("facts", item)).alias("items")))
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    last = F.filter("items", lambda x, i: ~F.get("items", i + 1)["measure"].eqNullSafe(x["measure"]))
+    rows = rows.select(
+        *KEYS, "row_order", "classification_code", "classification_name", F.map_from_entries(F.transform(last, lambda x: F.struct(x["measure"], x["amount"]))).alias("values"),
+        F.array_sort(F.array_distinct(F.array_compact(F.transform("items", lambda x: x["page"])))).alias("page_numbers"), F.array_min(F.transform("items", lambda x: x["confidence"])).alias("min_confidence"),
+    )
     klass, kind, item = split_code(F.col("classification_code"))
     return rows.withColumns({"class_code": klass, "type_code": kind, "item_code": item})
 
 
 def nested_tables(cells: DataFrame) -> DataFrame:
     """Each table as one row: rows of ordered cells, its pages, row and column counts."""
-    rows = cells.groupBy(*KEYS, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "raw_text", "numeric_value"))).alias("cells"), F.collect_set("page_number").alias("pages"), F.max("col_idx").alias("last_col"))
-    return rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("page_numbers"), F.count(F.lit(1)).alias("row_count"), (F.max("last_col") + 1).alias("col_count"))
+    return nested_rows(grid_rows(cells))
+
+
+def nested_rows(rows: DataFrame) -> DataFrame:
+    """The same of rows as `grid_rows` gives them."""
+    cells = F.array_sort(F.transform("cells", lambda c: F.struct(c["col_idx"].alias("col_idx"), c["raw_text"].alias("raw_text"), c["numeric_value"].alias("numeric_value"))))
+    each = rows.select(*KEYS, "row_idx", cells.alias("cells"), F.array_distinct(F.array_compact(F.transform("cells", lambda c: c["page_number"]))).alias("pages"), F.array_max(F.transform("cells", lambda c: c["col_idx"])).alias("last_col"))
+    return each.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("page_numbers"), F.count(F.lit(1)).alias("row_count"), (F.max("last_col") + 1).alias("col_count"))
 
 
 def drilldown(facts: DataFrame, cells: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlens.functions import numbers as N
+from ledgerlens.operators import facts as M
 from ledgerlens.operators import qc
-from ledgerlens.plans import base, registry
+from ledgerlens.plans import base, documents, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -40,3 +43,27 @@ def test_a_rule_computes_its_own_operands(spark):
     for key in ("R004", "R011", "R013"):
         one = qc.findings(facts, only=(key,)).collect()
         assert len(one) * 15 == len(every) and all(every[r["version"], key] == r for r in one)
+
+
+@pytest.mark.parametrize(("name", "most"), [("table_payload", 2), ("materialize_facts", 2), ("line_items_json_map", 2)])
+def test_cells_of_a_row_are_not_grouped_again(spark, name, most):
+    """Lists are collected once: tables of their rows, or the columns that are mapped."""
+    plan = physical(spark, lambda: registry.queries()[name](spark, SF))
+    assert plan.count("ObjectHashAggregate(") + plan.count("SortAggregate(") <= most
+
+
+def test_rows_give_what_cells_give(spark):
+    rows, cells = documents.statement_rows(spark, SF).where("version < 60"), documents.statement_cells(spark, SF).where("version < 60")
+    plain = lambda df: sorted(str(sorted(r.asDict(recursive=True).items(), key=str)) for r in df.collect())
+    assert plain(M.nested_tables(cells)) == plain(M.nested_rows(rows))
+    maps = documents._recognized(cells.select("version", "table_code").distinct())
+    facts, found = M.materialize(cells, *maps), M.row_facts(rows, *maps)
+    assert plain(facts) == plain(M.unpivoted(found)) and facts.count() > 100
+    assert plain(M.wide_items(facts)) == plain(M.wide_rows(found))
+
+
+def test_plain_amounts_are_read_as_all_others(spark):
+    texts = ["1", "-1", "1,234.50", "-1,2,3.5", "1.", ".5", "1.2,3", "--1", "-", "—", "", None, "(5)", "（1,000）", "12万元", " 7 ", "7\n", "1-2", "01", "1..2", "－3", "٣"]
+    want = [1.0, -1.0, 1234.5, -123.5, None, None, 1.23, 1.0, None, None, None, None, -5.0, -1000.0, 12.0, 7.0, 7.0, None, 1.0, None, -3.0, None]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select(N.parse_amount(F.col("s")).alias("v")).collect()
+    assert [r["v"] for r in got] == want
