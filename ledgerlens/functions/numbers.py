@@ -27,10 +27,12 @@ def stripped(s: Column) -> Column:
 
 def parse_number(s: Column) -> Column:
     """Strict: optional minus, digits with or without thousands separators, an
-    optional percent sign (its value as written).  Dashes and blanks are NULL."""
+    optional percent sign (its value as written).  Dashes and blanks are NULL.  Plain
+    numbers and texts without a digit, which most cells are, take none of the replacements."""
+    plain, some = s.rlike(rf"^-?{_GROUPED}\z"), s.rlike(r"\d")
     t = stripped(s)
     digits = F.regexp_replace(t, r"[,%\s]", "")
-    return F.when(t.isin(*DASHES), F.lit(None)).when(t.rlike(rf"^-?\s*{_GROUPED}\s*%?$"), digits.try_cast("double"))
+    return F.when(~some, F.lit(None)).when(plain, F.translate(s, ",", "").try_cast("double")).when(t.rlike(rf"^-?\s*{_GROUPED}\s*%?$"), digits.try_cast("double"))
 
 
 def parse_amount(s: Column) -> Column:

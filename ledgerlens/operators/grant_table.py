@@ -49,7 +49,7 @@ def _last(value: Column, hit: Column, default: Column) -> Column:
     return F.coalesce(F.max_by(value, F.when(hit, F.col("row_idx"))), default)
 
 
-def _two_sided(t4: DataFrame) -> DataFrame:
+def _two_sided() -> dict[str, Column]:
     head, text, v, left = F.col("head"), F.col("text"), F.col("v"), F.col("left")
     zero = F.lit(0.0)
     opens = head.contains("年初") & head.contains("结转")
@@ -61,39 +61,39 @@ def _two_sided(t4: DataFrame) -> DataFrame:
     closing = ~spent & text.contains("年末") & text.contains("结转")
     out_total = ~spent & ~closing & text.contains("总计") & (F.size(v) >= 4)
     four = F.when(F.size(v) >= 4, _four(v)).otherwise(_zeros())
-    return t4.where(F.col("sided") & (F.size("v") > 0)).groupBy("doc_id").agg(
-        F.array(_last(left, opens, zero), *part("opening")).alias("opening"),
-        F.array(_last(left, income, zero), *part("income")).alias("income"),
+    return {
+        "opening": F.array(_last(left, opens, zero), *part("opening")),
+        "income": F.array(_last(left, income, zero), *part("income")),
         # the first total that is not 0
-        F.array(F.coalesce(F.min_by(left, F.when(total & (left != 0), F.col("row_idx"))), zero), zero, zero, zero).alias("income_total"),
-        _last(four, spent, _zeros()).alias("expense"),
-        _last(four, closing, _zeros()).alias("closing"),
-        _last(_four(v), out_total, _zeros()).alias("expense_total"),
-    )
+        "income_total": F.array(F.coalesce(F.min_by(left, F.when(total & (left != 0), F.col("row_idx"))), zero), zero, zero, zero),
+        "expense": _last(four, spent, _zeros()),
+        "closing": _last(four, closing, _zeros()),
+        "expense_total": _last(_four(v), out_total, _zeros()),
+    }
 
 
-def _flat(t4: DataFrame) -> DataFrame:
-    text, v = F.col("text"), F.col("v")
-    words = ("年初", "本年收入", "本年支出", "年末", "总计")
-    kind = F.lit(None).cast("string")
-    for w in reversed(words):
-        kind = F.when(text.contains(w), F.lit(w)).otherwise(kind)
-    four = F.when(F.size(v) >= 4, _four(v)).otherwise(F.array(F.get(v, F.lit(0)), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    flat = t4.where(~F.col("sided") & (F.size("v") > 0)).withColumn("kind", kind).withColumn("four", four)
-    before = Window.partitionBy("doc_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
-    # totals belong to the income until one of them is not 0
-    seen = F.coalesce(F.max((F.col("kind") == "总计") & (F.get("four", F.lit(0)) != 0)).over(before), F.lit(False))
-    flat = flat.withColumn("seen", seen)
+def _flat() -> dict[str, Column]:
     of = lambda w, more=F.lit(True): _last(F.col("four"), (F.col("kind") == w) & more, _zeros())
-    return flat.groupBy("doc_id").agg(of("年初").alias("opening"), of("本年收入").alias("income"), of("总计", ~F.col("seen")).alias("income_total"), of("本年支出").alias("expense"), of("年末").alias("closing"), of("总计", F.col("seen")).alias("expense_total"))
+    return {"opening": of("年初"), "income": of("本年收入"), "income_total": of("总计", ~F.col("seen")), "expense": of("本年支出"), "closing": of("年末"), "expense_total": of("总计", F.col("seen"))}
 
 
 def sides(rows: DataFrame) -> DataFrame:
     """doc_id and opening, income, income_total, expense, closing, expense_total: four amounts
     each (COLUMNS), of documents whose T4 has at least LEAST_ROWS rows.  A total column that
-    is 0 is made up from its parts."""
-    t4 = lines(rows).where(F.col("n") >= LEAST_ROWS)
-    both = _two_sided(t4).unionByName(_flat(t4))
+    is 0 is made up from its parts.  Both layouts are read in one pass and one aggregation."""
+    text, v = F.col("text"), F.col("v")
+    t4 = lines(rows).where((F.col("n") >= LEAST_ROWS) & (F.size("v") > 0))
+    kind = F.lit(None).cast("string")
+    for w in reversed(("年初", "本年收入", "本年支出", "年末", "总计")):
+        kind = F.when(text.contains(w), F.lit(w)).otherwise(kind)
+    four = F.when(F.size(v) >= 4, _four(v)).otherwise(F.array(F.get(v, F.lit(0)), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    t4 = t4.withColumn("kind", kind).withColumn("four", four)
+    before = Window.partitionBy("doc_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
+    # totals belong to the income until one of them is not 0
+    t4 = t4.withColumn("seen", F.coalesce(F.max((F.col("kind") == "总计") & (F.get("four", F.lit(0)) != 0)).over(before), F.lit(False)))
+    two, flat = _two_sided(), _flat()
+    both = t4.groupBy("doc_id").agg(F.bool_or("sided").alias("sided"), *[c.alias(f"two_{n}") for n, c in two.items()], *[c.alias(f"flat_{n}") for n, c in flat.items()])
+    both = both.select("doc_id", *[F.when(F.col("sided"), F.col(f"two_{n}")).otherwise(F.col(f"flat_{n}")).alias(n) for n in two])
     for c in ("opening", "income", "expense", "closing"):
         parts = F.get(c, F.lit(1)) + F.get(c, F.lit(2)) + F.get(c, F.lit(3))
         filled = F.concat(F.array(parts), F.slice(F.col(c), 2, 3))

@@ -67,3 +67,15 @@ def test_plain_amounts_are_read_as_all_others(spark):
     want = [1.0, -1.0, 1234.5, -123.5, None, None, 1.23, 1.0, None, None, None, None, -5.0, -1000.0, 12.0, 7.0, 7.0, None, 1.0, None, -3.0, None]
     got = spark.createDataFrame([(t,) for t in texts], "s string").select(N.parse_amount(F.col("s")).alias("v")).collect()
     assert [r["v"] for r in got] == want
+
+
+def test_grants_are_read_in_one_pass(spark):
+    plan = physical(spark, lambda: registry.queries()["grant_balances"](spark, SF))
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_plain_numbers_are_read_as_all_others(spark):
+    texts = ["1", "-1", "1,234.50", "1,23", "12,345,678", "1.", ".5", "- 5", "5%", "-", "", None, "x", "12x", " 7 ", "7\n", "1 2", "01", "1..2", "－3", "٣"]
+    want = [1.0, -1.0, 1234.5, None, 12345678.0, None, None, -5.0, 5.0, None, None, None, None, None, 7.0, 7.0, None, 1.0, None, None, None]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select(N.parse_number(F.col("s")).alias("v")).collect()
+    assert [r["v"] for r in got] == want
