@@ -79,3 +79,9 @@ def test_plain_numbers_are_read_as_all_others(spark):
     want = [1.0, -1.0, 1234.5, None, 12345678.0, None, None, -5.0, 5.0, None, None, None, None, None, 7.0, 7.0, None, 1.0, None, None, None]
     got = spark.createDataFrame([(t,) for t in texts], "s string").select(N.parse_number(F.col("s")).alias("v")).collect()
     assert [r["v"] for r in got] == want
+
+
+def test_rules_read_what_is_stored_once(spark):
+    """No rule computes the rows from the tables anew, or reads a row's numbers again."""
+    plan = registry.queries()["document_rules"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and "Window [row_number() windowspecdefinition(version" not in plan
