@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.qc import Fact
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -20,17 +22,25 @@ def money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
-def _fact(table_code: str, code: Column, name: Column, measure: str, amount: Column) -> Column:
-    return F.struct(F.lit(table_code).alias("table_code"), code.alias("classification_code"), name.alias("classification_name"), F.lit(measure).alias("measure"), amount.cast("decimal(18,2)").alias("amount"))
+def _struct(f: Fact) -> Column:
+    return F.struct(F.lit(f.table_code).alias("table_code"), f.code.alias("classification_code"), f.name.alias("classification_name"), F.lit(f.measure).alias("measure"), f.amount.alias("amount"))
 
 
-def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long facts of every order: version, table_code, classification_code,
-    classification_name, measure, amount, row_order.  Every seventh order's totals
-    are off by 5, every eleventh has no functional table, so that all statuses occur.
+def _exploded(rows: DataFrame, facts: list[Fact], order: Column) -> DataFrame:
+    """A row for each fact of a row; those of one condition stand together."""
+    all_of = F.array(*[_struct(f) for f in facts if f.when is None])
+    some = [f for f in facts if f.when is not None]
+    if some:
+        all_of = F.when(some[0].when, F.concat(all_of, F.array(*[_struct(f) for f in some]))).otherwise(all_of)
+    return rows.select("version", order.alias("row_order"), F.explode(all_of).alias("f")).select("version", "f.*", "row_order")
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Fact], dict[str, Column], list[Fact]]:
+    """Rows of every order (version, row_order, ...), the facts that each holds, sums over an order's
+    rows, and the facts that an order's sums hold.  Every seventh order's totals are off
+    by 5, every eleventh has no functional table, so that all statuses occur.
 
-    Lines are dealt by order once, when they are narrow: rows' facts, sums and all that is
-    grouped by version need no further shuffle.
+    Lines are dealt by order once, when they are narrow: what is grouped by version needs no further shuffle.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("version"),
@@ -41,44 +51,42 @@ def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).repartition("version")
     lines = lines.withColumn("project", money(F.col("total") - F.col("basic"))).withColumn("part1", money(F.floor(F.col("total")))).withColumn("code", F.concat(F.lit("2"), F.lpad(F.col("row_order").cast("string"), 2, "0")))
     code, name = F.col("code"), F.concat(F.lit("item "), F.col("code"))
-    has_function = F.col("version") % 11 != 0
-    off = F.when(F.col("version") % 7 == 0, F.lit(5)).otherwise(F.lit(0)).cast("decimal(18,2)")
-    rows = F.array(
-        _fact("FIN_03_expenditure", code, name, "total_actual", F.col("total")),
-        _fact("FIN_03_expenditure", code, name, "basic_actual", F.col("basic")),
-        _fact("FIN_03_expenditure", code, name, "project_actual", F.col("project")),
-    )
-    function = F.array(
-        _fact("FIN_05_general_public_expenditure", code, name, "total_actual", F.col("total")),
-        _fact("FIN_05_general_public_expenditure", F.concat(code, F.lit("01")), name, "total_actual", F.col("part1")),
-        _fact("FIN_05_general_public_expenditure", F.concat(code, F.lit("02")), name, "total_actual", F.col("total") - F.col("part1") + off),
-    )
-    rows = F.when(has_function, F.concat(rows, function)).otherwise(rows)
-    leaf = lines.select("version", "row_order", F.explode(rows).alias("f")).select("version", "f.*", "row_order")
-    sums = lines.groupBy("version").agg(F.sum("total").alias("total"), F.sum("basic").alias("basic"), F.sum("project").alias("project"), F.count(F.lit(1)).alias("n"))
-    t, b, p = F.col("total"), F.col("basic"), F.col("project")
-    all_of = lambda w: F.lit(w)
-    totals = F.array(
-        _fact("FIN_03_expenditure", all_of("total"), all_of("合计"), "total_actual", t + off),
-        _fact("FIN_03_expenditure", all_of("total"), all_of("合计"), "basic_actual", b),
-        _fact("FIN_03_expenditure", all_of("total"), all_of("合计"), "project_actual", p),
-        _fact("FIN_01_income_expenditure_total", F.lit(None).cast("string"), all_of("本年支出合计"), "expenditure_actual", t),
-        _fact("FIN_01_income_expenditure_total", F.lit(None).cast("string"), all_of("本年收入合计"), "income_actual", t + F.when(F.col("version") % 5 == 0, F.lit(1)).otherwise(F.lit(0))),
-        _fact("FIN_02_income", all_of("total"), all_of("合计"), "total_actual", t),
-        _fact("FIN_02_income", all_of("total"), all_of("合计"), "fiscal_allocation", b),
-        _fact("FIN_02_income", all_of("total"), all_of("合计"), "other_income", F.when(F.col("version") % 3 != 0, p)),
-        _fact("FIN_06_basic_expenditure", all_of("301"), all_of("301"), "total_actual", F.floor(b)),
-        _fact("FIN_06_basic_expenditure", all_of("302"), all_of("302"), "total_actual", b - F.floor(b)),
-        _fact("FIN_07_three_public", all_of("total"), all_of("合计"), "budget", t),
-        _fact("FIN_07_three_public", all_of("total"), all_of("合计"), "actual", F.when(F.col("version") % 13 == 0, t * 2).otherwise(b)),
-        _fact("FIN_07_three_public", all_of("overseas"), all_of("因公出国(境)费"), "actual", b),
-        _fact("FIN_08_gov_fund", all_of("total"), all_of("合计"), "total_actual", t),
-        _fact("FIN_08_gov_fund", all_of("total"), all_of("合计"), "basic_actual", F.when(F.col("version") % 4 != 0, b)),
-        _fact("FIN_08_gov_fund", all_of("total"), all_of("合计"), "project_actual", p),
-    )
-    budget = F.array(_fact("FIN_03_expenditure", all_of("total"), all_of("合计"), "total_budget", t))
-    totals = F.when(F.col("version") % 2 == 0, F.concat(totals, budget)).otherwise(totals)
-    return leaf.unionByName(sums.select("version", F.explode(totals).alias("f")).select("version", "f.*", F.lit(0).alias("row_order")))
+    t, b, p, version = F.col("total"), F.col("basic"), F.col("project"), F.col("version")
+    off = F.when(version % 7 == 0, F.lit(5)).otherwise(F.lit(0)).cast("decimal(18,2)")
+    fact = lambda table_code, code, name, measure, amount, when=None: Fact(table_code, code, name, measure, money(amount), when)
+    three = "FIN_03_expenditure"
+    five = lambda code, amount: fact("FIN_05_general_public_expenditure", code, name, "total_actual", amount, version % 11 != 0)
+    leaf = [fact(three, code, name, "total_actual", t), fact(three, code, name, "basic_actual", b), fact(three, code, name, "project_actual", p)]
+    leaf += [five(code, t), five(F.concat(code, F.lit("01")), F.col("part1")), five(F.concat(code, F.lit("02")), t - F.col("part1") + off)]
+    all_of = lambda table_code, measure, amount, code="total", name="合计", when=None: fact(table_code, F.lit(code).cast("string"), F.lit(name), measure, amount, when)
+    totals = [
+        all_of(three, "total_actual", t + off),
+        all_of(three, "basic_actual", b),
+        all_of(three, "project_actual", p),
+        all_of("FIN_01_income_expenditure_total", "expenditure_actual", t, None, "本年支出合计"),
+        all_of("FIN_01_income_expenditure_total", "income_actual", t + F.when(version % 5 == 0, F.lit(1)).otherwise(F.lit(0)), None, "本年收入合计"),
+        all_of("FIN_02_income", "total_actual", t),
+        all_of("FIN_02_income", "fiscal_allocation", b),
+        all_of("FIN_02_income", "other_income", F.when(version % 3 != 0, p)),
+        all_of("FIN_06_basic_expenditure", "total_actual", F.floor(b), "301", "301"),
+        all_of("FIN_06_basic_expenditure", "total_actual", b - F.floor(b), "302", "302"),
+        all_of("FIN_07_three_public", "budget", t),
+        all_of("FIN_07_three_public", "actual", F.when(version % 13 == 0, t * 2).otherwise(b)),
+        all_of("FIN_07_three_public", "actual", b, "overseas", "因公出国(境)费"),
+        all_of("FIN_08_gov_fund", "total_actual", t),
+        all_of("FIN_08_gov_fund", "basic_actual", F.when(version % 4 != 0, b)),
+        all_of("FIN_08_gov_fund", "project_actual", p),
+        all_of(three, "total_budget", t, when=version % 2 == 0),
+    ]
+    return lines, leaf, {"total": t, "basic": b, "project": p}, totals
+
+
+def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long facts of every order: version, table_code, classification_code,
+    classification_name, measure, amount, row_order."""
+    lines, leaf, sums, totals = statement_lines(spark, sf_dir)
+    by = lines.groupBy("version").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    return _exploded(lines, leaf, F.col("row_order")).unionByName(_exploded(by, totals, F.lit(0)))
 
 
 #: The same relation in SQL, as a chain of CTEs that ends in `facts`.
