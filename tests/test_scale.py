@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,13 +17,13 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-def physical(spark, df) -> str:
+def physical(spark, df, text=lambda plan: plan.toString()) -> str:
     """The plan before it adapts, without the sizes of its inputs."""
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        return df()._jdf.queryExecution().executedPlan().toString()
+        return text(df()._jdf.queryExecution().executedPlan())
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -106,3 +107,11 @@ def test_findings_of_rows_are_those_of_their_facts(spark):
     plain = base._exploded(rows, facts, F.lit(1))
     for only in ((), ("R011",), ("R002",), ("R014",), ("R010",), ("R015",)):
         assert order(qc.row_findings(rows, facts, {}, [], only=only)) == order(qc.findings(plain, only=only))
+
+
+@pytest.mark.parametrize("name", ["union_findings", "qc_findings"])
+def test_verdicts_make_code_that_is_compiled(spark, name):
+    """The JVM compiles methods of up to 8,000 bytes."""
+    code = physical(spark, lambda: registry.queries()[name](spark, SF), spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString)
+    found = re.findall(r"maxMethodCodeSize:(\d+)", code)
+    assert found and max(map(int, found)) <= 8000
