@@ -119,8 +119,9 @@ def scopes(documents: DataFrame, orgs: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     own = orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("o_name"), F.col("level").alias("o_level"), text(F.col("code")).alias("o_code"), F.col("parent_id").alias("p_id"))
     above = orgs.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), text(F.col("code")).alias("p_code"))
-    rows = documents.join(own, "organization_id").join(above, "p_id", "left")
-    is_unit, up = F.col("o_level") == "unit", promoted(F.col("o_name"), F.col("p_name"))
+    # names are compared once for each organization, not for each of its documents
+    rows = own.join(above, "p_id", "left").withColumn("up", promoted(F.col("o_name"), F.col("p_name")))
+    is_unit, up = F.col("o_level") == "unit", F.col("up")
     rows = rows.where((F.col("o_level") == "department") | (is_unit & (up | F.col("p_name").isNotNull())))
     alone = F.when(F.col("o_code").isNotNull(), F.concat("o_code", F.lit("__SELF"))).otherwise(auto_code("AUTO_UNIT", F.col("o_name")))
     names = {
@@ -129,8 +130,9 @@ def scopes(documents: DataFrame, orgs: DataFrame) -> DataFrame:
         "unit_name": F.col("o_name"),
         "unit_code": F.when(is_unit, F.col("o_code")).otherwise(alone),
     }
+    found = rows.select("organization_id", *[c.alias(n) for n, c in names.items()])
     keep = [c for c in documents.columns if c not in names]
-    return rows.select(*keep, *[c.alias(n) for n, c in names.items()])
+    return documents.select(*keep).join(found, "organization_id").select(*keep, *names)
 
 
 def ensured(have: DataFrame, wanted: DataFrame, prefix: str, below: tuple[str, ...] = (), exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -164,8 +166,9 @@ def synchronized(schema: Schema, documents: DataFrame, items: DataFrame, orgs: D
     A report is its unit's of a year and type: the last document (by doc_id) of each counts, and its
     items replace those that the report had.
     """
-    # what is used more than once is computed once
-    scoped = _kept(scopes(documents, orgs))
+    # what is used more than once is computed once; names and codes are settled for each organization
+    # that has documents, which meet the result in one join
+    scoped = _kept(scopes(documents.select("organization_id").distinct(), orgs))
     departments, of = ensured(schema.departments, scoped.select(F.col("department_name").alias("name"), F.col("department_code").alias("preferred")), "AUTO_DEPT")
     of = of.select(F.col("name").alias("department_name"), F.col("preferred").alias("department_code"), F.col("code").alias("d_code"))
     on = scoped["department_name"].eqNullSafe(of["department_name"]) & scoped["department_code"].eqNullSafe(of["department_code"])
@@ -175,7 +178,8 @@ def synchronized(schema: Schema, documents: DataFrame, items: DataFrame, orgs: D
     at = at.select(F.col("department_code").alias("k_dept"), F.col("name").alias("k_name"), F.col("preferred").alias("k_code"), F.col("code").alias("u_code"))
     on = (scoped["department_code"] == at["k_dept"]) & (scoped["unit_name"] == at["k_name"]) & scoped["unit_code"].eqNullSafe(at["k_code"])
     kind = F.when(F.lower(F.trim("doc_type")).isin(*FINAL_TYPES), "FINAL").otherwise("BUDGET")
-    rows = scoped.join(at, on).select("doc_id", "department_code", F.col("u_code").alias("unit_code"), F.col("fiscal_year").alias("year"), kind.alias("report_type"), "path", "checksum")
+    placed = _kept(scoped.join(at, on).select("organization_id", F.col("department_code").alias("d_code"), "u_code"))
+    rows = documents.join(placed, "organization_id").select("doc_id", F.col("d_code").alias("department_code"), F.col("u_code").alias("unit_code"), F.col("fiscal_year").alias("year"), kind.alias("report_type"), "path", "checksum")
     key = ["department_code", "unit_code", "year", "report_type"]
     last = _kept(rows.groupBy(*key).agg(F.max(F.struct("doc_id", "path", "checksum")).alias("r")).select(*key, "r.*"))
     reports = schema.reports.join(last.select(*key), key, "left_anti").unionByName(last.drop("doc_id"))

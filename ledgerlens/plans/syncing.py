@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import registry_sync as R
+from ..operators.hierarchy import _kept
 from .base import table
 from .registry import query
 
@@ -46,13 +47,13 @@ _SYNC = f"""{_STORE},
 
 def _synced(spark: SparkSession, sf_dir: str) -> R.Schema:
     """The schema after two runs: on an empty one, and again on what came of it."""
-    orgs, orders = _store(spark, sf_dir), table(spark, sf_dir, "orders")
+    orgs, orders = _kept(_store(spark, sf_dir)), table(spark, sf_dir, "orders")
     units = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey")
     name = F.when(k % 9 == 0, F.concat("n_name", F.lit("局"))).when(k % 3 == 0, F.concat(F.lit("X"), (k % 30).cast("string"), F.lit("局"))).otherwise(F.col("c_name"))
     above = R.organization_id(F.when((k % 3 == 0) & (k % 9 != 0), name).otherwise(F.col("n_name")), "department", R.organization_id(F.lit("C"), "city", F.lit(None).cast("string")))
     placed = units.select(k.alias("o_custkey"), R.organization_id(name, "unit", above).alias("organization_id"))
-    documents = orders.join(placed, "o_custkey").select(F.col("o_orderkey").alias("doc_id"), "organization_id", (2020 + F.col("o_orderkey") % 3).alias("fiscal_year"), F.when(F.col("o_orderkey") % 2 == 0, "决算").otherwise("budget").alias("doc_type"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderstatus").alias("checksum"))
+    documents = _kept(orders.join(placed, "o_custkey").select(F.col("o_orderkey").alias("doc_id"), "organization_id", (2020 + F.col("o_orderkey") % 3).alias("fiscal_year"), F.when(F.col("o_orderkey") % 2 == 0, "决算").otherwise("budget").alias("doc_type"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderstatus").alias("checksum")))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("line"), F.floor("l_quantity").cast("long").alias("amount"))
     none = lambda kind: spark.createDataFrame([], kind)
     empty = R.Schema(none("code string, name string"), none("department_code string, code string, name string"), none("department_code string, unit_code string, year long, report_type string, path string, checksum string"), none("line int, amount long, department_code string, unit_code string, year long, report_type string"))

@@ -39,3 +39,18 @@ def test_codes_are_taken_up(spark):
     assert {r["code"] for r in table.where("name = 'c'").collect()} == {"D3", "D4"}
     again, _ = R.ensured(table, wanted.where(F.col("preferred") == "D4"), "AUTO_DEPT", exact=True)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_names_are_compared_for_organizations_not_documents(spark):
+    orgs = spark.createDataFrame([("o1", "财政局", "department", None, "D1"), ("o2", "某中心", "unit", "o1", None), ("o3", "无文件局", "department", None, "D3")], "id string, name string, level string, parent_id string, code string")
+    documents = spark.createDataFrame([(k, ["o1", "o2", "gone", None][k % 4], 2020, "决算", f"p{k}", "c") for k in range(40)], "doc_id long, organization_id string, fiscal_year long, doc_type string, path string, checksum string")
+    lines = R.scopes(documents, orgs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # the rows of documents come in above all comparing of names
+    depth = lambda word: min((len(x) - len(x.lstrip(" :+-")) for x in lines if word in x), default=None)
+    assert depth("doc_id") < depth("普陀区")
+    assert not any("普陀区" in x and "doc_id" in x for x in lines)
+    none = lambda kind: spark.createDataFrame([], kind)
+    empty = R.Schema(none("code string, name string"), none("department_code string, code string, name string"), none("department_code string, unit_code string, year long, report_type string, path string, checksum string"), none("line int, department_code string, unit_code string, year long, report_type string"))
+    got = R.synchronized(empty, documents, none("doc_id long, line int"), orgs)
+    assert {r["code"] for r in got.departments.collect()} == {"D1"}  # organizations without documents ask for nothing
+    assert {(r["department_code"], r["path"]) for r in got.reports.collect()} == {("D1", "p36"), ("D1", "p37")}
