@@ -6,10 +6,12 @@ as DECIMAL(18,2), so that sums do not depend on their order.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.qc import Fact
+from ..operators.qc import Fact, Params
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -35,41 +37,76 @@ def _exploded(rows: DataFrame, facts: list[Fact], order: Column) -> DataFrame:
     return rows.select("version", order.alias("row_order"), F.explode(all_of).alias("f")).select("version", "f.*", "row_order")
 
 
-def statement_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Fact], dict[str, Column], list[Fact]]:
+def _cents(price: Column) -> tuple[Column, Column]:
+    """Whole cents of a price: as `money` rounds it, and as round(price * 100) does.  Where two decimals
+    are all it has, or no half is near, both are read without a text or decimal of each number."""
+    near = F.rint(price * 100)
+    exact = F.when((F.abs(price) < 1e13) & (near / 100.0 == price), near.cast("long")).otherwise((money(price) * 100).cast("long"))
+    return exact, _nearest(price * 100)
+
+
+def _nearest(v: Column) -> Column:
+    """round(v), halves away from zero, as a long."""
+    return F.when((F.abs(v) < 1e15) & (F.abs(v - F.rint(v)) < 0.5), F.rint(v).cast("long")).otherwise(F.round(v).cast("long"))
+
+
+#: so many times the sum of all prices bounds what a rule adds up
+MOST_ADDED = 16
+
+
+def sums_fit(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether no sum of amounts can leave 64 bits in whole cents (what is not a number does not fit)."""
+    price, discount = F.abs("l_extendedprice"), F.coalesce(F.abs("l_discount"), F.lit(0.0))
+    most = table(spark, sf_dir, "lineitem").agg(F.sum(price * (discount + 1) + 10)).first()[0]
+    return most is None or most * 100 * MOST_ADDED < 2.0**63
+
+
+def statement_operands(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, list[Fact], dict[str, Column], list[Fact]], Params]:
+    """What `qc.row_findings` takes: amounts in whole cents, or in decimals where sums might not fit."""
+    whole = sums_fit(spark, sf_dir)
+    return statement_lines(spark, sf_dir, whole), Params(unit=100 if whole else 1)
+
+
+def statement_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, list[Fact], dict[str, Column], list[Fact]]:
     """Rows of every order (version, row_order, ...), the facts that each holds, sums over an order's
-    rows, and the facts that an order's sums hold.  Every seventh order's totals are off
-    by 5, every eleventh has no functional table, so that all statuses occur.
+    rows, and the facts that an order's sums hold; amounts are decimals, or `whole` cents.  Every seventh order's
+    totals are off by 5, every eleventh has no functional table, so that all statuses occur.
 
     Lines are dealt by order once, when they are narrow: what is grouped by version needs no further shuffle.
     """
+    exact, near = _cents(F.col("l_extendedprice"))
+    # whole cents, rounded down: no half cent can fall to either side
+    basic = F.call_function("div", near * (100 - _nearest(F.col("l_discount") * 100)), F.lit(100).cast("long"))
+    unit = 100 if whole else 1
+    amount = (lambda c: c.cast("long")) if whole else money
+    floor = (lambda c: c - F.pmod(c, F.lit(100))) if whole else F.floor
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("version"),
         F.col("l_linenumber").cast("int").alias("row_order"),
-        money(F.col("l_extendedprice")).alias("total"),
-        # whole cents, rounded down: no half cent can fall to either side
-        F.expr("CAST(((CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) div 100) * 0.01BD AS DECIMAL(18,2))").alias("basic"),
+        (exact if whole else money(F.col("l_extendedprice"))).alias("total"),
+        (basic if whole else money(basic * F.lit(Decimal("0.01")))).alias("basic"),
     ).repartition("version")
-    lines = lines.withColumn("project", money(F.col("total") - F.col("basic"))).withColumn("part1", money(F.floor(F.col("total")))).withColumn("code", F.concat(F.lit("2"), F.lpad(F.col("row_order").cast("string"), 2, "0")))
+    lines = lines.withColumn("project", amount(F.col("total") - F.col("basic"))).withColumn("part1", amount(floor(F.col("total")))).withColumn("code", F.concat(F.lit("2"), F.lpad(F.col("row_order").cast("string"), 2, "0")))
     code, name = F.col("code"), F.concat(F.lit("item "), F.col("code"))
     t, b, p, version = F.col("total"), F.col("basic"), F.col("project"), F.col("version")
-    off = F.when(version % 7 == 0, F.lit(5)).otherwise(F.lit(0)).cast("decimal(18,2)")
-    fact = lambda table_code, code, name, measure, amount, when=None: Fact(table_code, code, name, measure, money(amount), when)
+    off = amount(F.when(version % 7 == 0, F.lit(5 * unit)).otherwise(F.lit(0)))
+    fact = lambda table_code, code, name, measure, value, when=None: Fact(table_code, code, name, measure, amount(value), when)
     three = "FIN_03_expenditure"
-    five = lambda code, amount: fact("FIN_05_general_public_expenditure", code, name, "total_actual", amount, version % 11 != 0)
+    five = lambda code, value: fact("FIN_05_general_public_expenditure", code, name, "total_actual", value, version % 11 != 0)
     leaf = [fact(three, code, name, "total_actual", t), fact(three, code, name, "basic_actual", b), fact(three, code, name, "project_actual", p)]
     leaf += [five(code, t), five(F.concat(code, F.lit("01")), F.col("part1")), five(F.concat(code, F.lit("02")), t - F.col("part1") + off)]
-    all_of = lambda table_code, measure, amount, code="total", name="合计", when=None: fact(table_code, F.lit(code).cast("string"), F.lit(name), measure, amount, when)
+    all_of = lambda table_code, measure, value, code="total", name="合计", when=None: fact(table_code, F.lit(code).cast("string"), F.lit(name), measure, value, when)
     totals = [
         all_of(three, "total_actual", t + off),
         all_of(three, "basic_actual", b),
         all_of(three, "project_actual", p),
         all_of("FIN_01_income_expenditure_total", "expenditure_actual", t, None, "本年支出合计"),
-        all_of("FIN_01_income_expenditure_total", "income_actual", t + F.when(version % 5 == 0, F.lit(1)).otherwise(F.lit(0)), None, "本年收入合计"),
+        all_of("FIN_01_income_expenditure_total", "income_actual", t + F.when(version % 5 == 0, F.lit(unit)).otherwise(F.lit(0)), None, "本年收入合计"),
         all_of("FIN_02_income", "total_actual", t),
         all_of("FIN_02_income", "fiscal_allocation", b),
         all_of("FIN_02_income", "other_income", F.when(version % 3 != 0, p)),
-        all_of("FIN_06_basic_expenditure", "total_actual", F.floor(b), "301", "301"),
-        all_of("FIN_06_basic_expenditure", "total_actual", b - F.floor(b), "302", "302"),
+        all_of("FIN_06_basic_expenditure", "total_actual", floor(b), "301", "301"),
+        all_of("FIN_06_basic_expenditure", "total_actual", b - floor(b), "302", "302"),
         all_of("FIN_07_three_public", "budget", t),
         all_of("FIN_07_three_public", "actual", F.when(version % 13 == 0, t * 2).otherwise(b)),
         all_of("FIN_07_three_public", "actual", b, "overseas", "因公出国(境)费"),

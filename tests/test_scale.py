@@ -115,3 +115,27 @@ def test_verdicts_make_code_that_is_compiled(spark, name):
     code = physical(spark, lambda: registry.queries()[name](spark, SF), spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString)
     found = re.findall(r"maxMethodCodeSize:(\d+)", code)
     assert found and max(map(int, found)) <= 8000
+
+
+@pytest.mark.parametrize("name", ["qc_findings", "qc_r001", "qc_r008", "qc_r011", "qc_r012", "qc_r014", "union_findings"])
+def test_cents_add_up_as_whole_numbers(spark, name):
+    """Decimals of over 18 digits are objects, one for each row and sum."""
+    plan = physical(spark, lambda: registry.queries()[name](spark, SF))
+    grouped = [line for line in plan.splitlines() if "HashAggregate(keys=[version" in line]
+    assert grouped and not any("decimal" in line.lower() for line in grouped)
+
+
+def test_whole_cents_are_those_of_decimals(spark, tmp_path):
+    """Prices of more than two decimals, halves, negative, large and missing ones; sums that do not fit go by decimals."""
+    odd = [1.005, 2.675, -0.125, -1.5, 0.1 + 0.2, 1e7, 10000000.01, 99999.995, 0.0, None, 123456789012.34, 4.35, -7.0, 9007199254740.993]
+    rows = [(k % 5 if k < 12 else None if k == 12 else 77, k, v, d) for k, v in enumerate(odd) for d in (0.05, 0.07, None)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double")
+    order = lambda df: sorted(map(str, df.collect()))
+    for name, more, fits in (("small", [], True), ("large", [(77, k, 8e14, 0.0) for k in range(12)], False)):
+        at = str(tmp_path / name)
+        df.union(spark.createDataFrame(more, df.schema)).write.parquet(f"{at}/lineitem.parquet")
+        assert base.sums_fit(spark, at) == fits
+        want = order(qc.findings(base.statement_facts(spark, at)))
+        assert order(registry.queries()["qc_findings"](spark, at)) == want
+        for key in ("R008", "R011", "R014"):
+            assert order(registry.queries()[f"qc_{key.lower()}"](spark, at)) == [r for r in want if f"'{key}'" in r]
