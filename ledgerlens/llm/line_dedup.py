@@ -13,12 +13,15 @@ whether or not that one is removed itself.
    aggregation finds the tokens that two classes have in their prefixes; only
    rows of these go on.
 3. Rows of a token that agree in size (length filter) and whose places leave
-   enough tokens behind (positional filter) are candidates.  At first each class
+   enough tokens behind (positional filter) are candidates.  Where the groups of
+   tokens are small, so that all their pairs are few (counted beforehand), all are
+   made at once.  Otherwise at first each class
    tries the earliest of the group it meets most often, so that a group of near
    copies is settled in linear work; classes still kept then try the earliest that
    is still kept, round by round, and at last all others, unless bitmaps of how two
    classes differ from a common centre show them to be too far apart.
-4. Candidates are decided by intersecting their whole token arrays.
+4. Candidates are decided by intersecting their whole token arrays, which are made
+   anew from the lines that are in a pair.
 
 Defined cases: lines with fewer than `min_words` words are always kept.  A null text
 stays null, an empty one empty; both have no lines.  A text that loses all its lines
@@ -51,6 +54,9 @@ BITMAP = 4
 #: rounds in which kept classes try the earliest kept one, before all are compared;
 #: a round that settles less than one in SETTLES of the classes with a centre is the last
 ROUNDS, SETTLES = 4, 20
+#: all pairs of the tokens' groups are made at once where there are at most PAIRS for
+#: each member and no group has more than GROUP members
+PAIRS, GROUP = 16, 2000
 _NO_ID = -(1 << 63)
 
 
@@ -64,30 +70,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text").where("text is not null")
 
 
-def tokens(words: Column) -> Column:
-    """Sorted distinct shingle hashes of HASH_BITS bits; past the end `get` has
-    nulls, which the hash passes over."""
-    grams = F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WIDTH)]), 64 - HASH_BITS))
-    return F.array_distinct(F.sort_array(F.slice(grams, 1, F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))))
+def _tokens(worded: DataFrame, *keep: str) -> DataFrame:
+    """keep, and tokens: sorted distinct shingle hashes of HASH_BITS bits of words.
+
+    A word is hashed once; hashes of neighbours are joined to those of 2, 3 and 5
+    words.  Past the end there are nulls, which the hash passes over.
+    """
+
+    def joined(df: DataFrame, by: int, bits: int = 64) -> DataFrame:
+        both = lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 64 - bits) if bits < 64 else F.xxhash64(a, b)
+        return df.select(*keep, F.zip_with("h", F.slice("h", by + 1, F.size("h")), both).alias("h"))
+
+    found = worded.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    found = joined(joined(joined(found, 1), 1), 2, HASH_BITS)
+    shingles = F.slice("h", 1, F.greatest(F.size("h") - (WIDTH - 1), F.lit(1)))
+    return found.select(*keep, F.array_distinct(F.sort_array(shingles)).alias("tokens"))
+
+
+def _plain(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, and lines: the text's lines (lower-cased, white space as spaces)."""
+    low = docs.select(*keep, F.lower("text").alias("low"))  # apart, so that it is done once
+    other = [F.contains("low", F.lit(c)) for c in "\t\x0b\x0c\r"]
+    plain = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace("low", r"[\t\x0B-\r]", " ")).otherwise(F.col("low"))
+    return low.select(*keep, F.split(plain, "\n").alias("lines"))
 
 
 def _split(docs: DataFrame) -> DataFrame:
-    """doc, row, place, line (lower-cased, white space as spaces) of every line with a word."""
-    low = F.lower("text")
-    other = [F.contains(low, F.lit(c)) for c in "\t\x0b\x0c\r"]
-    plain = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(low, r"[\t\x0B-\r]", " ")).otherwise(low)
-    return docs.select("doc", "row", F.posexplode(F.split(plain, "\n")).alias("place", "line")).where(F.trim("line") != "")
+    """doc, row, place, line of every line with a word.  The outer form, as a text has a
+    line always: for the other one Spark splits every text again to see whether it has."""
+    return _plain(docs, "doc", "row").select("doc", "row", F.posexplode_outer("lines").alias("place", "line")).where(F.trim("line") != "")
 
 
 def _words(line: str = "line") -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    words = F.split(line, " ")
+    spare = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(spare, F.array_remove(words, "")).otherwise(words)
 
 
 def _tokenized(docs: DataFrame, min_words: int) -> DataFrame:
     """doc, row, place, tokens, n, and the class: two hashes of the set."""
     worded = _split(docs).select("doc", "row", "place", _words().alias("words"))
     worded = worded.where(F.size("words") >= min_words) if min_words > 1 else worded
-    lines = worded.select("doc", "row", "place", tokens(F.col("words")).alias("tokens"))
+    lines = _tokens(worded, "doc", "row", "place")
     return lines.select("doc", "row", "place", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("cls"), F.hash("tokens").alias("cls2"))
 
 
@@ -119,6 +143,18 @@ def _sizes_allow(a: str, b: str) -> Column:
     return (F.col(f"{a}.n") * DEN >= F.col(f"{b}.n") * NUM) & (F.col(f"{b}.n") * DEN >= F.col(f"{a}.n") * NUM) & (left >= needed(F.col(f"{a}.n"), F.col(f"{b}.n")))
 
 
+def _classes(lines: DataFrame) -> DataFrame:
+    """cls, cls2, doc, row and place of its first line, times.  Numbers are counted and
+    compared in the aggregation's own rows; classes of several lines then get their first."""
+    key = ["cls", "cls2"]
+    found = lines.groupBy(*key).agg(*[F.min(c).alias(c) for c in ("doc", "row", "place")], F.count(F.lit(1)).alias("times"))
+    found = common.stored(found, "classes")
+    several = found.where("times > 1")
+    firsts = common.matching(lines.select(*key, "doc", "row", "place"), several.select(*key), key).groupBy(*key).agg(F.min(_pos()).alias("pos"), F.count(F.lit(1)).alias("times"))
+    firsts = common.stored(firsts.select(*key, "pos.doc", "pos.row", "pos.place", "times"), "classes")
+    return found.where("times = 1").unionByName(firsts)
+
+
 def _members(prefixes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """key, id, n, at of the classes that share a prefix token with another one; and
     the classes (id, cls, doc, row, place), numbered in the order of their first lines."""
@@ -135,13 +171,13 @@ def _members(prefixes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
 
 def _wanted_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """id and tokens of the classes, from the first line of each."""
-    ids = common.stored(firsts.select("doc", "row").distinct(), "ids")
-    found = common.matching(docs, ids, ["doc", "row"])
-    if found.count() > ids.count():  # rows that repeat id and text
-        found = found.dropDuplicates(["doc", "row"])
-    small = F.broadcast if firsts.count() <= common.BROADCAST_ROWS else (lambda df: df)
-    lines = _split(found).join(small(firsts.select("id", "doc", "row", "place")), ["doc", "row", "place"])
-    return common.stored(lines.select("id", _words().alias("words")).select("id", tokens(F.col("words")).alias("tokens")), "sets")
+    wanted = common.stored(firsts.groupBy("doc", "row").agg(F.collect_list(F.struct("id", "place")).alias("wanted")), "wanted")
+    small = F.broadcast if wanted.count() <= common.BROADCAST_ROWS else (lambda df: df)
+    lines = _plain(docs.join(small(wanted), ["doc", "row"]), "wanted").select("lines", F.explode_outer("wanted").alias("w"))
+    worded = lines.select(F.col("w.id").alias("id"), F.get("lines", F.col("w.place")).alias("line")).select("id", _words().alias("words"))
+    sets = common.stored(_tokens(worded, "id"), "sets")
+    # rows that repeat id and text
+    return sets.dropDuplicates(["id"]) if sets.count() > firsts.count() else sets
 
 
 def _decided(pairs: DataFrame, sets: DataFrame, bitmaps: bool = False) -> DataFrame:
@@ -168,8 +204,28 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return common.stored(met.groupBy("x").agg(F.max_by("y", "times").alias("y")), "pairs")
 
 
-def similar_to_earlier(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _pairs(m: DataFrame, c: DataFrame, near: Column | None = None) -> DataFrame:
+    """(x, y): the rows of m with all earlier rows of c that have a token in common
+    and pass the filters."""
+    on = (F.col("m.key") == F.col("c.key")) & (F.col("m.id") > F.col("c.id")) & _sizes_allow("m", "c")
+    return m.alias("m").join(c.alias("c"), on if near is None else on & near).select(F.col("m.id").alias("x"), F.col("c.id").alias("y")).distinct()
+
+
+def _few_pairs(members: DataFrame) -> bool:
+    """Whether all pairs of all groups are few enough to be made at once."""
+    group = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = group.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    return found["rows"] is None or (found["pairs"] <= PAIRS * found["rows"] and found["most"] <= GROUP)
+
+
+def similar_to_earlier(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
     """id of every member with an earlier class that is similar."""
+    if _few_pairs(members):
+        pairs = common.stored(_pairs(members, members), "pairs")
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        sets = _wanted_sets(docs, common.stored(firsts.join(ids, "id", "left_semi"), "paired"))
+        return common.stored(_decided(pairs, sets).where("ok").select(F.col("x").alias("id")).distinct(), "gone")
+    sets = _wanted_sets(docs, firsts)
     stars = common.stored(_decided(_star_pairs(members), sets, bitmaps=True), "tried")
     tried = stars.select("x", "y")
     gone = common.stored(stars.where("ok").select(F.col("x").alias("id")), "gone")
@@ -183,12 +239,11 @@ def similar_to_earlier(members: DataFrame, sets: DataFrame) -> DataFrame:
     # what is still kept meets all earlier classes of its groups
     centre = stars.select(F.col("x").alias("id"), F.col("y").alias("centre"), *[f"d{k}" for k in range(BITMAP)])
     about = common.stored(members.join(centre, "id", "left"), "about")
-    m, c = common.stored(about.join(gone, "id", "left_anti"), "kept").alias("m"), about.alias("c")
+    kept = common.stored(about.join(gone, "id", "left_anti"), "kept")
     # relative to a common centre, sets differ where their differences do
     apart = sum((F.bit_count(F.col(f"m.d{k}").bitwiseXOR(F.col(f"c.d{k}"))) for k in range(BITMAP)), F.lit(0))
     near = ~F.col("m.centre").eqNullSafe(F.col("c.centre")) | F.col("m.centre").isNull() | (apart <= F.col("m.n") + F.col("c.n") - 2 * needed(F.col("m.n"), F.col("c.n")))
-    pairs = m.join(c, (F.col("m.key") == F.col("c.key")) & (F.col("m.id") > F.col("c.id")) & _sizes_allow("m", "c") & near)
-    pairs = common.stored(pairs.select(F.col("m.id").alias("x"), F.col("c.id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+    pairs = common.stored(_pairs(kept, about, near).join(tried, ["x", "y"], "left_anti"), "pairs")
     rest = _decided(pairs, sets).where("ok").select(F.col("x").alias("id"))
     return common.stored(gone.unionByName(rest).distinct(), "gone")
 
@@ -202,10 +257,9 @@ def removed_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     ordered = lines.withColumn("steps", steps.scalar()).withColumn("ordered", _ordered(F.col("tokens"), F.col("steps")))
     prefixes = common.stored(ordered.select("doc", "row", "place", "n", "cls", "cls2", F.slice("ordered", 1, size).alias("prefix")), "prefixes")
     common.dropped(lines)  # the sets of candidates are made anew from their lines
-    classes = prefixes.groupBy("cls", "cls2").agg(F.min(_pos()).alias("pos"), F.count(F.lit(1)).alias("times"))
-    classes = common.stored(classes.select("cls", "cls2", "pos.doc", "pos.row", "pos.place", "times"), "classes")
+    classes = _classes(prefixes)
     members, firsts = _members(prefixes, classes)
-    gone = similar_to_earlier(members, _wanted_sets(docs, firsts))
+    gone = similar_to_earlier(docs, members, firsts)
     gone = common.stored(firsts.join(gone, "id", "left_semi").select("cls"), "gone")
     # a class that goes takes all its lines along, another one all but its first
     known = classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where("times > 1 or gone")
