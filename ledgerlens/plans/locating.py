@@ -69,7 +69,7 @@ def unfilled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         3: r"'目录\n1. 部门收支预算总表......1\n四、编制说明………………'",
         4: "repeat('XX，', 9) || '待填写'",
         5: r"'金额｛{ 单位 }万元 ' || CASE WHEN k % 2 = 0 THEN 'n/a' ELSE '待n/a' END || ' ...\n第一章 总体情况……………… 7'",
-    })
+    }, dealt=True)
     return H.placeholder_findings(pages).select("doc_id", "page", "pos", "message")
 
 

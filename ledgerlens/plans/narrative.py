@@ -21,10 +21,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
 
 
-def _pages(spark: SparkSession, sf_dir: str, texts: dict[int, str]) -> DataFrame:
-    """pages(doc_id, page, text) of SQL expressions over k and c."""
+def _pages(spark: SparkSession, sf_dir: str, texts: dict[int, str], dealt: bool = False) -> DataFrame:
+    """pages(doc_id, page, text) of SQL expressions over k and c.  dealt: orders are dealt out first, while
+    they are narrow, so that what reads the pages uses all cores however few pieces the table's file has."""
     each = F.array(*[F.struct(F.lit(n).alias("page"), F.expr(t).alias("text")) for n, t in texts.items()])
-    return _orders(spark, sf_dir).select("doc_id", F.inline(each))
+    orders = _orders(spark, sf_dir)
+    return (orders.repartition("doc_id") if dealt else orders).select("doc_id", F.inline(each))
 
 
 def _rows(spark: SparkSession, sf_dir: str, grids: dict[str, list[tuple[str, ...]]], where: str = "true") -> DataFrame:

@@ -40,6 +40,38 @@ def test_unfilled_texts_on_reports(spark):
     assert got == [(1, 2, "XXXXX"), (1, 15, "。。。。。"), (2, 7, "××"), (6, pages[5][2].rindex("文") + 1, "………………")]
 
 
+def test_unfilled_texts_in_one_pass(spark):
+    """One pass over all patterns finds what one for each does, page by page: repeated pages count each, dots at a
+    line's start belong to that line, and nothing is shuffled."""
+    rng = random.Random(3)
+    bits = ["XX", "x", "X", "ＸＸ", "×", "✕×", "TBD", "tbd", "n/a", "NA", "{ 单位 }", "{部门}", "{\n单位 }", "}", "待填写", "请填写", "填写", "( 待A )", "(略)", "...", "..", "……", "。。。", "·", " ", "\n", "7", "é", "表", "目录", "目 录", "说明", "😀"]
+    pages = [(i, 1, "".join(rng.choices(bits, k=rng.choice((1, 3, 8, 20, 60))))) for i in range(300)]
+    pages += [(400, 1, "第一章\n...... 7"), (400, 1, "第一章\n...... 7"), (401, 1, "XX，" * 30 + "待填写"), (402, 1, "...，" * 9 + "XX")]
+
+    def plain(text):
+        import re
+
+        flags = lambda p: re.compile(p.replace("(?iU)", "(?i)").replace(r"\s", r"[ \t\n\r\f\v]"))
+        bare = lambda s: re.sub(H.X.PUNCTUATION, "", s)
+        contents = "目录" in bare("\n".join(text.split("\n")[:12])) or ("目录" in bare(text) and bare(text).count("表") >= 8)
+        out, seen = [], set()
+        for k, p in enumerate(H.PLACEHOLDERS):
+            for m in flags(p).finditer(text):
+                line = text[text.rfind("\n", 0, m.start()) + 1 :].split("\n")[0].strip(" ")
+                leads = re.search(H.LEADERS, line) and any(w in line for w in H.LEADER_WORDS)
+                if m.span() not in seen and not (k == len(H.PLACEHOLDERS) - 1 and (contents or leads)):
+                    seen.add(m.span())
+                    out.append((m.start(), m.group()))
+        return out[: H.PER_PAGE]
+
+    df = spark.createDataFrame(pages, "doc_id int, page int, text string")
+    found = H.placeholder_findings(df)
+    got = sorted((r["doc_id"], r["pos"], r["message"]) for r in found.collect())
+    want = sorted((i, pos, hit) for i, _, text in pages for pos, hit in plain(text))
+    assert got == want and len(want) > 500 and got.count((400, 4, "......")) == 2
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_header_of_a_small_grid(spark):
     cells = [(1, 0, 0, "支出决算表"), (1, 1, 0, "合计"), (1, 1, 1, "基本支出"), (1, 2, 0, "教育支出"), (1, 2, 1, "100"), (2, 0, 0, "只有标题"), (3, 1, 0, None), (3, 2, 0, " ")]
     got = {(r["k"], r["col_idx"]): r["header"] for r in H.header_columns(spark.createDataFrame(cells, "k int, row_idx int, col_idx int, raw_text string"), ["k"]).collect()}
