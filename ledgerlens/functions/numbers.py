@@ -32,7 +32,7 @@ def parse_number(s: Column) -> Column:
     plain, some = s.rlike(rf"^-?{_GROUPED}\z"), s.rlike(r"\d")
     t = stripped(s)
     digits = F.regexp_replace(t, r"[,%\s]", "")
-    return F.when(~some, F.lit(None)).when(plain, F.translate(s, ",", "").try_cast("double")).when(t.rlike(rf"^-?\s*{_GROUPED}\s*%?$"), digits.try_cast("double"))
+    return F.when(plain, F.translate(s, ",", "").try_cast("double")).when(~some, F.lit(None)).when(t.rlike(rf"^-?\s*{_GROUPED}\s*%?$"), digits.try_cast("double"))
 
 
 def parse_amount(s: Column) -> Column:

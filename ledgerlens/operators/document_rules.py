@@ -30,9 +30,12 @@ from . import text_rules as T
 def anchors(pages: DataFrame, tables: dict[str, tuple[str, ...]], skip: str = "目录|名词解释") -> DataFrame:
     """(doc_id, t, page): pages that print a table's name.  A name that another,
     longer one contains does not count where only the longer one stands."""
-    plain = pages.where(~F.col("text").rlike(skip)).select("doc_id", "page", X.without_punctuation(F.col("text")).alias("t"))
     names = {t: [n.replace("“", "").replace("”", "") for n in ns] for t, ns in tables.items()}
     every = [n for ns in names.values() for n in ns]
+    # a page without a character that every name has is not looked at further
+    common = sorted(set.intersection(*map(set, every)) - set(" .")) if every else []
+    some = pages.where(F.col("text").contains(common[-1])) if common else pages
+    plain = some.where(~F.col("text").rlike(skip)).select("doc_id", "page", X.without_punctuation(F.col("text")).alias("t"))
     found = []
     for t, ns in names.items():
         hit = F.lit(False)
@@ -135,9 +138,25 @@ def _amounts(rows: DataFrame) -> Column:
     return F.col("numbers") if "numbers" in rows.columns else _numbers(F.col("cells"))
 
 
+def _squeezed(rows: DataFrame) -> Column:
+    """A row's text without white space, likewise."""
+    return F.col("squeezed") if "squeezed" in rows.columns else X.compact(V.line(rows))
+
+
 def operands(rows: DataFrame, wanted: list[Operand]) -> DataFrame:
-    """One row per document with every operand (NULL where its row is missing)."""
-    slim = rows.where(F.col("t").isin(*{o.table for o in wanted})).select("doc_id", "t", "row_idx", X.compact(F.array_join("cells", "")).alias("text"), _amounts(rows).alias("v"), F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells"))
+    """One row per document with every operand (NULL where its row is missing).  Only rows that can
+    hold one, which most do not, are aggregated."""
+    tables = sorted({o.table for o in wanted})
+    some = rows.where(F.col("t").isin(*tables))
+
+    def may_hold(t: str) -> Column:
+        own = [o for o in wanted if o.table == t]
+        word = X.contains_any(F.col("text"), tuple(dict.fromkeys(min(o.words, key=len) for o in own if o.pick != "code")))
+        code = F.exists("cells", lambda c: F.trim(c).isin(*[o.words[0] for o in own if o.pick == "code"])) if any(o.pick == "code" for o in own) else F.lit(False)
+        return F.when(F.col("t") == t, F.coalesce(word | code, F.lit(False)))
+
+    slim = some.select("doc_id", "t", "row_idx", "cells", _squeezed(rows).alias("text"), _amounts(rows).alias("v")).where(F.coalesce(*[may_hold(t) for t in tables], F.lit(False)))
+    slim = slim.select("doc_id", "t", "row_idx", "text", "v", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells"))
 
     def value(o: Operand) -> Column:
         v = F.col("v")
@@ -151,7 +170,10 @@ def operands(rows: DataFrame, wanted: list[Operand]) -> DataFrame:
         choose = F.min_by if o.row == "first" else F.max_by
         return choose(F.when(hit, got), F.when(hit, F.col("row_idx"))).alias(o.name)
 
-    return slim.groupBy("doc_id").agg(*[value(o) for o in wanted])
+    held = slim.groupBy("doc_id").agg(*[value(o) for o in wanted])
+    documents = some.select("doc_id").distinct()
+    # a document without an id is one too
+    return documents.join(held.withColumnRenamed("doc_id", "__of"), F.col("doc_id").eqNullSafe(F.col("__of")), "left").drop("__of")
 
 
 #: fixed values: words by which rows are found
@@ -297,19 +319,25 @@ def identity_findings(wide: DataFrame, rules: list[Identity]) -> DataFrame:
     return wide.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("doc_id", "f.*")
 
 
+def _code(rows: DataFrame) -> Column:
+    """A row's classification code, or an empty text."""
+    first = F.regexp_replace(F.coalesce(F.get("cells", F.lit(0)), F.lit("")), r"\s", "")
+    return F.col("code") if "code" in rows.columns else F.regexp_extract(first, r"^(\d{3}(?:\d{2}){0,4})", 1)
+
+
 def code_rows(rows: DataFrame) -> DataFrame:
     """Rows with a classification code: doc_id, t, code, amounts."""
-    first = F.regexp_replace(F.coalesce(F.get("cells", F.lit(0)), F.lit("")), r"\s", "")
-    code = F.regexp_extract(first, r"^(\d{3}(?:\d{2}){0,4})", 1)
-    return rows.select("doc_id", "t", "row_idx", code.alias("code"), _amounts(rows).alias("v")).where((F.col("code") != "") & (F.size("v") > 0))
+    return rows.select("doc_id", "t", "row_idx", _code(rows).alias("code"), _amounts(rows).alias("v")).where((F.col("code") != "") & (F.size("v") > 0))
 
 
 def hierarchy_findings(rows: DataFrame, tables: tuple[str, ...] = ("T2", "T3", "T5"), tolerance: float = 0.1, rule: str = "v33_120") -> DataFrame:
     """Codes whose amount is not the sum of the codes one level below.  Parent and
-    children meet on (document, table, parent code), an equi key."""
+    children meet on (document, table, parent code), an equi key; rows are read once for both."""
     codes = code_rows(rows).where(F.col("t").isin(*tables)).select("doc_id", "t", "code", F.get("v", F.lit(0)).alias("amount"))
-    parent = F.when(F.length("code") > 3, F.substring("code", F.lit(1), F.length("code") - 2))
-    both = codes.select("doc_id", "t", F.col("code").alias("k"), F.col("amount").alias("own"), F.lit(None).cast("double").alias("part")).unionByName(codes.select("doc_id", "t", parent.alias("k"), F.lit(None).cast("double").alias("own"), F.col("amount").alias("part")).where("k IS NOT NULL"))
+    parent, none = F.substring("code", F.lit(1), F.length("code") - 2), F.lit(None).cast("double")
+    side = lambda k, own, part: F.struct(k.alias("k"), own.alias("own"), part.alias("part"))
+    own, part = side(F.col("code"), F.col("amount"), none), side(parent, none, F.col("amount"))
+    both = codes.select("doc_id", "t", F.inline(F.when(F.length("code") > 3, F.array(own, part)).otherwise(F.array(own))))
     sums = both.groupBy("doc_id", "t", "k").agg(F.max("own").alias("own"), F.sum("part").alias("parts"))
     bad = sums.where(F.col("own").isNotNull() & F.col("parts").isNotNull() & ~N.close(F.col("own"), F.col("parts"), tolerance))
     return bad.select("doc_id", F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.col("own").alias("lhs"), F.col("parts").alias("rhs"), F.concat_ws(" ", "t", "k").alias("message"))
@@ -356,14 +384,32 @@ def blank_findings(rows: DataFrame, pages: DataFrame, tables: tuple[str, ...] =
     return bare.select("doc_id", F.lit("v33_114").alias("rule"), F.lit("error").alias("severity"), F.concat(F.col("t"), F.lit(" is empty without a note")).alias("message"))
 
 
+#: columns of a table that are added up side by side; more go in further groups
+SIDE_BY_SIDE = 8
+
+
 def leaf_findings(rows: DataFrame, tables: tuple[str, ...] = ("T2", "T3", "T5")) -> DataFrame:
     """A total row against the sum of the deepest codes, column by column: beyond
-    1 and 0.1 %, and beyond half of the total."""
-    total = rows.where(F.col("t").isin(*tables) & F.array_join("cells", "").rlike("合计|总计")).groupBy("doc_id", "t").agg(F.min_by(_amounts(rows), "row_idx").alias("total"))
-    codes = code_rows(rows).where(F.col("t").isin(*tables))
-    deepest = F.max(F.length("code")).over(Window.partitionBy("doc_id", "t"))
-    leaves = codes.withColumn("deepest", deepest).where(F.length("code") == F.col("deepest")).select("doc_id", "t", F.posexplode("v").alias("col", "x")).groupBy("doc_id", "t", "col").agg(F.sum("x").alias("sum"))
-    both = leaves.join(total, ["doc_id", "t"]).withColumn("whole", F.get("total", F.col("col"))).where("whole IS NOT NULL")
+    1 and 0.1 %, and beyond half of the total.  Sums by length of code come first, so that
+    neither rows nor their cells are sorted."""
+    v, n = F.col("v"), SIDE_BY_SIDE
+    total = rows.where(F.col("t").isin(*tables) & X.contains_any(V.line(rows), ("合计", "总计"))).groupBy("doc_id", "t").agg(F.min_by(_amounts(rows), "row_idx").alias("total"))
+    codes = code_rows(rows).where(F.col("t").isin(*tables)).select("doc_id", "t", F.length("code").alias("depth"), "v")
+    sums = [f"s{i}" for i in range(n)]
+
+    def added(each: DataFrame) -> DataFrame:
+        """By depth, then those of the deepest; rows are dealt by document once for both."""
+        by = each.groupBy("doc_id", "t", "part", "depth").agg(*[F.sum(F.get("v", F.lit(i))).alias(c) for i, c in enumerate(sums)])
+        return by.groupBy("doc_id", "t", "part").agg(F.max("depth").alias("depth"), *[F.max_by(c, "depth").alias(c) for c in sums])
+
+    first = added(codes.withColumn("part", F.lit(0)).repartition("doc_id"))
+    rest = F.transform(F.sequence(F.lit(1), F.floor((F.size(v) - 1) / n).cast("int")), lambda k: F.struct(k.alias("part"), F.slice(v, k * n + 1, F.lit(n)).alias("v")))
+    more = added(codes.where(F.size(v) > n).select("doc_id", "t", "depth", F.inline(rest)))
+    # every row has a first part, so that its depth is the table's; others may end before
+    more = more.join(first.select("doc_id", "t", "depth"), ["doc_id", "t", "depth"]).select(*first.columns)
+    leaves = first.unionByName(more).join(total, ["doc_id", "t"]).select("doc_id", "t", "part", "total", F.array(*sums).alias("sums"))
+    both = leaves.select("doc_id", "t", "total", "part", F.posexplode("sums").alias("i", "sum")).where("sum IS NOT NULL").withColumn("col", F.col("part") * n + F.col("i"))
+    both = both.withColumn("whole", F.get("total", F.col("col"))).where("whole IS NOT NULL")
     diff = F.abs(F.col("sum") - F.col("whole"))
     bad = both.where((diff > F.greatest(F.lit(1.0), F.abs("sum") * 0.001)) & ((F.col("whole") == 0) | (diff / F.abs("whole") > 0.5)))
     return bad.select("doc_id", F.lit("v33_005").alias("rule"), F.lit("warn").alias("severity"), F.col("whole").alias("lhs"), F.col("sum").alias("rhs"), F.concat_ws(" ", F.col("t"), F.col("col").cast("string")).alias("message"))
@@ -473,11 +519,12 @@ def wording_findings(pages: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Rule:
     """A rule by name: kind of report it applies to, and a function of (pages, rows,
-    wide) that returns findings."""
+    wide) that returns findings.  needs: tables without which it finds nothing in any document."""
 
     name: str
     kind: str
     run: object
+    needs: tuple[str, ...] = ()
 
 
 _COLUMNS = ("doc_id", "rule", "severity", "message")
@@ -519,27 +566,27 @@ RULES = [
     Rule("hierarchy", "final", lambda pages, rows, wide: hierarchy_findings(rows)),
     Rule("rows", "final", lambda pages, rows, wide: row_findings(rows)),
     Rule("leaves", "final", lambda pages, rows, wide: leaf_findings(rows)),
-    Rule("mirror_final", "final", lambda pages, rows, wide: mirror_findings(rows, "T2", "T3")),
-    Rule("mirror_budget", "budget", lambda pages, rows, wide: mirror_findings(rows, "B2", "B3")),
+    Rule("mirror_final", "final", lambda pages, rows, wide: mirror_findings(rows, "T2", "T3"), ("T2", "T3")),
+    Rule("mirror_budget", "budget", lambda pages, rows, wide: mirror_findings(rows, "B2", "B3"), ("B2", "B3")),
     Rule("narrative", "any", lambda pages, rows, wide: narrative_findings(pages, wide, [s for s in STATED if s.rule not in ELSEWHERE])),
     Rule("wording", "final", lambda pages, rows, wide: S.expenditure_findings(pages)),
-    Rule("totals", "final", lambda pages, rows, wide: V.total_findings(pages, rows)),
+    Rule("totals", "final", lambda pages, rows, wide: V.total_findings(pages, rows), ("T1",)),
     Rule("near_numbers", "final", lambda pages, rows, wide: V.near_findings(pages, rows)),
-    Rule("class_shares", "final", lambda pages, rows, wide: V.class_share_findings(pages, rows)),
+    Rule("class_shares", "final", lambda pages, rows, wide: V.class_share_findings(pages, rows), ("T5",)),
     Rule("statements", "final", lambda pages, rows, wide: V.statement_findings(pages, rows)),
-    Rule("classes", "final", lambda pages, rows, wide: V.class_findings(pages, rows)),
+    Rule("classes", "final", lambda pages, rows, wide: V.class_findings(pages, rows), ("T5",)),
     Rule("public", "any", lambda pages, rows, wide: V.public_findings(pages, rows)),
-    Rule("zero_hints", "final", lambda pages, rows, wide: V.zero_hints(pages, rows)),
-    Rule("grant_balances", "final", lambda pages, rows, wide: G.balance_findings(rows)),
-    Rule("grant_rows", "final", lambda pages, rows, wide: G.row_findings(rows)),
-    Rule("grant_columns", "final", lambda pages, rows, wide: G.column_findings(rows)),
+    Rule("zero_hints", "final", lambda pages, rows, wide: V.zero_hints(pages, rows), ("T7",)),
+    Rule("grant_balances", "final", lambda pages, rows, wide: G.balance_findings(rows), ("T4",)),
+    Rule("grant_rows", "final", lambda pages, rows, wide: G.row_findings(rows), ("T4",)),
+    Rule("grant_columns", "final", lambda pages, rows, wide: G.column_findings(rows), ("T4",)),
     Rule("grant_empty", "final", lambda pages, rows, wide: G.empty_findings(rows)),
-    Rule("grant_general", "final", lambda pages, rows, wide: G.general_findings(rows)),
+    Rule("grant_general", "final", lambda pages, rows, wide: G.general_findings(rows), ("T4", "T5")),
     Rule("unfilled", "budget", lambda pages, rows, wide: H.placeholder_findings(pages)),
-    Rule("income_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T2", "v33_210", 2, skip="合计")),
-    Rule("expenditure_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T3", "v33_211", 3, parts=2)),
-    Rule("income_sources", "final", lambda pages, rows, wide: source_findings(rows)),
-    Rule("economic_details", "final", lambda pages, rows, wide: hierarchy_findings(rows, ("T6",), 1.0, "v33_243")),
+    Rule("income_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T2", "v33_210", 2, skip="合计"), ("T2",)),
+    Rule("expenditure_rows", "final", lambda pages, rows, wide: largest_findings(rows, "T3", "v33_211", 3, parts=2), ("T3",)),
+    Rule("income_sources", "final", lambda pages, rows, wide: source_findings(rows), ("T2",)),
+    Rule("economic_details", "final", lambda pages, rows, wide: hierarchy_findings(rows, ("T6",), 1.0, "v33_243"), ("T6",)),
     Rule("blank_tables", "final", lambda pages, rows, wide: blank_findings(rows, pages)),
     Rule("missing_final", "final", _missing(D.FINAL_TABLES)),
     Rule("missing_budget", "budget", _missing(D.BUDGET_TABLES)),
@@ -574,11 +621,18 @@ def run_rules(pages: DataFrame, rows: DataFrame, docs: DataFrame, rules: list[Ru
     kinds = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__docs"), *[F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)).alias(f"__is_{k}") for k in names])
     # computed once for all rules: each reads what it needs of the tables and kinds that are there
     held = lambda df: _stored(df.join(kinds, "doc_id").drop("__docs"))
-    pages_of, rows_of = held(pages), held(rows.withColumn("numbers", _numbers(F.col("cells"))))
-    wide_of = _stored(operands(rows_of, OPERANDS).join(kinds, "doc_id").drop("__docs"))
+    pages_of, rows_of = held(pages), held(rows.select("*", _numbers(F.col("cells")).alias("numbers"), V.line(rows).alias("line"), _squeezed(rows).alias("squeezed"), _code(rows).alias("code")))
+    needed = sorted({o.table for o in OPERANDS} | {t for r in rules for t in r.needs})
+    there = {r["t"] for r in rows_of.where(F.col("t").isin(*needed)).select("t").distinct().collect()}
+    # operands of tables that no document has are not looked for
+    wanted = [o for o in OPERANDS if o.table in there] or OPERANDS
+    wide_of = _stored(operands(rows_of, wanted).join(kinds, "doc_id").drop("__docs"))
+    wide_of = wide_of.select("doc_id", *[F.col(o.name) if o in wanted else F.lit(None).cast("double").alias(o.name) for o in OPERANDS], *[f"__is_{k}" for k in names])
     out = None
     inputs: dict[str, tuple] = {}
     for r in rules:
+        if out is not None and not there.issuperset(r.needs):
+            continue
         of = docs.select("doc_id") if r.kind == "any" else docs.where(F.col("kind") == r.kind).select("doc_id")
         if r.kind not in inputs:
             inputs[r.kind] = tuple((df if r.kind == "any" else df.where(f"__is_{r.kind}")).drop(*[f"__is_{k}" for k in names]) for df in (pages_of, rows_of, wide_of))

@@ -30,6 +30,11 @@ def row_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), "")
 
 
+def line(rows: DataFrame) -> Column:
+    """The same, joined before where the rows hold it."""
+    return F.col("line") if "line" in rows.columns else F.array_join("cells", "")
+
+
 # ----------------------------------------------------------- rows by their heads
 
 
@@ -63,11 +68,14 @@ ROW_VALUES = (
 
 
 def row_values(rows: DataFrame, wanted: tuple[RowValue, ...] = ROW_VALUES) -> DataFrame:
-    """One row per document with every wanted value."""
-    cells = F.col("cells")
+    """One row per document that has any of the rows, with every wanted value."""
+    cells, t, head = F.col("cells"), F.col("t"), F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    hit = lambda w: (t == w.table) & X.contains_any(F.col("head"), w.words)
+    # most rows are none of these: they go before their cells are read
+    words = {k: tuple(dict.fromkeys(x for w in wanted if w.table == k for x in w.words)) for k in sorted({w.table for w in wanted})}
+    own = F.coalesce(*[F.when(t == k, X.contains_any(head, ws)) for k, ws in words.items()], F.lit(False))
     plain = F.array_compact(F.transform(cells, lambda c: F.when(~F.coalesce(c, F.lit("")).contains("%"), N.parse_number(c))))
-    slim = rows.where(F.col("t").isin(*sorted({w.table for w in wanted}))).select("doc_id", "t", "row_idx", F.coalesce(F.get(cells, F.lit(0)), F.lit("")).alias("head"), F.get(plain, F.size(plain) - 1).alias("v"))
-    hit = lambda w: (F.col("t") == w.table) & X.contains_any(F.col("head"), w.words)
+    slim = rows.where(t.isin(*words) & own).select("doc_id", "t", "row_idx", head.alias("head"), F.get(plain, F.size(plain) - 1).alias("v"))
     return slim.groupBy("doc_id").agg(*[F.min_by("v", F.when(hit(w), F.col("row_idx"))).alias(w.name) for w in wanted])
 
 
@@ -145,18 +153,18 @@ def _exploded(df: DataFrame, found: list[Column]) -> DataFrame:
 def near_findings(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """Numbers and shares in the whole text that are not those of the tables' rows.  A stated
     0 says nothing of an amount."""
-    values = row_values(rows)
-    stated = sections.full_texts(pages).select(
-        "doc_id", *[near_number(F.col("text"), n.words).alias(f"n{i}") for i, n in enumerate(NEAR)], *[near_percent(F.col("text"), s.words).alias(f"s{i}") for i, s in enumerate(SHARES)]
-    )
-    both = stated.join(values, "doc_id")
+    says = [F.expr(n.when) & F.expr(n.value).isNotNull() for n in NEAR] + [F.expr(s.when) & (F.col(s.whole) != 0) & F.col(s.part).isNotNull() for s in SHARES]
+    values = row_values(rows).where(F.coalesce(*[F.when(c, True) for c in says], F.lit(False)))
+    texts = sections.full_texts(pages.join(values.select("doc_id"), "doc_id", "left_semi"))
+    both = texts.join(values, "doc_id")
     found = []
-    for i, n in enumerate(NEAR):
-        lhs, rhs = F.col(f"n{i}"), F.expr(n.value)
-        found.append(F.when(F.expr(n.when) & rhs.isNotNull() & (lhs != 0) & ~N.close(rhs, lhs, 1.0, 0.001), _found(n.rule, lhs, rhs)))
-    for i, s in enumerate(SHARES):
-        lhs, rhs = F.col(f"s{i}"), N.share(F.col(s.part), F.col(s.whole))
-        found.append(F.when(F.expr(s.when) & (F.col(s.whole) != 0) & (F.abs(rhs - lhs) > s.points), _found(s.rule, lhs, rhs)))
+    # texts are searched inside, only for what the tables have
+    for n, said in zip(NEAR, says, strict=False):
+        lhs, rhs = near_number(F.col("text"), n.words), F.expr(n.value)
+        found.append(F.when(said, F.when((lhs != 0) & ~N.close(rhs, lhs, 1.0, 0.001), _found(n.rule, lhs, rhs))))
+    for s, said in zip(SHARES, says[len(NEAR) :], strict=True):
+        lhs, rhs = near_percent(F.col("text"), s.words), N.share(F.col(s.part), F.col(s.whole))
+        found.append(F.when(said, F.when(F.abs(rhs - lhs) > s.points, _found(s.rule, lhs, rhs))))
     return _exploded(both, found)
 
 
@@ -236,7 +244,8 @@ def stated_amounts(pages: DataFrame) -> DataFrame:
         got = F.struct(*[_number(text, p).alias(n) for n, p in s.patterns])
         states = F.coalesce(*[_number(text, p) for _, p in s.patterns]).isNotNull()
         columns.append(F.when(own(s), got).alias(f"v_{s.name}"))
-        keys.append(F.when(own(s) & (states if s.keep != "head" else F.lit(True)), F.col("page")).alias(f"k_{s.name}"))
+        # one inside the other: other sections' pages are not searched for amounts
+        keys.append(F.when(own(s), F.when(states, F.col("page")) if s.keep != "head" else F.col("page")).alias(f"k_{s.name}"))
     three = text.contains("三公") & X.contains_any(text, ("情况说明", "经费支出"))
 
     def behind(words: tuple[str, ...]) -> Column:
@@ -253,10 +262,12 @@ def stated_amounts(pages: DataFrame) -> DataFrame:
 
 
 def table_numbers(rows: DataFrame) -> DataFrame:
-    """One row per document with what the statements are held against: the first total rows'
+    """One row per document that has any of it, with what the statements are held against: the first total rows'
     cells (t2_row, t3_row), all of T7's (t7_all), and t1, t4, t6 amounts."""
-    text, v, t = row_text(F.col("cells")), cell_values(F.col("cells")), F.col("t")
-    some = rows.where(t.isin("T1", "T2", "T3", "T4", "T6", "T7")).select("doc_id", "t", "row_idx", text.alias("text"), v.alias("v"))
+    text, v, t = line(rows), cell_values(F.col("cells")), F.col("t")
+    # only totals count, but for T7: other rows go before their cells are read
+    some = rows.where(t.isin("T1", "T2", "T3", "T4", "T6", "T7") & ((t == "T7") | X.contains_any(line(rows), ("总计", "合计"))))
+    some = some.select("doc_id", "t", "row_idx", text.alias("text"), v.alias("v"))
     first = lambda name, value, hit: F.min_by(value, F.when(hit, F.col("row_idx"))).alias(name)
     last = lambda name, value, hit: F.max_by(value, F.when(hit, F.col("row_idx"))).alias(name)
     has = lambda table, *words: (t == table) & X.contains_all(F.col("text"), words)

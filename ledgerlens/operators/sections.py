@@ -137,7 +137,9 @@ def expenditure_findings(pages: DataFrame) -> DataFrame:
     """Items of the section on expenditure (and its sentence on the whole) whose comparison in
     words is not that of their two amounts: doc_id, rule, severity, lhs (final), rhs
     (budget), message, page, pos."""
-    at = placed(pages)
+    # documents without the section's heading are not put in order
+    headed = pages.where(F.col("text").rlike(EXPENDITURE.start)).select("doc_id").distinct()
+    at = placed(pages.join(headed, "doc_id", "left_semi"))
     text = texts(at, intervals(at, (EXPENDITURE,))).select("doc_id", F.col("start").alias("section_start"), "text")
     amount = lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double")
     whole = F.regexp_extract("text", _WHOLE, 0)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import numbers as N
+from ledgerlens.operators import document_rules as R
 from ledgerlens.operators import facts as M
+from ledgerlens.operators import narrative as V
 from ledgerlens.operators import qc
 from ledgerlens.plans import base, documents, registry
 
@@ -139,3 +142,60 @@ def test_whole_cents_are_those_of_decimals(spark, tmp_path):
         assert order(registry.queries()["qc_findings"](spark, at)) == want
         for key in ("R008", "R011", "R014"):
             assert order(registry.queries()[f"qc_{key.lower()}"](spark, at)) == [r for r in want if f"'{key}'" in r]
+
+
+_GRID = "doc_id int, t string, row_idx int, cells array<string>"
+
+
+def test_leaves_as_in_plain_sums(spark):
+    """Tables of any width and depth, without a sort of their rows; totals with codes, blanks in words, repeated totals."""
+    rng = random.Random(4)
+    rows = []
+    for d in range(60):
+        for t in ("T2", "T3", "T7"):
+            width = rng.choice((0, 1, 3, 8, 9, 20))
+            amounts = lambda n: [str(rng.choice((0, 1, 5, 100))) if rng.random() < 0.9 else "" for _ in range(n)]
+            for k in range(rng.randint(0, 6)):
+                head = rng.choice(("201", "20101", "2010101", "合计", "总 计", "203 合计", "x", None))
+                rows.append((d, t, k, [head, *amounts(rng.choice((width, width, max(width - 1, 0))))]))
+    rows.append((None, "T2", 0, None))
+    want = set()
+    for d, t in {(r[0], r[1]) for r in rows if r[0] is not None and r[1] != "T7"}:
+        own = [(k, "".join(c for c in cells if c), [float(x) for x in cells[1:] if x], re.match(r"\d{3}(\d{2}){0,4}", cells[0] or "")) for e, u, k, cells in rows if (e, u) == (d, t)]
+        codes = [(len(m.group()), v) for _, _, v, m in own if m and v]
+        totals = [v for _, text, v, _ in sorted(own, key=lambda r: r[0]) if "合计" in text or "总计" in text]
+        if codes and totals:
+            leaves = [v for n, v in codes if n == max(codes)[0]]
+            for c, whole in enumerate(totals[0]):
+                part = [v[c] for v in leaves if len(v) > c]
+                diff = abs(sum(part) - whole)
+                if part and diff > max(1.0, abs(sum(part)) * 0.001) and (whole == 0 or diff / abs(whole) > 0.5):
+                    want.add((d, f"{t} {c}", whole, sum(part)))
+    found = R.leaf_findings(spark.createDataFrame(rows, _GRID))
+    got = [(r["doc_id"], r["message"], r["lhs"], r["rhs"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 30 and any(int(m.split()[1]) > 8 for _, m, _, _ in got)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_read_once_for_parents_and_children(spark):
+    found = R.hierarchy_findings(spark.createDataFrame([(1, "T3", 0, ["201", "5"]), (1, "T3", 1, ["20101", "3"]), (1, "T3", 2, ["2010101", "3"])], _GRID))
+    assert [(r["message"], r["lhs"], r["rhs"]) for r in found.collect()] == [("T3 201", 5.0, 3.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_documents_without_a_wanted_row_have_operands(spark):
+    rows = spark.createDataFrame([(1, "T3", 0, ["合 计", "5", "2"]), (2, "T3", 0, ["x", "1"]), (3, "T6", 0, [" 301 ", "7"]), (4, "X", 0, ["合计", "1"]), (None, "T3", 0, ["合计", "9"]), (5, "T6", 0, None)], _GRID)
+    got = {r["doc_id"]: (r["t3_total"], r["t3_basic"], r["t6_301"]) for r in R.operands(rows, R.OPERANDS).collect()}
+    assert got == {1: (5.0, 2.0, None), 2: (None, None, None), 3: (None, None, 7.0), None: (9.0, None, None), 5: (None, None, None)}
+    values = {r["doc_id"]: r["t3_total"] for r in V.row_values(rows).collect()}
+    assert 2 not in values and values[None] == 9.0
+
+
+def test_rules_without_their_tables_are_left_out(spark):
+    plan = registry.queries()["document_rules"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cmm_004" not in plan and "v33_242" not in plan and "v33_241" in plan
+    grid = [(1, t, k, ["20" + str(k), str(v)]) for t in ("T2", "T3") for k, v in ((1, 5), (2, 6 if t == "T2" else 7))]
+    docs = spark.createDataFrame([(1, "final")], "doc_id int, kind string")
+    pages = spark.createDataFrame([(1, 1, "")], "doc_id int, page int, text string")
+    found = R.run_rules(pages, spark.createDataFrame(grid, _GRID), docs).where("rule = 'cmm_004'")
+    assert [r["message"] for r in found.collect()] == ["202"]
